@@ -32,6 +32,8 @@ LABELLED = (
     (3, 0.0, 2, 0.0, 4, 0.0, 1, 0, 0, 1), (9, 0.0, 4, 1.0, 70, 0.0, 1, 0, 1, 1), (2, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1, 1),
     (4, 0.5, 40, 0.0, 44, 0.0, 1, 0, 0, 1), (2, 1.0, 60, 0.0, 52, 0.0, 1, 0, 0, 1), (120, 0.05, 8, 0.0, 6, 0.9, 1, 0, 0, 1),
     (6, 0.0, 90, 0.0, 12, 0.2, 1, 0, 0, 1), (25, 0.9, 30, 0.0, 41, 0.0, 1, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (5, 0.0, 60, 0.0, 2, 1.0, 1, 0, 0, 1), (30, 0.0, 40, 0.0, 3, 0.9, 1, 0, 0, 1), (1, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1),
+    (2, 0.0, 3, 0.0, 5, 0.8, 1, 0, 1, 1), (50, 0.1, 45, 0.0, 1, 1.0, 1, 0, 0, 1), (3, 0.9, 2, 1.0, 4, 1.0, 1, 0, 0, 1),
     (70, 0.0, 66, 0.0, 58, 0.0, 0, 1, 0, 0), (30, 0.0, 12, 0.0, 50, 0.0, 0, 1, 0, 0), (8, 0.0, 3, 1.0, 11, 0.0, 0, 1, 0, 0),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 1, 0, 0), (14, 0.1, 80, 0.0, 0, 0.0, 0, 1, 0, 0),
     (5, 0.0, 60, 0.0, 7, 1.0, 0, 1, 1, 0), (45, 0.4, 9, 0.0, 7, 0.0, 0, 1, 0, 0), (100, 0.0, 20, 0.0, 15, 0.0, 0, 1, 0, 0),
