@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from schemaloom.llm.html_text import op8_html_text
+from schemaloom.llm.jaccard_join import op4_jaccard_join
 from schemaloom.llm.packing import op3_packing
 from schemaloom.llm.pii import op5_pii
 from schemaloom.llm.quality_rules import op6_quality_rules
@@ -16,6 +17,7 @@ from schemaloom.llm.toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op8_html_text": op8_html_text,
