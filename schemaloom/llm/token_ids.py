@@ -15,7 +15,7 @@ import pyarrow as pa
 class UnitEncoder:
     """Keeps the ids of at most ``limit`` units; ``encode`` gives little-endian 32-bit ids for a list of units."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def ids(self, codes: np.ndarray, offsets: np.ndarray, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
