@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from schemaloom.llm.html_text import op8_html_text
 from schemaloom.llm.jaccard_join import op4_jaccard_join
 from schemaloom.llm.lattice import op9_lattice
+from schemaloom.llm.lm import op7_lm
 from schemaloom.llm.packing import op3_packing
 from schemaloom.llm.pii import op5_pii
 from schemaloom.llm.quality_rules import op6_quality_rules
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm": op7_lm,
     "op8_html_text": op8_html_text,
     "op9_lattice": op9_lattice,
     "op10_sentencepiece": op10_sentencepiece,

@@ -30,8 +30,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 4 << 20
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The texts of a batch, null as the empty string."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts of a batch, null as the empty string, in buffers of their own: some kernels (ascii_lower)
+    misread a slice whose first offset isn't 0."""
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts))))
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
