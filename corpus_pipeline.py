@@ -5,18 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import toxicity
+from schemaloom.llm import jaccard_join, packing, pii, quality_rules, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).filter(F.col("score") < 0.5).select(*COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the compression bands."""
+    return quality_rules.judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links reach."""
+    return jaccard_join.keep_one(docs.select(*COLUMNS))
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by tags; n_chars follows the new text."""
+    return pii.mask(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in training windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_low_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("PII", mask_pii),
+    ("packing", pack),
+]
 #: No SQL expresses these stages; the tests hold them against brute force.
 ORACLE_SQL = None
 

@@ -15,8 +15,10 @@ from schemaloom.llm.pii import op5_pii
 from schemaloom.llm.quality_rules import op6_quality_rules
 from schemaloom.llm.sp_codec import op10_sentencepiece
 from schemaloom.llm.toxicity import op2_toxicity
+from schemaloom.llm.url_rules import op1_url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_rules": op1_url_rules,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_jaccard_join": op4_jaccard_join,
