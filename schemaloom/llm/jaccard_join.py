@@ -134,7 +134,8 @@ def _id(doc_id: Column) -> Column:
 
 def _with_sets(documents: DataFrame, members: DataFrame, p: ForestParams) -> DataFrame:
     """The members' shingle sets, taken from the text of one document of each class."""
-    rows = documents.select(_id(F.col("doc_id")).alias("id"), "text").join(members, "id")
+    # by merge at every size: how many documents have a near duplicate isn't bounded
+    rows = documents.select(_id(F.col("doc_id")).alias("id"), "text").join(members.hint("merge"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
