@@ -122,10 +122,13 @@ def rewrite(text: str) -> tuple[str, list[int], list[int], list[str]]:
         start.extend(range(a, b))
         end.extend(range(a + 1, b + 1))
         how.extend([""] * (b - a))
+        if gone and a < b:
+            how[-(b - a)] = "glyph"  # the first character after one that is left out
 
-    done = 0
+    done, gone = 0, False
     for m in _REWRITE.finditer(text):
         copy(done, m.start())
+        gone = (gone and m.start() == done) or m[0] in _UNSEEN
         done = m.end()
         if m["glyph"]:
             put(_LOOKALIKE.get(m[0], ""), m.start(), m.end(), "glyph")
