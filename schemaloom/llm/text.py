@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece holds about ``budget`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -15,7 +15,7 @@ import pyarrow as pa
 class UnitEncoder:
     """Keeps the ids of at most ``limit`` units; ``encode`` gives little-endian 32-bit ids for a list of units."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def ids(self, codes: np.ndarray, offsets: np.ndarray, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -33,5 +33,7 @@ class UnitEncoder:
             return np.empty(0, "<u4"), np.zeros(len(offsets), np.int64)
         n = size[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
-        first = (np.cumsum(size) - size)[codes]
-        return flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])], ends[offsets]
+        kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(size) - size)[codes] - ends[:-1]).astype(kind), n)
+        at += np.arange(ends[-1], dtype=kind)
+        return flat[at], ends[offsets]
