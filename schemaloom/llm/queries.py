@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from schemaloom.llm import oracles
 from schemaloom.llm.html_text import op8_html_text
 from schemaloom.llm.jaccard_join import op4_jaccard_join
 from schemaloom.llm.lattice import op9_lattice
@@ -30,4 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_rules": oracles.URL_RULES,
+    "op4_jaccard_join": oracles.JACCARD_JOIN,
+    "op9_lattice": oracles.LATTICE,
+}
