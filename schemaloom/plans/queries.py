@@ -51,12 +51,13 @@ def workload_profile(spark, sf_dir):
 
 
 @query("""
-SELECT event_type, user_id, count(*) AS calls, sum(value) AS total_ms, sum(value) / count(*) AS mean_ms
+SELECT event_type, user_id, count(*) AS calls, round(sum(value), 3) AS total_ms, round(sum(value) / count(*), 3) AS mean_ms
 FROM events WHERE event_type NOT LIKE '%error%' GROUP BY 1, 2 ORDER BY total_ms DESC NULLS LAST, event_type, user_id LIMIT 10""")
 def topk_slow(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter(~F.col("event_type").like("%error%"))
-    g = e.groupBy("event_type", "user_id").agg(F.count("*").alias("calls"), F.sum("value").alias("total_ms"))
-    return g.withColumn("mean_ms", F.col("total_ms") / F.col("calls")).orderBy(F.desc_nulls_last("total_ms"), "event_type", "user_id").limit(10)
+    g = e.groupBy("event_type", "user_id").agg(F.count("*").alias("calls"), F.sum("value").alias("total"))
+    g = g.select("event_type", "user_id", "calls", F.round("total", 3).alias("total_ms"), F.round(F.col("total") / F.col("calls"), 3).alias("mean_ms"))
+    return g.orderBy(F.desc_nulls_last("total_ms"), "event_type", "user_id").limit(10)
 
 
 PAGES = "CAST(ceil(width_sum / 400.0::DOUBLE) AS BIGINT)"
