@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from schemaloom.llm.shared import connected_components, written
+from schemaloom.llm.shared import connected_components, delete, written
 from schemaloom.llm.text import hash_words, odd_numbers, owners, slices, split_words, texts_of, windows
 
 
@@ -221,36 +221,41 @@ def _verify(units: DataFrame, p: ForestParams) -> DataFrame:
 def near_duplicates(documents: DataFrame, p: ForestParams = ForestParams()) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest) of every row; and of every class: digest, id of its first document, number of its
     documents, documents that it links to, and root, the smallest class that links reach."""
+    spark, used = documents.sparkSession, []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        df, path = written(df, name)
+        used.append(path)
+        return df
+
     signed, _ = written(sign(documents, p), "signed")
-    classes = (
+    classes = table(
         signed.filter(F.col("digest").isNotNull()).groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes"
     )
-    classes, _ = written(classes, "classes")
     entries = classes.select("digest", F.explode("keys").alias("key"))
-    firsts, _ = written(entries.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "tries")
-    groups = connected_components(entries.join(firsts, "key").select(F.col("digest").alias("a"), "b"))
-    groups, _ = written(groups, "groups")
-    sizes, _ = written(groups.groupBy("root").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
-    members = (
+    firsts = table(entries.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "tries")
+    groups = table(connected_components(entries.join(firsts, "key").select(F.col("digest").alias("a"), "b")), "groups")
+    sizes = table(groups.groupBy("root").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
+    members = table(
         groups.join(sizes, "root").withColumnRenamed("node", "digest").join(classes.select("digest", "doc_id", "copies"), "digest")
-        .select(_id(F.col("doc_id")).alias("id"), "root", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("own"), "digest", "copies")
+        .select(_id(F.col("doc_id")).alias("id"), "root", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("own"), "digest", "copies"), "members"
     )
-    members, _ = written(members, "members")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = (
         _with_sets(documents, members, p).select("*", other)
         .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "copies", "own", "shingles")
         .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     )
-    verified, _ = written(_verify(units, p), "verified")
+    verified = table(_verify(units, p), "verified")
     links = verified.groupBy("digest").agg(F.sum("links").alias("links"))
     roots = connected_components(verified.select(F.col("digest").alias("a"), F.col("reach").alias("b"))).withColumnRenamed("node", "digest")
-    every = (
+    every, _ = written(
         classes.select("digest", "doc_id", "copies").join(links, "digest", "left").join(roots, "digest", "left")
-        .select("digest", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "digest").alias("root"))
+        .select("digest", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "digest").alias("root")), "linked"
     )
-    every, _ = written(every, "linked")
+    for path in used:
+        delete(spark, path)
     return signed.select("doc_id", "digest"), every
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import connected_components, written
+from schemaloom.llm.shared import connected_components, delete, written
 from schemaloom.llm.text import odd_numbers
 
 
@@ -247,23 +247,30 @@ def _dealt(rows: DataFrame, extra: list[str]) -> DataFrame:
 
 def near_vectors(embeddings: DataFrame, p: LatticeParams = LatticeParams()) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
+    spark, used = embeddings.sparkSession, []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        df, path = written(df, name)
+        used.append(path)
+        return df
+
     rows, _ = written(prepared(embeddings), "vectors")
-    classes, _ = written(
+    classes = table(
         rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "classes"
     )
     n = classes.count()
     tables, blocks = p.tables(n), p.blocks(n)
-    keys, _ = written(_with_cells(classes, tables, blocks, p.scale), "cells")
+    keys = table(_with_cells(classes, tables, blocks, p.scale), "cells")
     entries = keys.select("digest", F.explode("own").alias("key"), F.lit(True).alias("owner")).union(keys.select("digest", F.explode("probes"), F.lit(False)))
-    sizes, _ = written(
+    sizes = table(
         entries.groupBy("key").agg(F.count("*").alias("n"), F.count_if("owner").alias("own")).filter("own > 0 and n > 1")
         .select("key", F.ceil(F.col("n") / p.block).cast("int").alias("blocks")), "sizes"
     )
     units = _dealt(entries.join(sizes, "key"), ["owner"]).join(classes.select("digest", "vec"), "digest")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    edges, _ = written(_in_units(units, "a binary, b binary", _cell_links(p)), "edges")
-    roots, _ = written(connected_components(edges).select(F.col("node").alias("digest"), F.col("root").alias("key")), "roots")
-    sizes, _ = written(roots.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
+    edges = table(_in_units(units, "a binary, b binary", _cell_links(p)), "edges")
+    roots = table(connected_components(edges).select(F.col("node").alias("digest"), F.col("root").alias("key")), "roots")
+    sizes = table(roots.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
     members = _dealt(roots.join(sizes, "key"), []).join(classes.select("digest", "vec", "copies"), "digest")
     members = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = _in_units(members, "digest binary, links long", _count_links(p)).groupBy("digest").agg(F.sum("links").alias("links"))
@@ -271,9 +278,11 @@ def near_vectors(embeddings: DataFrame, p: LatticeParams = LatticeParams()) -> D
         classes.select("digest", "vec_id", "copies").join(links, "digest", "left").join(roots, "digest", "left")
         .select("digest", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("key", "digest").alias("root"))
     )
-    every, _ = written(every, "linked")
-    lowest, _ = written(every.groupBy("root").agg(F.min("vec_id").alias("component_id")), "lowest")
+    every = table(every, "linked")
+    lowest = table(every.groupBy("root").agg(F.min("vec_id").alias("component_id")), "lowest")
     found, _ = written(every.join(lowest, "root").select("digest", "n_links", "component_id"), "found")
+    for path in used:
+        delete(spark, path)
     none = F.col("digest").isNull()
     return rows.select("vec_id", "digest").join(found, "digest", "left").select(
         "vec_id",

@@ -1,6 +1,7 @@
 """Personal data: base patterns, and identifiers behind disguises found by offset-preserving transducers.
 
-The transducer rewrites homoglyphs, zero-width characters, spelled digits and at/dot disguises, and keeps
+The transducer rewrites homoglyphs, zero-width characters, letters that stand for digits between digits, spelled digits,
+character references and at/dot disguises, and keeps
 for each character of the rewritten text the span it came from; the same patterns then run over the
 rewritten text and their matches are mapped back. Only matches that touch a rewritten place are added, so
 base spans stay as they are. One pass over the documents, no shuffle.
@@ -91,13 +92,21 @@ _UNSEEN = "­​‌‍⁠﻿"
 # Digits as they are spelled.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
+# Characters written as references or escapes.
+_WRITTEN = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
+
 _WORD = "|".join(_SPELLED)
 _GLYPHS = re.escape("".join(sorted({*_LOOKALIKE, *_UNSEEN})))
+_CODES = "|".join(map(re.escape, _WRITTEN))
+_MARK = r"at|dot|@|\."
 #: Texts that can hold a disguise at all; RE2 looks for it over the whole batch.
-_TRIGGER = rf"[{_GLYPHS}]|(?i:[(\[{{<]\s*(?:at|dot)\s*[)\]}}>]|\sdot\s|\b(?:{_WORD})\b[\s.-]+(?:{_WORD})\b[\s.-]+(?:{_WORD}|dot)\b)"
+_TRIGGER = (
+    rf"[{_GLYPHS}]|(?i:[(\[{{<]\s*(?:{_MARK})\s*[)\]}}>]|[\s_-]dot[\s_-]|{_CODES}|\b(?:{_WORD})\b[\s.-]+(?:{_WORD})\b[\s.-]+(?:{_WORD}|dot)\b)"
+    r"|[0-9][ .-]?[OoIl][ .-]?[0-9]"
+)
 _REWRITE = re.compile(
-    rf"(?P<glyph>[{_GLYPHS}])|(?P<hard>\s*[(\[{{<]\s*(?P<what>at|dot)\s*[)\]}}>]\s*)|(?P<soft>\s+(?P<which>at|dot)\s+)"
-    rf"|(?P<run>\b(?:plus\s+)?(?:{_WORD})(?:(?:[ -]|\s+dot\s+)(?:{_WORD}))+\b)",
+    rf"(?P<glyph>[{_GLYPHS}])|(?P<code>{_CODES})|(?P<hard>\s*[(\[{{<]\s*(?P<what>{_MARK})\s*[)\]}}>]\s*)|(?P<soft>(?:\s+|[_-])(?P<which>at|dot)(?:\s+|[_-]))"
+    rf"|(?P<run>\b(?:plus\s+)?(?:{_WORD})(?:(?:[ -]|\s+dot\s+)(?:{_WORD}))+\b)|(?P<round>(?<=[0-9])[OoIl](?=[0-9 .-])|(?<=[0-9][ .-])[OoIl](?=[0-9]))",
     re.IGNORECASE,
 )
 _PIECE = re.compile(rf"(?P<digit>{_WORD})|(?P<dot>\s+dot\s+)|(?P<plus>plus\s+)|(?P<gap>[ -])", re.IGNORECASE)
@@ -132,8 +141,12 @@ def rewrite(text: str) -> tuple[str, list[int], list[int], list[str]]:
         done = m.end()
         if m["glyph"]:
             put(_LOOKALIKE.get(m[0], ""), m.start(), m.end(), "glyph")
+        elif m["code"]:
+            put(_WRITTEN[m[0].lower()], m.start(), m.end(), "hard")
+        elif m["round"]:
+            put("0" if m[0] in "Oo" else "1", m.start(), m.end(), "digit")
         elif m["hard"]:
-            put("@" if m["what"].lower() == "at" else ".", m.start(), m.end(), "hard")
+            put("@" if m["what"].lower() in ("at", "@") else ".", m.start(), m.end(), "hard")
         elif m["soft"]:
             put("@" if m["which"].lower() == "at" else ".", m.start(), m.end(), "soft" + m["which"].lower())
         else:

@@ -266,6 +266,12 @@ def test_base_spans_equal_the_patterns(rows):
         ("ip one nine two dot one six eight dot one dot seven", "ip", "one nine two dot one six eight dot one dot seven"),
         ("card \uff14\uff14\uff16\uff15 7583 8288 9437!", "card", "\uff14\uff14\uff16\uff15 7583 8288 9437"),
         ("joe\u200b@example.com x", "email", "joe\u200b@example.com"),
+        ("x joe[@]example[.]com y", "email", "joe[@]example[.]com"),
+        ("x joe_AT_example_DOT_com", "email", "joe_AT_example_DOT_com"),
+        ("joe&#64;example.com", "email", "joe&#64;example.com"),
+        ("host 192[.]168[.]1[.]7", "ip", "192[.]168[.]1[.]7"),
+        ("pay 4465 7583 8288 9437 or 4465758382B894 4465-7583-8288-9437", "card", "4465 7583 8288 9437"),
+        ("pay 1O00-0000-0000-00O8 x", "card", "1O00-0000-0000-00O8"),
     ],
 )
 def test_disguises_map_back_to_the_source(source, kind, span):
