@@ -61,3 +61,48 @@ def glob_pattern(glob: str) -> str:
         out += "[^/]*" if c == "*" else "[^/]" if c == "?" else f"\\{c}" if c in special else c
         i += 1
     return f"(^|/){out}$"
+
+
+def backoff_ceiling(attempt: Column, base_ms: float = 100.0, most_ms: float = 10_000.0) -> Column:
+    """The longest sleep before an attempt: doubling from the base, capped."""
+    return F.least(F.lit(most_ms), F.lit(base_ms) * F.pow(F.lit(2.0), attempt))
+
+
+def jittered(previous_ms: Column, seed: int, base_ms: float = 100.0, most_ms: float = 10_000.0) -> Column:
+    """A random sleep between the base and three times the one before, capped."""
+    high = F.greatest(F.lit(base_ms), previous_ms * 3)
+    return F.least(F.lit(most_ms), F.lit(base_ms) + F.rand(seed) * (high - F.lit(base_ms)))
+
+
+def bound_value(text: Column) -> Column:
+    """A partition bound as a literal: numbers bare, quoted text as it is, other text quoted."""
+    plain = text.rlike(r"^-?[0-9]+([.][0-9]+)?$") | text.rlike("^'.*'$") | F.upper(text).isin("MINVALUE", "MAXVALUE")
+    return F.when(plain, text).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
+def versioned_schema(name: Column, base: str = "public") -> Column:
+    """``v2`` as ``public_v2``; other names as they are."""
+    return F.when(name.rlike("^v[0-9]+$"), F.concat(F.lit(f"{base}_"), name)).otherwise(name)
+
+
+# Names of types and what they stand for.
+TYPE_NAMES = {
+    "int": "integer", "int4": "integer", "serial": "integer", "int8": "bigint", "bigserial": "bigint", "int2": "smallint", "bool": "boolean", "float8": "double precision", "float4": "real",
+    "timestamptz": "timestamp with time zone", "timestamp": "timestamp without time zone", "timetz": "time with time zone", "decimal": "numeric", "varchar": "character varying", "char": "character",
+}
+
+
+def type_name(text: Column) -> Column:
+    """A column type in one spelling: lower case, long names, no blanks around lengths."""
+    t = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r" ?\( ?", "("), r" ?([,)]) ?", "$1")
+    head, tail = F.regexp_extract(t, r"^([^(\[]*)", 1), F.regexp_extract(t, r"^[^(\[]*(.*)$", 1)
+    long = F.create_map(*(F.lit(x) for kv in TYPE_NAMES.items() for x in kv))[head]
+    return F.concat(F.coalesce(long, head), tail)
+
+
+def merged_json(old: Column, new: Column) -> Column:
+    """Two JSON objects of texts as one; keys of the second win."""
+    kind = "map<string,string>"
+    a, b = (F.coalesce(F.from_json(c, kind), F.create_map().cast(kind)) for c in (old, new))
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))

@@ -71,3 +71,16 @@ def missing_objects(objects: DataFrame, golden: DataFrame, key: list[str]) -> Da
     """(tenant, *key) that the golden schema has and the tenant lacks: the expected pairs without those present."""
     expected = objects.select("tenant").distinct().join(F.broadcast(golden.select(*key).distinct()))  # one schema's objects
     return expected.join(objects.select("tenant", *key), ["tenant", *key], "left_anti")
+
+
+def reconciliation(missing: DataFrame) -> DataFrame:
+    """(tenant, script): statements that give each tenant what it lacks, from rows (tenant, kind, table_name, name, definition):
+    columns first, then indexes built concurrently, then constraints that are validated afterwards."""
+    rank = F.when(F.col("kind") == "column", 1).when(F.col("kind") == "index", 2).otherwise(3)
+    table = F.concat(F.lit('"'), "tenant", F.lit('"."'), "table_name", F.lit('"'))
+    column = F.concat(F.lit("ALTER TABLE "), table, F.lit(" ADD COLUMN IF NOT EXISTS "), "name", F.lit(" "), "definition", F.lit(";"))
+    index = F.concat(F.regexp_replace("definition", "(?i)INDEX (CONCURRENTLY )?", "INDEX CONCURRENTLY "), F.lit(";"))
+    constraint = F.concat(F.lit("ALTER TABLE "), table, F.lit(" ADD CONSTRAINT "), "name", F.lit(" "), "definition", F.lit(" NOT VALID;\nALTER TABLE "), table, F.lit(" VALIDATE CONSTRAINT "), "name", F.lit(";"))
+    text = F.when(F.col("kind") == "column", column).when(F.col("kind") == "index", index).otherwise(constraint)
+    lines = missing.select(F.col("tenant").cast("string").alias("tenant"), "kind", "table_name", "name", "definition").select("tenant", F.struct(rank.alias("r"), "table_name", "name", text.alias("t")).alias("l"))
+    return lines.groupBy("tenant").agg(F.array_join(F.sort_array(F.collect_list("l"))["t"], "\n").alias("script"))

@@ -108,9 +108,18 @@ def transactions(p: DataFrame) -> DataFrame:
         _found(p.filter(concurrent & inside), "concurrent-index-in-transaction", "BLOCKER", "NONE")
         .unionByName(_found(p.filter(other & inside), "non-transactional-in-transaction", "BLOCKER", "NONE"))
         .unionByName(_found(p.filter(add_value & inside), "enum-add-value-in-transaction", "BLOCKER", AX))
+        .unionByName(enum_value_used(p.filter(add_value & ~inside), p))
     )
 
 
+def enum_value_used(adds: DataFrame, p: DataFrame) -> DataFrame:
+    """ALTER TYPE ADD VALUE outside a transaction whose value a later statement of the script names."""
+    value = F.regexp_extract("raw", r"(?i)ADD VALUE (?:IF NOT EXISTS )?('(?:[^']|'')*')", 1)
+    later = p.select("file", F.col("stmt").alias("later"), F.col("raw").alias("other"))
+    used = adds.withColumn("value", value).filter("value <> ''").join(later, "file").filter((F.col("later") > F.col("stmt")) & F.contains("other", F.col("value")))
+    return _found(used.dropDuplicates(["file", "stmt"]), "enum-add-value-in-transaction", "BLOCKER", AX)
+
+
 def drop_add_pairs(p: DataFrame) -> DataFrame:
     """A column dropped and another added on one table of one script: a rename that loses data."""
     clause = p.select("file", "stmt", "line", "target", F.explode("clauses").alias("clause"))
@@ -173,6 +182,28 @@ def type_rewrites(p: DataFrame) -> DataFrame:
     return _found(rows, "alter-column-type-rewrite", F.when(F.coalesce(safe, F.lit(False)), "WARNING").otherwise("BLOCKER"), AX, F.col("c"))
 
 
+#: A remedy for each rule; {s} is the snippet.
+REMEDIES = {
+    "require-concurrent-index": "build it with CREATE INDEX CONCURRENTLY, outside a transaction", "concurrent-index-in-transaction": "move it out of the transaction",
+    "add-column-not-null-without-default": "give a constant DEFAULT, or add the column nullable, fill it, then SET NOT NULL", "foreign-key-missing-not-valid": "add it NOT VALID, then VALIDATE CONSTRAINT",
+    "prisma-silent-rename-data-loss": "use RENAME COLUMN, or expand and contract", "set-not-null-full-scan": "add CHECK (c IS NOT NULL) NOT VALID, validate it, then SET NOT NULL",
+    "unbatched-dml": "change rows in batches by key", "check-constraint-missing-not-valid": "add it NOT VALID, then VALIDATE CONSTRAINT", "check-constraint-not-valid": "add it NOT VALID, then VALIDATE CONSTRAINT",
+    "unique-constraint-using-index": "build a unique index CONCURRENTLY, then ADD CONSTRAINT USING INDEX", "session-advisory-lock": "use pg_advisory_xact_lock", "alter-column-type-rewrite": "add a new column, copy, then swap",
+    "unindexed-foreign-key": "index the referencing columns first", "drop-column-lock": "set a lock_timeout and retry", "add-primary-key-missing-using-index": "build a unique index CONCURRENTLY, then ADD PRIMARY KEY USING INDEX",
+    "detach-partition-non-concurrent": "use DETACH PARTITION CONCURRENTLY", "reindex-missing-concurrently": "use REINDEX CONCURRENTLY", "enum-add-value-in-transaction": "commit the new value on its own first",
+    "maintenance-command-detected": "run it in a maintenance window", "identity-sequence-start-with": "start above the highest value in use", "attach-partition-missing-check": "add and validate a CHECK for the bounds first",
+    "partition-scan-lock": "add and validate a CHECK for the bounds first", "enum-recreate-table-rewrite": "add values to the type in place", "non-transactional-in-transaction": "run it on its own",
+    "lock-accumulation-mixed-ddl-dml": "split schema changes and row changes", "volatile-default": "add the column without it, then set the default and fill in batches", "non-concurrent-drop-index": "use DROP INDEX CONCURRENTLY",
+    "primary-key-using-index-nullable-column": "SET NOT NULL first, by a validated CHECK",
+}
+
+
+def remedied(found: DataFrame) -> DataFrame:
+    """Findings with a remedy; one that is there already stays."""
+    remedy = F.create_map(*(F.lit(x) for kv in REMEDIES.items() for x in kv))[F.col("rule_id")]
+    return found.withColumn("remedy", F.coalesce(F.col("remedy"), remedy) if "remedy" in found.columns else remedy)
+
+
 def findings(stmts: DataFrame) -> DataFrame:
     """All findings of all rules. The prepared statements are read by each rule, so they are persisted, to disk if need be."""
     p = prepared(stmts).persist(StorageLevel.MEMORY_AND_DISK)

@@ -654,3 +654,85 @@ def retryable_errors(spark, sf_dir):
     state = F.when(F.col("event_type") == "click", "55P03").when(F.col("event_type") == "view", "57014").otherwise("23505")
     message = F.when((F.col("event_type") == "error") & (F.col("user_id") % 2 == 0), "ERROR: Deadlock detected").otherwise("unique violation")
     return e.select("event_id", telemetry.retryable(state, message).alias("retry"))
+
+
+# Catalog snapshots
+
+
+@query("""SELECT n_name AS schema_name, 's' || s_suppkey AS table_name, 'c' || l_linenumber AS column_name, l_linenumber AS column_num, min(l_returnflag) AS data_type, count(*) % 2 = 0 AS is_not_null,
+  CASE WHEN l_linenumber = 3 THEN '0' END AS default_expr FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, s_suppkey, l_linenumber""")
+def catalog_columns(spark, sf_dir):
+    from schemaloom.sources import catalog
+
+    namespaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("oid"), F.col("n_name").alias("nspname"))
+    relations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("oid"), F.col("s_nationkey").alias("relnamespace"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("relname"), F.lit("r").alias("relkind"))
+    attributes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("attrelid"), F.col("l_linenumber").alias("attnum")).agg(F.min("l_returnflag").alias("atttype"), (F.count("*") % 2 == 0).alias("attnotnull"))
+    attributes = attributes.withColumns({"attname": F.concat(F.lit("c"), F.col("attnum").cast("string")), "attisdropped": F.lit(False)})
+    defaults = attributes.filter("attnum = 3").select(F.col("attrelid").alias("adrelid"), F.col("attnum").alias("adnum"), F.lit("0").alias("adbin"))
+    return catalog.columns(namespaces, relations, attributes, defaults)
+
+
+@query("""SELECT p_brand AS enum_name, array_to_string(list(p_type ORDER BY k, p_type), ',') AS labels FROM (SELECT p_brand, p_type, min(p_size) AS k FROM part GROUP BY 1, 2) GROUP BY 1""")
+def catalog_enums(spark, sf_dir):
+    from schemaloom.sources import catalog
+
+    p = table(spark, sf_dir, "part")
+    types = p.select(F.col("p_brand").alias("oid"), F.col("p_brand").alias("typname")).distinct()
+    labels = p.groupBy(F.col("p_brand").alias("enumtypid"), F.col("p_type").alias("enumlabel")).agg(F.min("p_size").cast("double").alias("enumsortorder"))
+    return catalog.enums(types, labels).select("enum_name", F.array_join("labels", ",").alias("labels"))
+
+
+@query("SELECT n_name AS tenant FROM nation WHERE n_name ILIKE 'nation_1%' AND NOT n_name ILIKE '%5'")
+def tenant_discovery(spark, sf_dir):
+    from schemaloom.sources import catalog
+
+    return catalog.tenants(table(spark, sf_dir, "nation").select(F.col("n_name").alias("nspname")), "Nation_1*", ("*5",))
+
+
+@query(f"WITH e AS ({feeds.WAIT_EDGES}), p AS (SELECT waiter AS pid FROM e UNION SELECT blocker FROM e) SELECT pid, (SELECT count(*) FROM e WHERE waiter = pid) AS waits, (SELECT count(*) FROM e WHERE blocker = pid) AS blocks FROM p")
+def wait_graph(spark, sf_dir):
+    from schemaloom.sources import catalog
+
+    e = feeds.wait_edges(spark, sf_dir)
+    activity = e.groupBy(F.col("waiter").alias("pid")).agg(F.collect_list("blocker").alias("blocking_pids"))
+    idle = e.select(F.col("blocker").alias("pid")).distinct().join(activity, "pid", "left_anti").select("pid", F.array().cast("array<bigint>").alias("blocking_pids"))
+    nodes, edges = catalog.wait_graph(activity.union(idle), e.groupBy(F.col("blocker").alias("pid")).agg(F.count("*").alias("blocks")))
+    waits = edges.groupBy(F.col("waiter").alias("pid")).agg(F.count("*").alias("waits"))
+    return nodes.join(waits, "pid", "left").select("pid", F.coalesce("waits", F.lit(0)).alias("waits"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+@query("""WITH g AS (SELECT tenant, count(*) AS n, count(*) FILTER (WHERE data_type = 'text') AS t FROM (SELECT DISTINCT c_custkey % 97 AS tenant, c_mktsegment || '_' || (c_nationkey % 2) AS name,
+  CASE WHEN c_nationkey % 2 = 0 THEN 'text' ELSE 'bigint' END AS data_type FROM customer) GROUP BY 1)
+SELECT tenant::VARCHAR AS tenant, t AS constraints, n - t AS columns FROM g""")
+def reconciliation_scripts(spark, sf_dir):
+    o = feeds.tenant_objects(spark, sf_dir)
+    kind = F.when(F.col("data_type") == "text", "constraint").otherwise("column")
+    rows = o.select("tenant", kind.alias("kind"), "table_name", F.col("column_name").alias("name"), F.col("data_type").alias("definition"))
+    s = drift.reconciliation(rows)
+    count = lambda word: (F.size(F.split("script", word)) - 1).cast("bigint")
+    return s.select("tenant", count("VALIDATE CONSTRAINT").alias("constraints"), count("ADD COLUMN").alias("columns"))
+
+
+@query("""SELECT o_orderkey, least(10000.0::DOUBLE, 100.0::DOUBLE * pow(2.0::DOUBLE, o_orderkey % 12)) AS ceiling, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey::VARCHAR ELSE '''' || o_orderstatus || '''''x''' END AS bound,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'public_v' || (o_orderkey % 7) ELSE 'x' || (o_orderkey % 7) END AS schema_name,
+  ['integer', 'character varying(20)', 'numeric(10,2)', 'timestamp with time zone', 'text[]'][o_orderkey % 5 + 1] AS type_name FROM orders""")
+def small_functions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    kinds = F.array(*(F.lit(x) for x in ("INT4", "varchar ( 20 )", "Decimal( 10 , 2 )", " timestamptz", "text[]")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", numbers.backoff_ceiling((k % 12).cast("double")).alias("ceiling"),
+        numbers.bound_value(F.when(k % 3 == 0, k.cast("string")).otherwise(F.concat("o_orderstatus", F.lit("'x")))).alias("bound"),
+        numbers.versioned_schema(F.concat(F.when(k % 2 == 0, "v").otherwise("x"), (k % 7).cast("string"))).alias("schema_name"),
+        numbers.type_name(F.element_at(kinds, (k % 5 + 1).cast("int"))).alias("type_name"),
+    )
+
+
+@query(f"WITH {LINT}, r AS (SELECT file, max(kind = 12) AS c, max(kind = 21) AS t, max(kind = 8) AS d FROM st GROUP BY 1) SELECT file, (c::INT + t::INT + d::INT)::BIGINT AS reasons FROM r")
+def high_risk_scripts(spark, sf_dir):
+    return feeds.scripts(spark, sf_dir).select("file", F.size(statements.high_risk(F.col("text"))).cast("bigint").alias("reasons"))
+
+
+@query(f"WITH {LINT} SELECT rule_id, count(*) AS n, true AS has_remedy FROM f GROUP BY 1")
+def remedies(spark, sf_dir):
+    found = lint.remedied(lint.findings(statements.statements(feeds.scripts(spark, sf_dir))))
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.min(F.col("remedy").isNotNull()).alias("has_remedy"))
