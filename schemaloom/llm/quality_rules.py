@@ -32,10 +32,10 @@ class Bands:
     """``whole``: (below so many UTF-8 bytes, least ratio, greatest ratio), the last one for all longer texts."""
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (100, 0.4, 2.2), (300, 0.9, 2.6), (1_000, 1.15, 2.8), (3_000, 1.35, 2.9),
-        (10_000, 1.45, 3.0), (40_000, 1.45, 3.3), (float("inf"), 1.45, 3.8),
+        (100, 0.4, 1.7), (300, 0.9, 2.1), (1_000, 1.15, 2.2), (3_000, 1.35, 2.3),
+        (10_000, 1.45, 2.45), (40_000, 1.45, 2.7), (float("inf"), 1.45, 3.0),
     )
-    chunk: tuple[float, float] = (1.3, 3.2)
+    chunk: tuple[float, float] = (1.3, 2.6)
     chunk_bytes: int = 2048
     chunk_share: float = 0.5
     min_bytes: int = 32

@@ -124,7 +124,7 @@ class SpCodec:
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.model.pieces])
-        self.units = UnitEncoder(lambda parts: [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        self.units = UnitEncoder(lambda parts: [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)], 600_000)
 
     def _marked(self, texts: pa.Array) -> pa.Array:
         if self.model.squeeze:
@@ -213,7 +213,7 @@ def encode(documents: DataFrame, params: SpParams = SpParams()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, _ = codec(params)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             ids = [x.astype(np.int32) for x in sp.encode(texts_of(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -241,7 +241,7 @@ def verify(documents: DataFrame, params: SpParams = SpParams()) -> DataFrame:
 
         sp, path = codec(params)
         other = sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             texts = texts_of(batch, "text")
             plain = texts.to_pylist()
             found = sp.encode(texts)
