@@ -204,13 +204,46 @@ def remedied(found: DataFrame) -> DataFrame:
     return found.withColumn("remedy", F.coalesce(F.col("remedy"), remedy) if "remedy" in found.columns else remedy)
 
 
-def findings(stmts: DataFrame) -> DataFrame:
-    """All findings of all rules. The prepared statements are read by each rule, so they are persisted, to disk if need be."""
+def findings(stmts: DataFrame, rules: set[str] | None = None) -> DataFrame:
+    """The findings of all rules, or of some. ``check-constraint-not-valid`` is a twin of ``check-constraint-missing-not-valid``
+    and speaks only where that one is left out. The prepared statements are read by each rule, so they are persisted, to disk if
+    need be."""
     p = prepared(stmts).persist(StorageLevel.MEMORY_AND_DISK)
     out = one_statement(p)
     for rule in (transactions, drop_add_pairs, lock_accumulation, attach_without_check, key_over_nullable, enum_recreated, type_rewrites):
         out = out.unionByName(rule(p))
-    return out
+    if rules is None:
+        return out
+    first, twin = "check-constraint-missing-not-valid", "check-constraint-not-valid"
+    if twin in rules and first not in rules:
+        out = out.withColumn("rule_id", F.when(F.col("rule_id") == first, twin).otherwise(F.col("rule_id")))
+    return out.filter(F.col("rule_id").isin(*rules))
+
+
+# Schemas from scripts
+
+
+def ddl_columns(stmts: DataFrame) -> DataFrame:
+    """(file, table_name, column_name, data_type, is_not_null, default_expr) that a script leaves behind: the last event of a column
+    wins, and a later DROP TABLE takes its columns. Names are upper-cased."""
+    p = prepared(stmts)
+    create = r"^CREATE TABLE (?:IF NOT EXISTS )?(\S+(?: \. \S+)?) \( (.*) \)"
+    part = r" , (?![^(]*\))"
+    made = p.filter(F.col("norm").rlike(create)).select("file", "stmt", F.regexp_extract("norm", create, 1).alias("table_name"), F.posexplode(F.split(F.regexp_extract("norm", create, 2), part)).alias("pos", "c"))
+    made = made.filter(~F.col("c").rlike("^(CONSTRAINT|PRIMARY|UNIQUE|CHECK|FOREIGN|EXCLUDE|LIKE)\\b")).withColumn("op", F.lit("add"))
+    clause = p.select("file", "stmt", F.col("target").alias("table_name"), F.posexplode("clauses").alias("pos", "c"))
+    added = clause.filter(F.col("c").rlike(_ADD)).withColumn("c", F.regexp_replace(F.regexp_replace("c", _ADD, ""), "^IF NOT EXISTS ", "")).withColumn("op", F.lit("add"))
+    dropped = clause.filter(F.col("c").rlike(r"^DROP (COLUMN )?(?!CONSTRAINT|NOT|DEFAULT)")).withColumn("c", F.regexp_replace("c", r"^DROP (COLUMN )?(IF EXISTS )?", "")).withColumn("op", F.lit("drop"))
+    column = r"^(\S+)(?: (.+?))??(?: (?:NOT NULL|NULL|DEFAULT|PRIMARY|UNIQUE|REFERENCES|CHECK|COLLATE|GENERATED|CASCADE|RESTRICT)\b.*)?$"
+    events = made.unionByName(added).unionByName(dropped).select(
+        "file", "table_name", "stmt", "pos", "op", F.regexp_extract("c", column, 1).alias("column_name"), F.regexp_extract("c", column, 2).alias("data_type"),
+        F.col("c").rlike(r"\b(NOT NULL|PRIMARY KEY)\b").alias("is_not_null"), F.nullif(F.regexp_extract("c", r"\bDEFAULT (\S+)", 1), F.lit("")).alias("default_expr"),
+    )
+    last = events.groupBy("file", "table_name", "column_name").agg(F.max_by(F.struct("stmt", "op", "data_type", "is_not_null", "default_expr"), F.struct("stmt", "pos")).alias("e"))
+    gone = p.filter(F.col("norm").rlike("^DROP TABLE")).select("file", "stmt", F.regexp_extract("norm", r"^DROP TABLE (?:IF EXISTS )?(\S+(?: \. \S+)?)", 1).alias("table_name"))
+    gone = gone.groupBy("file", "table_name").agg(F.max("stmt").alias("gone"))
+    kept = last.filter("e.op = 'add'").join(gone, ["file", "table_name"], "left").filter("gone IS NULL OR gone < e.stmt")
+    return kept.select("file", "table_name", "column_name", "e.data_type", "e.is_not_null", "e.default_expr")
 
 
 # Findings: overrides, waivers, counts

@@ -44,3 +44,12 @@ def attempts(events: DataFrame) -> DataFrame:
     """(run_id, statement, tries, retried, failed) from an executor's event log (run_id, statement, kind)."""
     n = lambda k: F.count_if(F.col("kind") == k)
     return events.groupBy("run_id", "statement").agg(n("start").alias("tries"), n("retry").alias("retried"), n("error").alias("failed"))
+
+
+def json_report(found: DataFrame) -> DataFrame:
+    """(file, report): per file one JSON object of counts and its findings in order of line."""
+    n = lambda s: F.count_if(F.col("severity") == s)
+    one = F.struct("line", "stmt", "rule_id", "severity", "lock_level", "snippet")
+    return found.groupBy("file").agg(n("BLOCKER").alias("blockers"), n("WARNING").alias("warnings"), F.sort_array(F.collect_list(one)).alias("findings")).select(
+        "file", F.to_json(F.struct("file", "blockers", "warnings", "findings")).alias("report")
+    )

@@ -131,7 +131,7 @@ def hypothetical_index(spark, sf_dir):
         plan(F.col("p_retailprice") * F.col("p_size") / 25.0, F.when(F.col("p_size") % 6 == 0, "other").otherwise("ix_new")).alias("after"),
     )
     cost = lambda c: F.get_json_object(c, "$[0].Plan['Total Cost']").cast("double")
-    used = F.get_json_object("after", "$[0].Plan.Plans[0]['Index Name']") == "ix_new"
+    used = telemetry.plan_uses(F.col("after"), "ix_new")
     p = p.select("plan_id", telemetry.cost_delta(cost("before"), cost("after")).alias("delta"), used.alias("used"))
     return p.select("plan_id", "delta", telemetry.cost_advice(F.col("used"), F.col("delta")).alias("advice"))
 
@@ -736,3 +736,12 @@ def high_risk_scripts(spark, sf_dir):
 def remedies(spark, sf_dir):
     found = lint.remedied(lint.findings(statements.statements(feeds.scripts(spark, sf_dir))))
     return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.min(F.col("remedy").isNotNull()).alias("has_remedy"))
+
+
+@query(f"""WITH st AS ({feeds.STATEMENTS}), e AS (SELECT file, stmt, CASE kind WHEN 25 THEN t || '_new' ELSE t::VARCHAR END AS t, CASE kind WHEN 25 THEN 'id' WHEN 17 THEN 'u' || c ELSE 'c' || c END AS col,
+  kind <> 12 AS adds, kind IN (2, 3) AS nn FROM st WHERE kind IN (2, 3, 12, 17, 25)),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY file, t, col ORDER BY stmt DESC) = 1)
+SELECT file, count(*) AS columns, count(*) FILTER (WHERE nn) AS not_null FROM l WHERE adds GROUP BY 1""")
+def ddl_columns(spark, sf_dir):
+    c = lint.ddl_columns(statements.statements(feeds.scripts(spark, sf_dir)))
+    return c.groupBy("file").agg(F.count("*").alias("columns"), F.count_if("is_not_null").alias("not_null"))

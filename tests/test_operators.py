@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import masking, numbers, telemetry
 from schemaloom.operators import drift, indexes, ledger, lint, locks, partitions, readiness, reports, statements
-from schemaloom.sources import backups, scripts
+from schemaloom.sources import backups, catalog, config, logs, scripts
 from schemaloom.streaming import locks as streams
 
 
@@ -120,9 +120,59 @@ def test_scripts_from_folders(spark, tmp_path):
     assert {(r.name, r.layout) for r in rows.collect()} == {("20240101_a", "flat"), ("x", "folders")}
 
 
+def test_columns_that_scripts_leave(spark):
+    text = "CREATE TABLE t (id bigint PRIMARY KEY, a numeric(10, 2) DEFAULT 0, CONSTRAINT c CHECK (a > 0)); ALTER TABLE t ADD COLUMN b text NOT NULL, DROP COLUMN a; CREATE TABLE u (x int); DROP TABLE u; ALTER TABLE t ADD IF NOT EXISTS a int"
+    got = {tuple(r)[1:] for r in lint.ddl_columns(stmts(spark, text)).collect()}
+    assert got == {("T", "ID", "BIGINT", True, None), ("T", "B", "TEXT", True, None), ("T", "A", "INT", False, None)}
+
+
+def test_rule_selection_and_twins(spark):
+    s = stmts(spark, "ALTER TABLE t ADD CHECK (a > 0); CREATE INDEX i ON t (a); ALTER TYPE e ADD VALUE 'x'; INSERT INTO t VALUES ('x')")
+    ids = lambda rules: sorted(r.rule_id for r in lint.findings(s, rules).collect())
+    assert ids({"check-constraint-not-valid"}) == ["check-constraint-not-valid"]
+    assert ids({"check-constraint-not-valid", "check-constraint-missing-not-valid"}) == ["check-constraint-missing-not-valid"]
+    assert ids({"enum-add-value-in-transaction"}) == ["enum-add-value-in-transaction"]
+
+
+def test_reports_and_logs(spark, tmp_path):
+    import json
+
+    s = lint.findings(stmts(spark, "DROP INDEX i;\nCREATE INDEX i ON t (a)"))
+    report = json.loads(reports.json_report(s).first().report)
+    assert (report["blockers"], [f["line"] for f in report["findings"]]) == (2, [1, 2])
+    assert [r["level"] for r in json.loads(reports.sarif(s).first().results)] == ["error", "error"]
+    assert one(spark, reports.annotation(lit("a%\r\nb"))) == ("a%25%0D%0Ab",)
+    for i in range(3):
+        logs.append(spark.createDataFrame([(dt.datetime(2024, 1, 1 + i), "run" if i else "stop", "{}")], "at timestamp, kind string, details string"), f"{tmp_path}/log")
+    assert [r.at.day for r in logs.newest(spark, f"{tmp_path}/log", n=2).collect()] == [3, 2]
+    assert logs.newest(spark, f"{tmp_path}/log", "stop").count() == 1
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"rules": {"unbatched-dml": "off"}, "ignore": ["x/**"], "other": 1}')
+    assert config.read_config(spark, str(tmp_path / "c.json")) == {"rules": {"unbatched-dml": "off"}, "ignore": ("x/**",), "pg_version": 16}
+
+
+def test_catalog(spark):
+    names = spark.createDataFrame([("Tenant_a",), ("tenant_b",), ("public",), ("pg_catalog",)], "nspname string")
+    assert sorted(r.tenant for r in catalog.tenants(names, "tenant*", ("*_B",)).collect()) == ["Tenant_a"]
+    n = spark.createDataFrame([(1, "s")], "oid int, nspname string")
+    r = spark.createDataFrame([(7, 1, "t", "r")], "oid int, relnamespace int, relname string, relkind string")
+    a = spark.createDataFrame([(7, 1, "x"), (7, 2, "y")], "attrelid int, attnum int, attname string")
+    i = spark.createDataFrame([(7, 70, [2, 1])], "indrelid int, indexrelid int, indkey array<int>")
+    assert [r.key_columns for r in catalog.index_columns(n, r, i, a).collect()] == [["y", "x"]]
+
+
 # Functions
 
 
+def test_small_texts(spark):
+    assert one(spark, numbers.merged_json(lit('{"a":"1","b":"2"}'), lit('{"b":"3"}')), numbers.merged_json(lit(None).cast("string"), lit("{}"))) == ('{"a":"1","b":"3"}', "{}")
+    assert one(spark, *(numbers.type_name(lit(x)) for x in ("VARCHAR( 5 )", "int8", "text []"))) == ("character varying(5)", "bigint", "text []")
+    lo, hi = spark.range(1000).select(numbers.jittered(F.col("id").cast("double"), 1).alias("j")).agg(F.min("j"), F.max("j")).first()
+    assert 100 <= lo <= hi <= 10_000
+
+
 def test_log_positions(spark):
     lsn = lambda t: numbers.parse_lsn(lit(t))
     a, b, c, d = one(spark, lsn("16/B374D848"), lsn("FFFFFFFF/FFFFFFFF"), lsn("nonsense"), numbers.format_lsn(lsn("16/B374D848")))
