@@ -13,18 +13,28 @@ import pyarrow as pa
 
 
 class UnitEncoder:
-    """Keeps the ids of at most ``limit`` units; ``encode`` gives little-endian 32-bit ids for a list of units."""
+    """Keeps the ids of at most about ``limit`` units; ``encode`` gives little-endian 32-bit ids for a list of units.
+
+    Units are kept in a young and an old generation; those met again move to the young one, and when that is half
+    of the limit it becomes the old one, so frequent units stay.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.limit, self.known, self.old = encode, limit, {}, {}
 
     def ids(self, codes: np.ndarray, offsets: np.ndarray, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text) for texts given as unit codes."""
         names = units.to_pylist()
-        if len(self.known) + len(names) > self.limit:
-            self.known = {}
-        known = self.known
-        new = [x for x in names if x not in known]
+        if len(self.known) > self.limit // 2:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = []
+        for x in names:
+            if x not in known:
+                if x in old:
+                    known[x] = old[x]
+                else:
+                    new.append(x)
         known.update(zip(new, self.encode(new) if new else ()))
         blobs = [known[x] for x in names]
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
