@@ -3,8 +3,8 @@
 The transducer rewrites homoglyphs, zero-width characters, letters that stand for digits between digits, spelled digits,
 character references and at/dot disguises, and keeps
 for each character of the rewritten text the span it came from; the same patterns then run over the
-rewritten text and their matches are mapped back. Only matches that touch a rewritten place are added, so
-base spans stay as they are. One pass over the documents, no shuffle.
+rewritten text and their matches are mapped back. Only matches that touch a rewritten place are added, and numbers
+that run on into other digits, so base spans stay as they are. One pass over the documents, no shuffle.
 
 Edge cases: null and empty texts have no spans; digit runs of any length and texts without blanks take
 linear time; overlapping spans of one kind are not added twice; repeated rows are treated one by one;
@@ -172,10 +172,42 @@ def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     return found
 
 
+_RUN_CARD = re.compile(r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
+_DIGITS = re.compile(r"[0-9]+")
+
+
+def run_on_spans(text: str, base: list[Span]) -> list[Span]:
+    """Card and phone numbers inside matches that were too long: a card number set off by separators, a phone number up to
+    the last group of digits that leaves it valid."""
+    found: list[Span] = []
+    taken = [(a, b) for _, a, b in base]
+
+    def free(a: int, b: int) -> bool:
+        return all(b <= x or a >= y for x, y in taken)
+
+    for m in _CARD.finditer(text):
+        if len(m[0]) > 19 and free(*m.span()):
+            for x in _RUN_CARD.finditer(text, m.start(), m.end()):
+                if luhn(x[0].replace(" ", "").replace("-", "")):
+                    found.append(("card", *x.span()))
+    for m in _PHONE.finditer(text):
+        if free(*m.span()):
+            digits, end = 0, 0
+            for x in _DIGITS.finditer(text, m.start(), m.end()):
+                digits += len(x[0])
+                if 8 <= digits <= 15:
+                    end = x.end()
+            if end:
+                found.append(("phone", m.start(), end))
+    return found
+
+
 def all_spans(text: str, triggered: bool) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), both by kind and start."""
     base = base_spans(text)
-    added = disguised_spans(text, base) if triggered else []
+    added = run_on_spans(text, base)
+    if triggered:
+        added += disguised_spans(text, base + added)
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 

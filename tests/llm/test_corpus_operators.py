@@ -271,6 +271,9 @@ def test_base_spans_equal_the_patterns(rows):
         ("joe&#64;example.com", "email", "joe&#64;example.com"),
         ("host 192[.]168[.]1[.]7", "ip", "192[.]168[.]1[.]7"),
         ("pay 4465 7583 8288 9437 or 4465758382B894 4465-7583-8288-9437", "card", "4465 7583 8288 9437"),
+        ("4465758382889437 4465758382889437", "card", "4465758382889437"),
+        ("call +1 (743) 555-3824 4465758382889437 now", "phone", "+1 (743) 555-3824"),
+        ("call +1 (743) 555-3824 4465758382889437 now", "card", "4465758382889437"),
         ("pay 1O00-0000-0000-00O8 x", "card", "1O00-0000-0000-00O8"),
     ],
 )
