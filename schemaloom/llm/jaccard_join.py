@@ -4,7 +4,8 @@ Each document's shingle set gets a 128-bit digest and, for each tree of the fore
 that are equal are one class. The forest matches label prefixes; the prefix is shortened from ``label`` until
 the chance to match a pair at the threshold in some tree reaches ``recall``. Classes that share a prefix are
 joined to groups by connected components, over identifiers alone. Within a group every pair is verified by
-its exact sets, in tasks of one block or two blocks of at most about ``block`` classes, so a large group is spread
+its exact sets, in tasks of one block or two blocks of about ``block`` classes or ``block_shingles``
+shingles at most, so a large group is spread
 over many tasks and no pair is written: a task returns, for each class, how many documents it links to and the
 smallest class it reaches.
 
@@ -37,6 +38,7 @@ class ForestParams:
     label: int = 12
     recall: float = 0.995
     block: int = 256
+    block_shingles: int = 1 << 19
 
     @property
     def prefix(self) -> int:
@@ -109,10 +111,11 @@ def sign(documents: DataFrame, p: ForestParams) -> DataFrame:
             shingles, offsets = shingle_sets(texts_of(batch, "text"), p.width)
             keys = prefixes(shingles, offsets, p).astype(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, p.trees, dtype=np.int32), keys.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests(shingles, offsets), pa.binary()), lists], ["doc_id", "digest", "keys"])
+            size = pa.array(np.diff(offsets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests(shingles, offsets), pa.binary()), size, lists], ["doc_id", "digest", "n", "keys"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, keys array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, n long, keys array<long>")
 
 
 def with_digest(documents: DataFrame, p: ForestParams) -> DataFrame:
@@ -231,14 +234,16 @@ def near_duplicates(documents: DataFrame, p: ForestParams = ForestParams()) -> t
     signed, _ = written(sign(documents, p), "signed")
     classes = table(
         signed.filter(F.col("digest").isNotNull()).groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes"
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes"
     )
     entries = classes.select("digest", F.explode("keys").alias("key"))
     firsts = table(entries.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "tries")
     groups = table(connected_components(entries.join(firsts, "key").select(F.col("digest").alias("a"), "b")), "groups")
-    sizes = table(groups.groupBy("root").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
+    grouped = table(groups.withColumnRenamed("node", "digest").join(classes.select("digest", "doc_id", "copies", "n"), "digest"), "grouped")
+    blocks = F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_shingles)).cast("int")
+    sizes = table(grouped.groupBy("root").agg(blocks.alias("blocks")), "sizes")
     members = table(
-        groups.join(sizes, "root").withColumnRenamed("node", "digest").join(classes.select("digest", "doc_id", "copies"), "digest")
+        grouped.join(sizes, "root")
         .select(_id(F.col("doc_id")).alias("id"), "root", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("own"), "digest", "copies"), "members"
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
