@@ -6,7 +6,8 @@ Spark aggregation. L1 leaves only some thousands of weights, which are broadcast
 Scoring is one pass over the documents without any shuffle.
 
 Edge cases: a null or empty text gets the score of the bias alone; a null doc_id counts as the empty
-string for the fold; several label rows of one doc_id count as toxic if any is; no labels at all
+string for the fold; several label rows of one doc_id count as toxic if any is; of several
+texts of one labelled doc_id the least is learned from; no labels at all
 give the score 0 for each row; other columns are neither read nor needed.
 """
 
@@ -112,6 +113,7 @@ def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlPara
     rows = (
         documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(sample), "doc_id")  # sample_rows rows at most
+        .groupBy("doc_id", "at", "y").agg(F.min("text").alias("text"))  # an id may be repeated very often
         .withColumn("shard", F.pmod("at", F.lit(params.shards)).cast("int"))
         .repartition(params.shards, "shard").sortWithinPartitions("shard", "at", "doc_id", "text")
         .select("shard", "text", "y")

@@ -383,6 +383,7 @@ def test_main_text_of_layouts(spark):
         "<div class=comments><p>I think that this is a very nice and long comment</p></div></article><footer>&copy; all of it</footer></body></html>": "Head&line First bold text <x> 1 < 2. Next One.",
         "<body><div id='sidebar'><p>" + "many words " * 40 + "</p></div><p>" + "plain story text goes on " * 10 + "</p><form>Your name please</form>": ("plain story text goes on " * 10).strip(),
         "<article><p>kept</p></article><!-- <p>no": "kept",
+        "<article><p aria-hidden=true data-id='ad'>kept too</p><div hidden>not</div><p style='display: none'>nor this</p></article>": "kept too",
         "": "",
         "<nav>only a menu": "",
     }
