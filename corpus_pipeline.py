@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm import jaccard_join, packing, pii, quality_rules, toxicity
+from schemaloom.llm.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,6 +51,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))  # else a later stage would run those before it again for each of its reads
+    return STAGES[-1][1](spark, docs, sf_dir)
