@@ -32,10 +32,12 @@ from schemaloom.llm.text import odd_numbers
 @dataclass(frozen=True)
 class LatticeParams:
     """``same`` and ``near``: chance that a block of a pair at the threshold decodes to one point, or to one with
-    a probe; ``alike``: the same for random pairs, as measured for ``scale``. ``block``: vectors of a task's block."""
+    a probe; ``alike``: the same for random pairs, as measured for ``scale``. A Gaussian projection of a unit vector
+    has the same spread in every dimension, so the first two hold for vectors of any length; ``alike`` is greater for
+    short vectors, whose cells are larger. ``block``: vectors of a task's block."""
 
     threshold: float = 0.95
-    scale: float = 0.25
+    scale: float = 2.0
     recall: float = 0.99
     same: float = 0.44
     near: float = 0.64
@@ -84,7 +86,7 @@ def cells(unit: np.ndarray, tables: int, blocks: int, scale: float) -> tuple[np.
         for t in range(tables):
             near, other = [], []
             for _ in range(blocks):
-                w = rng.normal(size=(dim, 8)) / (math.sqrt(dim) * scale)
+                w = rng.normal(size=(dim, 8)) / scale
                 a, b = decode_e8(unit @ w)
                 near.append(key(a))
                 other.append(key(b))

@@ -417,6 +417,42 @@ def test_near_vectors_equal_brute_force(spark):
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def isolated_pairs(rng, dim, n):
+    """2n unit vectors: n of random directions, and for each of them one at cosine 0.95 to 0.96."""
+    a, r = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    r -= (r * a).sum(axis=1)[:, None] * a
+    r /= np.linalg.norm(r, axis=1)[:, None]
+    c = rng.uniform(0.9501, 0.96, n)[:, None]
+    return a, c * a + np.sqrt(1 - c * c) * r
+
+
+@pytest.mark.parametrize("dim", [8, 32, 64, 768])
+@pytest.mark.parametrize("n", [20_000, 1_000_000])
+def test_cells_find_isolated_pairs_in_every_dimension(dim, n):
+    p = lattice.LatticeParams()
+    a, b = isolated_pairs(np.random.default_rng(dim), dim, 500)
+    (own_a, probes_a), (own_b, probes_b) = (lattice.cells(x, p.tables(n), p.blocks(n), p.scale) for x in (a, b))
+    meets = lambda x, y: (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+    assert (meets(own_a, np.hstack([own_b, probes_b])) | meets(probes_a, own_b)).mean() >= 0.98
+    if dim >= 64:  # strangers rarely share a cell of a table, so cells stay small
+        assert (own_a == np.roll(own_a, 1, axis=0)).mean() < 0.01
+
+
+def test_isolated_near_vectors_equal_brute_force_in_every_dimension(spark):
+    rng = np.random.default_rng(5)
+    data, want = [], {}
+    for dim in (8, 32, 64, 768):
+        x = np.concatenate(isolated_pairs(rng, dim, 500 if dim < 768 else 250))
+        links = (x @ x.T >= 0.95).sum(axis=1) - 1
+        want[dim] = {len(data) + i: int(k) for i, k in enumerate(links)}
+        data += [(len(data) + i, v) for i, v in enumerate(x.tolist())]
+    got = {r.vec_id: r.n_links for r in lattice.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    for dim, links in want.items():
+        assert all(got[i] <= k for i, k in links.items())
+        assert sum(got[i] for i in links) >= 0.97 * sum(links.values()), dim
+
+
 def test_e8_points_are_lattice_points_and_nearest():
     x = np.random.default_rng(0).normal(size=(500, 8)) * 2
     near, other = lattice.decode_e8(x)
