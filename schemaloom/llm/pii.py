@@ -7,7 +7,8 @@ rewritten text and their matches are mapped back. Only matches that touch a rewr
 that run on into other digits, so base spans stay as they are. One pass over the documents, no shuffle.
 
 Edge cases: null and empty texts have no spans; digit runs of any length and texts without blanks take
-linear time; overlapping spans of one kind are not added twice; repeated rows are treated one by one;
+linear time; overlapping spans of one kind are not added twice; repeated rows are treated one by one; a plain "at"
+makes an address only after "mail:" or "<", with another disguise, or as "_at_";
 ``mask`` passes other columns through.
 """
 
@@ -99,21 +100,45 @@ _WORD = "|".join(_SPELLED)
 _GLYPHS = re.escape("".join(sorted({*_LOOKALIKE, *_UNSEEN})))
 _CODES = "|".join(map(re.escape, _WRITTEN))
 _MARK = r"at|dot|@|\."
-#: Texts that can hold a disguise at all; RE2 looks for it over the whole batch.
-_TRIGGER = (
-    rf"[{_GLYPHS}]|(?i:[(\[{{<]\s*(?:{_MARK})\s*[)\]}}>]|[\s_-]dot[\s_-]|{_CODES}|\b(?:{_WORD})\b[\s.-]+(?:{_WORD})\b[\s.-]+(?:{_WORD}|dot)\b)"
-    r"|[0-9][ .-]?[OoIl][ .-]?[0-9]"
-)
+_GAP = r"(?:[\s]*[,‐‑‒–—−-][\s]*|[\s]+)"  # between spelled digits
+_RUN = r"(?<![\t-\r ])\s++"  # blanks from their first one on, so long runs of them take linear time
+_HARD = rf"[(\[{{<][\s]*(?:{_MARK})[\s]*[)\]}}>]"
 _REWRITE = re.compile(
-    rf"(?P<glyph>[{_GLYPHS}])|(?P<code>{_CODES})|(?P<hard>\s*[(\[{{<]\s*(?P<what>{_MARK})\s*[)\]}}>]\s*)|(?P<soft>(?:\s+|[_-])(?P<which>at|dot)(?:\s+|[_-]))"
-    rf"|(?P<run>\b(?:plus\s+)?(?:{_WORD})(?:(?:[ -]|\s+dot\s+)(?:{_WORD}))+\b)|(?P<round>(?<=[0-9])[OoIl](?=[0-9 .-])|(?<=[0-9][ .-])[OoIl](?=[0-9]))",
+    rf"(?P<glyph>[{_GLYPHS}])|(?P<code>{_CODES})|(?P<hard>(?:{_RUN})?(?P<what>{_HARD})\s*)|(?P<soft>(?:{_RUN}|[_-])(?P<which>at|dot)(?:\s+|[_-]))"
+    rf"|(?P<run>(?P<after>(?<=[0-9]){_GAP})?\b(?:plus\s+)?(?:{_WORD})(?:(?:{_GAP}|\s+dot\s+)(?:{_WORD}))*\b(?P<before>{_GAP}(?=[0-9]))?)"
+    r"|(?P<mixed>(?-i:(?<![A-Za-z0-9])[0-9OoIl]+(?:[ .-][0-9OoIl]+)*(?![A-Za-z0-9])))"
+    r"|(?P<round>(?<=[0-9])[OoIl](?=[0-9 .-])|(?<=[0-9][ .-])[OoIl](?=[0-9]))",
     re.IGNORECASE,
 )
-_PIECE = re.compile(rf"(?P<digit>{_WORD})|(?P<dot>\s+dot\s+)|(?P<plus>plus\s+)|(?P<gap>[ -])", re.IGNORECASE)
-
-
-def rewrite(text: str) -> tuple[str, list[int], list[int], list[str]]:
-    """The normalised text; for each of its characters the source span; '' or what was rewritten there."""
+_PIECE = re.compile(rf"(?P<digit>{_WORD})|(?P<dot>\s+dot\s+)|(?P<plus>plus\s+)|(?P<gap>{_GAP})", re.IGNORECASE)
+_GROUP = re.compile(r"[0-9OoIl]+")
+#: Texts that can hold a disguise at all: what starts each rule of _REWRITE, without lookbehind, since RE2 looks for it over
+#: the whole batch. A plain at needs a dotted domain behind it, or a second disguise, which is found by its own rule.
+_TRIGGER = (
+    rf"[{_GLYPHS}]|(?i:{_CODES}|{_HARD}|[\s_-]dot[\s_-]|[\s_-]at(?:[\s]+|[_-])[a-z0-9-]+\.[a-z0-9-]"
+    rf"|\b(?:{_WORD})(?:{_GAP}|[\s]+dot[\s]+)(?:{_WORD})\b|[0-9]{_GAP}(?:{_WORD})\b|\b(?:{_WORD}){_GAP}[0-9]|\bdot[\s]+(?:{_WORD})\b)"
+    r"|[0-9][ .-]?[OoIl]+(?:[^A-Za-z]|$)|(?:^|[^A-Za-z])[OoIl]+[ .-]?[0-9]|[0-9][OoIl]+[0-9]"
+).replace(r"\s", r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")  # blanks as Python has them
+#: Before or around an address whose only disguise is a plain at.
+_CUE = re.compile(r"(?:\b(?:e-?mail|mail|mailto|e-?post|correo|courriel)\s{0,3}[:=]\s{0,3}|<)$", re.IGNORECASE)
+
+
+def _letters_for_digits(run: str, bold: bool) -> set[int]:
+    """Where a run of digits and of letters that look like them holds letters for digits. A group of letters alone that
+    a blank sets off can be a word ("I"), so it counts only for ``bold``."""
+    if sum(c.isdigit() for c in run) < 2:
+        return set()
+    out: set[int] = set()
+    for g in _GROUP.finditer(run):
+        alone = g[0].isalpha() and " " in run[max(0, g.start() - 1) : g.start()] + run[g.end() : g.end() + 1]
+        if bold or not alone:
+            out |= {i for i in range(*g.span()) if run[i].isalpha()}
+    return out
+
+
+def rewrite(text: str, bold: bool = False) -> tuple[str, list[int], list[int], list[str]]:
+    """The normalised text; for each of its characters the source span; '' or what was rewritten there.
+    ``bold`` also reads what can be a plain word as a digit: a single spelled one beside digits, letters set off by blanks."""
     out: list[str] = []
     start: list[int] = []
     end: list[int] = []
@@ -145,30 +170,56 @@ def rewrite(text: str) -> tuple[str, list[int], list[int], list[str]]:
             put(_WRITTEN[m[0].lower()], m.start(), m.end(), "hard")
         elif m["round"]:
             put("0" if m[0] in "Oo" else "1", m.start(), m.end(), "digit")
+        elif m["mixed"]:
+            at, a = _letters_for_digits(m[0], bold), m.start()
+            for i in sorted(at):
+                copy(a, m.start() + i)
+                a = m.start() + i + 1
+                put("0" if text[a - 1] in "Oo" else "1", a - 1, a, "digit")
+                gone = False
+            copy(a, m.end())
+            gone = False
         elif m["hard"]:
-            put("@" if m["what"].lower() in ("at", "@") else ".", m.start(), m.end(), "hard")
+            put("@" if "at" in m["what"].lower() or "@" in m["what"] else ".", m.start(), m.end(), "hard")
         elif m["soft"]:
-            put("@" if m["which"].lower() == "at" else ".", m.start(), m.end(), "soft" + m["which"].lower())
+            kind = "hard" if m[0][0] == m[0][-1] == "_" else "soft" + m["which"].lower()
+            put("@" if m["which"].lower() == "at" else ".", m.start(), m.end(), kind)
         else:
-            for x in _PIECE.finditer(text, m.start(), m.end()):
-                put(_SPELLED[x[0].lower()] if x["digit"] else "." if x["dot"] else "+" if x["plus"] else "", x.start(), x.end(), "digit")
+            pieces = list(_PIECE.finditer(text, m.end("after") if m["after"] else m.start(), m.start("before") if m["before"] else m.end()))
+            beside = m["after"] or m["before"] or text[max(0, m.start() - 4) : m.start()].lower().strip() == "dot"
+            if sum(x["digit"] is not None for x in pieces) < 2 and not (bold and beside):
+                copy(m.start(), m.end())
+                gone = False
+                continue
+            if m["after"]:
+                put(" ", m.start(), m.end("after"), "digit")
+            for x in pieces:
+                put(_SPELLED[x[0].casefold()] if x["digit"] else "." if x["dot"] else "+" if x["plus"] else "", x.start(), x.end(), "digit")
+            if m["before"]:
+                put(" ", m.start("before"), m.end(), "digit")
     copy(done, len(text))
     return "".join(out), start, end, how
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that show only in the rewritten text, as spans of the source text."""
-    plain, start, end, how = rewrite(text)
     taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     found = []
-    for kind in KINDS:
-        for a, b in _FIND[kind](plain):
-            used = {*how[a:b]} - {""}
-            if not used or kind == "email" and used <= {"softat"} or kind != "email" and used & {"softat"}:
-                continue  # nothing rewritten, or a plain "at" without any other sign of a disguise
-            s, e = start[a], end[b - 1]
-            if all(e <= x or s >= y for x, y in taken[kind]):
-                found.append((kind, s, e))
+    seen = None
+    for bold in (False, True):
+        plain, start, end, how = rewrite(text, bold)
+        if plain == seen:
+            break
+        seen = plain
+        for kind in KINDS:
+            for a, b in _FIND[kind](plain):
+                used = {*how[a:b]} - {""}
+                s, e = start[a], end[b - 1]
+                if not used or kind == "email" and used <= {"softat"} and not _CUE.search(text, max(0, s - 20), s) or kind != "email" and used & {"softat"}:
+                    continue  # nothing rewritten, or a plain "at" without any other sign of an address
+                if all(e <= x or s >= y for x, y in taken[kind]):
+                    found.append((kind, s, e))
+                    taken[kind].append((s, e))
     return found
 
 

@@ -282,6 +282,35 @@ def test_disguises_map_back_to_the_source(source, kind, span):
     assert any(k == kind and source[a:b] == span for k, a, b in every), every
 
 
+@pytest.mark.parametrize(
+    ("source", "kind", "span"),
+    [
+        ("see joe_at_example.com now", "email", "joe_at_example.com"),
+        ("mail: joe at example.com", "email", "joe at example.com"),
+        ("Joe <joe at example.com>", "email", "joe at example.com"),
+        ("card 4465 7583 8288 94 three seven", "card", "4465 7583 8288 94 three seven"),
+        ("card 4465 7583 8288 943 seven", "card", "4465 7583 8288 943 seven"),
+        ("card 4465 7583 8288 94  three\nseven x", "card", "4465 7583 8288 94  three\nseven"),
+        ("four four six five, 7583 8288 9437", "card", "four four six five, 7583 8288 9437"),
+        ("pay 1OO0-0000-0000-0008 x", "card", "1OO0-0000-0000-0008"),
+        ("pay 1000 OOOO 0000 0008 x", "card", "1000 OOOO 0000 0008"),
+        ("host 192.168.0.I here", "ip", "192.168.0.I"),
+        ("host I92.l68.0.1 here", "ip", "I92.l68.0.1"),
+        ("ip one  nine\ntwo dot one six eight dot one dot seven", "ip", "one  nine\ntwo dot one six eight dot one dot seven"),
+        ("plus one, seven, four, three, five, five, five, three, eight, two, four.", "phone", "plus one, seven, four, three, five, five, five, three, eight, two, four"),
+        ("\uff14465 7583 8288 9437 I said", "card", "\uff14465 7583 8288 9437"),
+    ],
+)
+def test_disguises_that_pass_the_trigger_are_rewritten(source, kind, span):
+    (_, _, every), = pii.spans_by_text(pa.array([source], pa.large_string()))
+    assert [source[a:b] for k, a, b in every if k == kind] == [span], every
+
+
+def test_words_beside_digits_and_a_plain_at_are_left_alone():
+    texts = ["look at example.com, it is 20 I think", "in 2019 I saw 3 or 4, one of 12", "we mail it at example.com", "\u017fix one two", "1 I " * 50, "one two " * 6]
+    assert all(not every for _, _, every in pii.spans_by_text(pa.array(texts, pa.large_string())))
+
+
 def test_plain_words_are_left_alone():
     texts = ["look at example.com", "we met at noon", "one two three, and a dot here", "à 5 % — «voilà»", prose(3, 400)]
     assert all(not every for _, _, every in pii.spans_by_text(pa.array(texts, pa.large_string())))
