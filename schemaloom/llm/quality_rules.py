@@ -29,15 +29,18 @@ _ODD = odd_numbers(9, seed=6)
 
 @dataclass(frozen=True)
 class Bands:
-    """``whole``: (below so many UTF-8 bytes, least ratio, greatest ratio), the last one for all longer texts."""
+    """``whole``: (below so many UTF-8 bytes, least ratio, greatest ratio), the last one for all longer texts; the least is
+    just below the lowest of clean text of that length. ``chunk``: the same for a whole chunk; a last partial chunk has the
+    least ratio of its own length. ``chunk_share``: the greatest share of a text's bytes in chunks outside."""
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (100, 0.4, 1.7), (300, 0.9, 2.1), (1_000, 1.15, 2.2), (3_000, 1.35, 2.3),
-        (10_000, 1.45, 2.45), (40_000, 1.45, 2.7), (float("inf"), 1.45, 3.0),
+        (100, 0.4, 1.7), (200, 1.0, 2.1), (300, 1.15, 2.1), (500, 1.25, 2.2), (700, 1.36, 2.2), (1_000, 1.47, 2.2),
+        (1_500, 1.58, 2.3), (2_000, 1.72, 2.3), (2_500, 1.78, 2.3), (3_000, 1.86, 2.3), (3_500, 1.9, 2.45),
+        (5_000, 1.91, 2.45), (6_500, 2.02, 2.45), (10_000, 2.08, 2.45), (14_000, 2.16, 2.7), (20_000, 2.2, 2.7), (40_000, 2.27, 2.7), (float("inf"), 2.3, 3.0),
     )
-    chunk: tuple[float, float] = (1.3, 2.6)
+    chunk: tuple[float, float] = (1.76, 2.6)
     chunk_bytes: int = 2048
-    chunk_share: float = 0.5
+    chunk_share: float = 0.2
     min_bytes: int = 32
     level: int = 3
 
@@ -86,14 +89,23 @@ def within_bands(text: str, bands: Bands, compress) -> bool:
     raw = text.encode("utf-8", "surrogatepass")
     if len(raw) < bands.min_bytes:
         return True
-    ratio = len(raw) / len(compress(raw))
-    least, greatest = next((a, b) for below, a, b in bands.whole if len(raw) < below)
-    if not least <= ratio <= greatest:
+
+    def band(n: int) -> tuple[float, float]:
+        return next((a, b) for below, a, b in bands.whole if n < below)
+
+    least, greatest = band(len(raw))
+    if not least <= len(raw) / len(compress(raw)) <= greatest:
         return False
     size = bands.chunk_bytes
-    chunks = [raw[i : i + size] for i in range(0, len(raw) - size // 2, size)] if len(raw) >= size else []
-    outside = sum(not bands.chunk[0] <= len(c) / len(compress(c)) <= bands.chunk[1] for c in chunks)
-    return outside <= bands.chunk_share * len(chunks)
+    outside = 0
+    for i in range(0, len(raw), size) if len(raw) > size else ():
+        c = raw[i : i + size]
+        if len(c) < bands.min_bytes:
+            continue
+        least, greatest = bands.chunk if len(c) == size else (band(len(c))[0], bands.chunk[1])
+        if not least <= len(c) / len(compress(c)) <= greatest:
+            outside += len(c)
+    return outside <= bands.chunk_share * len(raw)
 
 
 def judge(documents: DataFrame, bands: Bands = Bands()) -> DataFrame:

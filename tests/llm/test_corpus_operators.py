@@ -368,6 +368,69 @@ def test_bands_reject_repetition_and_noise_only():
     assert ok(english) and ok(prose(1, 25)) and not ok(noise) and not ok("buy now cheap pills " * 200)
 
 
+CLEAN = {
+    "en": "The committee met on Tuesday to discuss plans for the new library. Several residents spoke about parking, opening hours and cost, and one of them asked why the old building could not be repaired instead. A final vote is expected in the spring, once the architects have answered the questions raised. Until then the reading room stays open on weekdays, and volunteers will sort the books that were damaged when the roof leaked last winter.",
+    "de": "Der Ausschuss traf sich am Dienstag, um über die Pläne für die neue Bibliothek zu sprechen. Mehrere Anwohner äußerten sich zu Parkplätzen, Öffnungszeiten und Kosten, und eine von ihnen fragte, weshalb das alte Gebäude nicht einfach repariert werden könne. Eine endgültige Abstimmung wird im Frühjahr erwartet. Bis dahin bleibt der Lesesaal werktags geöffnet, und Freiwillige sortieren die Bücher, die im letzten Winter beschädigt wurden.",
+    "fr": "La commission s'est réunie mardi pour examiner les plans de la nouvelle bibliothèque. Plusieurs habitants ont parlé du stationnement, des horaires et du coût, et l'un d'eux a demandé pourquoi l'ancien bâtiment ne pouvait pas être réparé. Un vote définitif est attendu au printemps. D'ici là, la salle de lecture reste ouverte en semaine, et des bénévoles trieront les livres abîmés lorsque le toit a fui l'hiver dernier.",
+    "es": "La comisión se reunió el martes para tratar los planes de la nueva biblioteca. Varios vecinos hablaron del aparcamiento, los horarios y el coste, y uno de ellos preguntó por qué no se podía reparar el edificio antiguo. Se espera una votación definitiva en primavera. Hasta entonces la sala de lectura sigue abierta entre semana, y los voluntarios ordenarán los libros que se dañaron cuando el tejado goteó el invierno pasado.",
+}
+
+
+def noise_of(kind, n):
+    import base64
+    import random
+
+    r = random.Random(n)
+    if kind == "hex":
+        return r.randbytes(n).hex()[:n]
+    if kind == "base64":
+        return base64.b64encode(r.randbytes(n)).decode()[:n]
+    if kind == "cut base64":
+        return " ".join(base64.b64encode(r.randbytes(9)).decode() for _ in range(n // 13))
+    if kind == "digits":
+        return " ".join(str(r.randrange(10 ** r.randint(3, 9))) for _ in range(n))[:n]
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n))[:n]
+
+
+def kept_by_bands(t):
+    import zstandard
+
+    return quality_rules.within_bands(t, quality_rules.Bands(), zstandard.ZstdCompressor(level=3).compress)
+
+
+@pytest.mark.parametrize("kind", ["hex", "base64", "cut base64", "digits", "letters"])
+@pytest.mark.parametrize("n", [12_000, 20_500, 50_000, 200_000])
+def test_bands_reject_noise_of_every_kind(kind, n):
+    assert not kept_by_bands(noise_of(kind, n))
+
+
+def test_bands_reject_letters_and_base64_of_a_page():
+    assert not any(kept_by_bands(noise_of(k, n)) for k in ("base64", "cut base64", "letters") for n in (1_600, 2_048, 2_600, 4_000, 8_000))
+
+
+@pytest.mark.parametrize("kind", ["base64", "cut base64", "letters"])
+@pytest.mark.parametrize("share", [0.3, 0.45])
+def test_bands_reject_half_noise(kind, share):
+    clean = table_prose()
+    noise = noise_of(kind, int(len(clean) * share / (1 - share)))
+    assert kept_by_bands(clean) and not kept_by_bands(clean + " " + noise)
+    assert kept_by_bands(clean[:3_400]) and not kept_by_bands(clean[:2_300] + noise[:1_100])  # in the last partial chunk alone
+
+
+def table_prose():
+    """The longest English text of the smallest documents table."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["lang", "text"]).to_pylist()
+    return max((r["text"] for r in rows if r["lang"] == "en" and r["text"]), key=len)
+
+
+@pytest.mark.parametrize("lang", CLEAN)
+def test_bands_keep_clean_text(lang):
+    assert all(kept_by_bands(CLEAN[lang][:n]) for n in (120, 220, 330, 420, 500))
+    assert kept_by_bands(CLEAN[lang])
+
+
 # Language model
 
 
