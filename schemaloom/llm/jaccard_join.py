@@ -1,8 +1,9 @@
-"""Near duplicates by Jaccard similarity of word five-grams: MinHash LSH forest and exact verification.
+"""Near duplicates by Jaccard similarity of word five-grams: MinHash banding and exact verification.
 
-Each document's shingle set gets a 128-bit digest and, for each tree of the forest, a label of minhashes. Sets
-that are equal are one class. The forest matches label prefixes; the prefix is shortened from ``label`` until
-the chance to match a pair at the threshold in some tree reaches ``recall``. Classes that share a prefix are
+Each document's shingle set gets a 128-bit digest and, for each of ``trees`` bands, a hash of some minhashes. Sets
+that are equal are one class. A forest of tries that shortens its prefixes per query is not built: the depth is the
+same for all sets, the longest up to ``label`` at which a pair at the threshold meets in some band with a chance of
+``recall``, since the links of every pair over one fixed threshold are wanted. Classes that share a band are
 joined to groups by connected components, over identifiers alone. Within a group every pair is verified by
 its exact sets, in tasks of one block or two blocks of about ``block`` classes or ``block_shingles``
 shingles at most, so a large group is spread
@@ -34,9 +35,9 @@ from schemaloom.llm.text import hash_words, odd_numbers, owners, slices, split_w
 class ForestParams:
     width: int = 5
     threshold: float = 0.8
-    trees: int = 24
+    trees: int = 40
     label: int = 12
-    recall: float = 0.995
+    recall: float = 0.9999
     block: int = 256
     block_shingles: int = 1 << 19
 
