@@ -1,18 +1,21 @@
-"""Near duplicates by Jaccard similarity of word five-grams: MinHash banding and exact verification.
-
-Each document's shingle set gets a 128-bit digest and, for each of ``trees`` bands, a hash of some minhashes. Sets
-that are equal are one class. A forest of tries that shortens its prefixes per query is not built: the depth is the
-same for all sets, the longest up to ``label`` at which a pair at the threshold meets in some band with a chance of
-``recall``, since the links of every pair over one fixed threshold are wanted. Classes that share a band are
-joined to groups by connected components, over identifiers alone. Within a group every pair is verified by
-its exact sets, in tasks of one block or two blocks of about ``block`` classes or ``block_shingles``
-shingles at most, so a large group is spread
-over many tasks and no pair is written: a task returns, for each class, how many documents it links to and the
-smallest class it reaches.
+"""Near duplicates by Jaccard similarity of word five-grams: a MinHash LSH forest and exact verification.
+
+Each document's shingle set gets a 128-bit digest and a label of ``label`` minhashes in each of ``trees`` trees. Sets that are
+equal are one class. A label is one integer whose leading bits are the leading minhashes, so a tree is the sorted column of
+its labels and a shorter prefix is the same column shifted right. The trees are descended from the longest prefix on: at each
+depth the classes that share a prefix and shared none before are verified by their exact sets. Then the recall is estimated
+from what this depth has added, and prefixes are shortened further until it reaches ``recall``, or the depth is reached
+at which even a pair right at the threshold shares a prefix with that chance.
+
+No pair is written. Classes are dealt to cells of about ``block`` classes or ``block_shingles`` shingles, by the largest
+bucket they are in, and a task verifies one cell, or two cells that some bucket joins. In it only classes
+that share a prefix are compared, so what is compared follows the buckets and not the components they make. A task returns
+for each class how many documents it links to, and the smallest class it reaches.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a text of one to four words is
 one shingle; equal texts link whatever their ids; repeated rows and repeated or null ids count as
-documents of their own; an empty table gives no rows; columns other than doc_id and text are not read.
+documents of their own; an empty table gives no rows; ``join`` reads doc_id and text only, ``keep_one`` passes all
+columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,29 +28,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from schemaloom.llm.shared import connected_components, delete, written
+from schemaloom.llm.shared import Scratch, connected_components
 from schemaloom.llm.text import hash_words, odd_numbers, owners, slices, split_words, texts_of, windows
 
+#: Bits of a label for each minhash below the shortest prefix; all those above share the others.
+_LEVEL_BITS = 4
+
 
 @dataclass(frozen=True)
 class ForestParams:
+    """``stride``: minhashes that a prefix is shortened by at a time."""
+
     width: int = 5
     threshold: float = 0.8
     trees: int = 40
     label: int = 12
+    stride: int = 3
     recall: float = 0.9999
     block: int = 256
     block_shingles: int = 1 << 19
 
+    def missed(self, depth: int, similarity: float) -> float:
+        """The chance that a pair shares no prefix of this depth."""
+        return (1 - similarity**depth) ** self.trees
+
     @property
-    def prefix(self) -> int:
+    def floor(self) -> int:
         """The longest prefix whose recall at the threshold reaches the target."""
-        depth = self.label
-        while depth > 1 and 1 - (1 - self.threshold**depth) ** self.trees < self.recall:
-            depth -= 1
-        return depth
+        return next((d for d in range(self.label, 1, -1) if 1 - self.missed(d, self.threshold) >= self.recall), 1)
+
+    @property
+    def depths(self) -> list[int]:
+        """Prefix lengths in the order of descent."""
+        return [*range(self.label, self.floor, -self.stride), self.floor]
+
+    def shift(self, depth: int) -> int:
+        return _LEVEL_BITS * (self.label - depth)
+
+    def recall_after(self, depth: int, before: int, new: int, total: int) -> float:
+        """The least recall that the links found so far speak for. Of links first found at this depth and not at the one
+        before, ``new``, those right at the threshold leave the most behind; three more stand for what chance may hide."""
+        left, was = self.missed(depth, self.threshold), self.missed(before, self.threshold)
+        behind = left / (was - left) * (new + 3)
+        return max(1 - left, total / (total + behind))
 
 
 _ODD = odd_numbers(16, seed=4)
@@ -80,14 +104,15 @@ def digests(shingles: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
 
 
-def prefixes(shingles: np.ndarray, offsets: np.ndarray, p: ForestParams) -> np.ndarray:
-    """For each set the hash of its label prefix in each tree: texts x trees."""
-    depth = p.prefix
-    factors = odd_numbers(p.trees * p.label, seed=44).reshape(p.trees, p.label)[:, :depth]
+def labels(shingles: np.ndarray, offsets: np.ndarray, p: ForestParams) -> np.ndarray:
+    """For each set its label in each tree: texts x trees. The first ``floor`` minhashes are mixed to the leading bits, a few
+    bits of each further one follow."""
+    floor, bits = p.floor, np.uint64(_LEVEL_BITS)
+    factors = odd_numbers(p.trees * p.label, seed=44).reshape(p.trees, p.label)
     out = np.zeros((len(offsets) - 1, p.trees), np.uint64)
     some = np.flatnonzero(np.diff(offsets))
     part = np.unique(np.searchsorted(offsets[some], np.arange(0, len(shingles) + 1, 1 << 15)))
-    mix = odd_numbers(depth + 1, seed=45)
+    mix = odd_numbers(p.label + 1, seed=45)
     for a, b in zip(part, [*part[1:], len(some)]):
         if a == b:
             continue
@@ -96,61 +121,51 @@ def prefixes(shingles: np.ndarray, offsets: np.ndarray, p: ForestParams) -> np.n
         values, starts = shingles[low : offsets[rows[-1] + 1]], offsets[rows] - low
         with np.errstate(over="ignore"):
             for t in range(p.trees):
-                key = np.full(len(rows), mix[depth] * np.uint64(t + 1), np.uint64)
-                for k in range(depth):
+                key = np.full(len(rows), mix[p.label] * np.uint64(t + 1), np.uint64)
+                for k in range(floor):
                     key = (key ^ np.minimum.reduceat(values * factors[t, k], starts)) * mix[k]
                     key ^= key >> np.uint64(31)
+                key >>= bits * np.uint64(p.label - floor)
+                for k in range(floor, p.label):
+                    key = (key << bits) | (np.minimum.reduceat(values * factors[t, k], starts) * mix[k]) >> (np.uint64(64) - bits)
                 out[rows, t] = key
     return out
 
 
 def sign(documents: DataFrame, p: ForestParams) -> DataFrame:
-    """doc_id, digest and tree keys of every row."""
+    """id, at (a hash of the text), doc_id, digest, size and labels of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             shingles, offsets = shingle_sets(texts_of(batch, "text"), p.width)
-            keys = prefixes(shingles, offsets, p).astype(np.int64)
+            keys = labels(shingles, offsets, p).astype(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, p.trees, dtype=np.int32), keys.ravel())
             size = pa.array(np.diff(offsets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests(shingles, offsets), pa.binary()), size, lists], ["doc_id", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "at", "doc_id")), pa.array(digests(shingles, offsets), pa.binary()), size, lists], ["id", "at", "doc_id", "digest", "n", "labels"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, n long, keys array<long>")
-
-
-def with_digest(documents: DataFrame, p: ForestParams) -> DataFrame:
-    """All columns, and the digest of each row's shingle set."""
-    names = [*documents.columns, "__digest"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = digests(*shingle_sets(texts_of(batch, "text"), p.width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names)
-
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("__digest", BinaryType())]))
+    return documents.select(*_place(), "doc_id", "text").mapInArrow(run, f"id string, at long, doc_id {kind}, digest binary, n long, labels array<long>")
 
 
-def _id(doc_id: Column) -> Column:
-    """The id as a key: null counts as an id of its own."""
-    return F.coalesce(doc_id.cast("string"), F.lit(""))
+def _place() -> tuple[Column, Column]:
+    """What finds a text again: its id, where null counts as an id of its own, and a hash of it."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("at")
 
 
 def _with_sets(documents: DataFrame, members: DataFrame, p: ForestParams) -> DataFrame:
-    """The members' shingle sets, taken from the text of one document of each class."""
-    # by merge at every size: how many documents have a near duplicate isn't bounded
-    rows = documents.select(_id(F.col("doc_id")).alias("id"), "text").join(members.hint("merge"), "id")
+    """The members' shingle sets, from the text of one document of each class. Spark broadcasts the places only if
+    their table is under its threshold; copies of a text are one before they are shuffled."""
+    texts = documents.select(*_place(), "text").join(members.select("id", "at", "digest"), ["id", "at"]).groupBy("digest").agg(F.first("text").alias("text"))
+    rows = texts.join(members.select("digest", "cell", "copies", "labels"), "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             shingles, offsets = shingle_sets(texts_of(batch, "text"), p.width)
-            same = np.array([a == b for a, b in zip(digests(shingles, offsets), batch.column("digest").to_pylist())], bool)
             raw = shingles.astype("<u8").tobytes()
             sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())
-            out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("root", "blocks", "own", "digest", "copies")] + [sets], ["root", "blocks", "own", "digest", "copies", "shingles"])
-            yield out.filter(pa.array(same))  # a repeated id may hold another text
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "digest", "copies", "labels")), sets], ["cell", "digest", "copies", "labels", "shingles"])
 
-    return rows.mapInArrow(run, "root binary, blocks int, own int, digest binary, copies long, shingles binary")
+    return rows.mapInArrow(run, "cell long, digest binary, copies long, labels array<long>, shingles binary")
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -173,22 +188,53 @@ def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return total
 
 
-def verify_unit(digest: list[bytes], copies: np.ndarray, own: np.ndarray, sets: list[np.ndarray], cross: bool, threshold: float) -> tuple[np.ndarray, list[bytes]]:
-    """For each class of a unit: documents of other classes that it links to, and the smallest class it reaches."""
-    size = np.array([len(s) for s in sets], float)
-    both = shared_counts(sets)
-    link = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
-    np.fill_diagonal(link, False)
+def candidates(label: np.ndarray, cell: np.ndarray, cross: bool, shift: int, before: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs x < y that share a prefix at ``shift`` in some tree and shared none at ``before``; of two cells if ``cross``."""
+
+    def shared(bits: int) -> np.ndarray:
+        key = label >> bits
+        if label.size * len(label) <= 1 << 20:
+            return (key[:, None, :] == key[None, :, :]).any(axis=2)
+        found = np.zeros((len(key), len(key)), bool)
+        for t in range(key.shape[1]):
+            found |= key[:, t, None] == key[None, :, t]
+        return found
+
+    near = shared(shift)
+    if before is not None:
+        near &= ~shared(before)
     if cross:
-        link &= own[:, None] != own[None, :]
+        near &= cell[:, None] != cell[None, :]
+    return np.nonzero(np.triu(near, 1))
+
+
+def verify_unit(digest: list[bytes], copies: np.ndarray, sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """For each class of a unit: documents of other classes that it links to, those classes, and the smallest class it
+    reaches. ``x`` and ``y`` are the pairs to verify."""
+    size = np.array([len(s) for s in sets], np.int64)
+    possible = np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9
+    x, y = x[possible], y[possible]
+    used = np.unique(np.concatenate([x, y]))
+    if len(x) > 4 * len(used):
+        place = np.zeros(len(sets), np.int64)
+        place[used] = np.arange(len(used))
+        both = shared_counts([sets[i] for i in used])[place[x], place[y]]
+    else:
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist())])
+    link = both * (1 + threshold) >= threshold * (size[x] + size[y]) - 1e-9
+    x, y = x[link], y[link]
     rank = _ranks(digest)
-    while True:
-        low = np.minimum(rank, np.where(link, rank[None, :], len(rank)).min(axis=1))
+    by_rank = sorted(digest)
+    while len(x):
+        low = rank.copy()
+        np.minimum.at(low, x, rank[y])
+        np.minimum.at(low, y, rank[x])
         if (low == rank).all():
             break
         rank = low
-    by_rank = sorted(digest)
-    return (link * copies[None, :]).sum(axis=1), [by_rank[r] for r in rank]
+    n = len(digest)
+    links = np.bincount(x, copies[y], n) + np.bincount(y, copies[x], n)
+    return links.astype(np.int64), np.bincount(x, minlength=n) + np.bincount(y, minlength=n), [by_rank[r] for r in rank]
 
 
 def _ranks(digest: list[bytes]) -> np.ndarray:
@@ -197,101 +243,131 @@ def _ranks(digest: list[bytes]) -> np.ndarray:
     return rank
 
 
-def _verify(units: DataFrame, p: ForestParams) -> DataFrame:
-    """Rows sorted by unit in each partition: verifies unit by unit."""
+def _verify(units: DataFrame, p: ForestParams, shift: int, before: int | None) -> DataFrame:
+    """Rows sorted by unit in each partition: verifies unit by unit. Only classes with a link are returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, {}
-
-        def verified() -> pa.RecordBatch:
-            digest = list(rows)
-            copies, own, sets = zip(*rows.values())
-            links, roots = verify_unit(digest, np.array(copies), np.array(own), list(sets), key[1] != key[2], p.threshold)
-            return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(links.astype(np.int64)), pa.array(roots, pa.binary())], ["digest", "links", "reach"])
+        key, rows = None, []
+
+        def verified() -> Iterator[pa.RecordBatch]:
+            digest, cell, copies, label, sets = zip(*rows)
+            x, y = candidates(np.array(label), np.array(cell), key[0] != key[1], shift, before)
+            if len(x):
+                links, pairs, reach = verify_unit(list(digest), np.array(copies), [np.frombuffer(r, "<u8") for r in sets], x, y, p.threshold)
+                some = np.flatnonzero(pairs)
+                if len(some):
+                    columns = [pa.array([digest[i] for i in some], pa.binary()), pa.array(links[some]), pa.array(pairs[some]), pa.array([reach[i] for i in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["digest", "links", "pairs", "reach"])
 
         for batch in batches:
-            for root, i, j, digest, copies, own, raw in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "digest", "copies", "own", "shingles"))):
-                if (root, i, j) != key:
+            for i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "digest", "cell", "copies", "labels", "shingles"))):
+                if (i, j) != key:
                     if len(rows) > 1:
-                        yield verified()
-                    key, rows = (root, i, j), {}
-                rows[digest] = (copies, own, np.frombuffer(raw, "<u8"))
+                        yield from verified()
+                    key, rows = (i, j), []
+                rows.append(row)
         if len(rows) > 1:
-            yield verified()
-
-    return units.mapInArrow(run, "digest binary, links long, reach binary")
-
-
-def near_duplicates(documents: DataFrame, p: ForestParams = ForestParams()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest) of every row; and of every class: digest, id of its first document, number of its
-    documents, documents that it links to, and root, the smallest class that links reach."""
-    spark, used = documents.sparkSession, []
-
-    def table(df: DataFrame, name: str) -> DataFrame:
-        df, path = written(df, name)
-        used.append(path)
-        return df
-
-    signed, _ = written(sign(documents, p), "signed")
-    classes = table(
+            yield from verified()
+
+    return units.mapInArrow(run, "digest binary, links long, pairs long, reach binary")
+
+
+def _prefixes(classes: DataFrame, shift: int, *columns: str) -> DataFrame:
+    """One row for each class and tree: tree, the label's prefix, and other columns."""
+    return classes.select(*columns, F.posexplode("labels").alias("tree", "label")).withColumn("key", F.shiftright("label", shift))
+
+
+def _cells(classes: DataFrame, p: ForestParams, scratch: Scratch) -> DataFrame:
+    """The classes that share some shortest prefix, each with its cell: its largest bucket, cut by digest if that is large."""
+    entries = _prefixes(classes, p.shift(p.floor), "digest").drop("label")
+    buckets = scratch.table(entries.groupBy("tree", "key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    homes = scratch.table(entries.join(buckets, ["tree", "key"]).groupBy("digest").agg(F.max(F.struct("size", "tree", "key")).alias("home")), "homes")
+    settled = scratch.table(homes.select("digest", "home.tree", "home.key").join(classes, "digest"), "settled")
+    parts = F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_shingles)).cast("int")
+    sizes = scratch.table(settled.groupBy("tree", "key").agg(parts.alias("parts")), "sizes")
+    cell = F.xxhash64("tree", "key", F.pmod(F.xxhash64("digest"), F.col("parts")))
+    return scratch.table(settled.join(sizes, ["tree", "key"]).select("digest", "id", "at", "copies", "labels", cell.alias("cell")), "members")
+
+
+def _units(members: DataFrame, shift: int, before: int | None) -> DataFrame:
+    """(i, j), i <= j: cells that some bucket joins, with itself if the bucket has two classes of it. Buckets whose
+    classes all shared the longer prefix too have nothing new."""
+    entries = _prefixes(members, shift, "cell").withColumn("child", F.shiftright("label", before or 0))
+    new = F.lit(True) if before is None else F.col("low") != F.col("high")
+    at = entries.groupBy("tree", "key", "cell").agg(F.count("*").alias("n"), F.min("child").alias("low"), F.max("child").alias("high"))
+    whole = at.groupBy("tree", "key").agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.min("low").alias("low"), F.max("high").alias("high")).filter((F.col("n") > 1) & new)
+    alone = at.filter((F.col("n") > 1) & new).select(F.col("cell").alias("i"), F.col("cell").alias("j"))
+    shared = at.select("tree", "key", "cell").join(whole.filter("cells > 1").select("tree", "key"), ["tree", "key"])
+    pairs = shared.withColumnRenamed("cell", "i").join(shared.withColumnRenamed("cell", "j"), ["tree", "key"]).filter("i < j").select("i", "j")
+    return alone.union(pairs).distinct()
+
+
+def near_duplicates(documents: DataFrame, scratch: Scratch, p: ForestParams = ForestParams()) -> tuple[DataFrame, DataFrame]:
+    """(id, at, doc_id, digest) of every row; and of every class: digest, its first document, number of its documents,
+    documents that it links to, and root, the smallest class that links reach. Both are tables of ``scratch``."""
+    signed = scratch.table(sign(documents, p), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "id", "at")).alias("m")  # null ids last
+    classes = scratch.table(
         signed.filter(F.col("digest").isNotNull()).groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes"
-    )
-    entries = classes.select("digest", F.explode("keys").alias("key"))
-    firsts = table(entries.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "tries")
-    groups = table(connected_components(entries.join(firsts, "key").select(F.col("digest").alias("a"), "b")), "groups")
-    grouped = table(groups.withColumnRenamed("node", "digest").join(classes.select("digest", "doc_id", "copies", "n"), "digest"), "grouped")
-    blocks = F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_shingles)).cast("int")
-    sizes = table(grouped.groupBy("root").agg(blocks.alias("blocks")), "sizes")
-    members = table(
-        grouped.join(sizes, "root")
-        .select(_id(F.col("doc_id")).alias("id"), "root", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("own"), "digest", "copies"), "members"
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = (
-        _with_sets(documents, members, p).select("*", other)
-        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "copies", "own", "shingles")
-        .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+        .agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")).select("digest", "m.doc_id", "m.id", "m.at", "copies", "n", "labels"), "classes"
     )
-    verified = table(_verify(units, p), "verified")
+    members = _cells(classes, p, scratch)
+    sets = scratch.table(_with_sets(documents, members, p), "sets")
+    found, total, before = [], 0, None
+    for depth in p.depths:
+        shift, longer = p.shift(depth), None if before is None else p.shift(before)
+        units = scratch.table(_units(members, shift, longer), "units")
+        rows = units.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell")).join(sets, "cell")
+        verified = scratch.table(_verify(rows.repartition("i", "j").sortWithinPartitions("i", "j"), p, shift, longer), "verified")
+        found.append(verified)
+        new = (verified.agg(F.sum("pairs")).first()[0] or 0) // 2
+        total += new
+        if before is not None and total and p.recall_after(depth, before, new, total) >= p.recall:
+            break
+        before = depth
+    verified = found[0]
+    for more in found[1:]:
+        verified = verified.union(more)
     links = verified.groupBy("digest").agg(F.sum("links").alias("links"))
-    roots = connected_components(verified.select(F.col("digest").alias("a"), F.col("reach").alias("b"))).withColumnRenamed("node", "digest")
-    every, _ = written(
-        classes.select("digest", "doc_id", "copies").join(links, "digest", "left").join(roots, "digest", "left")
-        .select("digest", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "digest").alias("root")), "linked"
+    roots = connected_components(verified.select(F.col("digest").alias("a"), F.col("reach").alias("b")), scratch).withColumnRenamed("node", "digest")
+    every = scratch.table(
+        classes.drop("labels", "n").join(links, "digest", "left").join(roots, "digest", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumn("root", F.coalesce("root", "digest")), "linked"
     )
-    for path in used:
-        delete(spark, path)
-    return signed.select("doc_id", "digest"), every
+    return signed.select("id", "at", "doc_id", "digest"), every
 
 
 def join(documents: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id that links reach), n_links (documents with a
-    similarity at the threshold or above, equal ones included) and kept."""
-    rows, classes = near_duplicates(documents, p)
-    lowest, _ = written(classes.groupBy("root").agg(F.min("doc_id").alias("class_id")), "lowest")
-    found, _ = written(classes.join(lowest, "root").select("digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "found")
-    return rows.join(found, "digest", "left").select(
-        "doc_id",
-        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("digest").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
-    )
+    similarity at the threshold or above, equal ones included) and kept. A table in the shared folder."""
+    with Scratch(documents.sparkSession) as scratch:
+        rows, classes = near_duplicates(documents, scratch, p)
+        lowest = scratch.table(classes.groupBy("root").agg(F.min("doc_id").alias("class_id")), "lowest")
+        found = scratch.table(classes.join(lowest, "root").select("digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "found")
+        none = F.col("digest").isNull()
+        out = rows.join(found, "digest", "left").select(
+            "doc_id",
+            F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.when(none, F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        )
+        return scratch.result(out, "near-duplicates")
 
 
 def keep_one(documents: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
     """The rows and columns of one document of each group, that with the smallest id; documents without any
-    word all stay."""
-    _, classes = near_duplicates(documents, p)
-    stay, _ = written(classes.groupBy("root").agg(F.min(F.struct(_by_id("doc_id"), "doc_id", "digest")).alias("m")).select(_id(F.col("m.doc_id")).alias("__id"), F.col("m.digest").alias("__digest")), "stay")
-    rows = with_digest(documents, p).withColumn("__id", _id(F.col("doc_id")))
-    kept = rows.join(stay, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"])
-    return kept.unionByName(rows.filter(F.col("__digest").isNull())).drop("__id", "__digest")
-
-
-def _by_id(name: str) -> Column:
-    """Orders null ids last."""
-    return F.col(name).isNull().alias("no_id")
+    word all stay. A row is told by its id and a hash of its text; what must go is a table in the shared folder."""
+    with Scratch(documents.sparkSession) as scratch:
+        rows, classes = near_duplicates(documents, scratch, p)
+        stay = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "id", "at")).alias("m")).select("m.id", "m.at")
+        counted = rows.filter(F.col("digest").isNotNull()).groupBy("id", "at").agg(F.count("*").alias("n"))
+        gone = scratch.result(counted.join(stay, ["id", "at"], "left_anti").select("id", "at"), "gone")
+        twice = scratch.result(counted.filter("n > 1").join(gone, ["id", "at"], "left_anti").select("id", "at"), "repeated")
+    place = ["id", "at"]
+    kept = documents.select(F.struct("*").alias("row"), *_place()).join(gone, place, "left_anti")
+    if not twice.isEmpty():  # rows that are equal in id and text
+        repeated = kept.join(twice, place, "left_semi").groupBy(*place).agg(F.first("row").alias("row"))
+        kept = kept.join(twice, place, "left_anti").select("row").union(repeated.select("row"))
+    return kept.select("row.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

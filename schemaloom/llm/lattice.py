@@ -3,14 +3,19 @@
 A vector's direction is projected to blocks of eight dimensions and each block is decoded to the nearest point
 of the E8 lattice; the points of a table's blocks name its cell. Besides its own cell a vector probes the
 cells where one block moves to the best point of the lattice's other coset. The number of blocks follows the
-number of vectors, so cells stay small, and the number of tables follows from the target recall. All pairs
-of a cell's own and probing vectors are verified by cosine in double precision; a large cell is cut in
-blocks, and pairs of blocks are dealt over the tasks. What links reach is found by connected components, and
-then every pair of a component is verified once more, in blocks, to count the links.
+number of vectors, so cells stay small, and the number of tables follows from the target recall. Vectors in a cell of more than
+``hot`` are hashed once more with one block more, and the tables that this needs, up to ``splits`` times.
+
+What shares a cell is compared by sketches of ``sketch_bits`` sign bits first, so cells carry some bytes for a vector and
+not the vector; a cell's task returns for each vector the smallest one it reaches by near sketches. A large cell is cut in
+blocks, and pairs of blocks are dealt over the tasks. The components of these links are the groups whose vectors are
+fetched, once for each pair of blocks: every pair of a group is verified by cosine in double precision, which gives the links, and components
+of verified links give the result.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing;
 equal vectors are one class and link with each other; vectors of different lengths never link; null and
-repeated ids count row by row; an empty table gives no rows; columns other than these two are not read.
+repeated ids count row by row; an empty table gives no rows; columns other than these two are not read. A group of n different
+vectors costs n^2 / block rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import connected_components, delete, written
+from schemaloom.llm.shared import Scratch, connected_components
 from schemaloom.llm.text import odd_numbers
 
 
@@ -34,7 +39,8 @@ class LatticeParams:
     """``same`` and ``near``: chance that a block of a pair at the threshold decodes to one point, or to one with
     a probe; ``alike``: the same for random pairs, as measured for ``scale``. A Gaussian projection of a unit vector
     has the same spread in every dimension, so the first two hold for vectors of any length; ``alike`` is greater for
-    short vectors, whose cells are larger. ``block``: vectors of a task's block."""
+    short vectors, whose cells are larger. ``block``: vectors of a task's block. ``sketch_sigma``: how many standard deviations
+    more bits than expected two sketches at the threshold may differ in."""
 
     threshold: float = 0.95
     scale: float = 2.0
@@ -44,15 +50,25 @@ class LatticeParams:
     alike: float = 0.008
     per_cell: int = 16
     block: int = 512
+    hot: int = 2048
+    splits: int = 2
+    sketch_bits: int = 128
+    sketch_sigma: float = 4.5
 
     def blocks(self, n: int) -> int:
         return max(1, math.ceil(math.log(max(2, n) / self.per_cell) / -math.log(self.alike)))
 
-    def tables(self, n: int) -> int:
-        m = self.blocks(n)
+    def tables(self, n: int, more: int = 0) -> int:
+        m = self.blocks(n) + more
         found = self.same**m + m * self.same ** (m - 1) * (self.near - self.same)
         return math.ceil(math.log(1 - self.recall) / math.log(1 - found))
 
+    @property
+    def sketch_limit(self) -> int:
+        """The greatest number of different bits of sketches that count as near."""
+        share = math.acos(self.threshold) / math.pi
+        return math.floor(self.sketch_bits * share + self.sketch_sigma * math.sqrt(self.sketch_bits * share * (1 - share)))
+
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
     """The nearest integer point with an even sum: if the sum is odd, the worst coordinate is rounded the other way."""
@@ -109,37 +125,51 @@ def _rows(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def sketches(unit: np.ndarray, bits: int) -> np.ndarray:
+    """Signs of random projections, as rows of 64-bit integers."""
+    planes = np.random.default_rng(9 + unit.shape[1]).normal(size=(unit.shape[1], bits))
+    return np.packbits(unit @ planes > 0, axis=1).view("<u8")
+
+
+def units_of(raw: list[bytes]) -> dict[int, tuple[list[int], np.ndarray]]:
+    """By length: row numbers and directions of vectors that are given as doubles."""
+    by_size: dict[int, list[int]] = {}
+    for i, v in enumerate(raw):
+        by_size.setdefault(len(v), []).append(i)
+    return {n: (rows, _directions(np.stack([np.frombuffer(raw[i], "<f8") for i in rows]))) for n, rows in by_size.items()}
+
+
+def _directions(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1)[:, None]
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
 def prepared(embeddings: DataFrame) -> DataFrame:
-    """vec_id, digest of the vector and its direction as doubles; the last two null where there is none."""
+    """vec_id, and digest and doubles of the vector; these two null where it has no direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _rows(batch.column("embedding"))
-            with np.errstate(over="ignore"):
-                scaled = [None if v is None else v / np.abs(v).max() for v in vectors]
-            unit = [None if v is None else (v / np.linalg.norm(v)).astype("<f8").tobytes() for v in scaled]
-            digest = [None if v is None else hashlib.blake2b((v + 0.0).astype("<f8").tobytes(), digest_size=16).digest() for v in vectors]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digest, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "digest", "vec"])
+            raw = [None if v is None else (v + 0.0).astype("<f8").tobytes() for v in _rows(batch.column("embedding"))]
+            digest = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "digest", "vec"])
 
     kind = embeddings.schema["vec_id"].dataType.simpleString()
     return embeddings.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, digest binary, vec binary")
 
 
-def _with_cells(classes: DataFrame, tables: int, blocks: int, scale: float) -> DataFrame:
+def _with_cells(classes: DataFrame, tables: int, blocks: int, p: LatticeParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, raw = batch.column("digest").to_pylist(), batch.column("vec").to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(raw):
-                by_size.setdefault(len(v), []).append(i)
-            for rows in by_size.values():
-                own, probes = cells(np.stack([np.frombuffer(raw[i], "<f8") for i in rows]), tables, blocks, scale)
+            num = batch.column("num").to_numpy()
+            for rows, unit in units_of(batch.column("vec").to_pylist()).values():
+                own, probes = cells(unit, tables, blocks, p.scale)
+                sketch = [x.tobytes() for x in sketches(unit, p.sketch_bits)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest[i] for i in rows], pa.binary()), pa.array(list(own), pa.list_(pa.int64())), pa.array(list(probes), pa.list_(pa.int64()))],
-                    ["digest", "own", "probes"],
+                    [pa.array(num[rows]), pa.array(sketch, pa.binary()), pa.array(list(own), pa.list_(pa.int64())), pa.array(list(probes), pa.list_(pa.int64()))],
+                    ["num", "sketch", "own", "probes"],
                 )
 
-    return classes.select("digest", "vec").mapInArrow(run, "digest binary, own array<long>, probes array<long>")
+    return classes.select("num", "vec").mapInArrow(run, "num long, sketch binary, own array<long>, probes array<long>")
 
 
 def _reach(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,7 +194,7 @@ def _in_units(units: DataFrame, schema: str, work: Callable[[dict], pa.RecordBat
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             table = pa.Table.from_batches(held).combine_chunks()
-            key = [table.column(c).to_numpy() if c != "key" else np.array(table.column(c).to_pylist(), object) for c in ("key", "i", "j")]
+            key = [table.column(c).to_numpy() for c in ("key", "i", "j")]
             change = np.ones(table.num_rows, bool)
             change[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
             starts = np.flatnonzero(change)
@@ -187,111 +217,120 @@ def _in_units(units: DataFrame, schema: str, work: Callable[[dict], pa.RecordBat
     return units.mapInArrow(run, schema)
 
 
-def _vectors(column: pa.ChunkedArray, a: int, b: int) -> np.ndarray:
-    raw = column.slice(a, b - a).to_pylist()
-    return np.frombuffer(b"".join(raw), "<f8").reshape(b - a, -1)
-
-
 def _cell_links(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
+    limit = p.sketch_limit
+
     def work(c: dict) -> pa.RecordBatch | None:
         owner = np.array(c["owner"].to_pylist(), bool)
-        block, i, j = (c[k].to_numpy() for k in ("block", "i", "j"))
-        ends_a, ends_b = [], []
+        block, i, j, num = (c[k].to_numpy() for k in ("block", "i", "j", "num"))
+        sketch = np.frombuffer(b"".join(c["sketch"].to_pylist()), "<u8").reshape(len(num), -1)
+        ends_a, ends_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b in zip(c["bounds"], c["bounds"][1:]):
-            if b - a < 2 or not owner[a:b].any():
+            mine = a + np.flatnonzero(owner[a:b])
+            if b - a < 2 or not len(mine):
                 continue
-            v = _vectors(c["vec"], a, b)
-            mine = np.flatnonzero(owner[a:b])
-            x, y = np.nonzero(v[mine] @ v.T >= p.threshold)
-            x = mine[x]
-            ok = x != y
+            differ = sum(np.bitwise_count(sketch[mine, k, None] ^ sketch[None, a:b, k]).astype(np.int16) for k in range(sketch.shape[1]))
+            x, y = np.nonzero(differ <= limit)
+            x, y = mine[x], y + a
+            ok = num[x] != num[y]
             if i[a] != j[a]:
-                ok &= block[a:b][x] != block[a:b][y]
-            ends_a.append(x[ok] + a)
-            ends_b.append(y[ok] + a)
-        a, b = np.concatenate([*ends_a, np.empty(0, int)]).astype(int), np.concatenate([*ends_b, np.empty(0, int)]).astype(int)
+                ok &= block[x] != block[y]
+            ends_a.append(num[x[ok]])
+            ends_b.append(num[y[ok]])
+        a, b = np.concatenate(ends_a), np.concatenate(ends_b)
         if not len(a):
             return None
-        digest = c["digest"].to_pylist()
-        names = sorted({digest[k] for k in np.unique(np.concatenate([a, b])).tolist()})
-        number = {d: k for k, d in enumerate(names)}
-        code = np.array([number.get(d, -1) for d in digest])
-        reach = _reach(np.arange(len(names)), code[a], code[b])
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[k] for k in reach.tolist()], pa.binary())], ["a", "b"])
+        names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+        reach = _reach(np.arange(len(names)), code[: len(a)], code[len(a) :])
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[reach])], ["a", "b"])
 
     return work
 
 
-def _count_links(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
+def _verified(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
     def work(c: dict) -> pa.RecordBatch | None:
-        copies, block, i, j = (c[k].to_numpy() for k in ("copies", "block", "i", "j"))
-        links = np.zeros(len(copies), np.int64)
+        copies, block, i, j, num = (c[k].to_numpy() for k in ("copies", "block", "i", "j", "num"))
+        links, reach = np.zeros(len(copies), np.int64), num.copy()
         for a, b in zip(c["bounds"], c["bounds"][1:]):
-            v = _vectors(c["vec"], a, b)
-            link = v @ v.T >= p.threshold
-            np.fill_diagonal(link, False)
-            if i[a] != j[a]:
-                link &= block[a:b, None] != block[None, a:b]
-            links[a:b] = link @ copies[a:b]
-        return pa.RecordBatch.from_arrays([c["digest"].combine_chunks().cast(pa.binary()), pa.array(links)], ["digest", "links"])
+            for rows, v in units_of(c["vec"].slice(a, b - a).to_pylist()).values():
+                rows = np.array(rows) + a
+                link = v @ v.T >= p.threshold
+                np.fill_diagonal(link, False)
+                if i[a] != j[a]:
+                    link &= block[rows, None] != block[None, rows]
+                links[rows] = link @ copies[rows]
+                x, y = np.nonzero(np.triu(link))
+                order = np.argsort(num[rows])
+                rank = np.empty(len(rows), np.int64)
+                rank[order] = np.arange(len(rows))
+                reach[rows] = num[rows][order][_reach(rank, x, y)]
+        return pa.RecordBatch.from_arrays([pa.array(num), pa.array(links), pa.array(reach)], ["num", "links", "reach"])
 
     return work
 
 
-def _dealt(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """Rows with key and blocks, once for each pair of blocks they take part in, sorted by unit."""
+def _dealt(rows: DataFrame, *extra: str) -> DataFrame:
+    """Rows with key and blocks, once for each pair of blocks they take part in."""
     return (
-        rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+        rows.withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", *extra)
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "num", *extra)
     )
 
 
+def _by_unit(units: DataFrame) -> DataFrame:
+    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _near_sketches(classes: DataFrame, n: int, scratch: Scratch, p: LatticeParams) -> DataFrame:
+    """Links (a, b) of vectors that share a cell, or probe one, and have near sketches."""
+    found, todo = None, classes.select("num", "vec")
+    for more in range(p.splits + 1):
+        keys = scratch.table(_with_cells(todo, p.tables(n, more), p.blocks(n) + more, p), "cells")
+        entries = keys.select("num", "sketch", F.explode("own").alias("key"), F.lit(True).alias("owner")).union(keys.select("num", "sketch", F.explode("probes"), F.lit(False)))
+        # only cells that must be cut are told apart: the others go to one unit each, whatever is in them
+        large = scratch.table(entries.groupBy("key").agg(F.count("*").alias("n"), F.count_if("owner").alias("own")).filter((F.col("own") > 0) & (F.col("n") > p.block)).select("key", "n"), "sizes")
+        split = F.col("n") > (p.hot if more < p.splits else 1 << 62)
+        marked = entries.join(large, "key", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / p.block).cast("int"))
+        units = _dealt(marked.filter(~F.coalesce(split, F.lit(False))), "owner", "sketch")
+        links = scratch.table(_in_units(_by_unit(units), "a long, b long", _cell_links(p)), "links")
+        found = links if found is None else found.union(links)
+        hot = scratch.table(marked.filter(split).select("num").distinct(), "hot")
+        if hot.isEmpty():
+            break
+        todo = todo.join(hot, "num", "left_semi")
+    return found
+
+
 def near_vectors(embeddings: DataFrame, p: LatticeParams = LatticeParams()) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id and kept."""
-    spark, used = embeddings.sparkSession, []
-
-    def table(df: DataFrame, name: str) -> DataFrame:
-        df, path = written(df, name)
-        used.append(path)
-        return df
-
-    rows, _ = written(prepared(embeddings), "vectors")
-    classes = table(
-        rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "classes"
-    )
-    n = classes.count()
-    tables, blocks = p.tables(n), p.blocks(n)
-    keys = table(_with_cells(classes, tables, blocks, p.scale), "cells")
-    entries = keys.select("digest", F.explode("own").alias("key"), F.lit(True).alias("owner")).union(keys.select("digest", F.explode("probes"), F.lit(False)))
-    sizes = table(
-        entries.groupBy("key").agg(F.count("*").alias("n"), F.count_if("owner").alias("own")).filter("own > 0 and n > 1")
-        .select("key", F.ceil(F.col("n") / p.block).cast("int").alias("blocks")), "sizes"
-    )
-    units = _dealt(entries.join(sizes, "key"), ["owner"]).join(classes.select("digest", "vec"), "digest")
-    units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    edges = table(_in_units(units, "a binary, b binary", _cell_links(p)), "edges")
-    roots = table(connected_components(edges).select(F.col("node").alias("digest"), F.col("root").alias("key")), "roots")
-    sizes = table(roots.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
-    members = _dealt(roots.join(sizes, "key"), []).join(classes.select("digest", "vec", "copies"), "digest")
-    members = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = _in_units(members, "digest binary, links long", _count_links(p)).groupBy("digest").agg(F.sum("links").alias("links"))
-    every = (
-        classes.select("digest", "vec_id", "copies").join(links, "digest", "left").join(roots, "digest", "left")
-        .select("digest", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("key", "digest").alias("root"))
-    )
-    every = table(every, "linked")
-    lowest = table(every.groupBy("root").agg(F.min("vec_id").alias("component_id")), "lowest")
-    found, _ = written(every.join(lowest, "root").select("digest", "n_links", "component_id"), "found")
-    for path in used:
-        delete(spark, path)
-    none = F.col("digest").isNull()
-    return rows.select("vec_id", "digest").join(found, "digest", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(none, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(none, F.lit(True)).otherwise(F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-    )
+    """One row per vector: vec_id, n_links, component_id and kept. A table in the shared folder."""
+    with Scratch(embeddings.sparkSession) as scratch:
+        rows = scratch.table(prepared(embeddings), "vectors")
+        classes = scratch.table(
+            rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+            .withColumn("num", F.monotonically_increasing_id()), "classes"
+        )
+        groups = connected_components(_near_sketches(classes, classes.count(), scratch, p), scratch)
+        roots = scratch.table(groups.select(F.col("node").alias("num"), F.col("root").alias("key")), "roots")
+        sizes = scratch.table(roots.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
+        members = _dealt(roots.join(sizes, "key")).join(classes.select("num", "vec", "copies"), "num")
+        verified = scratch.table(_in_units(_by_unit(members), "num long, links long, reach long", _verified(p)), "verified")
+        links = verified.groupBy("num").agg(F.sum("links").alias("links"))
+        real = connected_components(verified.select(F.col("num").alias("a"), F.col("reach").alias("b")), scratch).withColumnRenamed("node", "num")
+        every = scratch.table(
+            classes.select("digest", "num", "vec_id", "copies").join(links, "num", "left").join(real, "num", "left")
+            .select("digest", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "num").alias("root")), "linked"
+        )
+        lowest = scratch.table(every.groupBy("root").agg(F.min("vec_id").alias("component_id")), "lowest")
+        found = scratch.table(every.join(lowest, "root").select("digest", "n_links", "component_id"), "found")
+        none = F.col("digest").isNull()
+        out = rows.select("vec_id", "digest").join(found, "digest", "left").select(
+            "vec_id",
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.when(none, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.when(none, F.lit(True)).otherwise(F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        )
+        return scratch.result(out, "near-vectors")
 
 
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,19 +217,74 @@ def test_one_of_each_group_stays(documents, rows, empty):
     assert jaccard_join.join(empty).count() == jaccard_join.keep_one(empty).count() == 0
 
 
-def test_prefix_is_shortened_until_the_recall():
+def test_prefixes_are_shortened_until_the_recall():
     p = jaccard_join.ForestParams()
     recall = lambda d: 1 - (1 - p.threshold**d) ** p.trees
-    assert recall(p.prefix) >= p.recall > recall(p.prefix + 1)
+    assert recall(p.floor) >= p.recall > recall(p.floor + 1)
+    assert p.depths[0] == p.label and p.depths[-1] == p.floor and p.depths == sorted({*p.depths}, reverse=True)
+    a, b = p.depths[:2]
+    assert p.recall_after(b, a, 0, 10**6) > p.recall > p.recall_after(b, a, 10**5, 10**6)  # nothing new: near enough; much new: on
+    for s in np.arange(p.threshold, 1, 0.01):  # what a similarity leaves behind for each new link is most at the threshold
+        left, was = p.missed(b, s), p.missed(a, s)
+        assert left / (was - left) <= p.missed(b, p.threshold) / (p.missed(a, p.threshold) - p.missed(b, p.threshold)) + 1e-12
 
 
-def test_isolated_pairs_at_the_threshold_share_a_band():
+def test_isolated_pairs_at_the_threshold_share_a_prefix():
     p, n = jaccard_join.ForestParams(), 10_000
     x = np.random.default_rng(4).integers(0, 1 << 63, (n, 100), dtype=np.uint64)  # 90 shingles each, 80 of them in both
     offsets = np.arange(n + 1) * 90
-    a, b = (jaccard_join.prefixes(np.ascontiguousarray(s).ravel(), offsets, p) for s in (x[:, :90], np.hstack([x[:, :80], x[:, 90:]])))
-    missed = int((~(a == b).any(axis=1)).sum())
-    assert missed <= 6, missed
+    a, b = (jaccard_join.labels(np.ascontiguousarray(s).ravel(), offsets, p) for s in (x[:, :90], np.hstack([x[:, :80], x[:, 90:]])))
+    for depth in p.depths:
+        shift = np.uint64(p.shift(depth))
+        missed = float((~((a >> shift) == (b >> shift)).any(axis=1)).mean())
+        assert missed <= 1.3 * p.missed(depth, 80 / 100) + 5e-4, (depth, missed)
+
+
+def chain(n, step=60, length=240, seed=9):
+    """Sets of which each shares length - step shingles with the next one: a similarity of 0.6 at these values."""
+    x = np.random.default_rng(seed).integers(0, 1 << 63, n * step + length, dtype=np.uint64)
+    return [np.sort(x[i * step : i * step + length]) for i in range(n)]
+
+
+def test_what_is_compared_in_a_chain_grows_with_its_length():
+    p = jaccard_join.ForestParams()
+
+    def compared(n):
+        sets = chain(n)
+        label = jaccard_join.labels(np.concatenate(sets), np.arange(n + 1) * 240, p).astype(np.int64)
+        x, y = jaccard_join.candidates(label, np.zeros(n, int), False, p.shift(p.floor), None)
+        links, *_ = jaccard_join.verify_unit([i.to_bytes(4, "big") for i in range(n)], np.ones(n), sets, x, y, p.threshold)
+        assert not links.any()
+        return len(x)
+
+    few, many = compared(100), compared(400)
+    assert 50 < few and many < 4.6 * few < 4.6 * 300
+
+
+def test_chained_texts_that_are_no_duplicates_are_all_kept(spark):
+    words = prose(77, 60 * 121).split()
+    words = [f"{w}{i}" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(i, " ".join(words[60 * i : 60 * i + 244])) for i in range(118)], "doc_id long, text string")
+    got = jaccard_join.join(docs, jaccard_join.ForestParams(block=8)).collect()
+    assert len(got) == 118 and all(r.kept and not r.n_links for r in got)
+
+
+def test_links_first_met_at_a_shorter_prefix_are_found(spark):
+    words = [f"{w}{i}" for i, w in enumerate(prose(78, 90_000).split())]
+    pairs = []
+    for i in range(150):  # 100 shingles or so, 11 of each lost on both sides: similarities about 0.8
+        text = words[600 * i : 600 * i + 104]
+        pairs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[11 + i % 3 :], *words[600 * i + 300 : 600 * i + 300 + i % 12]]))]
+    got = jaccard_join.join(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    want, _ = brute_links(pairs)
+    assert sum(want) > 100 and {r.doc_id: r.n_links for r in got} == dict(enumerate(want))
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1), (2, "a b c d e f", 2), (None, None, 3), (None, "x y", 4), (None, "x y", 4)], "doc_id long, text string, at int")
+    docs = docs.withColumn("id", F.lit("i")).withColumn("digest", F.lit("d")).withColumn("row", F.lit("r"))
+    got = jaccard_join.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r.at for r in got.collect()) == [1, 3, 4]
 
 
 # Personal data
@@ -499,14 +554,15 @@ def test_main_text_of_layouts(spark):
 # Embeddings
 
 
-def test_near_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{"block": 16}, {"block": 150, "hot": 160}])
+def test_near_vectors_equal_brute_force(spark, sizes):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 32))
     near = [base[i % 20] + 0.15 * rng.normal(size=32) for i in range(200)]
     vectors = [*base, *near, *base[:5], *[base[7]] * 12]
     data = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
     data += [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 32, 0), (1003, [float("nan")] * 32, 0), (1004, [None] * 32, 0), (1005, [1.0, 2.0], 0), (1006, [2.0, 4.0], 0), (None, data[0][1], 0), (3, data[3][1], 0)]
-    got = lattice.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), lattice.LatticeParams(block=16)).collect()
+    got = lattice.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), lattice.LatticeParams(**sizes)).collect()
     ok = [v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, _ in data]
     unit = [np.array(v) / np.linalg.norm(v) if k else None for (_, v, _), k in zip(data, ok)]
     link = [[j for j in range(len(data)) if i != j and ok[i] and ok[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i in range(len(data))]
@@ -540,6 +596,28 @@ def test_cells_find_isolated_pairs_in_every_dimension(dim, n):
         assert (own_a == np.roll(own_a, 1, axis=0)).mean() < 0.01
 
 
+def test_blocks_and_tables_follow_the_number_of_vectors():
+    p = lattice.LatticeParams()
+    assert [p.blocks(n) for n in (1_000, 50_000, 1_000_000)] == [1, 2, 3]
+    for n in (1_000, 50_000, 1_000_000):
+        assert p.tables(n) < p.tables(n, 1) < p.tables(n, 2)
+    a, b = isolated_pairs(np.random.default_rng(11), 64, 500)
+    for more in (0, 1):  # two and three blocks: recall of the cells as planned
+        (own_a, probes_a), (own_b, probes_b) = (lattice.cells(x, p.tables(50_000, more), 2 + more, p.scale) for x in (a, b))
+        meets = (own_a[:, :, None] == np.hstack([own_b, probes_b])[:, None, :]).any(axis=(1, 2)) | (probes_a[:, :, None] == own_b[:, None, :]).any(axis=(1, 2))
+        assert meets.mean() >= 0.97
+
+
+def test_sketches_of_near_vectors_are_near():
+    p = lattice.LatticeParams()
+    for dim in (8, 64, 768):
+        a, b = isolated_pairs(np.random.default_rng(dim), dim, 2_000)
+        x, y = lattice.sketches(a, p.sketch_bits), lattice.sketches(b, p.sketch_bits)
+        assert (np.bitwise_count(x ^ y).sum(axis=1) <= p.sketch_limit).mean() > 0.999
+        if dim > 8:
+            assert (np.bitwise_count(x ^ np.roll(x, 1, axis=0)).sum(axis=1) <= p.sketch_limit).mean() < 0.001
+
+
 def test_isolated_near_vectors_equal_brute_force_in_every_dimension(spark):
     rng = np.random.default_rng(5)
     data, want = [], {}
