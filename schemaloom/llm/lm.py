@@ -1,11 +1,12 @@
 """Language-model scores: unigram counts over the whole corpus and a log-bilinear model above them.
 
-Spark counts the words of all training documents, and the triples of classes (two words of context, one word)
-over the model's vocabulary, again of all of them. The log-bilinear model (context embeddings, a
-matrix for each position, target embeddings and biases) is trained in numpy with noise-contrastive estimation: each
-task takes its share of the triples, and after each round the parameters are averaged. Batched matrix
-products then give the normaliser of every context, so a token's probability is normalised: that of its
-class in its context, times, for the class of words outside the vocabulary, the word's smoothed share of it.
+Spark counts the words of all training documents; the most frequent ones, up to ``vocabulary``, are the model's. Sorted by
+count they fall in classes of ``class_size`` words, and a token's probability is that of its class times that of the word
+in its class, so each normaliser is exact and a product with some hundred rows. The log-bilinear model (context embeddings, a
+matrix for each of two positions, target embeddings and biases) is trained in numpy with noise-contrastive estimation, for
+classes and words alike: in each round every task walks over a share of all training tokens, and Spark averages
+the parameters by the tokens seen. Words outside the vocabulary are one word of the model, and share
+its probability by their smoothed counts.
 
 Frequent words (a share of ``frequent`` of all tokens at least, so at most 1/``frequent`` words, each of at most
 ``word_bytes`` bytes) are broadcast; the counts of the others come by a join on the word.
@@ -25,10 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import delete, written
+from schemaloom.llm.shared import Scratch
 from schemaloom.llm.text import slices, split_words, texts_of
 
 END = "\n"  # no word holds white space
@@ -37,14 +39,20 @@ OTHER_ID, END_ID = 0, 1
 
 @dataclass(frozen=True)
 class LmParams:
-    vocabulary: int = 256
-    size: int = 24
-    noise: int = 64
+    """``vocabulary``: words of the model at most, each met ``min_count`` times. ``rounds`` share all training tokens among them; a
+    task of a round takes about ``shard_tokens``, and goes over them more than once if they are fewer than ``least_steps`` batches."""
+
+    vocabulary: int = 16_384
+    class_size: int = 128
+    min_count: int = 5
+    size: int = 32
+    class_noise: int = 48
+    word_noise: int = 4
     rounds: int = 3
-    batch: int = 4096
-    rate: float = 0.3
-    least_steps: int = 400
-    shards: int = 4
+    batch: int = 2048
+    rate: float = 0.2
+    least_steps: int = 100
+    shard_tokens: int = 2_000_000
     frequent: float = 1e-6
     word_bytes: int = 64
 
@@ -106,164 +114,215 @@ def contexts(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, two
 
 
-def count_triples(texts: DataFrame, vocabulary: pa.Array, size: int) -> DataFrame:
-    """(triple, n): counts of (class two back, class one back, class)."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary.to_pylist())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(shared.value, pa.string())
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> pa.RecordBatch:
-            key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["triple", "n"])
-
-        for batch in slices(batches, "text", 4 << 20):
-            ids, offsets, *_ = class_ids(texts_of(batch, "text"), words)
-            one, two = contexts(ids, offsets)
-            held.append(np.unique((two * size + one) * size + ids, return_counts=True))
-            if sum(len(k) for k, _ in held) > 1_000_000:
-                yield merged()
-                held = []
-        if held:
-            yield merged()
-
-    return texts.select("text").mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
-
-
 Weights = dict[str, np.ndarray]
 
 
 def start(unigram: np.ndarray, p: LmParams) -> Weights:
+    """Weights before training: a word's bias is its share of its class, a class's bias its own share."""
     rng = np.random.default_rng(7)
     v, d = len(unigram), p.size
-    small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
+    group = np.arange(v) // p.class_size
+    share = np.bincount(group, unigram)
+    draw = lambda scale, *s: rng.normal(0, scale, s).astype(np.float32)
     eye = np.eye(d, dtype=np.float32)
-    return {"context": 3 * small(v, d), "first": eye.copy(), "second": 0.5 * eye, "target": small(v, d), "bias": np.log(np.maximum(unigram, 1e-9)).astype(np.float32)}
-
-
-def _row_sums(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Adds the rows of each part to those of a table of n rows that its index names."""
-    d = parts[0][1].shape[1]
-    cell = np.concatenate([(at[:, None] * d + np.arange(d)).ravel() for at, _ in parts])
-    return np.bincount(cell, np.concatenate([x.ravel() for _, x in parts]), n * d).reshape(n, d).astype(np.float32)
-
-
-def nce(weights: Weights, triples: np.ndarray, n: np.ndarray, unigram: np.ndarray, p: LmParams, seed: int) -> Weights:
-    """Noise-contrastive estimation with Adagrad: batches drawn from the triples in proportion to their counts,
-    about two for each batch of distinct ones; the noise is the unigram."""
-    w = {k: x.copy() for k, x in weights.items()}
-    grown = {k: np.full_like(x, 1e-2) for k, x in w.items()}
-    rng = np.random.default_rng(seed)
-    v, k = len(unigram), p.noise
-    log_noise = np.log(k * np.maximum(unigram, 1e-9)).astype(np.float32)
-    ends = np.cumsum(n)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    steps = max(p.least_steps, 2 * len(triples) // p.batch)
-    share = np.float32(1 / p.batch)
-    for step in range(steps):
-        rows = np.minimum(np.searchsorted(ends, rng.random(p.batch) * ends[-1], side="right"), len(n) - 1)
-        rate = p.rate * (1 - 0.9 * step / steps)
-        t = triples[rows]
-        target, one, two = t % v, t // v % v, t // (v * v)
-        noise = rng.choice(v, k, p=unigram)
+    return {
+        "context": draw(0.3, v, d), "first": eye.copy(), "second": 0.5 * eye, "target": draw(0.05, v, d), "class": draw(0.05, len(share), d),
+        "bias": np.log(np.maximum(unigram / share[group], 1e-9)).astype(np.float32), "class_bias": np.log(np.maximum(share, 1e-9)).astype(np.float32),
+    }
+
+
+def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indexes and, for each, the sum of its rows."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+class Trainer:
+    """Noise-contrastive estimation with Adagrad over batches of tokens. Noise classes are drawn for a batch from the unigram of
+    classes, noise words for a token from that of its class."""
+
+    def __init__(self, weights: Weights, unigram: np.ndarray, p: LmParams, seed: int):
+        self.w = {k: x.copy() for k, x in weights.items()}
+        self.grown = {k: np.ones_like(x) for k, x in self.w.items()}
+        self.p, self.rng = p, np.random.default_rng(seed)
+        self.ends = np.cumsum(unigram)
+        group = np.arange(len(unigram)) // p.class_size
+        self.share = np.bincount(group, unigram)
+        self.low = np.concatenate([[0.0], np.cumsum(self.share)])
+        self.log_class = np.log(p.class_noise * np.maximum(self.share, 1e-12)).astype(np.float32)
+        self.log_word = np.log(p.word_noise * np.maximum(unigram / self.share[group], 1e-12)).astype(np.float32)
+
+    def _move(self, name: str, at: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
+        self.grown[name][at] += g * g
+        self.w[name][at] -= np.float32(rate) * g / np.sqrt(self.grown[name][at])
+
+    def step(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, rate: float) -> None:
+        w, p = self.w, self.p
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        n, k = len(ids), p.word_noise
+        group = ids // p.class_size
+        draw = self.low[group][:, None] + self.rng.random((n, k)) * self.share[group][:, None]
+        noise = np.searchsorted(self.ends, draw.ravel(), side="right")
+        noise = np.clip(noise, np.repeat(group * p.class_size, k), np.minimum(np.repeat((group + 1) * p.class_size, k), len(self.ends)) - 1)
+        strange = self.rng.choice(len(self.share), p.class_noise, p=self.share)
         ra, rb = w["context"][one], w["context"][two]
         hidden = ra @ w["first"] + rb @ w["second"]
-        true = (hidden * w["target"][target]).sum(axis=1) + w["bias"][target]
-        false = hidden @ w["target"][noise].T + w["bias"][noise]
-        g_true = (sigmoid(true - log_noise[target]) - 1) * share
-        g_false = sigmoid(false - log_noise[noise]) * share
-        at_noise = w["target"][noise]
-        g_hidden = g_true[:, None] * w["target"][target] + g_false @ at_noise
-        grad = {
-            "target": _row_sums([(target, g_true[:, None] * hidden), (noise, g_false.T @ hidden)], v),
-            "bias": _row_sums([(target, g_true[:, None]), (noise, g_false.sum(axis=0)[:, None])], v)[:, 0],
-            "first": ra.T @ g_hidden, "second": rb.T @ g_hidden,
-            "context": _row_sums([(one, g_hidden @ w["first"].T), (two, g_hidden @ w["second"].T)], v),
-        }
-        for name, g in grad.items():
-            grown[name] += g * g
-            w[name] -= rate * g / np.sqrt(grown[name])
-    return w
-
-
-def train(triples: DataFrame, unigram: np.ndarray, p: LmParams) -> Weights:
-    """Rounds of side-by-side passes over the shards of the triples, weighted by their tokens and averaged."""
+        words = np.concatenate([ids[:, None], noise.reshape(n, k)], axis=1)
+        target = w["target"][words]
+        g = sigmoid(np.matmul(target, hidden[:, :, None])[:, :, 0] + w["bias"][words] - self.log_word[words])
+        g[:, 0] -= 1
+        g_true = sigmoid((hidden * w["class"][group]).sum(axis=1) + w["class_bias"][group] - self.log_class[group]) - 1
+        g_false = sigmoid(hidden @ w["class"][strange].T + w["class_bias"][strange] - self.log_class[strange])
+        g_hidden = np.matmul(g[:, None, :], target)[:, 0] + g_true[:, None] * w["class"][group] + g_false @ w["class"][strange]
+        both = np.concatenate([group, strange])
+        at, rows = _row_sums(both, np.concatenate([g_true[:, None] * hidden, g_false.T @ hidden]))
+        bias = np.bincount(both, np.concatenate([g_true, g_false.sum(axis=0)]), len(self.share)).astype(np.float32)[at]
+        moved = (hidden, ra, rb)
+        self._move("class", at, rows, rate)
+        self._move("class_bias", at, bias, rate)
+        flat = words.ravel()
+        at, rows = _row_sums(flat, (g[:, :, None] * moved[0][:, None, :]).reshape(-1, p.size))
+        self._move("target", at, rows, rate)
+        self._move("bias", at, np.bincount(flat, g.ravel(), len(self.ends)).astype(np.float32)[at], rate)
+        back = np.concatenate([g_hidden @ w["first"].T, g_hidden @ w["second"].T])
+        at, rows = _row_sums(np.concatenate([one, two]), back)
+        self._move("context", at, rows, rate)
+        self._move("first", slice(None), moved[1].T @ g_hidden, rate * 0.2)
+        self._move("second", slice(None), moved[2].T @ g_hidden, rate * 0.2)
+
+    def walk(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, rate: float) -> None:
+        """All tokens once, in a random order."""
+        order = self.rng.permutation(len(ids))
+        for i in range(0, len(ids), self.p.batch):
+            at = order[i : i + self.p.batch]
+            self.step(ids[at], one[at], two[at], rate)
+
+
+def flat(weights: Weights) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in weights.values()])
+
+
+def shaped(vector: np.ndarray, like: Weights) -> Weights:
+    edges = np.cumsum([0, *(x.size for x in like.values())])
+    return {k: vector[a:b].reshape(x.shape).astype(np.float32) for (k, x), a, b in zip(like.items(), edges, edges[1:])}
+
+
+_PARTS = 32
+
+
+def train(texts: DataFrame, vocabulary: pa.Array, unigram: np.ndarray, n_tokens: int, p: LmParams) -> Weights:
+    """Rounds of side-by-side walks over shares of all texts; after each round the parameters are averaged by tokens."""
     weights = start(unigram, p)
-    spark = triples.sparkSession
-    dealt, dealt_at = written(triples.withColumn("shard", F.pmod(F.xxhash64("triple"), F.lit(p.shards)).cast("int")).repartition(p.shards, "shard").sortWithinPartitions("shard", "triple"), "triples")
-    dealt = dealt.repartition(p.shards, "shard").sortWithinPartitions("shard", "triple")
-    names = list(weights)
+    if not n_tokens:
+        return weights
+    spark = texts.sparkSession
+    words = spark.sparkContext.broadcast(vocabulary.to_pylist())
+    shards = math.ceil(n_tokens / p.rounds / p.shard_tokens)
     for r in range(p.rounds):
         shared = spark.sparkContext.broadcast(weights)
 
         def fit(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            rows = [(b.column("shard").to_numpy(), b.column("triple").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-            if not rows:
+            known = pa.array(words.value, pa.string())
+            trainer = Trainer(shared.value, unigram, p, seed=1 + r * 1_000_003 + TaskContext.get().partitionId())
+            seen, held = 0, []
+            for batch in slices(batches, "text"):
+                ids, offsets, *_ = class_ids(texts_of(batch, "text"), known)
+                one, two = contexts(ids, offsets)
+                seen += len(ids)
+                rate = p.rate * (1 - 0.7 * (r + min(1.0, seen / p.shard_tokens)) / p.rounds)
+                if held is not None:
+                    held.append((ids, one, two))
+                    if seen >= p.least_steps * p.batch:
+                        held = None
+                trainer.walk(ids, one, two, rate)
+            if not seen:
                 return
-            shard, triple, n = (np.concatenate(x) for x in zip(*rows))
-            for s in np.unique(shard):
-                own = shard == s
-                w = nce(shared.value, triple[own], n[own].astype(np.float64), unigram, p, seed=r * p.shards + int(s))
-                flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([float(n[own].sum())]), pa.array([flat.tobytes()], pa.binary())], ["tokens", "weights"])
-
-        found = dealt.mapInArrow(fit, "tokens double, weights binary").collect()  # one row of fixed size for each shard
-        total = sum(x["tokens"] for x in found)
-        if not total:
-            break
-        flat = sum(np.frombuffer(x["weights"]) * (x["tokens"] / total) for x in sorted(found, key=lambda x: bytes(x["weights"])))
-        edges = np.cumsum([0, *(weights[k].size for k in names)])
-        weights = {k: flat[a:b].reshape(weights[k].shape).astype(np.float32) for k, a, b in zip(names, edges, edges[1:])}
-    delete(spark, dealt_at)
+            for again in range(math.ceil(p.least_steps * p.batch / seen) - 1 if held else 0):
+                for part in held:
+                    trainer.walk(*part, p.rate * (1 - 0.7 * (r + (1 + again) * seen / (p.least_steps * p.batch)) / p.rounds))
+            parts = np.array_split(flat(trainer.w).astype("<f4"), _PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([float(seen)] * _PARTS), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "tokens", "weights"])
+
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, list] = {}
+            for batch in batches:
+                for part, tokens, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                    sums = total.setdefault(part, [0.0, 0.0])
+                    sums[0] += tokens
+                    sums[1] = sums[1] + tokens * np.frombuffer(raw, "<f4").astype(np.float64)
+            for part, (tokens, sums) in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens]), pa.array([(sums / tokens).astype("<f4").tobytes()], pa.binary())], ["part", "tokens", "weights"])
+
+        own = texts.filter(F.pmod(F.xxhash64("text"), F.lit(p.rounds)) == r).select("text").coalesce(shards)
+        schema = "part int, tokens double, weights binary"
+        found = own.mapInArrow(fit, schema).repartition(_PARTS, "part").mapInArrow(average, schema).collect()  # one set of weights, whatever the input
+        if found:
+            weights = shaped(np.concatenate([np.frombuffer(x["weights"], "<f4") for x in sorted(found, key=lambda x: x["part"])]), weights)
     return weights
 
 
-def tables(weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score parts by (class, one back) and (class, two back), and the log normaliser of (one, two back)."""
-    w = {k: x.astype(np.float64) for k, x in weights.items()}
-    one = (w["context"] @ w["first"]) @ w["target"].T + w["bias"]
-    two = (w["context"] @ w["second"]) @ w["target"].T
-    norm = np.empty((len(one), len(one)))
-    for i in range(len(one)):  # every second word at once
-        s = one[i] + two
+def log_probabilities(weights: Weights, ids: np.ndarray, one: np.ndarray, two: np.ndarray, p: LmParams, most: int = 1 << 15) -> np.ndarray:
+    """Natural log probability of each token in its context, normalised over all classes and the words of its class."""
+    w = weights
+    hidden = (w["context"] @ w["first"])[one] + (w["context"] @ w["second"])[two]
+    group = ids // p.class_size
+    out = np.empty(len(ids))
+
+    def normalised(rows: np.ndarray, table: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+        s = hidden[rows] @ table.T + bias
         high = s.max(axis=1)
-        norm[i] = high + np.log(np.exp(s - high[:, None]).sum(axis=1))
-    return one, two, norm
+        return s[np.arange(len(rows)), own] - high - np.log(np.exp(s - high[:, None]).sum(axis=1))
+
+    for i in range(0, len(ids), most):
+        rows = np.arange(i, min(i + most, len(ids)))
+        out[rows] = normalised(rows, w["class"], w["class_bias"], group[rows])
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(len(w["class"]) + 1))
+    for g, (a, b) in enumerate(zip(edges, edges[1:])):
+        at = slice(g * p.class_size, (g + 1) * p.class_size)
+        for i in range(a, b, most):
+            rows = order[i : min(i + most, b)]
+            out[rows] += normalised(rows, w["target"][at], w["bias"][at], ids[rows] - g * p.class_size)
+    return out
 
 
 def score(documents: DataFrame, params: LmParams = LmParams()) -> DataFrame:
-    """One row per document: fold, token counts, unigram score and model score, in log10."""
+    """One row per document: fold, token counts, unigram score and model score, in log10. A table in the shared folder."""
+    with Scratch(documents.sparkSession) as scratch:
+        return scratch.result(_scored(documents, params, scratch), "scores")
+
+
+def _scored(documents: DataFrame, p: LmParams, scratch: Scratch) -> DataFrame:
     spark = documents.sparkSession
-    p = params
     learned = documents.filter(fold(F.col("doc_id")) != 1)
-    counts, counts_at = written(count_words(learned), "words")
+    counts = scratch.table(count_words(learned), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_words = total["n"], total["v"]
     all_mass = n_tokens + 0.5 * (n_words + 1)
     small = F.octet_length("word") <= p.word_bytes
-    top = counts.filter(small & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(p.vocabulary - 2).collect()
+    top = counts.filter(small & (F.col("word") != END) & (F.col("c") >= p.min_count)).orderBy(F.desc("c"), "word").limit(p.vocabulary - 2).collect()
     vocabulary = pa.array([x["word"] for x in top], pa.string())
-    size = len(top) + 2
     ends = counts.filter(F.col("word") == END).first()
     mass = np.array([0.0, ends["c"] + 0.5 if ends else 0.5, *(x["c"] + 0.5 for x in top)])
     other_mass = all_mass - mass.sum()  # of all words outside the vocabulary, unseen ones included
     mass[OTHER_ID] = other_mass
-    weights = train(count_triples(learned, vocabulary, size), mass / mass.sum(), p)
+    weights = train(learned, vocabulary, mass / mass.sum(), n_tokens, p)
     frequent = counts.filter(small & (F.col("c") >= math.ceil(max(1, n_tokens * p.frequent)))).select("word", "c").toArrow()
-    shared = spark.sparkContext.broadcast((vocabulary.to_pylist(), frequent["word"].combine_chunks(), frequent["c"].to_numpy(), *tables(weights)))
+    known = dict(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist())) | {x["word"]: x["c"] for x in top}  # the model's words are never joined
+    shared = spark.sparkContext.broadcast((vocabulary.to_pylist(), pa.array(known, pa.string()), np.array([*known.values()], np.int64), weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of_model, known, c, one_back, two_back, norm = shared.value
+        words_of_model, known, c, weights = shared.value
         words_of_model = pa.array(words_of_model, pa.string())
         log_c = np.append(np.log10(c + 0.5), 0.0)  # the last for words that are not frequent
         log_end = math.log10(mass[END_ID])
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             texts = texts_of(batch, "text")
             ids, offsets, codes, word_offsets, words = class_ids(texts, words_of_model)
             one, two = contexts(ids, offsets)
-            logp = one_back[one, ids] + two_back[two, ids] - norm[one, two]
+            logp = log_probabilities(weights, ids, one, two, p)
             at = pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), len(c)).to_numpy(zero_copy_only=False)
             inner = np.ones(len(ids), bool)
             inner[offsets[1:] - 1] = False
@@ -292,7 +351,7 @@ def score(documents: DataFrame, params: LmParams = LmParams()) -> DataFrame:
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    parts, _ = written(
+    parts = scratch.table(
         documents.select("doc_id", "text").mapInArrow(
             run, f"doc_id {kind}, key binary, n_tokens long, n_rare long, base_part double, class_part double, other_part double, n_other long, words array<string>, times array<long>"
         ), "scored"
@@ -301,8 +360,7 @@ def score(documents: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     found = rare.join(counts, "word", "left").select("key", (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("s"), F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("known"))
     sums = found.groupBy("key").agg(F.sum("s").alias("s"), F.sum("known").alias("known"))
     copies = parts.groupBy("key").agg(F.count("*").alias("copies"))  # equal texts have given their words more than once
-    per_text, _ = written(copies.join(sums, "key", "left").select("key", (F.coalesce("s", F.lit(0.0)) / F.col("copies")).alias("s"), F.floor(F.coalesce("known", F.lit(0)) / F.col("copies")).alias("known")), "sums")
-    delete(spark, counts_at)
+    per_text = scratch.table(copies.join(sums, "key", "left").select("key", (F.coalesce("s", F.lit(0.0)) / F.col("copies")).alias("s"), F.floor(F.coalesce("known", F.lit(0)) / F.col("copies")).alias("known")), "sums")
     docs = parts.drop("words", "times").join(per_text, "key")
     return docs.select(
         "doc_id",

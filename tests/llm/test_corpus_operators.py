@@ -252,9 +252,9 @@ def test_what_is_compared_in_a_chain_grows_with_its_length():
     def compared(n):
         sets = chain(n)
         label = jaccard_join.labels(np.concatenate(sets), np.arange(n + 1) * 240, p).astype(np.int64)
-        x, y = jaccard_join.candidates(label, np.zeros(n, int), False, p.shift(p.floor), None)
-        links, *_ = jaccard_join.verify_unit([i.to_bytes(4, "big") for i in range(n)], np.ones(n), sets, x, y, p.threshold)
-        assert not links.any()
+        x, y, whole = jaccard_join.candidates(label, np.zeros(n, int), False, p.shift(p.floor), None)
+        links, *_ = jaccard_join.verify_unit(np.arange(n), np.ones(n), sets, x, y, p.threshold)
+        assert not links.any() and not whole
         return len(x)
 
     few, many = compared(100), compared(400)
@@ -499,7 +499,7 @@ def test_bands_keep_clean_text(lang):
 
 
 def test_unigram_scores_equal_brute_force(documents, rows, empty):
-    params = lm.LmParams(vocabulary=16, size=4, noise=8, rounds=1, least_steps=20, frequent=0.02)
+    params = lm.LmParams(vocabulary=16, class_size=4, min_count=1, size=4, rounds=1, least_steps=4, frequent=0.02)
     got = lm.score(documents, params).collect()
     assert len(got) == len(rows)
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -515,18 +515,66 @@ def test_unigram_scores_equal_brute_force(documents, rows, empty):
     assert lm.score(empty, params).count() == 0
 
 
+def plain_log_probability(w, word, one, two, p):
+    """The model's formula for one token, all classes and words of the class written out."""
+    hidden = w["context"][one] @ w["first"] + w["context"][two] @ w["second"]
+    of_class = [math.exp(hidden @ t + b) for t, b in zip(w["class"], w["class_bias"])]
+    c = word // p.class_size
+    in_class = {i: math.exp(hidden @ w["target"][i] + w["bias"][i]) for i in range(c * p.class_size, min((c + 1) * p.class_size, len(w["bias"])))}
+    return math.log(of_class[c] / sum(of_class)) + math.log(in_class[word] / sum(in_class.values()))
+
+
+def test_model_scores_equal_brute_force(documents, rows, monkeypatch):
+    p = lm.LmParams(vocabulary=30, class_size=7, min_count=1, size=5, frequent=0.02)
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    tokens = [[*words_of(low(r[1])), "\n"] for r in rows]
+    c = collections.Counter()
+    for r, t in zip(rows, tokens):
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1:
+            c.update(t)
+    top = sorted((x for x in c if x != "\n" and len(x.encode()) <= p.word_bytes), key=lambda x: (-c[x], x))[:28]
+    number = {"\n": 1} | {x: i + 2 for i, x in enumerate(top)}
+    all_mass = sum(c.values()) + 0.5 * (len(c) + 1)
+    other = all_mass - sum(c[x] + 0.5 for x in number)
+    rng = np.random.default_rng(4)
+    weights = {k: rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in lm.start(np.full(30, 1 / 30), p).items()}
+    monkeypatch.setattr(lm, "train", lambda *_: weights)
+    got = collections.Counter((r.doc_id, r.n_tokens, round(r.score, 2)) for r in lm.score(documents, p).collect())
+    want = collections.Counter()
+    seen = {}
+    for r, t in zip(rows, tokens):
+        ids = [1, 1, *(number.get(x, 0) for x in t)]
+        total = 0.0
+        for x, two, one, word in zip(t, ids, ids[1:], ids[2:]):
+            key = (word, one, two)
+            seen[key] = seen.get(key) or plain_log_probability(weights, *key, p)
+            total += seen[key] / math.log(10) + (math.log10((c[x] + 0.5) / other) if not word else 0)
+        want[r[0], len(t), round(total, 2)] += 1
+    near = sum(min(n, sum(m for k, m in got.items() if k[:2] == key[:2] and abs(k[2] - key[2]) <= 0.011 + 1e-6 * abs(key[2]))) for key, n in want.items())
+    assert near == len(rows) == sum(got.values()), (sorted(got, key=str)[:8], sorted(want, key=str)[:8])
+
+
 def test_model_probabilities_are_normalised_and_learn_context():
     rng = np.random.default_rng(1)
-    ids = rng.integers(2, 6, 20_000)
-    ids[1::2] = (ids[::2] - 2 + 1) % 4 + 2  # each second word follows from the one before
+    ids = rng.integers(2, 10, 20_000)
+    ids[1::2] = (ids[::2] - 2 + 1) % 8 + 2  # each second word follows from the one before
     one, two = lm.contexts(ids, np.array([0, len(ids)]))
-    triples, n = np.unique((two * 6 + one) * 6 + ids, return_counts=True)
-    unigram = (np.bincount(ids, minlength=6) + 0.5) / (len(ids) + 3)
-    p = lm.LmParams(size=8, noise=6, batch=256, least_steps=400)
-    a, b, norm = lm.tables(lm.nce(lm.start(unigram, p), triples, n.astype(float), unigram, p, 0))
-    logp = a[:, None, :] + b[None, :, :] - norm[:, :, None]
-    assert np.allclose(np.exp(logp).sum(axis=2), 1)
-    assert logp[one, two, ids].mean() > np.log(unigram[ids]).mean() + 0.2
+    unigram = (np.bincount(ids, minlength=10) + 0.5) / (len(ids) + 5)
+    p = lm.LmParams(size=8, class_size=4, class_noise=3, batch=256)
+    trainer = lm.Trainer(lm.start(unigram, p), unigram, p, 0)
+    for _ in range(6):
+        trainer.walk(ids, one, two, p.rate)
+    whole = np.stack([lm.log_probabilities(trainer.w, np.full(len(ids), x), one, two, p) for x in range(10)])
+    assert np.allclose(np.exp(whole).sum(axis=0), 1, atol=1e-4)
+    assert whole[ids, np.arange(len(ids))].mean() > np.log(unigram[ids]).mean() + 0.5
+
+
+def test_model_is_better_than_the_unigram_on_held_out_documents(spark):
+    rng = np.random.default_rng(3)
+    tongues = [[f"{a}{w}" for w in WORDS] for a in "abcd"]  # four languages, no word in two of them
+    docs = [(i, " ".join(rng.choice(tongues[i % 4], 120))) for i in range(800)]
+    got = lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), lm.LmParams(class_size=32, rounds=2, shard_tokens=20_000)).filter("held_out").collect()
+    assert len(got) > 100 and sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
 
 
 # HTML extraction
