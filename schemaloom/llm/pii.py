@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers behind disguises found by offset-preserving transducers.
 
-The transducer rewrites homoglyphs, zero-width characters, letters that stand for digits between digits, spelled digits,
-character references and at/dot disguises, and keeps
+The transducer rewrites homoglyphs, zero-width characters, letters that stand for digits between digits, digits spelled in
+English, German, Spanish or French, character references and at/dot disguises, and keeps
 for each character of the rewritten text the span it came from; the same patterns then run over the
 rewritten text and their matches are mapped back. Only matches that touch a rewritten place are added, and numbers
 that run on into other digits, so base spans stay as they are. One pass over the documents, no shuffle.
@@ -92,31 +92,38 @@ _LOOKALIKE |= dict.fromkeys("․。｡", ".") | {"﹫": "@", "﹢": "+"} | dict.
 _UNSEEN = "­​‌‍⁠﻿"
 # Digits as they are spelled.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+_SPELLED |= {"null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+_SPELLED |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+_SPELLED |= {"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
+# The marks of an address as words.
+_AT, _DOT, _PLUS = ("at", "arroba", "arobase"), ("dot", "punkt", "punto", "point"), ("plus", "más")
 
 # Characters written as references or escapes.
 _WRITTEN = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
 
-_WORD = "|".join(_SPELLED)
+_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
+_AT_WORD, _DOT_WORD, _PLUS_WORD = map("|".join, (_AT, _DOT, _PLUS))
 _GLYPHS = re.escape("".join(sorted({*_LOOKALIKE, *_UNSEEN})))
 _CODES = "|".join(map(re.escape, _WRITTEN))
-_MARK = r"at|dot|@|\."
+_MARK = rf"{_AT_WORD}|{_DOT_WORD}|@|\."
 _GAP = r"(?:[\s]*[,‐‑‒–—−-][\s]*|[\s]+)"  # between spelled digits
 _RUN = r"(?<![\t-\r ])\s++"  # blanks from their first one on, so long runs of them take linear time
 _HARD = rf"[(\[{{<][\s]*(?:{_MARK})[\s]*[)\]}}>]"
 _REWRITE = re.compile(
-    rf"(?P<glyph>[{_GLYPHS}])|(?P<code>{_CODES})|(?P<hard>(?:{_RUN})?(?P<what>{_HARD})\s*)|(?P<soft>(?:{_RUN}|[_-])(?P<which>at|dot)(?:\s+|[_-]))"
-    rf"|(?P<run>(?P<after>(?<=[0-9]){_GAP})?\b(?:plus\s+)?(?:{_WORD})(?:(?:{_GAP}|\s+dot\s+)(?:{_WORD}))*\b(?P<before>{_GAP}(?=[0-9]))?)"
+    rf"(?P<glyph>[{_GLYPHS}])|(?P<code>{_CODES})|(?P<hard>(?:{_RUN})?(?P<what>{_HARD})\s*)|(?P<soft>(?:{_RUN}|[_-])(?P<which>{_AT_WORD}|{_DOT_WORD})(?:\s+|[_-]))"
+    rf"|(?P<run>(?P<after>(?<=[0-9]){_GAP})?\b(?:(?:{_PLUS_WORD})\s+)?(?:{_WORD})(?:(?:{_GAP}|\s+(?:{_DOT_WORD})\s+)(?:{_WORD}))*\b(?P<before>{_GAP}(?=[0-9]))?)"
     r"|(?P<mixed>(?-i:(?<![A-Za-z0-9])[0-9OoIl]+(?:[ .-][0-9OoIl]+)*(?![A-Za-z0-9])))"
     r"|(?P<round>(?<=[0-9])[OoIl](?=[0-9 .-])|(?<=[0-9][ .-])[OoIl](?=[0-9]))",
     re.IGNORECASE,
 )
-_PIECE = re.compile(rf"(?P<digit>{_WORD})|(?P<dot>\s+dot\s+)|(?P<plus>plus\s+)|(?P<gap>{_GAP})", re.IGNORECASE)
+_PIECE = re.compile(rf"(?P<digit>{_WORD})|(?P<dot>\s+(?:{_DOT_WORD})\s+)|(?P<plus>(?:{_PLUS_WORD})\s+)|(?P<gap>{_GAP})", re.IGNORECASE)
 _GROUP = re.compile(r"[0-9OoIl]+")
+_ONLY = re.compile(r"[\W_]+")
 #: Texts that can hold a disguise at all: what starts each rule of _REWRITE, without lookbehind, since RE2 looks for it over
 #: the whole batch. A plain at needs a dotted domain behind it, or a second disguise, which is found by its own rule.
 _TRIGGER = (
-    rf"[{_GLYPHS}]|(?i:{_CODES}|{_HARD}|[\s_-]dot[\s_-]|[\s_-]at(?:[\s]+|[_-])[a-z0-9-]+\.[a-z0-9-]"
-    rf"|\b(?:{_WORD})(?:{_GAP}|[\s]+dot[\s]+)(?:{_WORD})\b|[0-9]{_GAP}(?:{_WORD})\b|\b(?:{_WORD}){_GAP}[0-9]|\bdot[\s]+(?:{_WORD})\b)"
+    rf"[{_GLYPHS}]|(?i:{_CODES}|{_HARD}|[\s_-](?:{_DOT_WORD})[\s_-]|[\s_-](?:{_AT_WORD})(?:[\s]+|[_-])[a-z0-9-]+\.[a-z0-9-]"
+    rf"|\b(?:{_WORD})(?:{_GAP}|[\s]+(?:{_DOT_WORD})[\s]+)(?:{_WORD})\b|[0-9]{_GAP}(?:{_WORD})\b|\b(?:{_WORD}){_GAP}[0-9]|\b(?:{_DOT_WORD})[\s]+(?:{_WORD})\b)"
     r"|[0-9][ .-]?[OoIl]+(?:[^A-Za-z]|$)|(?:^|[^A-Za-z])[OoIl]+[ .-]?[0-9]|[0-9][OoIl]+[0-9]"
 ).replace(r"\s", r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")  # blanks as Python has them
 #: Before or around an address whose only disguise is a plain at.
@@ -180,13 +187,13 @@ def rewrite(text: str, bold: bool = False) -> tuple[str, list[int], list[int], l
             copy(a, m.end())
             gone = False
         elif m["hard"]:
-            put("@" if "at" in m["what"].lower() or "@" in m["what"] else ".", m.start(), m.end(), "hard")
+            put("@" if "@" in m["what"] or _ONLY.sub("", m["what"]).lower() in _AT else ".", m.start(), m.end(), "hard")
         elif m["soft"]:
-            kind = "hard" if m[0][0] == m[0][-1] == "_" else "soft" + m["which"].lower()
-            put("@" if m["which"].lower() == "at" else ".", m.start(), m.end(), kind)
+            at = m["which"].lower() in _AT
+            put("@" if at else ".", m.start(), m.end(), "hard" if m[0][0] == m[0][-1] == "_" else "softat" if at else "softdot")
         else:
             pieces = list(_PIECE.finditer(text, m.end("after") if m["after"] else m.start(), m.start("before") if m["before"] else m.end()))
-            beside = m["after"] or m["before"] or text[max(0, m.start() - 4) : m.start()].lower().strip() == "dot"
+            beside = m["after"] or m["before"] or text[max(0, m.start() - 6) : m.start()].lower().strip().endswith(_DOT)
             if sum(x["digit"] is not None for x in pieces) < 2 and not (bold and beside):
                 copy(m.start(), m.end())
                 gone = False
@@ -201,9 +208,24 @@ def rewrite(text: str, bold: bool = False) -> tuple[str, list[int], list[int], l
     return "".join(out), start, end, how
 
 
+class _Taken:
+    """The characters of a text that some span covers."""
+
+    def __init__(self, size: int, spans: list[Span]):
+        self.covered = bytearray(size)
+        for _, a, b in spans:
+            self.add(a, b)
+
+    def add(self, a: int, b: int) -> None:
+        self.covered[a:b] = b"\1" * (b - a)
+
+    def free(self, a: int, b: int) -> bool:
+        return self.covered.find(1, a, b) < 0
+
+
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that show only in the rewritten text, as spans of the source text."""
-    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    taken = {k: _Taken(len(text), [x for x in base if x[0] == k]) for k in KINDS}
     found = []
     seen = None
     for bold in (False, True):
@@ -217,9 +239,9 @@ def disguised_spans(text: str, base: list[Span]) -> list[Span]:
                 s, e = start[a], end[b - 1]
                 if not used or kind == "email" and used <= {"softat"} and not _CUE.search(text, max(0, s - 20), s) or kind != "email" and used & {"softat"}:
                     continue  # nothing rewritten, or a plain "at" without any other sign of an address
-                if all(e <= x or s >= y for x, y in taken[kind]):
+                if taken[kind].free(s, e):
                     found.append((kind, s, e))
-                    taken[kind].append((s, e))
+                    taken[kind].add(s, e)
     return found
 
 
@@ -231,11 +253,7 @@ def run_on_spans(text: str, base: list[Span]) -> list[Span]:
     """Card and phone numbers inside matches that were too long: a card number set off by separators, a phone number up to
     the last group of digits that leaves it valid."""
     found: list[Span] = []
-    taken = [(a, b) for _, a, b in base]
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
-
+    free = _Taken(len(text), base).free
     for m in _CARD.finditer(text):
         if len(m[0]) > 19 and free(*m.span()):
             for x in _RUN_CARD.finditer(text, m.start(), m.end()):
