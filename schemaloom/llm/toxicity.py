@@ -1,6 +1,6 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Training takes a bounded sample of labelled documents (``sample_rows``, a documented parameter) and runs
+Training takes a bounded sample of labelled documents (``sample_rows`` and ``sample_bytes``, documented parameters) and runs
 FTRL-proximal with per-coordinate rates in one task, or in some shards whose weights are averaged by a
 Spark aggregation. L1 leaves only some thousands of weights, which are broadcast.
 Scoring is one pass over the documents without any shuffle.
@@ -33,7 +33,8 @@ _BIAS = np.uint32(0xFFFFFFFF)
 @dataclass(frozen=True)
 class FtrlParams:
     """``sample_rows`` bounds the labelled documents used to fit, all ``shards`` together; their weights
-    are averaged. A feature is learned if ``min_documents`` of a shard's sample have it."""
+    are averaged. Texts over ``text_bytes`` are not learned from, nor those of a shard past its ``sample_bytes``; scored are all. A
+    feature is learned if ``min_documents`` of a shard's sample have it."""
 
     alpha: float = 1.0
     beta: float = 1.0
@@ -42,6 +43,8 @@ class FtrlParams:
     epochs: int = 6
     shards: int = 1
     sample_rows: int = 12288
+    sample_bytes: int = 128 << 20
+    text_bytes: int = 1 << 20
     min_documents: int = 3
 
 
@@ -76,7 +79,7 @@ def _seen(texts: list[str]) -> Iterator[np.ndarray]:
 
 def _fit_shard(texts: list[str], labels: np.ndarray, p: FtrlParams) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint32((1 << 24) - 1)
-    count = np.zeros(1 << 24, np.uint16)
+    count = np.zeros(1 << 24, np.uint32)
     for x in _seen(texts):
         count[x & low] += 1
     rows = [x[count[x & low] >= p.min_documents] for x in _seen(texts)]
@@ -112,6 +115,7 @@ def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlPara
     )
     rows = (
         documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .filter(F.octet_length("text") <= params.text_bytes)
         .join(F.broadcast(sample), "doc_id")  # sample_rows rows at most
         .groupBy("doc_id", "at", "y").agg(F.min("text").alias("text"))  # an id may be repeated very often
         .withColumn("shard", F.pmod("at", F.lit(params.shards)).cast("int"))
@@ -121,10 +125,14 @@ def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlPara
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, tuple[list, list]] = {}
+        size: dict[int, int] = {}
         for batch in batches:
-            for s, t, y in zip(*(c.to_pylist() for c in batch.columns)):
-                shards.setdefault(s, ([], []))[0].append(t)
-                shards[s][1].append(y)
+            for part in slices([batch], "text"):
+                for s, t, y in zip(*(c.to_pylist() for c in part.columns)):
+                    size[s] = size.get(s, 0) + len(t.encode())
+                    if size[s] <= params.sample_bytes:
+                        shards.setdefault(s, ([], []))[0].append(t)
+                        shards[s][1].append(y)
         for texts, ys in shards.values():
             index, w = _fit_shard(texts, np.array(ys, dtype=float), params)
             yield pa.RecordBatch.from_arrays([pa.array(index.astype(np.int64)), pa.array(w)], ["feature", "w"])
