@@ -8,7 +8,7 @@ _P = UrlParams()
 _FITS = lambda rule: (lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')")(*rule.split("/", 1))
 _LONGEST = sorted(_P.listed, key=lambda x: -len(x[1]))
 
-#: Item sets are enumerated page by page; the rules are those of FP-growth with one consequent.
+#: Item sets are enumerated page by page; the rules are those of FP-growth with one consequent. Tokens of equal rows are one item.
 URL_RULES = f"""
 WITH cut AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 parts AS (SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -19,11 +19,14 @@ tok AS (SELECT page_id, url, host, path, list_distinct(list_concat(
     list_transform(list_filter(list_transform(string_split(path, '/'), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')), lambda x: x <> ''), lambda x: 'p:' || x),
     list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'q:' || x))) AS items FROM parts),
 label AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-page AS (SELECT row_number() OVER () AS r, bad, items FROM tok JOIN label ON page_id = doc_id),
+page AS MATERIALIZED (SELECT row_number() OVER () AS r, bad, items FROM tok JOIN label ON page_id = doc_id),
+page_bad AS (SELECT r, bad FROM page),
 size AS (SELECT count(*) AS n, avg(bad) AS base, greatest({_P.min_count}, ceil({_P.min_support} * count(*))) AS least FROM page),
-item AS (SELECT token, avg(bad) AS share FROM (SELECT unnest(items) AS token, bad FROM page) GROUP BY 1 HAVING count(*) >= (SELECT least FROM size)),
-basket AS (SELECT r, bad, list(token ORDER BY -share, token)[1:{_P.most_items}] AS items FROM (SELECT r, bad, unnest(items) AS token FROM page) JOIN item USING (token) GROUP BY 1, 2),
-sets AS (SELECT bad, list_sort(list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS ante FROM (SELECT bad, items, unnest(range(1, 1 << len(items))) AS m FROM basket)),
+each AS (SELECT r, unnest(items) AS token FROM page),
+item AS (SELECT token, list(r ORDER BY r) AS rows FROM each GROUP BY 1 HAVING count(*) >= (SELECT least FROM size) AND count(*) < (SELECT n FROM size)),
+merged AS (SELECT rows, list(token ORDER BY token) AS members FROM item GROUP BY 1),
+basket AS (SELECT r, bad, coalesce(items, []) AS items FROM page_bad LEFT JOIN (SELECT r, list(members) AS items FROM (SELECT unnest(rows) AS r, members FROM merged) GROUP BY 1) USING (r)),
+sets AS (SELECT bad, list_sort(flatten(list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1))) AS ante FROM (SELECT bad, items, unnest(range(1, 1 << len(items))) AS m FROM basket)),
 rule AS (SELECT ante, array_to_string(ante, ' ') AS pattern, sum(bad) / count(*)::DOUBLE AS confidence FROM sets GROUP BY 1
   HAVING sum(bad) >= (SELECT least FROM size) AND sum(bad) / count(*)::DOUBLE >= {_P.min_confidence} AND sum(bad) / count(*)::DOUBLE / (SELECT base FROM size) >= {_P.min_lift}),
 best AS (SELECT url, max(struct_pack(confidence := confidence, pattern := pattern)) AS m FROM (SELECT DISTINCT url, items FROM tok WHERE url IS NOT NULL) JOIN rule ON list_has_all(items, ante) GROUP BY 1)

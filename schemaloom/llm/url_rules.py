@@ -1,16 +1,16 @@
 """URL filters: listed rules first, then association rules that FP-growth mines from labelled pages.
 
 A page is bad if its label says low quality or toxic. The tokens of labelled urls (host labels, domain, path
-segments, query keys) are items, badness is one more, and FP-growth finds the token combinations that imply it.
+segments, query keys) are items, badness is one more, and FP-growth finds the token combinations that imply it. Tokens that
+always occur together are one item, and one that every labelled url has is none: neither changes what a rule says.
 Rules are pruned by support, confidence and lift. For matching, each rule is filed under its rarest token;
 the tokens of each distinct url look up that inverted index, and a rule fires if the url has all its
 tokens. DataFrame functions and the JVM's FP-growth only.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and no tokens, so it is allowed
 unless a listed rule says else; no labelled pages, no mined rules; repeated urls are matched once and joined
-back; repeated or null page ids are rows of their own; several labels of a page count as bad if any is;
-only ``most_items`` tokens of a labelled url, those that go most often with badness, are mined, matching
-uses all tokens; other columns are not read.
+back; repeated or null page ids are rows of their own; several labels of a page count as bad if any is; of rules of equal
+confidence the one whose tokens sort last is told; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.llm.shared import Scratch
+
 BAD = "@bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,7 +39,6 @@ class UrlParams:
     min_count: int = 10
     min_confidence: float = 0.6
     min_lift: float = 1.5
-    most_items: int = 12
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,23 +74,28 @@ def mine(pages: DataFrame, labels: DataFrame, p: UrlParams = UrlParams()) -> Dat
     """(antecedent, confidence, support, lift, token): the pruned rules, each with its rarest token."""
     spark = pages.sparkSession
     bad = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")).filter("bad IS NOT NULL AND doc_id IS NOT NULL")
-    page = pages.select("page_id", "url").join(bad, F.col("page_id") == F.col("doc_id")).select("page_id", "bad", tokens(F.col("url")).alias("items"))
-    item = page.select(F.explode("items").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.avg("bad").alias("share"))
-    n = page.count()
-    least = max(p.min_count, math.ceil(p.min_support * n))
-    often = item.filter(F.col("n") >= least)
-    if n < least:
-        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double, token string")
-    kept = F.collect_list(F.when(F.col("share").isNotNull(), F.struct((-F.col("share")).alias("s"), "token")))
-    baskets = (
-        page.withColumn("row", F.monotonically_increasing_id()).select("row", "bad", F.explode_outer("items").alias("token")).join(often, "token", "left")
-        .groupBy("row", "bad").agg(F.sort_array(kept)["token"].alias("items"))
-        .select(F.concat(F.slice("items", 1, p.most_items), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    )
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=p.min_confidence).fit(baskets)
-    rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") >= p.min_lift)).select("antecedent", "confidence", "support", "lift")
-    rarest = rules.select("antecedent", F.explode("antecedent").alias("token")).join(often, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    return rules.join(rarest, "antecedent")
+    page = pages.select("page_id", "url").join(bad, F.col("page_id") == F.col("doc_id")).select("bad", tokens(F.col("url")).alias("items"), F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+    with Scratch(spark) as scratch:  # rows are numbered once
+        page = scratch.table(page, "labelled")
+        n = page.count()
+        least = max(p.min_count, math.ceil(p.min_support * n))
+        if n < least:
+            return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double, token string")
+        entries = page.select("row", F.explode("items").alias("token"))
+        item = entries.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("rows"))
+        often = scratch.table(item.filter((F.col("n") >= least) & (F.col("n") < n)), "items")
+        merged = often.groupBy("n", "rows").agg(F.sort_array(F.collect_list("token")).alias("members"))  # of one url at most
+        merged = scratch.table(merged.select(F.col("members")[0].alias("item"), "members"), "merged")
+        firsts = entries.join(merged.select(F.col("item").alias("token")), "token")
+        baskets = page.select("row", "bad").join(firsts.groupBy("row").agg(F.collect_list("token").alias("items")), "row", "left")
+        badness = F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+        baskets = baskets.select(F.concat(F.coalesce("items", F.array().cast("array<string>")), badness).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=p.min_confidence).fit(baskets)
+        rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") >= p.min_lift)).select("antecedent", "confidence", "support", "lift")
+        whole = rules.select(F.col("antecedent").alias("a"), "confidence", "support", "lift", F.explode("antecedent").alias("item")).join(merged, "item")
+        whole = whole.select("a", "confidence", "support", "lift", F.explode("members").alias("token")).join(often.select("token", "n"), "token")
+        found = whole.groupBy("a", "confidence", "support", "lift").agg(F.sort_array(F.collect_list("token")).alias("antecedent"), F.min_by("token", F.struct("n", "token")).alias("token"))
+        return scratch.result(found.drop("a"), "rules")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

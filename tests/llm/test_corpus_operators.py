@@ -91,6 +91,52 @@ def test_urls_listed_rules_and_mined_rules(spark):
         assert r.verdict == (best[0] if best else "block" if u and "casino" in u else "allow"), u
 
 
+def planted_pages():
+    """Urls in which two or three tokens together are bad and each alone is not, tokens that always go together, and one that all have."""
+    rng = np.random.default_rng(21)
+    rows, labels = [], []
+    for i in range(900):
+        path = [x + "xyz"[rng.integers(3)] for x in ("alpha", "beta", "gamma")]
+        keys = ["utm"] + (["win", "prize"] if rng.random() < 0.4 else []) + ([f"k{j}" for j in range(14)] if rng.random() < 0.2 else [])
+        bad = "alphax" in path and "betaz" in path and rng.random() < 0.95 or "win" in keys and "gammay" in path and rng.random() < 0.9
+        rows.append((i, f"http://h{rng.integers(5)}.site.example/{'/'.join(path)}?{'&'.join(f'{k}=1' for k in keys)}", ""))
+        labels.append((i, int(not bad), 0))
+    return rows, labels
+
+
+def test_mined_rules_equal_enumeration(spark):
+    rows, labels = planted_pages()
+    p = url_rules.UrlParams()
+    mined = url_rules.mine(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), p).collect()
+    items = {r.page_id: set(r.t) for r in spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    bad = {i for i, q, _ in labels if not q}
+    least = max(p.min_count, math.ceil(p.min_support * len(rows)))
+    where = collections.defaultdict(set)
+    for i, ts in items.items():
+        for t in ts:
+            where[t].add(i)
+    where = {t: w for t, w in where.items() if least <= len(w) < len(rows)}
+    closed = collections.defaultdict(list)
+    for t, w in where.items():
+        closed[frozenset(w)].append(t)
+    want = {}
+
+    def grow(at, tokens, held):
+        if len(held & bad) < least:
+            return
+        sure = len(held & bad) / len(held)
+        if tokens and sure >= p.min_confidence and sure / (len(bad) / len(rows)) >= p.min_lift:
+            want[tuple(sorted(tokens))] = sure
+        for k in range(at, len(groups)):
+            grow(k + 1, tokens + groups[k][1], held & groups[k][0])
+
+    groups = [(set(w), ts) for w, ts in closed.items()]
+    grow(0, [], set(items))
+    assert {tuple(r.antecedent): round(r.confidence, 9) for r in mined} == {k: round(v, 9) for k, v in want.items()}
+    assert len(mined) == len(want) > 10 and max(map(len, want)) >= 4
+    assert all(len(where[r.token]) == min(len(where[t]) for t in r.antecedent) for r in mined)
+
+
 def test_no_labels_no_mined_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", "")], "page_id long, url string, html string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -114,6 +160,40 @@ def test_toxicity_finds_held_out_documents(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_weights_equal_plain_ftrl():
+    p = toxicity.FtrlParams(epochs=2, l1=0.4, min_documents=2)
+    texts = [prose(i, 12) + (" vile scum" if i % 3 == 0 else "") for i in range(60)]
+    labels = np.array([float(i % 3 == 0) for i in range(60)])
+    seen = [set(x.tolist()) for x in toxicity._seen(texts)]
+    n_with = collections.Counter(f for s in seen for f in s)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= p.l1 else (math.copysign(p.l1, z[f]) - z[f]) / ((p.beta + math.sqrt(n[f])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for s, y in zip(seen, labels):
+            used = sorted(f for f in s if n_with[f] >= p.min_documents) + ["bias"]
+            w = {f: weight(f) for f in used}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in used:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / p.alpha * w[f]
+                n[f] += g * g
+    want = {f: weight(f) for f in z if weight(f)}
+    index, w = toxicity._fit_shard(texts, labels, p)
+    got = {("bias" if f == int(toxicity._BIAS) else f): v for f, v in zip(index.tolist(), w.tolist())}
+    assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want)
+
+
+def test_toxicity_of_empty_tables_and_long_texts(spark):
+    docs = spark.createDataFrame([(i, prose(i, 40) + (" vile scum" if i % 2 else "")) for i in range(200)] + [(300, "word " * 300_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)] + [(300, 1, 1)], "doc_id long, quality int, toxic int")
+    index, _ = toxicity.train(docs.limit(0), labels)
+    assert not len(index)
+    few = toxicity.train(docs, labels, toxicity.FtrlParams(sample_bytes=4_000))
+    assert toxicity.score(docs, few).count() == 201 and len(few[0]) < len(toxicity.train(docs, labels)[0])
+
+
 def test_toxicity_fold_is_crc32(spark):
     got = spark.range(20).select("id", toxicity.fold(F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
@@ -469,17 +549,38 @@ def brute_figures(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside)
 
 
-def test_quality_figures_equal_brute_force(documents, rows, empty):
-    got = collections.Counter(tuple(r)[:8] for r in quality_rules.judge(documents.select("doc_id", "text")).drop("text", "x").select("doc_id", *quality_rules.FIGURES, "base_failed", "kept").collect())
+def plain_verdict(t):
+    """The bands read anew: a ratio for the whole, one for each piece of 2048 bytes, and a fifth of the bytes may lie outside."""
     import zstandard
 
-    compress = zstandard.ZstdCompressor(level=3).compress
+    b = quality_rules.Bands()
+
+    def ratio(x):
+        return len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+
+    raw = t.encode()
+    whole = [(least, most) for below, least, most in b.whole if len(raw) < below][0]
+    if len(raw) >= 32 and not whole[0] <= ratio(raw) <= whole[1]:
+        return False
+    bad = 0
+    for i in range(0, len(raw), 2048):
+        piece = raw[i : i + 2048]
+        least = b.chunk[0] if len(piece) == 2048 else [x for below, x, _ in b.whole if len(piece) < below][0]
+        if len(piece) >= 32 and not least <= ratio(piece) <= b.chunk[1]:
+            bad += len(piece)
+    return len(raw) <= 2048 or bad * 5 <= len(raw)
+
+
+def test_quality_figures_equal_brute_force(documents, rows, empty):
+    got = collections.Counter(tuple(r)[:8] for r in quality_rules.judge(documents.select("doc_id", "text")).drop("text", "x").select("doc_id", *quality_rules.FIGURES, "base_failed", "kept").collect())
     want = collections.Counter()
     for r in rows:
         f = brute_figures(r[1])
         failed = f[0] < 20 or 100 * f[4] > 30 * f[0]
-        want[r[0], *f, failed, not failed and quality_rules.within_bands(r[1], quality_rules.Bands(), compress)] += 1
+        want[r[0], *f, failed, not failed and plain_verdict(r[1])] += 1
     assert got == want
+    clash = documents.select("doc_id", "text", "kept", F.lit("x").alias("n_words"), F.lit("y").alias("base_failed"))
+    assert {r.kept for r in quality_rules.judge(clash).collect()} == {True, False} == {k[7] for k in want}
     assert quality_rules.judge(empty).count() == 0
 
 
