@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm import jaccard_join, packing, pii, quality_rules, toxicity
-from schemaloom.llm.shared import written
+from schemaloom.llm.shared import delete, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of all documents that pass. Each stage is a table in the shared folder until the next one is written; what
+    packing reads stays, since its rows are returned unread."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))  # else a later stage would run those before it again for each of its reads
+        docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))  # else a later stage would run those before it again for each of its reads
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
