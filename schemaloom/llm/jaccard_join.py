@@ -7,10 +7,11 @@ depth the classes that share a prefix and shared none before are verified by the
 from what this depth has added, and prefixes are shortened further until it reaches ``recall``, or the depth is reached
 at which even a pair right at the threshold shares a prefix with that chance.
 
-No pair is written. Classes are dealt to cells of about ``block`` classes or ``block_shingles`` shingles, by the largest
-bucket they are in, and a task verifies one cell, or two cells that some bucket joins. In it only classes
-that share a prefix are compared, so what is compared follows the buckets and not the components they make. A task returns
-for each class how many documents it links to, and the smallest class it reaches.
+No pair is written. Classes are dealt to cells of about ``block`` classes or ``block_shingles`` shingles: by the largest
+bucket they are in, and such homes go together with the largest one that some bucket joins them to. A task verifies one cell, or
+two cells that some bucket joins; in it only classes that share a prefix are compared, so what is compared follows the
+buckets and not the components they make. It returns for each class how many documents it links to and the smallest class it
+reaches, and whether all pairs have been verified, so that shorter prefixes need not come back to it.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a text of one to four words is
 one shingle; equal texts link whatever their ids; repeated rows and repeated or null ids count as
@@ -155,17 +156,17 @@ def _place() -> tuple[Column, Column]:
 def _with_sets(documents: DataFrame, members: DataFrame, p: ForestParams) -> DataFrame:
     """The members' shingle sets, from the text of one document of each class. Spark broadcasts the places only if
     their table is under its threshold; copies of a text are one before they are shuffled."""
-    texts = documents.select(*_place(), "text").join(members.select("id", "at", "digest"), ["id", "at"]).groupBy("digest").agg(F.first("text").alias("text"))
-    rows = texts.join(members.select("digest", "cell", "copies", "labels"), "digest")
+    texts = documents.select(*_place(), "text").join(members.select("id", "at", "num"), ["id", "at"]).groupBy("num").agg(F.first("text").alias("text"))
+    rows = texts.join(members.select("num", "cell", "copies", "labels"), "num")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             shingles, offsets = shingle_sets(texts_of(batch, "text"), p.width)
             raw = shingles.astype("<u8").tobytes()
             sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "digest", "copies", "labels")), sets], ["cell", "digest", "copies", "labels", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "num", "copies", "labels")), sets], ["cell", "num", "copies", "labels", "shingles"])
 
-    return rows.mapInArrow(run, "cell long, digest binary, copies long, labels array<long>, shingles binary")
+    return rows.mapInArrow(run, "cell long, num long, copies long, labels array<long>, shingles binary")
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -188,8 +189,9 @@ def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return total
 
 
-def candidates(label: np.ndarray, cell: np.ndarray, cross: bool, shift: int, before: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs x < y that share a prefix at ``shift`` in some tree and shared none at ``before``; of two cells if ``cross``."""
+def candidates(label: np.ndarray, cell: np.ndarray, cross: bool, shift: int, before: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs x < y that share a prefix at ``shift`` in some tree and shared none at ``before``; of two cells if ``cross``.
+    And whether all pairs share one at ``shift``, so that none is left."""
 
     def shared(bits: int) -> np.ndarray:
         key = label >> bits
@@ -201,14 +203,14 @@ def candidates(label: np.ndarray, cell: np.ndarray, cross: bool, shift: int, bef
         return found
 
     near = shared(shift)
+    others = cell[:, None] != cell[None, :] if cross else True
+    whole = bool((near | ~others).all()) if cross else bool(near.all())
     if before is not None:
         near &= ~shared(before)
-    if cross:
-        near &= cell[:, None] != cell[None, :]
-    return np.nonzero(np.triu(near, 1))
+    return *np.nonzero(np.triu(near & others, 1)), whole
 
 
-def verify_unit(digest: list[bytes], copies: np.ndarray, sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def verify_unit(num: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each class of a unit: documents of other classes that it links to, those classes, and the smallest class it
     reaches. ``x`` and ``y`` are the pairs to verify."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -223,44 +225,42 @@ def verify_unit(digest: list[bytes], copies: np.ndarray, sets: list[np.ndarray],
         both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist())])
     link = both * (1 + threshold) >= threshold * (size[x] + size[y]) - 1e-9
     x, y = x[link], y[link]
-    rank = _ranks(digest)
-    by_rank = sorted(digest)
+    reach = num.copy()
     while len(x):
-        low = rank.copy()
-        np.minimum.at(low, x, rank[y])
-        np.minimum.at(low, y, rank[x])
-        if (low == rank).all():
+        low = reach.copy()
+        np.minimum.at(low, x, reach[y])
+        np.minimum.at(low, y, reach[x])
+        if (low == reach).all():
             break
-        rank = low
-    n = len(digest)
+        reach = low
+    n = len(num)
     links = np.bincount(x, copies[y], n) + np.bincount(y, copies[x], n)
-    return links.astype(np.int64), np.bincount(x, minlength=n) + np.bincount(y, minlength=n), [by_rank[r] for r in rank]
-
-
-def _ranks(digest: list[bytes]) -> np.ndarray:
-    rank = np.empty(len(digest), np.int64)
-    rank[sorted(range(len(digest)), key=digest.__getitem__)] = np.arange(len(digest))
-    return rank
+    return links.astype(np.int64), np.bincount(x, minlength=n) + np.bincount(y, minlength=n), reach
 
 
 def _verify(units: DataFrame, p: ForestParams, shift: int, before: int | None) -> DataFrame:
-    """Rows sorted by unit in each partition: verifies unit by unit. Only classes with a link are returned."""
+    """Rows sorted by unit in each partition: verifies unit by unit. Classes with a link are returned, and the units
+    of which no pair is left, as rows without a class."""
+    names = ["num", "links", "pairs", "reach", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def verified() -> Iterator[pa.RecordBatch]:
-            digest, cell, copies, label, sets = zip(*rows)
-            x, y = candidates(np.array(label), np.array(cell), key[0] != key[1], shift, before)
+            num, cell, copies, label, sets = zip(*rows)
+            num = np.array(num)
+            x, y, whole = candidates(np.array(label), np.array(cell), key[0] != key[1], shift, before)
             if len(x):
-                links, pairs, reach = verify_unit(list(digest), np.array(copies), [np.frombuffer(r, "<u8") for r in sets], x, y, p.threshold)
+                links, pairs, reach = verify_unit(num, np.array(copies), [np.frombuffer(r, "<u8") for r in sets], x, y, p.threshold)
                 some = np.flatnonzero(pairs)
                 if len(some):
-                    columns = [pa.array([digest[i] for i in some], pa.binary()), pa.array(links[some]), pa.array(pairs[some]), pa.array([reach[i] for i in some], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["digest", "links", "pairs", "reach"])
+                    none = pa.nulls(len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(num[some]), pa.array(links[some]), pa.array(pairs[some]), pa.array(reach[some]), none, none], names)
+            if whole:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([key[0]]), pa.array([key[1]])], names)
 
         for batch in batches:
-            for i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "digest", "cell", "copies", "labels", "shingles"))):
+            for i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "num", "cell", "copies", "labels", "shingles"))):
                 if (i, j) != key:
                     if len(rows) > 1:
                         yield from verified()
@@ -269,7 +269,7 @@ def _verify(units: DataFrame, p: ForestParams, shift: int, before: int | None) -
         if len(rows) > 1:
             yield from verified()
 
-    return units.mapInArrow(run, "digest binary, links long, pairs long, reach binary")
+    return units.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _prefixes(classes: DataFrame, shift: int, *columns: str) -> DataFrame:
@@ -278,15 +278,21 @@ def _prefixes(classes: DataFrame, shift: int, *columns: str) -> DataFrame:
 
 
 def _cells(classes: DataFrame, p: ForestParams, scratch: Scratch) -> DataFrame:
-    """The classes that share some shortest prefix, each with its cell: its largest bucket, cut by digest if that is large."""
-    entries = _prefixes(classes, p.shift(p.floor), "digest").drop("label")
+    """The classes that share some shortest prefix, each with its cell."""
+    entries = _prefixes(classes, p.shift(p.floor), "num").drop("label")
     buckets = scratch.table(entries.groupBy("tree", "key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
-    homes = scratch.table(entries.join(buckets, ["tree", "key"]).groupBy("digest").agg(F.max(F.struct("size", "tree", "key")).alias("home")), "homes")
-    settled = scratch.table(homes.select("digest", "home.tree", "home.key").join(classes, "digest"), "settled")
+    mates = scratch.table(entries.join(buckets, ["tree", "key"]), "mates")
+    home = F.max(F.struct("size", F.xxhash64("tree", "key").alias("home")))
+    homes = scratch.table(mates.groupBy("num").agg(home.alias("h")).select("num", "h.size", "h.home"), "homes")
+    seen = scratch.table(mates.drop("size").join(homes, "num").groupBy("tree", "key", "home", "size").agg(F.count("*").alias("n")).drop("n"), "seen")
+    tops = scratch.table(seen.groupBy("tree", "key").agg(F.max(F.struct("size", "home")).alias("top"), F.count("*").alias("homes")).filter("homes > 1").drop("homes"), "tops")
+    leaders = scratch.table(seen.join(tops, ["tree", "key"]).groupBy("home").agg(F.max("top").alias("top")).select("home", F.col("top.home").alias("leader")), "leaders")
+    settled = homes.join(leaders, "home", "left").select("num", F.coalesce("leader", "home").alias("home")).join(classes, "num")
+    settled = scratch.table(settled.select("num", "home", "id", "at", "n", "copies", "labels"), "settled")
     parts = F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_shingles)).cast("int")
-    sizes = scratch.table(settled.groupBy("tree", "key").agg(parts.alias("parts")), "sizes")
-    cell = F.xxhash64("tree", "key", F.pmod(F.xxhash64("digest"), F.col("parts")))
-    return scratch.table(settled.join(sizes, ["tree", "key"]).select("digest", "id", "at", "copies", "labels", cell.alias("cell")), "members")
+    sizes = scratch.table(settled.groupBy("home").agg(parts.alias("parts")), "sizes")
+    cell = F.xxhash64("home", F.pmod(F.xxhash64("num"), F.col("parts")))
+    return scratch.table(settled.join(sizes, "home").select("num", "id", "at", "copies", "labels", cell.alias("cell")), "members")
 
 
 def _units(members: DataFrame, shift: int, before: int | None) -> DataFrame:
@@ -295,9 +301,9 @@ def _units(members: DataFrame, shift: int, before: int | None) -> DataFrame:
     entries = _prefixes(members, shift, "cell").withColumn("child", F.shiftright("label", before or 0))
     new = F.lit(True) if before is None else F.col("low") != F.col("high")
     at = entries.groupBy("tree", "key", "cell").agg(F.count("*").alias("n"), F.min("child").alias("low"), F.max("child").alias("high"))
-    whole = at.groupBy("tree", "key").agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.min("low").alias("low"), F.max("high").alias("high")).filter((F.col("n") > 1) & new)
+    whole = at.groupBy("tree", "key").agg(F.count("*").alias("cells"), F.min("low").alias("low"), F.max("high").alias("high")).filter((F.col("cells") > 1) & new)
     alone = at.filter((F.col("n") > 1) & new).select(F.col("cell").alias("i"), F.col("cell").alias("j"))
-    shared = at.select("tree", "key", "cell").join(whole.filter("cells > 1").select("tree", "key"), ["tree", "key"])
+    shared = at.select("tree", "key", "cell").join(whole.select("tree", "key"), ["tree", "key"])
     pairs = shared.withColumnRenamed("cell", "i").join(shared.withColumnRenamed("cell", "j"), ["tree", "key"]).filter("i < j").select("i", "j")
     return alone.union(pairs).distinct()
 
@@ -309,14 +315,17 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, p: ForestParams = Fo
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "id", "at")).alias("m")  # null ids last
     classes = scratch.table(
         signed.filter(F.col("digest").isNotNull()).groupBy("digest")
-        .agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")).select("digest", "m.doc_id", "m.id", "m.at", "copies", "n", "labels"), "classes"
+        .agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")).select("digest", "m.doc_id", "m.id", "m.at", "copies", "n", "labels").withColumn("num", F.monotonically_increasing_id()), "classes"
     )
     members = _cells(classes, p, scratch)
     sets = scratch.table(_with_sets(documents, members, p), "sets")
     found, total, before = [], 0, None
     for depth in p.depths:
         shift, longer = p.shift(depth), None if before is None else p.shift(before)
-        units = scratch.table(_units(members, shift, longer), "units")
+        units = _units(members, shift, longer)
+        for earlier in found:
+            units = units.join(earlier.filter("num IS NULL").select("i", "j"), ["i", "j"], "left_anti")
+        units = scratch.table(units, "units")
         rows = units.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell")).join(sets, "cell")
         verified = scratch.table(_verify(rows.repartition("i", "j").sortWithinPartitions("i", "j"), p, shift, longer), "verified")
         found.append(verified)
@@ -328,10 +337,11 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, p: ForestParams = Fo
     verified = found[0]
     for more in found[1:]:
         verified = verified.union(more)
-    links = verified.groupBy("digest").agg(F.sum("links").alias("links"))
-    roots = connected_components(verified.select(F.col("digest").alias("a"), F.col("reach").alias("b")), scratch).withColumnRenamed("node", "digest")
+    verified = verified.filter("num IS NOT NULL")
+    links = verified.groupBy("num").agg(F.sum("links").alias("links"))
+    roots = connected_components(verified.select(F.col("num").alias("a"), F.col("reach").alias("b")), scratch).withColumnRenamed("node", "num")
     every = scratch.table(
-        classes.drop("labels", "n").join(links, "digest", "left").join(roots, "digest", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumn("root", F.coalesce("root", "digest")), "linked"
+        classes.drop("labels", "n").join(links, "num", "left").join(roots, "num", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumn("root", F.coalesce("root", "num")), "linked"
     )
     return signed.select("id", "at", "doc_id", "digest"), every
 
