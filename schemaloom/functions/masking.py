@@ -27,21 +27,21 @@ def mask_uuid(value: Column, key: bytes) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12))
 
 
-def mask_integer(value: Column, key: int, rounds: int = 4) -> Column:
-    """A bijection of 62-bit non-negative integers: a Feistel network over 31-bit halves whose round function
-    stays within 64 bits."""
-    mask, size = (1 << 31) - 1, 1 << 31
-    left, right = F.floor(value / F.lit(size)).cast("bigint"), value.bitwiseAND(F.lit(mask))
+def mask_integer(value: Column, key: bytes, rounds: int = 8) -> Column:
+    """A bijection of 62-bit non-negative integers: a Feistel network over 31-bit halves, each round keyed by an HMAC. Integer
+    arithmetic only, so it is exact over the whole range."""
+    mask = (1 << 31) - 1
+    left, right = F.shiftright(value, 31), value.bitwiseAND(F.lit(mask))
     for r in range(rounds):
-        mixed = ((right.bitwiseXOR(F.lit((key * (2 * r + 3) + r) & mask))) * F.lit(1103515245) + F.lit(12345)).bitwiseAND(F.lit((1 << 62) - 1))
-        left, right = right, left.bitwiseXOR(F.shiftright(mixed, 16).bitwiseAND(F.lit(mask)))
-    return left * F.lit(size) + right
+        mixed = F.conv(F.substring(hmac_sha256(right, f"int{r}", key), 1, 8), 16, 10).cast("bigint")
+        left, right = right, left.bitwiseXOR(mixed.bitwiseAND(F.lit(mask)))
+    return F.shiftleft(left, 31) + right
 
 
 def mask_columns(df, specs: dict[str, str], key: bytes):
     """Masks columns by kind: text, email, uuid, int, or null; an unknown kind counts as text."""
     made = {
         "email": lambda c: mask_email(c, key), "uuid": lambda c: mask_uuid(c, key),
-        "int": lambda c: mask_integer(c.cast("bigint"), int.from_bytes(key[:3], "big")), "null": lambda c: F.lit(None).cast("string"),
+        "int": lambda c: mask_integer(c.cast("bigint"), key), "null": lambda c: F.lit(None).cast("string"),
     }
     return df.withColumns({name: made.get(kind, lambda c: hmac_sha256(c, "text", key))(F.col(name)) for name, kind in specs.items()})

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def checkpointed(spark: SparkSession) -> SparkSession:
-    """The session, with a checkpoint folder: that of spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The session, with a checkpoint folder: that of spark.checkpoint.dir. Where it is unset, a temporary one on a local master,
+    as in tests; on a cluster that is an error, since executors would write to disks of their own."""
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return spark

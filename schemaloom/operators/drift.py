@@ -67,12 +67,18 @@ def fleet(prints: DataFrame, order: Column) -> DataFrame:
     return prints.join(groups.select("fingerprint", "n_tenants"), "fingerprint").join(F.broadcast(golden)).withColumn("is_drifted", F.col("fingerprint") != F.col("golden"))
 
 
-def missing_objects(objects: DataFrame, golden: DataFrame, key: list[str]) -> DataFrame:
-    """(tenant, *key) that the golden schema has and the tenant lacks: the expected pairs without those present."""
-    expected = objects.select("tenant").distinct().join(F.broadcast(golden.select(*key).distinct()))  # one schema's objects
+def missing_objects(objects: DataFrame, golden: DataFrame, drifted: DataFrame, key: list[str]) -> DataFrame:
+    """(tenant, *key) that the golden schema has and the tenant lacks. Only tenants of ``drifted``, whose fingerprint differs, are compared: the
+    expected pairs of these without those present."""
+    expected = drifted.select("tenant").distinct().crossJoin(golden.select(*key).distinct())  # one schema's objects for each tenant that differs
     return expected.join(objects.select("tenant", *key), ["tenant", *key], "left_anti")
 
 
+def extra_objects(objects: DataFrame, golden: DataFrame, drifted: DataFrame, key: list[str]) -> DataFrame:
+    """(tenant, *key) that a drifted tenant has and the golden schema lacks."""
+    return objects.join(drifted.select("tenant").distinct(), "tenant", "left_semi").select("tenant", *key).join(golden.select(*key).distinct(), key, "left_anti").select("tenant", *key)
+
+
 def reconciliation(missing: DataFrame) -> DataFrame:
     """(tenant, script): statements that give each tenant what it lacks, from rows (tenant, kind, table_name, name, definition):
     columns first, then indexes built concurrently, then constraints that are validated afterwards."""

@@ -36,7 +36,7 @@ def keyset_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """
     dealt = rows.select(F.col(key).alias("k")).repartitionByRange("k").withColumn("part", F.spark_partition_id()).checkpoint()
     counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row for each key range
     numbered = dealt.join(F.broadcast(before), "part").withColumn("at", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("k")) - 1)
     return numbered.groupBy(F.floor(F.col("at") / size).cast("bigint").alias("batch")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
 

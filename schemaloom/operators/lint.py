@@ -1,7 +1,7 @@
 """Lock and rewrite hazards in migration scripts: 28 rules over statements.
 
-Rules on one statement are Column predicates and run together in one pass; those on the state of a script are windows and joins
-by script. A finding has file, stmt, line, rule_id, severity, lock_level and snippet.
+Rules on one statement are Column predicates and run together in one pass; those on the state of a script are joins by script, of
+statements that are dealt by script once. A finding has file, stmt, line, col, rule_id, severity, lock_level, snippet and message.
 """
 
 from __future__ import annotations
@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from schemaloom.functions.session import checkpointed
 
 AX = "ACCESS EXCLUSIVE"
-_REL = r"(?:ONLY )?(\S+(?: \. \S+)?)"
+_REL = r'(?:ONLY )?((?:"[^"]*"|\S+)(?: \. (?:"[^"]*"|\S+))?)'  # quoted names may hold blanks
 
 
 @dataclass(frozen=True)
@@ -65,28 +65,20 @@ def stateless() -> list[Rule]:
 
 
 def prepared(stmts: DataFrame) -> DataFrame:
-    """Adds the ALTER TABLE target and clauses, and whether the statement runs inside an explicit transaction. Optional
-    columns pg_version and is_orm default to 16 and false."""
+    """Adds the ALTER TABLE target and clauses. Optional columns pg_version and is_orm default to 16 and false."""
     for name, value in (("pg_version", F.lit(16)), ("is_orm", F.lit(False))):
         if name not in stmts.columns:
             stmts = stmts.withColumn(name, value)
     alter = rf"^ALTER TABLE (?:IF EXISTS )?{_REL} "
-    begins, ends = F.col("norm").rlike(r"^(BEGIN|START TRANSACTION)\b"), F.col("norm").rlike(r"^(COMMIT|ROLLBACK|END)\b")
-    by_file = W.partitionBy("file").orderBy("stmt")
-    earlier = by_file.rowsBetween(W.unboundedPreceding, -1)
-    return (
-        stmts.withColumn("target", F.when(F.col("norm").rlike(alter), F.regexp_extract(F.col("norm"), alter, 1)))
-        .withColumn("clauses", F.when(F.col("target").isNotNull(), F.split(F.regexp_replace(F.col("norm"), alter, ""), r" , (?![^(]*\))")).otherwise(F.array().cast("array<string>")))
-        .withColumn("begins", begins).withColumn("ends", ends)
-        .withColumn("in_tx", F.coalesce(F.last(F.when(begins, True).when(ends, False), ignorenulls=True).over(earlier), F.lit(False)))
-        .withColumn("scope", F.sum(F.when(begins | ends, 1).otherwise(0)).over(by_file.rowsBetween(W.unboundedPreceding, 0)))
-    )
+    return stmts.withColumn("target", F.when(F.col("norm").rlike(alter), F.regexp_extract(F.col("norm"), alter, 1))).withColumn(
+        "clauses", F.when(F.col("target").isNotNull(), F.split(F.regexp_replace(F.col("norm"), alter, ""), r" , (?![^(]*\))")).otherwise(F.array().cast("array<string>"))
+    )
 
 
 def _found(rows: DataFrame, rule_id: str, severity, lock: str, snippet: Column | None = None) -> DataFrame:
     snippet = F.col("norm") if snippet is None else snippet
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    return rows.select("file", "stmt", "line", F.lit(rule_id).alias("rule_id"), severity.alias("severity"), F.lit(lock).alias("lock_level"), snippet.alias("snippet"))
+    return rows.select("file", "stmt", "line", "col", F.lit(rule_id).alias("rule_id"), severity.alias("severity"), F.lit(lock).alias("lock_level"), snippet.alias("snippet"))
 
 
 def one_statement(p: DataFrame) -> DataFrame:
@@ -95,7 +87,7 @@ def one_statement(p: DataFrame) -> DataFrame:
         return F.transform(r.found(), lambda s: F.struct(F.lit(r.rule_id).alias("rule_id"), severity.alias("severity"), F.lit(r.lock_level).alias("lock_level"), s.alias("snippet")))
 
     rules = [told(r) for r in stateless()]
-    return p.select("file", "stmt", "line", F.explode(F.concat(*rules)).alias("f")).select("file", "stmt", "line", "f.*")
+    return p.select("file", "stmt", "line", "col", F.explode(F.concat(*rules)).alias("f")).select("file", "stmt", "line", "col", "f.*")
 
 
 def transactions(p: DataFrame) -> DataFrame:
@@ -122,8 +114,8 @@ def enum_value_used(adds: DataFrame, p: DataFrame) -> DataFrame:
 
 def drop_add_pairs(p: DataFrame) -> DataFrame:
     """A column dropped and another added on one table of one script: a rename that loses data."""
-    clause = p.select("file", "stmt", "line", "target", F.explode("clauses").alias("clause"))
-    drops = clause.filter(F.col("clause").rlike(r"^DROP (COLUMN )?(?!CONSTRAINT)")).select("file", "stmt", "line", "target", F.col("clause").alias("dropped"))
+    clause = p.select("file", "stmt", "line", "col", "target", F.explode("clauses").alias("clause"))
+    drops = clause.filter(F.col("clause").rlike(r"^DROP (COLUMN )?(?!CONSTRAINT)")).select("file", "stmt", "line", "col", "target", F.col("clause").alias("dropped"))
     adds = clause.filter(F.col("clause").rlike(_ADD)).select("file", "target", F.col("clause").alias("added"))
     return _found(drops.join(adds, ["file", "target"]), "prisma-silent-rename-data-loss", "BLOCKER", AX, F.concat_ws(" / ", "dropped", "added"))
 
@@ -141,7 +133,7 @@ def lock_accumulation(p: DataFrame) -> DataFrame:
 def attach_without_check(p: DataFrame) -> DataFrame:
     """ATTACH PARTITION of a table that no earlier statement validated a constraint on: two findings each."""
     part = r"^ATTACH PARTITION (\S+(?: \. \S+)?)"
-    attach = p.select("file", "stmt", "line", "norm", F.explode("clauses").alias("c")).filter(F.col("c").rlike(part)).withColumn("table", F.regexp_extract("c", part, 1))
+    attach = p.select("file", "stmt", "line", "col", "norm", F.explode("clauses").alias("c")).filter(F.col("c").rlike(part)).withColumn("table", F.regexp_extract("c", part, 1))
     valid = p.filter(F.exists("clauses", lambda c: c.rlike("^VALIDATE CONSTRAINT"))).groupBy("file", F.col("target").alias("table")).agg(F.min("stmt").alias("validated"))
     bare = attach.join(valid, ["file", "table"], "left").filter("validated IS NULL OR validated > stmt")
     return _found(bare, "attach-partition-missing-check", "BLOCKER", AX).unionByName(_found(bare, "partition-scan-lock", "BLOCKER", AX))
@@ -166,23 +158,41 @@ def enum_recreated(p: DataFrame) -> DataFrame:
 
 def type_rewrites(p: DataFrame) -> DataFrame:
     """ALTER COLUMN TYPE: a warning if the script tells the old type and the change is only of metadata."""
-    clause = p.select("file", "stmt", "line", "target", F.explode("clauses").alias("c"))
+    clause = p.select("file", "stmt", "line", "col", "target", F.explode("clauses").alias("c"))
     change = r"^ALTER (?:COLUMN )?(\S+) (?:SET DATA )?TYPE (.+?)(?: USING .*)?$"
     create = r"^CREATE TABLE (?:IF NOT EXISTS )?(\S+(?: \. \S+)?) \( (.*) \)"
     inner = p.filter(F.col("norm").rlike(create)).select("file", "stmt", F.regexp_extract(F.col("norm"), create, 1).alias("target"), F.explode(F.split(F.regexp_extract(F.col("norm"), create, 2), r" , (?![^(]*\))")).alias("c"))
     added = clause.filter(F.col("c").rlike(_ADD)).select("file", "stmt", "target", F.regexp_replace("c", _ADD, "").alias("c"))
     column = r"^(\S+) (.+?)(?: (?:NOT NULL|NULL|DEFAULT|PRIMARY|UNIQUE|REFERENCES|CHECK|COLLATE|GENERATED)\b.*)?$"
-    known = inner.unionByName(added).select("file", "target", F.regexp_extract("c", column, 1).alias("col"), F.regexp_extract("c", column, 2).alias("old"), "stmt")
-    known = known.groupBy("file", "target", "col").agg(F.max_by("old", "stmt").alias("old"))
-    changed = clause.filter(F.col("c").rlike(change)).withColumn("col", F.regexp_extract("c", change, 1)).withColumn("new", F.regexp_extract("c", change, 2))
+    known = inner.unionByName(added).select("file", "target", F.regexp_extract("c", column, 1).alias("name"), F.regexp_extract("c", column, 2).alias("old"), "stmt")
+    known = known.groupBy("file", "target", "name").agg(F.max_by("old", "stmt").alias("old"))
+    changed = clause.filter(F.col("c").rlike(change)).withColumn("name", F.regexp_extract("c", change, 1)).withColumn("new", F.regexp_extract("c", change, 2))
     size = lambda t: F.regexp_extract(t, r"\( ([0-9]+)", 1).try_cast("int")
     text = r"^(VARCHAR|CHARACTER VARYING)\b"
     safe = (F.col("old").rlike(text) & (F.col("new") == "TEXT")) | (F.col("old").rlike(text) & F.col("new").rlike(text) & (size(F.col("new")).isNull() | (size(F.col("new")) >= size(F.col("old"))))) | (F.col("old") == F.col("new"))
-    rows = changed.join(known, ["file", "target", "col"], "left")
+    rows = changed.join(known, ["file", "target", "name"], "left")
     return _found(rows, "alter-column-type-rewrite", F.when(F.coalesce(safe, F.lit(False)), "WARNING").otherwise("BLOCKER"), AX, F.col("c"))
 
 
-#: A remedy for each rule; {s} is the snippet.
+#: What happens, by rule.
+MESSAGES = {
+    "require-concurrent-index": "the index is built under a lock that stops all writes", "concurrent-index-in-transaction": "a concurrent build fails inside a transaction",
+    "add-column-not-null-without-default": "rows that are there already have no value for the new column", "foreign-key-missing-not-valid": "both tables are locked while all rows are checked",
+    "prisma-silent-rename-data-loss": "one column goes and another comes: a rename would lose its data", "set-not-null-full-scan": "the whole table is read under an exclusive lock",
+    "unbatched-dml": "all rows change in one transaction", "check-constraint-missing-not-valid": "all rows are checked under an exclusive lock", "check-constraint-not-valid": "all rows are checked under an exclusive lock",
+    "unique-constraint-using-index": "the constraint builds its index while writes wait", "session-advisory-lock": "a session lock outlives its transaction, and poolers leak it",
+    "alter-column-type-rewrite": "the new type can rewrite the table and its indexes", "unindexed-foreign-key": "without an index each delete of a referenced row reads the table",
+    "drop-column-lock": "the drop waits for, and then stops, all readers", "add-primary-key-missing-using-index": "the key builds its index while reads and writes wait",
+    "detach-partition-non-concurrent": "the parent is locked for all while the partition goes", "reindex-missing-concurrently": "reads and writes wait until the index is rebuilt",
+    "enum-add-value-in-transaction": "the new value can't be used before its transaction commits", "maintenance-command-detected": "the command locks the table for as long as it runs",
+    "identity-sequence-start-with": "the sequence hands out values that rows have already", "attach-partition-missing-check": "without a validated check the new partition is read under a lock",
+    "partition-scan-lock": "the scan of the new partition holds up the parent", "enum-recreate-table-rewrite": "a cast to the new type rewrites the table", "non-transactional-in-transaction": "the command fails inside a transaction",
+    "lock-accumulation-mixed-ddl-dml": "locks of the schema change are held while rows change", "volatile-default": "the default is computed row by row, which rewrites the table",
+    "non-concurrent-drop-index": "the drop stops reads and writes of the table", "primary-key-using-index-nullable-column": "the key has to check its column for nulls first",
+}
+
+
+#: What to do instead, by rule.
 REMEDIES = {
     "require-concurrent-index": "build it with CREATE INDEX CONCURRENTLY, outside a transaction", "concurrent-index-in-transaction": "move it out of the transaction",
     "add-column-not-null-without-default": "give a constant DEFAULT, or add the column nullable, fill it, then SET NOT NULL", "foreign-key-missing-not-valid": "add it NOT VALID, then VALIDATE CONSTRAINT",
@@ -206,18 +216,101 @@ def remedied(found: DataFrame) -> DataFrame:
 
 def findings(stmts: DataFrame, rules: set[str] | None = None) -> DataFrame:
     """The findings of all rules, or of some. ``check-constraint-not-valid`` is a twin of ``check-constraint-missing-not-valid``
-    and speaks only where that one is left out. The prepared statements are read by each rule, so they are persisted, to disk if
-    need be."""
-    p = prepared(stmts).persist(StorageLevel.MEMORY_AND_DISK)
+    and speaks only where that one is left out. The prepared statements are read by each rule, so they are dealt by script and
+    cut from their lineage by a checkpoint."""
+    checkpointed(stmts.sparkSession)
+    p = prepared(stmts).repartition("file").checkpoint()
     out = one_statement(p)
     for rule in (transactions, drop_add_pairs, lock_accumulation, attach_without_check, key_over_nullable, enum_recreated, type_rewrites):
         out = out.unionByName(rule(p))
-    if rules is None:
-        return out
-    first, twin = "check-constraint-missing-not-valid", "check-constraint-not-valid"
-    if twin in rules and first not in rules:
-        out = out.withColumn("rule_id", F.when(F.col("rule_id") == first, twin).otherwise(F.col("rule_id")))
-    return out.filter(F.col("rule_id").isin(*rules))
+    if rules is not None:
+        first, twin = "check-constraint-missing-not-valid", "check-constraint-not-valid"
+        if twin in rules and first not in rules:
+            out = out.withColumn("rule_id", F.when(F.col("rule_id") == first, twin).otherwise(F.col("rule_id")))
+        out = out.filter(F.col("rule_id").isin(*rules))
+    said = F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))[F.col("rule_id")]
+    return out.withColumn("message", F.concat(said, F.lit(": "), F.col("snippet")))
+
+
+def _raw_clauses() -> Column:
+    """The clauses of an ALTER TABLE as they are written."""
+    return F.split(F.regexp_replace("raw", rf"(?i)^ALTER TABLE (?:IF EXISTS )?{_REL} ", ""), r" , (?![^(]*\))")
+
+
+def remedy_sql(found: DataFrame, stmts: DataFrame) -> DataFrame:
+    """Findings with ``fix_sql``: statements that do the same without the hazard, where they follow from the statement; else null.
+    New names end in a hash of the clause, so they are the same in every run."""
+    rows = found.join(prepared(stmts).select("file", "stmt", "raw", "target", "clauses", _raw_clauses().alias("written")), ["file", "stmt"], "left")
+    at = F.array_position("clauses", F.col("snippet"))
+    clause = F.when((at > 0) & (F.size("clauses") == F.size("written")), F.element_at("written", F.when(at > 0, at.cast("int")).otherwise(1)))
+    table = F.regexp_extract("raw", rf"(?i)^ALTER TABLE (?:IF EXISTS )?{_REL} ", 1)
+    alter = F.concat(F.lit("ALTER TABLE "), table, F.lit(" "))
+    raw, mark = F.col("raw"), F.substring(F.md5(F.concat_ws(" ", table, clause)), 1, 8)
+    name = F.regexp_extract(clause, r"(?i)^ADD (?:COLUMN )?(?:IF NOT EXISTS )?(\S+)", 1)
+    given = F.regexp_extract(clause, r"(?i)^ADD CONSTRAINT (\S+)", 1)
+    called = F.when(given != "", given).otherwise(F.concat(F.lit("c_"), mark))
+    body = F.regexp_replace(clause, r"(?i)^ADD (?:CONSTRAINT \S+ )?", "")
+    keys = F.regexp_extract(clause, r"\( ([^)]*) \)", 1)
+    altered = F.regexp_extract(clause, r"(?i)^ALTER (?:COLUMN )?(\S+)", 1)
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+    def checked(column: Column) -> Column:
+        rule = text("n_", mark)
+        return text(alter, "ADD CONSTRAINT ", rule, " CHECK (", column, " IS NOT NULL) NOT VALID;\n", alter, "VALIDATE CONSTRAINT ", rule, ";\n", alter, "ALTER COLUMN ", column, " SET NOT NULL;\n", alter, "DROP CONSTRAINT ", rule, ";")
+
+    deferred = text(alter, "ADD CONSTRAINT ", called, " ", body, " NOT VALID;\n", alter, "VALIDATE CONSTRAINT ", called, ";")
+    by_index = lambda kind: text("CREATE UNIQUE INDEX CONCURRENTLY i_", mark, " ON ", table, " (", keys, ");\n", alter, "ADD CONSTRAINT ", called, f" {kind} USING INDEX i_", mark, ";")
+    rows_of = F.regexp_extract(raw, r"(?i)^(?:UPDATE|DELETE FROM) ((?:ONLY )?\S+(?: \. \S+)?)", 1)
+    where = F.regexp_extract(raw, r"(?i)\bWHERE (.*)$", 1)
+    change = F.regexp_replace(raw, r"(?i) WHERE .*$", "")
+    batch = text(change, " WHERE ctid = ANY (ARRAY(SELECT ctid FROM ", rows_of, F.when(where != "", text(" WHERE ", where)).otherwise(""), " LIMIT 5000));")
+    made = {
+        "require-concurrent-index": text(F.regexp_replace(raw, r"(?i)^CREATE (UNIQUE )?INDEX ", "CREATE $1INDEX CONCURRENTLY "), ";"),
+        "non-concurrent-drop-index": text(F.regexp_replace(raw, r"(?i)^DROP INDEX ", "DROP INDEX CONCURRENTLY "), ";"),
+        "reindex-missing-concurrently": text(F.regexp_replace(raw, r"(?i)\b(TABLE|INDEX|SCHEMA|DATABASE|SYSTEM) ", "$1 CONCURRENTLY "), ";"),
+        "session-advisory-lock": text(F.regexp_replace(raw, r"(?i)\bpg_(try_)?advisory_lock", "pg_$1advisory_xact_lock"), ";"),
+        "unbatched-dml": batch,
+        "add-column-not-null-without-default": text(alter, F.regexp_replace(clause, r"(?i) NOT NULL\b", ""), ";\n", checked(name)),
+        "set-not-null-full-scan": checked(altered),
+        "foreign-key-missing-not-valid": deferred, "check-constraint-missing-not-valid": deferred, "check-constraint-not-valid": deferred,
+        "unique-constraint-using-index": by_index("UNIQUE"), "add-primary-key-missing-using-index": by_index("PRIMARY KEY"),
+        "unindexed-foreign-key": text("CREATE INDEX CONCURRENTLY i_", mark, " ON ", table, " (", keys, ");"),
+        "drop-column-lock": text("SET lock_timeout = '2s';\n", alter, clause, ";"),
+        "detach-partition-non-concurrent": text(alter, clause, " CONCURRENTLY;"),
+        "volatile-default": text(alter, F.regexp_replace(clause, r"(?i) DEFAULT .*$", ""), ";\n", alter, "ALTER COLUMN ", name, " SET DEFAULT", F.regexp_extract(clause, r"(?i)\bDEFAULT( .*)$", 1), ";"),
+    }
+    fix = F.lit(None).cast("string")
+    for rule_id, sql in made.items():
+        fix = F.when(F.col("rule_id") == rule_id, sql).otherwise(fix)
+    return rows.select(*found.columns, fix.alias("fix_sql"))
+
+
+def edits(found: DataFrame, stmts: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(file, low, high, text): edits of the scripts' texts that take a hazard away in place. Concurrent forms only outside of
+    transactions; NOT VALID only where the statement has one clause."""
+    rows = found.join(prepared(stmts).select("file", "stmt", "low", "high", "in_tx", "is_orm", F.size("clauses").alias("n")), ["file", "stmt"])
+    rows = rows.join(scripts.select("file", F.regexp_replace("text", "^\ufeff", "").alias("whole"), F.length(F.regexp_extract("text", "^\ufeff", 0)).alias("mark")), "file")
+    own = F.col("whole").substr(F.col("low") + 1, F.col("high") - F.col("low"))
+    free = ~F.col("in_tx") & ~F.col("is_orm")
+    after = lambda pattern: F.length(F.regexp_extract(own, pattern, 0))
+    here, put, none = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    upto = none
+    gap = r"(?:\s+|/\*[\s\S]*?\*/)+"
+    for rule_id, pattern in (
+        ("require-concurrent-index", rf"(?i)^CREATE{gap}(?:UNIQUE{gap})?INDEX"), ("non-concurrent-drop-index", rf"(?i)^DROP{gap}INDEX"),
+        ("reindex-missing-concurrently", rf"(?i)^REINDEX{gap}(?:\([^)]*\)\s*)?(?:TABLE|INDEX|SCHEMA|DATABASE|SYSTEM)"),
+    ):
+        hit = (F.col("rule_id") == rule_id) & free & (after(pattern) > 0)
+        here, put, upto = F.when(hit, after(pattern)).otherwise(here), F.when(hit, " CONCURRENTLY").otherwise(put), F.when(hit, after(pattern)).otherwise(upto)
+    size = F.col("high") - F.col("low")
+    for rule_ids, word, ok in ((("foreign-key-missing-not-valid", "check-constraint-missing-not-valid"), " NOT VALID", F.lit(True)), (("detach-partition-non-concurrent",), " CONCURRENTLY", free)):
+        hit = F.col("rule_id").isin(*rule_ids) & (F.col("n") == 1) & ok
+        here, put, upto = F.when(hit, size).otherwise(here), F.when(hit, word).otherwise(put), F.when(hit, size).otherwise(upto)
+    lock = F.instr(F.lower(own), "advisory_lock")
+    hit = (F.col("rule_id") == "session-advisory-lock") & (lock > 0)
+    here, put, upto = F.when(hit, lock - 1).otherwise(here), F.when(hit, "advisory_xact_lock").otherwise(put), F.when(hit, lock + 12).otherwise(upto)
+    low = F.col("mark") + F.col("low")
+    return rows.select("file", (low + here).cast("int").alias("low"), (low + upto).cast("int").alias("high"), put.alias("text")).filter("low IS NOT NULL").distinct()
 
 
 # Schemas from scripts
@@ -246,6 +339,77 @@ def ddl_columns(stmts: DataFrame) -> DataFrame:
     return kept.select("file", "table_name", "column_name", "e.data_type", "e.is_not_null", "e.default_expr")
 
 
+def _name(pattern: str) -> Column:
+    """A name from the statement as it is written: quoted ones keep their case, others are lower-cased."""
+    found = F.regexp_extract("raw", pattern, 1)
+    return F.regexp_replace(F.when(F.contains(found, F.lit('"')), found).otherwise(F.lower(found)), r'["\s]', "")
+
+
+def _last(events: DataFrame, *keys: str) -> DataFrame:
+    """The last event of each object; those that end in a drop are gone."""
+    rest = [c for c in events.columns if c not in keys]
+    last = events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("stmt", "pos")).alias("e"))
+    return last.filter("e.op <> 'drop'").select(*keys, *(f"e.{c}" for c in rest if c not in ("op", "stmt", "pos")))
+
+
+def ddl_indexes(stmts: DataFrame) -> DataFrame:
+    """(file, index_name, table_name, is_unique, is_concurrent, key_columns, predicate) that a script leaves behind."""
+    create = r"(?i)^CREATE (?:UNIQUE )?INDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?(\S+) ON "
+    rel = r"(?i)^CREATE (?:UNIQUE )?INDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?\S+ ON (?:ONLY )?(\S+(?: \. \S+)?)"
+    keys = F.regexp_extract("raw", r"\( (.*?) \)(?: (?:INCLUDE|WHERE|WITH|TABLESPACE|NULLS)\b.*)?$", 1)
+    made = stmts.filter(F.col("raw").rlike(create)).select(
+        "file", _name(create).alias("index_name"), "stmt", F.lit(0).alias("pos"), F.lit("add").alias("op"), _name(rel).alias("table_name"),
+        F.col("norm").rlike("^CREATE UNIQUE").alias("is_unique"), F.col("norm").rlike(r"^CREATE (UNIQUE )?INDEX CONCURRENTLY\b").alias("is_concurrent"),
+        F.split(keys, r" , (?![^(]*\))").alias("key_columns"), F.nullif(F.regexp_extract("raw", r"(?i) WHERE (.*)$", 1), F.lit("")).alias("predicate"),
+    )
+    drop = r"(?i)^DROP INDEX (?:CONCURRENTLY )?(?:IF EXISTS )?(.*?)(?: (?:CASCADE|RESTRICT))?$"
+    names = F.posexplode(F.split(F.regexp_extract("raw", drop, 1), " , ")).alias("pos", "n")
+    gone = stmts.filter(F.col("raw").rlike(drop)).select("file", "stmt", names).select("file", F.regexp_replace(F.when(F.contains("n", F.lit('"')), F.col("n")).otherwise(F.lower("n")), r'["\s]', "").alias("index_name"), "stmt", "pos", F.lit("drop").alias("op"))
+    return _last(made.unionByName(gone, allowMissingColumns=True), "file", "index_name")
+
+
+def ddl_constraints(stmts: DataFrame) -> DataFrame:
+    """(file, table_name, constraint_name, kind, is_validated, definition) of named constraints that a script leaves behind: of
+    CREATE TABLE and of ADD CONSTRAINT; VALIDATE CONSTRAINT validates, DROP CONSTRAINT removes. Names are lower-cased unless quoted."""
+    create = r"(?i)^CREATE TABLE (?:IF NOT EXISTS )?(\S+(?: \. \S+)?) \( (.*) \)"
+    alter = rf"(?i)^ALTER TABLE (?:IF EXISTS )?{_REL} "
+    inner = stmts.filter(F.col("raw").rlike(create)).select("file", "stmt", _name(create).alias("table_name"), F.posexplode(F.split(F.regexp_extract("raw", create, 2), r" , (?![^(]*\))")).alias("pos", "c"))
+    inner = inner.filter(F.col("c").rlike("(?i)^CONSTRAINT ")).withColumn("c", F.concat(F.lit("ADD "), "c"))
+    clause = stmts.filter(F.col("raw").rlike(alter)).select("file", "stmt", _name(alter).alias("table_name"), F.posexplode(_raw_clauses()).alias("pos", "c"))
+    name = r"(?i)^(?:ADD|VALIDATE|DROP) CONSTRAINT (?:IF EXISTS )?(\S+)"
+    rows = inner.unionByName(clause).filter(F.col("c").rlike(name))
+    found, body = F.regexp_extract("c", name, 1), F.regexp_replace("c", r"(?i)^ADD CONSTRAINT \S+ ", "")
+    kind = F.when(body.rlike("(?i)^PRIMARY"), "p").when(body.rlike("(?i)^UNIQUE"), "u").when(body.rlike("(?i)^CHECK"), "c").when(body.rlike("(?i)^FOREIGN"), "f").when(body.rlike("(?i)^EXCLUDE"), "x")
+    events = rows.select(
+        "file", "table_name", F.regexp_replace(F.when(F.contains(found, F.lit('"')), found).otherwise(F.lower(found)), '"', "").alias("constraint_name"), "stmt", "pos",
+        F.lower(F.regexp_extract("c", r"(?i)^(ADD|VALIDATE|DROP)", 1)).alias("op"), kind.alias("kind"), (~body.rlike(r"(?i) NOT VALID$")).alias("is_validated"), F.regexp_replace(body, r"(?i) NOT VALID$", "").alias("definition"),
+    )
+    keys = ["file", "table_name", "constraint_name"]
+    at = F.struct("stmt", "pos")
+    state = events.groupBy(*keys).agg(
+        F.max(F.when(F.col("op") == "add", at)).alias("added"), F.max(F.when(F.col("op") == "drop", at)).alias("dropped"), F.max(F.when(F.col("op") == "validate", at)).alias("validated"),
+        F.max_by(F.when(F.col("op") == "add", F.struct("kind", "is_validated", "definition")), F.when(F.col("op") == "add", at)).alias("e"),
+    )
+    left = state.filter("added IS NOT NULL AND (dropped IS NULL OR dropped < added)")
+    return left.select(*keys, "e.kind", (F.col("e.is_validated") | F.coalesce(F.col("validated") > F.col("added"), F.lit(False))).alias("is_validated"), "e.definition")
+
+
+def ddl_enums(stmts: DataFrame) -> DataFrame:
+    """(file, enum_name, labels) that a script leaves behind: CREATE TYPE AS ENUM, then values added behind, DROP TYPE removes. Values
+    added BEFORE or AFTER another stand behind as well: the labels are a set for the differences."""
+    create = r"(?i)^CREATE TYPE (\S+(?: \. \S+)?) AS ENUM \( "
+    value = r"(?i)^ALTER TYPE (\S+(?: \. \S+)?) ADD VALUE "
+    drop = r"(?i)^DROP TYPE (?:IF EXISTS )?(\S+(?: \. \S+)?)"
+    label = F.transform(F.regexp_extract_all("raw", F.lit(r"'((?:[^']|'')*)'"), F.lit(1)), lambda x: F.replace(x, F.lit("''"), F.lit("'")))
+    made = stmts.filter(F.col("raw").rlike(create)).select("file", _name(create).alias("enum_name"), "stmt", label.alias("labels"))
+    more = stmts.filter(F.col("raw").rlike(value)).select("file", _name(value).alias("enum_name"), "stmt", F.slice(label, 1, 1).alias("more"))
+    gone = stmts.filter(F.col("raw").rlike(drop)).select("file", _name(drop).alias("enum_name"), F.col("stmt").alias("gone")).groupBy("file", "enum_name").agg(F.max("gone").alias("gone"))
+    last = made.groupBy("file", "enum_name").agg(F.max_by(F.struct("stmt", "labels"), "stmt").alias("e")).join(gone, ["file", "enum_name"], "left").filter("gone IS NULL OR gone < e.stmt")
+    added = more.join(last.select("file", "enum_name", F.col("e.stmt").alias("made")), ["file", "enum_name"]).filter("stmt > made").groupBy("file", "enum_name")
+    added = added.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("stmt", "more"))), lambda x: x["more"])).alias("more"))
+    return last.join(added, ["file", "enum_name"], "left").select("file", "enum_name", F.array_distinct(F.concat("e.labels", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"))
+
+
 # Findings: overrides, waivers, counts
 
 ALIASES = {"concurrent-index": "require-concurrent-index", "not-valid": "foreign-key-missing-not-valid", "batching": "unbatched-dml", "rename": "prisma-silent-rename-data-loss"}
@@ -270,11 +434,11 @@ WAIVER = r"schemaloom-disable-next-line\s*((?:(?!reason=|expires=)[A-Za-z*-]+ ?)
 
 
 def waivers(stmts: DataFrame) -> DataFrame:
-    """(file, stmt, line, waives, reason, expires) from comments such as
+    """(file, stmt, line, col, waives, reason, expires) from comments such as
     ``-- schemaloom-disable-next-line rule reason="..." expires="YYYY-MM-DD"``."""
     c = F.col("comment")
-    return stmts.select("file", "stmt", "line", F.explode("comments").alias("comment")).filter(c.contains("schemaloom-disable-next-line")).select(
-        "file", "stmt", "line",
+    return stmts.select("file", "stmt", "line", "col", F.explode("comments").alias("comment")).filter(c.contains("schemaloom-disable-next-line")).select(
+        "file", "stmt", "line", "col",
         F.coalesce(F.nullif(F.trim(F.regexp_extract(c, WAIVER, 1)), F.lit("")), F.lit("*")).alias("waives"),
         F.regexp_extract(c, r'reason="([^"]*)"', 1).alias("reason"), F.regexp_extract(c, r'expires="([^"]*)"', 1).alias("expires"),
     )
@@ -287,7 +451,7 @@ def waived(found: DataFrame, said: DataFrame, today: str) -> DataFrame:
     good = said.filter("bad IS NULL").select("file", "stmt", F.lower("waives").alias("waives")).groupBy("file", "stmt").agg(F.collect_set("waives").alias("waives"))
     hit = F.arrays_overlap("waives", F.array(F.lit("*"), F.lit("all"), F.lower("rule_id"), F.lower("lock_level")))
     rows = found.join(good, ["file", "stmt"], "left").withColumn("suppressed", F.coalesce(hit, F.lit(False))).drop("waives")
-    errors = said.filter("bad IS NOT NULL").select("file", "stmt", "line", F.col("bad").alias("rule_id"), F.lit("BLOCKER").alias("severity"), F.lit("NONE").alias("lock_level"), F.col("waives").alias("snippet"), F.lit(False).alias("suppressed"))
+    errors = said.filter("bad IS NOT NULL").select("file", "stmt", "line", "col", F.col("bad").alias("rule_id"), F.lit("BLOCKER").alias("severity"), F.lit("NONE").alias("lock_level"), F.col("waives").alias("snippet"), F.concat(F.lit("the waiver does not hold: "), "waives").alias("message"), F.lit(False).alias("suppressed"))
     return rows.unionByName(errors)
 
 

@@ -38,31 +38,60 @@ def root_blockers(edges: DataFrame) -> DataFrame:
     return blockers.join(edges.select(F.col("waiter").alias("pid")).distinct(), "pid", "left_anti")
 
 
-def cycle_members(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(pid) on a waiting cycle: nodes that reach themselves.
+def _spread(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
+    """(pid, label): the smallest label that reaches each node over edges (source, target), checkpointed round by round."""
+    state = None
+    for _ in range(rounds):
+        step = edges.join(labels.select(F.col("pid").alias("source"), "label"), "source").select(F.col("target").alias("pid"), "label")
+        labels = labels.union(step).groupBy("pid").agg(F.min("label").alias("label")).checkpoint()
+        now = tuple(labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first())
+        if now == state:
+            return labels
+        state = now
+    raise RuntimeError(f"labels still move after {rounds} rounds")
+
 
-    Nodes that nobody waits for, or that wait for nobody, are trimmed round by round, each round cut by a checkpoint;
-    what remains (cycles and the paths between them) is closed under reachability by doubling.
+def cycle_members(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(pid, cycle) on a waiting cycle; ``cycle`` is the smallest pid of those that wait for each other.
+
+    Nodes that nobody waits for, or that wait for nobody, are trimmed round by round. Then each node takes the smallest pid that reaches it;
+    a node that took its own pid is the root of a component, and what reaches it back over edges of its own colour belongs to
+    that. Those are taken out and the rest goes on. Every table has a row for a node or an edge, never one for a pair that reaches each other.
     """
     now = edges.filter("waiter <> blocker").select("waiter", "blocker").distinct()
-    loops = edges.filter("waiter = blocker").select(F.col("waiter").alias("pid")).distinct()
-    size = -1
-    for _ in range(rounds):
-        now = now.join(now.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
-        now = now.join(now.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker").checkpoint()
-        left = now.count()
-        if left == size:
-            break
-        size = left
-    reach, size = now, -1
+    found = edges.filter("waiter = blocker").select(F.col("waiter").alias("pid"), F.col("waiter").alias("cycle")).distinct()
     for _ in range(rounds):
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.blocker") == F.col("b.waiter")).select("a.waiter", "b.blocker")
-        reach = reach.union(step).distinct().checkpoint()
-        found = reach.count()
-        if found == size:
-            break
-        size = found
-    return reach.filter("waiter = blocker").select(F.col("waiter").alias("pid")).union(loops).distinct()
+        size = -1
+        while True:
+            now = now.join(now.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
+            now = now.join(now.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker").checkpoint()
+            left = now.count()
+            if left == size:
+                break
+            size = left
+        if not size:
+            return found.groupBy("pid").agg(F.min("cycle").alias("cycle"))
+        nodes = now.select(F.col("waiter").alias("pid")).distinct()
+        colour = _spread(now.select(F.col("waiter").alias("source"), F.col("blocker").alias("target")), nodes.withColumn("label", F.col("pid")), rounds)
+        tint = lambda name: colour.select(F.col("pid").alias(name), F.col("label").alias(f"{name}_label"))
+        own = now.join(tint("waiter"), "waiter").join(tint("blocker"), "blocker").filter("waiter_label = blocker_label")
+        back = _spread(own.select(F.col("blocker").alias("source"), F.col("waiter").alias("target")), colour.filter("pid = label"), rounds)
+        members = back.select("pid", F.col("label").alias("cycle"))
+        found = found.union(members.join(members.groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1").select("cycle"), "cycle", "left_semi").select("pid", "cycle"))
+        gone = members.select(F.col("pid").alias("waiter"))
+        now = now.join(gone, "waiter", "left_anti").join(gone.withColumnRenamed("waiter", "blocker"), "blocker", "left_anti").select("waiter", "blocker")
+    raise RuntimeError(f"cycles not found in {rounds} rounds")
+
+
+def waits(edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Every session of a wait-for graph with its role: deadlocked (on a cycle), blocked by one (it waits for a member), root blocker
+    (others wait, it waits for nobody), queued, or both waiting and blocking."""
+    pids = edges.select(F.col("waiter").alias("pid"), F.lit(1).alias("waits"), F.lit(0).alias("blocks")).union(edges.select("blocker", F.lit(0), F.lit(1)))
+    pids = pids.groupBy("pid").agg(F.sum("waits").alias("waits"), F.sum("blocks").alias("blocks"))
+    stuck = edges.join(cycles.select(F.col("pid").alias("blocker")), "blocker", "left_semi").select(F.col("waiter").alias("pid")).distinct().withColumn("stuck", F.lit(True))
+    rows = pids.join(cycles, "pid", "left").join(stuck, "pid", "left")
+    role = F.when(F.col("cycle").isNotNull(), "deadlocked").when(F.col("stuck"), "behind a deadlock").when(F.col("waits") == 0, "root blocker").when(F.col("blocks") == 0, "queued").otherwise("waits and blocks")
+    return rows.select("pid", "waits", "blocks", "cycle", role.alias("role"))
 
 
 def hold_islands(samples: DataFrame, gap_seconds: int) -> DataFrame:

@@ -21,6 +21,25 @@ def route(rows: DataFrame, column: str, bounds: DataFrame) -> DataFrame:
     return keyed.join(months, "month", "left").withColumn("part", F.coalesce(F.when(inside, F.col("part")), F.lit("default"))).drop("month", "low", "high")
 
 
+def daily(spark: SparkSession, table: str, first: str, days: int) -> DataFrame:
+    """(part, low, high) of ``days`` half-open daily ranges."""
+    low = F.date_add(F.lit(first).cast("date"), F.col("id").cast("int"))
+    return spark.range(days).select(F.concat(F.lit(f"{table}_"), F.date_format(low, "yyyy_MM_dd")).alias("part"), low.cast("timestamp_ntz").alias("low"), F.date_add(low, 1).cast("timestamp_ntz").alias("high"))
+
+
+def route_ranges(rows: DataFrame, column: str, bounds: DataFrame) -> DataFrame:
+    """Adds ``part`` for half-open ranges of any length: the range that holds the row, else ``default``. Ranges are cut at the days
+    that they touch, so the join is on the day and its side grows with the ranges' days, not with the rows."""
+    day = F.explode(F.sequence(F.to_date("low"), F.to_date(F.col("high") - F.expr("INTERVAL 1 MICROSECOND")))).alias("__day")
+    cut = bounds.filter("low < high").select("part", F.col("low").alias("__low"), F.col("high").alias("__high"), day)
+    keyed = rows.drop("part").withColumn("__day", F.to_date(column)).withColumn("__row", F.monotonically_increasing_id())
+    inside = (F.col("__low") <= F.col(column)) & (F.col(column) < F.col("__high"))
+    hit = keyed.join(cut, "__day", "left").withColumn("part", F.when(inside, F.col("part")))
+    names = [c for c in rows.columns if c != "part"]
+    best = hit.groupBy("__row", *names).agg(F.min("part").alias("part"))  # a day may hold the ends of several ranges
+    return best.select(*names, F.coalesce("part", F.lit("default")).alias("part"))
+
+
 def expired(names: DataFrame, cutoff: str) -> DataFrame:
     """Partitions whose name's date suffix lies before the cutoff; names without one stay."""
     suffix = F.regexp_extract("part", "_([0-9]{4}_[0-9]{2}(?:_[0-9]{2})?)$", 1)
@@ -28,13 +47,23 @@ def expired(names: DataFrame, cutoff: str) -> DataFrame:
     return names.filter(F.coalesce(day < F.lit(cutoff).cast("timestamp"), F.lit(False)))
 
 
-def tree(edges: DataFrame, root: str, depth: int) -> DataFrame:
-    """(child, parent, depth) below ``root``, level by level, ``depth`` levels at most: one join each."""
+def tree(edges: DataFrame, root: str) -> DataFrame:
+    """(child, parent, depth) below ``root``, level by level to the last one: one join each. A child that is met twice stands on a
+    cycle or has two parents, which is an error."""
     level = edges.filter(F.col("parent") == root).select("child", "parent", F.lit(1).alias("depth"))
-    out = level
-    for d in range(2, depth + 1):
-        level = edges.join(level.select(F.col("child").alias("parent")), "parent").select("child", "parent", F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
+    out, depth = level, 1
+    while not level.isEmpty():
+        depth += 1
+        level = edges.join(level.select(F.col("child").alias("parent")), "parent").select("child", "parent", F.lit(depth).alias("depth"))
+        level = checkpointed(level)
+        if not level.select("child").intersect(out.select("child").union(edges.sparkSession.createDataFrame([(root,)], "child string"))).isEmpty():
+            raise ValueError(f"a partition below {root} is its own ancestor or has two parents")
         out = out.union(level)
     return out
+
+
+def checkpointed(level: DataFrame) -> DataFrame:
+    from schemaloom.functions import session
+
+    session.checkpointed(level.sparkSession)
+    return level.checkpoint()

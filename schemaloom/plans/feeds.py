@@ -32,14 +32,12 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"""
 
 
 def wait_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who waits for whom: an order line's supplier session waits for that of its part's order."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy((F.col("l_orderkey") % 1000).alias("waiter"), (F.col("l_partkey") % 1700 + 500).alias("blocker")).agg(F.min("l_quantity").alias("q")).filter("q >= 49 AND waiter <> blocker").select("waiter", "blocker")
+    """Who waits for whom: an order's session waits for the one that has its part's number, for each line of more than 34 pieces."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 35 AND l_orderkey <> l_partkey")
+    return lines.select(F.col("l_orderkey").alias("waiter"), F.col("l_partkey").alias("blocker")).distinct()
 
 
-WAIT_EDGES = """
-SELECT l_orderkey % 1000 AS waiter, l_partkey % 1700 + 500 AS blocker FROM lineitem
-GROUP BY 1, 2 HAVING min(l_quantity) >= 49 AND l_orderkey % 1000 <> l_partkey % 1700 + 500"""
+WAIT_EDGES = "SELECT DISTINCT l_orderkey AS waiter, l_partkey AS blocker FROM lineitem WHERE l_quantity >= 35 AND l_orderkey <> l_partkey"
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +98,9 @@ TEMPLATES = (
     "SELECT pg_advisory_lock({n})", "ALTER TABLE t_{t} DROP COLUMN c_{c}", "ALTER TABLE t_{t} ADD PRIMARY KEY (c_{c})", "ALTER TABLE t_{t} DETACH PARTITION p_{n}",
     "REINDEX TABLE t_{t}", "VACUUM t_{t}", "ALTER TABLE t_{t} ADD COLUMN u_{c} timestamp DEFAULT now()", "DROP INDEX ix_{n}", "DROP INDEX CONCURRENTLY ix_{n}",
     "ALTER TABLE t_{t} ATTACH PARTITION p_{n} FOR VALUES IN (1)", "TRUNCATE t_{t}", "BEGIN", "COMMIT", "SELECT 1 /* ; */", "CREATE TABLE t_{t}_new (id bigint)",
+    "ALTER TABLE t_{t} ALTER COLUMN c_{c} TYPE bigint", "ALTER TYPE e_{t} ADD VALUE ''v_{n}''", "ALTER TABLE t_{t} ALTER COLUMN c_{c} RESTART WITH 1", "ALTER TABLE t_{t} ADD PRIMARY KEY USING INDEX pk_{n}",
+    "CREATE TYPE e_{t} AS ENUM (''a'', ''b'')", "DROP TYPE e_{t}", "ALTER TABLE t_{t} ALTER COLUMN c_{c} TYPE e_{t} USING c_{c}::text::e_{t}", "ALTER TABLE t_{t} VALIDATE CONSTRAINT f_{n}",
+    "DO $x$ BEGIN DELETE FROM a; END $x$",
 )
 
 
@@ -114,7 +115,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("file")).agg(F.array_join(F.sort_array(F.collect_list(line))["text"], "").alias("text"))
 
 
-#: The statements of the scripts for DuckDB: file, stmt, kind, t, c.
+#: The statements of the scripts for DuckDB: file, stmt, kind, t, c, n. Each has a comment line before it.
 STATEMENTS = f"""
-SELECT l_orderkey AS file, (l_partkey * 7 + l_suppkey + l_linenumber) % {len(TEMPLATES)} AS kind, l_suppkey % 3 AS t, l_partkey % 4 AS c,
+SELECT l_orderkey AS file, (l_partkey * 7 + l_suppkey + l_linenumber) % {len(TEMPLATES)} AS kind, l_suppkey % 3 AS t, l_partkey % 4 AS c, l_partkey AS n,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS stmt FROM lineitem"""

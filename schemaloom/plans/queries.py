@@ -239,14 +239,28 @@ def root_blockers(spark, sf_dir):
     return locks.root_blockers(feeds.wait_edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE e AS ({feeds.WAIT_EDGES}), r AS (SELECT waiter, blocker FROM e UNION SELECT r.waiter, e.blocker FROM r JOIN e ON r.blocker = e.waiter)
-SELECT DISTINCT waiter AS pid FROM r WHERE waiter = blocker""")
+REACH = f"""RECURSIVE e AS ({feeds.WAIT_EDGES}), r AS (SELECT waiter, blocker FROM e UNION SELECT r.waiter, e.blocker FROM r JOIN e ON r.blocker = e.waiter),
+c AS (SELECT a.waiter AS pid, min(a.blocker) AS cycle FROM r a JOIN r b ON a.waiter = b.blocker AND a.blocker = b.waiter GROUP BY 1)"""
+
+
+@query(f"WITH {REACH} SELECT pid, cycle FROM c")
 def cycle_members(spark, sf_dir):
     from schemaloom.functions.session import checkpointed
 
     return locks.cycle_members(feeds.wait_edges(checkpointed(spark), sf_dir))
 
 
+@query(f"""WITH {REACH}, p AS (SELECT waiter AS pid, 1 AS w, 0 AS b FROM e UNION ALL SELECT blocker, 0, 1 FROM e),
+n AS (SELECT pid, CAST(sum(w) AS BIGINT) AS waits, CAST(sum(b) AS BIGINT) AS blocks FROM p GROUP BY 1)
+SELECT pid, waits, blocks, CASE WHEN c.cycle IS NOT NULL THEN 'deadlocked' WHEN pid IN (SELECT waiter FROM e WHERE blocker IN (SELECT pid FROM c)) THEN 'behind a deadlock'
+  WHEN waits = 0 THEN 'root blocker' WHEN blocks = 0 THEN 'queued' ELSE 'waits and blocks' END AS role FROM n LEFT JOIN c USING (pid)""")
+def wait_roles(spark, sf_dir):
+    from schemaloom.functions.session import checkpointed
+
+    edges = feeds.wait_edges(checkpointed(spark), sf_dir)
+    return locks.waits(edges, locks.cycle_members(edges)).drop("cycle")
+
+
 @query("""WITH t AS (SELECT DISTINCT user_id AS pid, date_trunc('hour', ts) AS tick FROM events),
 n AS (SELECT *, CASE WHEN lag(tick) OVER w IS NULL OR epoch(tick) - epoch(lag(tick) OVER w) > 7200 THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY pid ORDER BY tick)),
 i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY pid ORDER BY tick) AS BIGINT) AS island FROM n)
@@ -315,10 +329,23 @@ def majority_golden(spark, sf_dir):
 @query(f"""WITH {PRINTS}, gt AS (SELECT first AS tenant FROM g JOIN gold ON fingerprint = golden), k AS (SELECT DISTINCT o.table_name, o.column_name FROM o JOIN gt USING (tenant))
 SELECT t.tenant, k.table_name, k.column_name FROM (SELECT DISTINCT tenant FROM o) t, k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.tenant = t.tenant AND o.table_name = k.table_name AND o.column_name = k.column_name)""")
 def tenant_missing(spark, sf_dir):
+    objects, golden, drifted = _golden(spark, sf_dir)
+    return drift.missing_objects(objects, golden, drifted, ["table_name", "column_name"])
+
+
+def _golden(spark, sf_dir):
+    """The tenants' objects, those of the golden schema, and the tenants that differ from it."""
     objects = feeds.tenant_objects(spark, sf_dir)
     fleet = drift.fleet(drift.fingerprints(objects, ["table_name", "column_name", "data_type"]), F.col("tenant"))
-    golden = fleet.filter("fingerprint = golden").agg(F.min("tenant").alias("tenant"))
-    return drift.missing_objects(objects, objects.join(F.broadcast(golden), "tenant"), ["table_name", "column_name"])
+    first = fleet.filter("fingerprint = golden").agg(F.min("tenant").alias("tenant"))
+    return objects, objects.join(F.broadcast(first), "tenant"), fleet.filter("is_drifted")
+
+
+@query(f"""WITH {PRINTS}, gt AS (SELECT first AS tenant FROM g JOIN gold ON fingerprint = golden), k AS (SELECT DISTINCT o.table_name, o.column_name, o.data_type FROM o JOIN gt USING (tenant))
+SELECT tenant, table_name, column_name, data_type FROM o WHERE NOT EXISTS (SELECT 1 FROM k WHERE o.table_name = k.table_name AND o.column_name = k.column_name AND o.data_type = k.data_type)""")
+def tenant_extra(spark, sf_dir):
+    objects, golden, drifted = _golden(spark, sf_dir)
+    return drift.extra_objects(objects, golden, drifted, ["table_name", "column_name", "data_type"])
 
 
 # Ledgers, change logs, copies
@@ -418,6 +445,16 @@ def partition_route(spark, sf_dir):
     return partitions.route(table(spark, sf_dir, "orders"), "o_orderdate", bounds).groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query("""WITH b AS (SELECT * FROM (VALUES ('early', TIMESTAMP '1990-01-01', TIMESTAMP '1993-05-07 12:00:00'), ('week', TIMESTAMP '1995-03-06', TIMESTAMP '1995-03-13'), ('late', TIMESTAMP '1996-01-01', TIMESTAMP '1997-06-30')) v(part, low, high))
+SELECT o_orderkey, coalesce(part, 'default') AS part FROM orders LEFT JOIN b ON o_orderdate >= low AND o_orderdate < high""")
+def partition_ranges(spark, sf_dir):
+    from schemaloom.operators import partitions
+
+    bounds = spark.createDataFrame([("early", "1990-01-01", "1993-05-07 12:00:00"), ("week", "1995-03-06", "1995-03-13"), ("late", "1996-01-01", "1997-06-30")], "part string, low string, high string")
+    bounds = bounds.select("part", F.col("low").cast("timestamp_ntz").alias("low"), F.col("high").cast("timestamp_ntz").alias("high"))
+    return partitions.route_ranges(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", bounds).select("o_orderkey", "part")
+
+
 @query("""WITH have AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders WHERE o_orderstatus = 'P')
 SELECT 'orders_' || strftime(m, '%Y_%m') AS part, m AS low, m + INTERVAL 1 MONTH AS high FROM (SELECT TIMESTAMP '1999-07-01' + INTERVAL (i) MONTH AS m FROM range(36) r(i)) WHERE m NOT IN (SELECT m FROM have)""")
 def partition_premake(spark, sf_dir):
@@ -443,7 +480,7 @@ def partition_tree(spark, sf_dir):
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("child"), F.lit("root").alias("parent"))
     edges = edges.union(table(spark, sf_dir, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey"))).union(table(spark, sf_dir, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey")))
-    return partitions.tree(edges, "root", 8)
+    return partitions.tree(edges, "root")
 
 
 # Masks and keys
@@ -460,10 +497,16 @@ def masked_customers(spark, sf_dir):
     return masking.mask_columns(c, {"email": "email", "uuid": "uuid", "segment": "text"}, KEY)
 
 
-@query("SELECT count(*) AS n, count(*) AS n_distinct, true AS in_range FROM orders")
+WIDE = "o_orderkey * 700000000003 + 9007199254740993"
+FEISTEL = f"f0 AS (SELECT o_orderkey, ({WIDE}) >> 31 AS l, ({WIDE}) & 2147483647 AS r FROM orders)" + "".join(
+    f", f{i + 1} AS (SELECT o_orderkey, r AS l, xor(l, CAST('0x' || substr({HMAC(f'int{i}', 'r::VARCHAR')}, 1, 8) AS BIGINT) & 2147483647) AS r FROM f{i})" for i in range(8)
+)
+
+
+@query(f"WITH {FEISTEL} SELECT o_orderkey, (l << 31) + r AS masked FROM f8")
 def mask_integers(spark, sf_dir):
-    m = table(spark, sf_dir, "orders").select(masking.mask_integer(F.col("o_orderkey"), 7919).alias("m"))
-    return m.agg(F.count("*").alias("n"), F.count_distinct("m").alias("n_distinct"), F.min((F.col("m") >= 0) & (F.col("m") < 1 << 62)).alias("in_range"))
+    """Values above 2^53, which a double could not hold."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", masking.mask_integer(F.expr(WIDE), KEY).alias("masked"))
 
 
 @query("SELECT c_custkey, sha256('schemaloom' || chr(0) || 'v1' || chr(0) || c_mktsegment || chr(0) || c_name)[1:15] AS head FROM customer")
@@ -479,7 +522,7 @@ RULE_OF_KIND = {
     7: ("unbatched-dml", "BLOCKER"), 8: ("unbatched-dml", "WARNING"), 9: ("check-constraint-missing-not-valid", "BLOCKER"), 10: ("unique-constraint-using-index", "BLOCKER"),
     11: ("session-advisory-lock", "WARNING"), 12: ("drop-column-lock", "WARNING"), 13: ("add-primary-key-missing-using-index", "BLOCKER"), 14: ("detach-partition-non-concurrent", "BLOCKER"),
     15: ("reindex-missing-concurrently", "BLOCKER"), 16: ("maintenance-command-detected", "BLOCKER"), 17: ("volatile-default", "BLOCKER"), 18: ("non-concurrent-drop-index", "BLOCKER"),
-    21: ("maintenance-command-detected", "BLOCKER"),
+    21: ("maintenance-command-detected", "BLOCKER"), 26: ("alter-column-type-rewrite", "BLOCKER"), 28: ("identity-sequence-start-with", "BLOCKER"), 32: ("alter-column-type-rewrite", "BLOCKER"),
 }
 BY_KIND = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{r}', '{s}')" for k, (r, s) in RULE_OF_KIND.items()) + ", (4, 'unindexed-foreign-key', 'WARNING'), (5, 'unindexed-foreign-key', 'WARNING')"
 BY_KIND += ", (20, 'attach-partition-missing-check', 'BLOCKER'), (20, 'partition-scan-lock', 'BLOCKER')) v(kind, rule_id, severity)"
@@ -490,16 +533,86 @@ closed AS (SELECT DISTINCT file, scope - 1 AS scope FROM tx WHERE kind = 23),
 sc AS (SELECT tx.*, CASE WHEN in_tx THEN tx.scope ELSE -1 END AS block FROM tx LEFT JOIN closed c ON c.file = tx.file AND c.scope = tx.scope WHERE kind NOT IN (22, 23) AND (NOT in_tx OR c.file IS NOT NULL)),
 f AS (SELECT file, stmt, rule_id, severity FROM st JOIN k USING (kind)
   UNION ALL SELECT file, stmt, 'concurrent-index-in-transaction', 'BLOCKER' FROM tx WHERE in_tx AND kind IN (1, 19)
-  UNION ALL SELECT file, stmt, 'non-transactional-in-transaction', 'BLOCKER' FROM tx WHERE in_tx AND kind = 16
+  UNION ALL SELECT file, stmt, 'non-transactional-in-transaction', 'BLOCKER' FROM tx WHERE in_tx AND kind IN (16, 27)
+  UNION ALL SELECT file, stmt, 'enum-add-value-in-transaction', 'BLOCKER' FROM tx WHERE kind = 27 AND (in_tx OR EXISTS (SELECT 1 FROM st o WHERE o.file = tx.file AND o.kind = 27 AND o.n = tx.n AND o.stmt > tx.stmt))
+  UNION ALL SELECT file, stmt, 'primary-key-using-index-nullable-column', 'WARNING' FROM st k WHERE kind = 29 AND NOT EXISTS (SELECT 1 FROM st o WHERE o.file = k.file AND o.kind = 6 AND o.t = k.t AND o.stmt <= k.stmt)
+  UNION ALL SELECT file, stmt, 'enum-recreate-table-rewrite', 'BLOCKER' FROM st WHERE kind = 32 AND file IN (SELECT x.file FROM st x JOIN st y ON x.file = y.file AND x.t = y.t WHERE x.kind = 30 AND y.kind = 31)
   UNION ALL SELECT d.file, d.stmt, 'prisma-silent-rename-data-loss', 'BLOCKER' FROM st d JOIN st a ON a.file = d.file AND a.t = d.t WHERE d.kind = 12 AND a.kind IN (2, 3, 17)
   UNION ALL SELECT m.file, m.stmt, 'lock-accumulation-mixed-ddl-dml', 'BLOCKER' FROM sc m JOIN sc d ON d.file = m.file AND d.block = m.block AND d.stmt < m.stmt
-    WHERE m.kind IN (7, 8) AND d.kind IN (2, 3, 4, 5, 6, 9, 10, 12, 13, 14, 17, 20))"""
+    WHERE m.kind IN (7, 8) AND d.kind IN (2, 3, 4, 5, 6, 9, 10, 12, 13, 14, 17, 20, 26, 28, 29, 32, 33))"""
 
 
-@query(f"WITH {LINT} SELECT file, rule_id, severity, count(*) AS n FROM f GROUP BY 1, 2, 3")
+@query(f"WITH {LINT} SELECT file, CAST(stmt AS BIGINT) AS stmt, CAST(2 * stmt + 2 AS INTEGER) AS line, 1 AS col, rule_id, severity, count(*) AS n FROM f GROUP BY ALL")
 def lint_findings(spark, sf_dir):
     found = lint.findings(statements.statements(feeds.scripts(spark, sf_dir)))
-    return found.groupBy("file", "rule_id", "severity").agg(F.count("*").alias("n"))
+    return found.groupBy("file", "stmt", "line", "col", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH st AS ({feeds.STATEMENTS}) SELECT file, CAST(stmt AS BIGINT) AS stmt, 'check-constraint-not-valid' AS rule_id FROM st WHERE kind = 9")
+def lint_twin(spark, sf_dir):
+    found = lint.findings(statements.statements(feeds.scripts(spark, sf_dir)), {"check-constraint-not-valid"})
+    return found.select("file", "stmt", "rule_id")
+
+
+#: Remedies by kind of statement, as the statements are written.
+FIXES = {
+    0: ("require-concurrent-index", "CREATE INDEX CONCURRENTLY ix_{n} ON t_{t} ( c_{c} );"), 18: ("non-concurrent-drop-index", "DROP INDEX CONCURRENTLY ix_{n};"),
+    15: ("reindex-missing-concurrently", "REINDEX TABLE CONCURRENTLY t_{t};"), 14: ("detach-partition-non-concurrent", "ALTER TABLE t_{t} DETACH PARTITION p_{n} CONCURRENTLY;"),
+    7: ("unbatched-dml", "UPDATE t_{t} SET c_{c} = 0 WHERE ctid = ANY (ARRAY(SELECT ctid FROM t_{t} LIMIT 5000));"),
+    8: ("unbatched-dml", "DELETE FROM t_{t} WHERE ctid = ANY (ARRAY(SELECT ctid FROM t_{t} WHERE c_{c} = ''x;y'' LIMIT 5000));"), 11: ("session-advisory-lock", "SELECT pg_advisory_xact_lock ( {n} );"),
+    4: ("foreign-key-missing-not-valid", "ALTER TABLE t_{t} ADD CONSTRAINT f_{n} FOREIGN KEY ( c_{c} ) REFERENCES t_0 ( id ) NOT VALID;\nALTER TABLE t_{t} VALIDATE CONSTRAINT f_{n};"),
+    12: ("drop-column-lock", "SET lock_timeout = ''2s'';\nALTER TABLE t_{t} DROP COLUMN c_{c};"),
+}
+filled = lambda text: f"replace(replace(replace({text}, '{{t}}', t::VARCHAR), '{{c}}', c::VARCHAR), '{{n}}', n::VARCHAR)"
+FIX_ROWS = ", ".join(f"({k}, '{r}', '{t}')" for k, (r, t) in FIXES.items())
+
+
+@query(f"WITH st AS ({feeds.STATEMENTS}), x AS (SELECT * FROM (VALUES {FIX_ROWS}) v(kind, rule_id, fix)) SELECT file, CAST(stmt AS BIGINT) AS stmt, rule_id, {filled('fix')} AS fix_sql FROM st JOIN x USING (kind)")
+def remedy_sql(spark, sf_dir):
+    stmts = statements.statements(feeds.scripts(spark, sf_dir))
+    found = lint.remedy_sql(lint.findings(stmts, {r for r, _ in FIXES.values()}), stmts)
+    return found.select("file", "stmt", "rule_id", "fix_sql")
+
+
+#: The statements as their edits leave them: outside of transactions, and anywhere.
+PATCHED = {0: "CREATE INDEX CONCURRENTLY ix_{n} ON t_{t} (c_{c})", 18: "DROP INDEX CONCURRENTLY ix_{n}", 15: "REINDEX TABLE CONCURRENTLY t_{t}", 14: "ALTER TABLE t_{t} DETACH PARTITION p_{n} CONCURRENTLY"}
+ALWAYS = {
+    4: "ALTER TABLE t_{t} ADD CONSTRAINT f_{n} FOREIGN KEY (c_{c}) REFERENCES t_0 (id) NOT VALID", 9: "ALTER TABLE t_{t} ADD CHECK (c_{c} > 0) NOT VALID", 11: "SELECT pg_advisory_xact_lock({n})",
+}
+TEXT_OF = f"""CASE {" ".join(f"WHEN kind = {k} AND NOT in_tx THEN '{t}'" for k, t in PATCHED.items())} {" ".join(f"WHEN kind = {k} THEN '{t}'" for k, t in ALWAYS.items())}
+  ELSE [{", ".join(f"'{t}'" for t in feeds.TEMPLATES)}][kind + 1] END"""
+
+
+@query(f"WITH {LINT} SELECT file, string_agg('-- step' || chr(10) || {filled(TEXT_OF)} || ';' || chr(10), '' ORDER BY stmt) AS patched FROM tx GROUP BY 1")
+def patched_scripts(spark, sf_dir):
+    from schemaloom.operators import reports
+
+    source = feeds.scripts(spark, sf_dir)
+    stmts = statements.statements(source)
+    return reports.apply_fixes(source, lint.edits(lint.findings(stmts), stmts, source))
+
+
+@query(f"""WITH st AS ({feeds.STATEMENTS}), l AS (SELECT * FROM st WHERE kind IN (0, 1, 18, 19) QUALIFY row_number() OVER (PARTITION BY file, n ORDER BY stmt DESC) = 1)
+SELECT file, 'ix_' || n AS index_name, 't_' || t AS table_name, false AS is_unique, kind = 1 AS is_concurrent, 'c_' || c AS keys FROM l WHERE kind IN (0, 1)""")
+def ddl_indexes(spark, sf_dir):
+    found = lint.ddl_indexes(statements.statements(feeds.scripts(spark, sf_dir)))
+    return found.select("file", "index_name", "table_name", "is_unique", "is_concurrent", F.array_join("key_columns", ",").alias("keys"))
+
+
+@query(f"""WITH st AS ({feeds.STATEMENTS}), l AS (SELECT * FROM st WHERE kind IN (4, 5) QUALIFY row_number() OVER (PARTITION BY file, t, n ORDER BY stmt DESC) = 1)
+SELECT file, 't_' || t AS table_name, 'f_' || n AS constraint_name, 'f' AS kind, l.kind = 4 OR EXISTS (SELECT 1 FROM st v WHERE v.file = l.file AND v.t = l.t AND v.n = l.n AND v.kind = 33 AND v.stmt > l.stmt) AS is_validated,
+  'FOREIGN KEY ( c_' || c || ' ) REFERENCES t_0 ( id )' AS definition FROM l""")
+def ddl_constraints(spark, sf_dir):
+    return lint.ddl_constraints(statements.statements(feeds.scripts(spark, sf_dir)))
+
+
+@query(f"""WITH st AS ({feeds.STATEMENTS}), m AS (SELECT file, t, max(stmt) AS made FROM st WHERE kind = 30 GROUP BY 1, 2),
+k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM st d WHERE d.file = m.file AND d.t = m.t AND d.kind = 31 AND d.stmt > made)),
+v AS (SELECT file, t, list(DISTINCT 'v_' || n) AS more FROM st JOIN k USING (file, t) WHERE kind = 27 AND stmt > made GROUP BY 1, 2)
+SELECT file, 'e_' || t AS enum_name, array_to_string(list_sort(list_concat(['a', 'b'], coalesce(more, []))), ',') AS labels FROM k LEFT JOIN v USING (file, t)""")
+def ddl_enums(spark, sf_dir):
+    found = lint.ddl_enums(statements.statements(feeds.scripts(spark, sf_dir)))
+    return found.select("file", "enum_name", F.array_join(F.sort_array("labels"), ",").alias("labels"))
 
 
 @query(f"WITH {LINT} SELECT file, count(*) FILTER (WHERE severity = 'BLOCKER') AS blockers, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, 0::BIGINT AS advisories, count(*) FILTER (WHERE severity = 'BLOCKER') > 0 AS failed FROM f GROUP BY 1")
@@ -507,7 +620,7 @@ def lint_severity_counts(spark, sf_dir):
     return lint.report(lint.findings(statements.statements(feeds.scripts(spark, sf_dir))))
 
 
-@query(f"""WITH st AS ({feeds.STATEMENTS}) SELECT file, CASE WHEN kind IN (1, 16, 19) THEN 'phase2_autocommit' ELSE 'phase1_tx' END AS phase, count(*) AS n FROM st GROUP BY 1, 2""")
+@query(f"""WITH st AS ({feeds.STATEMENTS}) SELECT file, CASE WHEN kind IN (1, 16, 19, 27) THEN 'phase2_autocommit' ELSE 'phase1_tx' END AS phase, count(*) AS n FROM st GROUP BY 1, 2""")
 def script_slices(spark, sf_dir):
     return statements.slices(statements.statements(feeds.scripts(spark, sf_dir))).select("file", "phase", "n")
 
@@ -672,6 +785,23 @@ def catalog_columns(spark, sf_dir):
     return catalog.columns(namespaces, relations, attributes, defaults)
 
 
+@query("""WITH r AS (SELECT s_suppkey AS oid, n_name, 's' || s_suppkey AS table_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT l_suppkey AS oid, l_linenumber AS k, count(*) % 2 = 0 AS ok FROM lineitem GROUP BY 1, 2)
+SELECT r.n_name AS schema_name, r.table_name, 'k' || k AS constraint_name, ['p', 'f', 'c'][k % 3 + 1] AS kind, ok AS is_validated, o.n_name AS foreign_schema, o.table_name AS foreign_table
+FROM r JOIN c USING (oid) LEFT JOIN r o ON k % 3 = 1 AND o.oid = r.oid % 7 + 1""")
+def catalog_constraints(spark, sf_dir):
+    from schemaloom.sources import catalog
+
+    namespaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("oid"), F.col("n_name").alias("nspname"))
+    relations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("oid"), F.col("s_nationkey").alias("relnamespace"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("relname"), F.lit("r").alias("relkind"))
+    k = F.col("l_linenumber")
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("conrelid"), "l_linenumber").agg((F.count("*") % 2 == 0).alias("convalidated")).select(
+        "conrelid", F.concat(F.lit("k"), k.cast("string")).alias("conname"), F.element_at(F.array(*map(F.lit, "pfc")), k % 3 + 1).alias("contype"), "convalidated", F.lit("").alias("definition"),
+        F.when(k % 3 == 1, F.col("conrelid") % 7 + 1).alias("confrelid"),
+    )
+    return catalog.constraints(namespaces, relations, found).drop("definition")
+
+
 @query("""SELECT p_brand AS enum_name, array_to_string(list(p_type ORDER BY k, p_type), ',') AS labels FROM (SELECT p_brand, p_type, min(p_size) AS k FROM part GROUP BY 1, 2) GROUP BY 1""")
 def catalog_enums(spark, sf_dir):
     from schemaloom.sources import catalog
@@ -727,7 +857,7 @@ def small_functions(spark, sf_dir):
     )
 
 
-@query(f"WITH {LINT}, r AS (SELECT file, max(kind = 12) AS c, max(kind = 21) AS t, max(kind = 8) AS d FROM st GROUP BY 1) SELECT file, (c::INT + t::INT + d::INT)::BIGINT AS reasons FROM r")
+@query(f"WITH {LINT}, r AS (SELECT file, max(kind = 12) AS c, max(kind = 21) AS t, max(kind IN (8, 34)) AS d, max(kind IN (26, 32)) AS y FROM st GROUP BY 1) SELECT file, (c::INT + t::INT + d::INT + y::INT)::BIGINT AS reasons FROM r")
 def high_risk_scripts(spark, sf_dir):
     return feeds.scripts(spark, sf_dir).select("file", F.size(statements.high_risk(F.col("text"))).cast("bigint").alias("reasons"))
 

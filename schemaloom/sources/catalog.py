@@ -34,6 +34,17 @@ def index_columns(namespaces: DataFrame, relations: DataFrame, indexes: DataFram
     return r.join(named, "oid").select("schema_name", "table_name", "index_oid", "key_columns")
 
 
+def constraints(namespaces: DataFrame, relations: DataFrame, found: DataFrame) -> DataFrame:
+    """(schema_name, table_name, constraint_name, kind, is_validated, definition, foreign_schema, foreign_table) of the constraints of
+    tables and partitioned tables; the last two for foreign keys."""
+    r = _relations(namespaces, relations)
+    c = found.filter(F.col("contype").isin("p", "u", "c", "f", "x"))
+    other = r.select(F.col("oid").alias("confrelid"), F.col("schema_name").alias("foreign_schema"), F.col("table_name").alias("foreign_table"))
+    return r.filter(F.col("kind").isin("r", "p")).drop("kind").join(c.withColumnRenamed("conrelid", "oid"), "oid").join(other, "confrelid", "left").select(
+        "schema_name", "table_name", F.col("conname").alias("constraint_name"), F.col("contype").alias("kind"), F.col("convalidated").alias("is_validated"), F.col("definition"), "foreign_schema", "foreign_table"
+    )
+
+
 def enums(types: DataFrame, labels: DataFrame) -> DataFrame:
     """(enum_name, labels) in sort order."""
     ordered = labels.groupBy(F.col("enumtypid").alias("oid")).agg(F.sort_array(F.collect_list(F.struct("enumsortorder", "enumlabel")))["enumlabel"].alias("labels"))
