@@ -106,3 +106,19 @@ def merged_json(old: Column, new: Column) -> Column:
     kind = "map<string,string>"
     a, b = (F.coalesce(F.from_json(c, kind), F.create_map().cast(kind)) for c in (old, new))
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
+
+
+def clean_name(text: Column) -> Column:
+    """An identifier as the server keeps it: quotes off and doubled ones single, or lower-cased where there are none."""
+    text = F.trim(text)
+    return F.when(text.rlike('^".*"$'), F.replace(F.regexp_replace(text, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.lower(text))
+
+
+def index_text(definition: Column) -> Column:
+    """An index definition without what differs between schemas: the index's name and the table's schema, CONCURRENTLY, IF NOT
+    EXISTS and ONLY, blanks and case outside of quotes."""
+    t = F.regexp_replace(F.trim(definition), r"\s+", " ")
+    t = F.regexp_replace(t, r"(?i)^CREATE (UNIQUE )?INDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?(?:(?:\"[^\"]*\"|[^\s\".]+)\.)?(?:\"[^\"]*\"|[^\s\"]+) ON (?:ONLY )?(?:(?:\"[^\"]*\"|[^\s\".(]+)\.)?", "CREATE $1INDEX ON ")
+    t = F.regexp_replace(F.regexp_replace(t, r" ?([(,]) ?", "$1"), r" ?\)", ")")
+    pieces = F.regexp_extract_all(F.rtrim(F.regexp_replace(t, r"[; ]+$", "")), F.lit(r"(\"[^\"]*\"|'[^']*'|[^\"']+)"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^[\"']"), x).otherwise(F.lower(x))), "")

@@ -29,6 +29,11 @@ def replay(base: DataFrame, log: DataFrame, key: str, values: list[str]) -> Data
     return kept.unionByName(last.filter("op <> 'D'").select(key, *values))
 
 
+def populated(log: DataFrame, payload: str, schema: str) -> DataFrame:
+    """A change log whose JSON payloads become columns of ``schema``; a key that is missing or of another type is null."""
+    return log.select(*(c for c in log.columns if c != payload), F.from_json(payload, schema).alias("__p")).select("*", "__p.*").drop("__p")
+
+
 def keyset_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """(batch, n, low, high): the batches that a copy in key order makes.
 

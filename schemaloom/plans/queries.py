@@ -374,6 +374,17 @@ def cdc_latest_wins(spark, sf_dir):
     return ledger.replay(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), F.col("c_acctbal").alias("v")), log, "pk", ["v"])
 
 
+@query("""WITH log AS (SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END AS op, user_id AS pk, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS amount, event_type AS kind FROM events),
+last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY pk ORDER BY id DESC) = 1) SELECT pk, amount, kind FROM last WHERE op <> 'D'""")
+def cdc_payloads(spark, sf_dir):
+    """A change log with JSON payloads, a seventh of them without the amount."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "signup", "I").otherwise("U")
+    payload = F.to_json(F.struct(F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("amount"), F.col("event_type").alias("kind"), F.lit("x").alias("other")))
+    log = ledger.populated(e.select(F.col("event_id").alias("id"), op.alias("op"), F.col("user_id").alias("pk"), payload.alias("payload")), "payload", "amount double, kind string")
+    return ledger.replay(spark.createDataFrame([], "pk long, amount double, kind string"), log, "pk", ["amount", "kind"])
+
+
 @query("""WITH n AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
 SELECT CAST(pos // 5000 AS BIGINT) AS batch, count(*) AS n, min(k) AS low, max(k) AS high FROM n GROUP BY 1""")
 def keyset_batches(spark, sf_dir):
@@ -857,6 +868,23 @@ def small_functions(spark, sf_dir):
     )
 
 
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Col ' || p_size ELSE lower(p_brand) END AS name,
+  'create ' || CASE WHEN p_size % 2 = 0 THEN 'unique ' ELSE '' END || 'index on t_' || (p_size % 5) || ' using btree(lower(a),"B c")' || CASE WHEN p_size % 3 = 0 THEN ' where a = ' || chr(39) || 'X y' || chr(39) ELSE '' END AS index_text,
+  CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_partkey END::DECIMAL(20,0) AS lag, '{"a":"' || p_size || '","b":"2"}' AS merged FROM part""")
+def more_functions(spark, sf_dir):
+    size, even = F.col("p_size"), F.col("p_size") % 2 == 0
+    text = lambda x: x.cast("string")
+    definition = F.concat(
+        F.when(even, F.lit("CREATE  UNIQUE INDEX CONCURRENTLY IF NOT EXISTS ix_")).otherwise(F.lit('CREATE INDEX "s".ix_')), text(F.col("p_partkey")), F.when(even, F.lit(" ON ONLY ")).otherwise(F.lit(' ON "Tenant 1".')),
+        F.lit("T_"), text(size % 5), F.lit(' USING btree ( lower( A ), "B c" )'), F.when(size % 3 == 0, F.lit(" WHERE a = 'X y' ;")).otherwise(F.lit(";")),
+    )
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", numbers.clean_name(F.when(even, F.concat(F.lit('"Col '), text(size), F.lit('"'))).otherwise(F.concat(F.lit(" "), "p_brand"))).alias("name"), numbers.index_text(definition).alias("index_text"),
+        numbers.lag_bytes(F.when(size % 4 == 0, "n/a").otherwise(F.concat(text(F.col("p_partkey")), F.lit(".25")))).alias("lag"),
+        numbers.merged_json(F.lit('{"b": "1"}'), F.concat(F.lit('{"a": "'), text(size), F.lit('", "b": "2"}'))).alias("merged"),
+    )
+
+
 @query(f"WITH {LINT}, r AS (SELECT file, max(kind = 12) AS c, max(kind = 21) AS t, max(kind IN (8, 34)) AS d, max(kind IN (26, 32)) AS y FROM st GROUP BY 1) SELECT file, (c::INT + t::INT + d::INT + y::INT)::BIGINT AS reasons FROM r")
 def high_risk_scripts(spark, sf_dir):
     return feeds.scripts(spark, sf_dir).select("file", F.size(statements.high_risk(F.col("text"))).cast("bigint").alias("reasons"))

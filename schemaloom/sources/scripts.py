@@ -32,3 +32,9 @@ def migration_names(scripts: DataFrame) -> DataFrame:
 def only_changed(scripts: DataFrame, changed: DataFrame) -> DataFrame:
     """Scripts whose file is among ``changed`` (file)."""
     return scripts.join(changed.select("file").distinct(), "file", "left_semi")
+
+
+def write_scripts(rows: DataFrame, path: str, phase: str | None = None) -> None:
+    """Writes (file, text) as text files, a folder for each script and, within it, for each phase if a column is named."""
+    keys = ["file", *([phase] if phase else [])]
+    rows.select(*keys, "text").write.partitionBy(*keys).option("lineSep", "").text(path)
