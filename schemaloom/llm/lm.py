@@ -42,16 +42,16 @@ class LmParams:
     """``vocabulary``: words of the model at most, each met ``min_count`` times. ``rounds`` share all training tokens among them; a
     task of a round takes about ``shard_tokens``, and goes over them more than once if they are fewer than ``least_steps`` batches."""
 
-    vocabulary: int = 16_384
-    class_size: int = 128
+    vocabulary: int = 12_544
+    class_size: int = 112
     min_count: int = 5
     size: int = 32
     class_noise: int = 48
-    word_noise: int = 4
+    word_noise: int = 16
     rounds: int = 3
-    batch: int = 2048
-    rate: float = 0.2
-    least_steps: int = 100
+    batch: int = 16_384
+    rate: float = 0.35
+    least_steps: int = 40
     shard_tokens: int = 2_000_000
     frequent: float = 1e-6
     word_bytes: int = 64
@@ -131,72 +131,79 @@ def start(unigram: np.ndarray, p: LmParams) -> Weights:
     }
 
 
-def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct indexes and, for each, the sum of its rows."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
+def _row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of indexes below n and, for each, the sum of its rows."""
+    found = np.flatnonzero(np.bincount(at, minlength=n))
+    place = np.zeros(n, np.int64)
+    place[found] = np.arange(len(found))
+    to, columns = place[at], np.ascontiguousarray(rows.T)
+    return found, np.stack([np.bincount(to, c, len(found)) for c in columns], axis=1).astype(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad over batches of tokens. Noise classes are drawn for a batch from the unigram of
-    classes, noise words for a token from that of its class."""
+    """Noise-contrastive estimation with Adagrad over batches of tokens: the word is told from ``word_noise`` draws of its class's
+    unigram, its class from ``class_noise`` draws of all classes. What the draws add is taken in expectation, over all words of
+    the class and all classes, so no draw is made and none disturbs the gradient."""
 
     def __init__(self, weights: Weights, unigram: np.ndarray, p: LmParams, seed: int):
         self.w = {k: x.copy() for k, x in weights.items()}
         self.grown = {k: np.ones_like(x) for k, x in self.w.items()}
         self.p, self.rng = p, np.random.default_rng(seed)
-        self.ends = np.cumsum(unigram)
         group = np.arange(len(unigram)) // p.class_size
-        self.share = np.bincount(group, unigram)
-        self.low = np.concatenate([[0.0], np.cumsum(self.share)])
-        self.log_class = np.log(p.class_noise * np.maximum(self.share, 1e-12)).astype(np.float32)
-        self.log_word = np.log(p.word_noise * np.maximum(unigram / self.share[group], 1e-12)).astype(np.float32)
+        share = np.bincount(group, unigram)
+        self.class_noise = (p.class_noise * np.maximum(share, 1e-12)).astype(np.float32)
+        self.word_noise = (p.word_noise * np.maximum(unigram / share[group], 1e-12)).astype(np.float32)
+        self.log_class_noise, self.log_word_noise = np.log(self.class_noise), np.log(self.word_noise)
 
     def _move(self, name: str, at: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
-        self.grown[name][at] += g * g
-        self.w[name][at] -= np.float32(rate) * g / np.sqrt(self.grown[name][at])
+        grown = self.grown[name][at] + g * g
+        self.grown[name][at] = grown
+        self.w[name][at] -= np.float32(rate) * g / np.sqrt(grown)
+
+    @staticmethod
+    def _told_apart(hidden: np.ndarray, table: np.ndarray, bias: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The gradient by each score: noise times the chance to be taken for data, less what the true one lacks of it."""
+        s = hidden @ (-table).T
+        s += log_noise - bias
+        np.exp(s, out=s)  # may be infinite, which is a chance of 0
+        s += 1
+        np.reciprocal(s, out=s)
+        rows = np.arange(len(own))
+        true = s[rows, own] - 1
+        s *= noise
+        s[rows, own] += true
+        return s
 
     def step(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, rate: float) -> None:
-        w, p = self.w, self.p
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        n, k = len(ids), p.word_noise
+        """One batch; its tokens are sorted by id, so those of a class lie together."""
+        w, p, v = self.w, self.p, len(self.word_noise)
         group = ids // p.class_size
-        draw = self.low[group][:, None] + self.rng.random((n, k)) * self.share[group][:, None]
-        noise = np.searchsorted(self.ends, draw.ravel(), side="right")
-        noise = np.clip(noise, np.repeat(group * p.class_size, k), np.minimum(np.repeat((group + 1) * p.class_size, k), len(self.ends)) - 1)
-        strange = self.rng.choice(len(self.share), p.class_noise, p=self.share)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
         ra, rb = w["context"][one], w["context"][two]
         hidden = ra @ w["first"] + rb @ w["second"]
-        words = np.concatenate([ids[:, None], noise.reshape(n, k)], axis=1)
-        target = w["target"][words]
-        g = sigmoid(np.matmul(target, hidden[:, :, None])[:, :, 0] + w["bias"][words] - self.log_word[words])
-        g[:, 0] -= 1
-        g_true = sigmoid((hidden * w["class"][group]).sum(axis=1) + w["class_bias"][group] - self.log_class[group]) - 1
-        g_false = sigmoid(hidden @ w["class"][strange].T + w["class_bias"][strange] - self.log_class[strange])
-        g_hidden = np.matmul(g[:, None, :], target)[:, 0] + g_true[:, None] * w["class"][group] + g_false @ w["class"][strange]
-        both = np.concatenate([group, strange])
-        at, rows = _row_sums(both, np.concatenate([g_true[:, None] * hidden, g_false.T @ hidden]))
-        bias = np.bincount(both, np.concatenate([g_true, g_false.sum(axis=0)]), len(self.share)).astype(np.float32)[at]
-        moved = (hidden, ra, rb)
-        self._move("class", at, rows, rate)
-        self._move("class_bias", at, bias, rate)
-        flat = words.ravel()
-        at, rows = _row_sums(flat, (g[:, :, None] * moved[0][:, None, :]).reshape(-1, p.size))
-        self._move("target", at, rows, rate)
-        self._move("bias", at, np.bincount(flat, g.ravel(), len(self.ends)).astype(np.float32)[at], rate)
+        moved, moved_bias = np.zeros_like(w["target"]), np.zeros_like(w["bias"])
+        with np.errstate(over="ignore"):
+            g = self._told_apart(hidden, w["class"], w["class_bias"], self.class_noise, self.log_class_noise, group)
+            g_hidden = g @ w["class"]
+            of_class, of_class_bias = g.T @ hidden, g.sum(axis=0)
+            for c, a, b in zip(group[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids)]):
+                at = slice(c * p.class_size, min((c + 1) * p.class_size, v))
+                g = self._told_apart(hidden[a:b], w["target"][at], w["bias"][at], self.word_noise[at], self.log_word_noise[at], ids[a:b] - at.start)
+                g_hidden[a:b] += g @ w["target"][at]
+                moved[at], moved_bias[at] = g.T @ hidden[a:b], g.sum(axis=0)
         back = np.concatenate([g_hidden @ w["first"].T, g_hidden @ w["second"].T])
-        at, rows = _row_sums(np.concatenate([one, two]), back)
+        every = slice(None)
+        for name, g, pace in (("class", of_class, 1), ("class_bias", of_class_bias, 1), ("target", moved, 1), ("bias", moved_bias, 1), ("first", ra.T @ g_hidden, 0.2), ("second", rb.T @ g_hidden, 0.2)):
+            self._move(name, every, g, rate * pace)
+        at, rows = _row_sums(np.concatenate([one, two]), back, v)
         self._move("context", at, rows, rate)
-        self._move("first", slice(None), moved[1].T @ g_hidden, rate * 0.2)
-        self._move("second", slice(None), moved[2].T @ g_hidden, rate * 0.2)
 
     def walk(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, rate: float) -> None:
         """All tokens once, in a random order."""
         order = self.rng.permutation(len(ids))
         for i in range(0, len(ids), self.p.batch):
             at = order[i : i + self.p.batch]
+            at = at[np.argsort(ids[at], kind="stable")]
             self.step(ids[at], one[at], two[at], rate)
 
 
@@ -263,28 +270,36 @@ def train(texts: DataFrame, vocabulary: pa.Array, unigram: np.ndarray, n_tokens:
     return weights
 
 
-def log_probabilities(weights: Weights, ids: np.ndarray, one: np.ndarray, two: np.ndarray, p: LmParams, most: int = 1 << 15) -> np.ndarray:
+def log_probabilities(weights: Weights, ids: np.ndarray, one: np.ndarray, two: np.ndarray, p: LmParams, most: int = 4096) -> np.ndarray:
     """Natural log probability of each token in its context, normalised over all classes and the words of its class."""
     w = weights
-    hidden = (w["context"] @ w["first"])[one] + (w["context"] @ w["second"])[two]
+    a, b = w["context"] @ w["first"], w["context"] @ w["second"]
+    order = np.argsort(ids // p.class_size, kind="stable")  # so that the tokens of a class lie together
+    ids, hidden = ids[order], a[one[order]] + b[two[order]]
     group = ids // p.class_size
-    out = np.empty(len(ids))
-
-    def normalised(rows: np.ndarray, table: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
-        s = hidden[rows] @ table.T + bias
-        high = s.max(axis=1)
-        return s[np.arange(len(rows)), own] - high - np.log(np.exp(s - high[:, None]).sum(axis=1))
+    found = np.empty(len(ids))
+
+    def normalised(low: int, high: int, table: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+        s = hidden[low:high] @ table.T
+        s += bias
+        said = s[np.arange(high - low), own]
+        top = max(0.0, float(s.max()) - 80)  # so that no exponential leaves the range; without effect on usual scores
+        if top:
+            s -= np.float32(top)
+        np.exp(s, out=s)
+        return said - top - np.log(s.sum(axis=1, dtype=np.float64))
 
     for i in range(0, len(ids), most):
-        rows = np.arange(i, min(i + most, len(ids)))
-        out[rows] = normalised(rows, w["class"], w["class_bias"], group[rows])
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(len(w["class"]) + 1))
-    for g, (a, b) in enumerate(zip(edges, edges[1:])):
+        j = min(i + most, len(ids))
+        found[i:j] = normalised(i, j, w["class"], w["class_bias"], group[i:j])
+    edges = np.searchsorted(group, np.arange(len(w["class"]) + 1))
+    for g, (low, high) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
         at = slice(g * p.class_size, (g + 1) * p.class_size)
-        for i in range(a, b, most):
-            rows = order[i : min(i + most, b)]
-            out[rows] += normalised(rows, w["target"][at], w["bias"][at], ids[rows] - g * p.class_size)
+        for i in range(low, high, most):
+            j = min(i + most, high)
+            found[i:j] += normalised(i, j, w["target"][at], w["bias"][at], ids[i:j] - g * p.class_size)
+    out = np.empty(len(ids))
+    out[order] = found
     return out
 
 

@@ -664,7 +664,7 @@ def test_bands_keep_clean_text(lang):
 
 
 def test_unigram_scores_equal_brute_force(documents, rows, empty):
-    params = lm.LmParams(vocabulary=16, class_size=4, min_count=1, size=4, rounds=1, least_steps=4, frequent=0.02)
+    params = lm.LmParams(vocabulary=16, class_size=4, min_count=1, size=4, rounds=1, batch=512, least_steps=4, frequent=0.02)
     got = lm.score(documents, params).collect()
     assert len(got) == len(rows)
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -725,7 +725,7 @@ def test_model_probabilities_are_normalised_and_learn_context():
     ids[1::2] = (ids[::2] - 2 + 1) % 8 + 2  # each second word follows from the one before
     one, two = lm.contexts(ids, np.array([0, len(ids)]))
     unigram = (np.bincount(ids, minlength=10) + 0.5) / (len(ids) + 5)
-    p = lm.LmParams(size=8, class_size=4, class_noise=3, batch=256)
+    p = lm.LmParams(size=8, class_size=4, class_noise=3, word_noise=4, batch=256)
     trainer = lm.Trainer(lm.start(unigram, p), unigram, p, 0)
     for _ in range(6):
         trainer.walk(ids, one, two, p.rate)
@@ -738,7 +738,7 @@ def test_model_is_better_than_the_unigram_on_held_out_documents(spark):
     rng = np.random.default_rng(3)
     tongues = [[f"{a}{w}" for w in WORDS] for a in "abcd"]  # four languages, no word in two of them
     docs = [(i, " ".join(rng.choice(tongues[i % 4], 120))) for i in range(800)]
-    got = lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), lm.LmParams(class_size=32, rounds=2, shard_tokens=20_000)).filter("held_out").collect()
+    got = lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), lm.LmParams(class_size=32, rounds=2, shard_tokens=20_000, batch=1024)).filter("held_out").collect()
     assert len(got) > 100 and sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
 
 
