@@ -354,3 +354,44 @@ def test_backups(spark):
     text = '[{"name":"m","backup":[{"label":"1","error":false,"timestamp":{"stop":1704067200},"size":1},{"label":"2","error":false,"timestamp":{"stop":1704070800000},"size":2},{"label":"3","error":true,"timestamp":{"stop":1704080000},"size":3}]}]'
     got = backups.recovery_point(backups.latest(spark.createDataFrame([(text,), ("broken",), (None,)], "j string"), "j"), F.expr("timestamp'2024-01-01 03:00:00'"), 1).collect()
     assert [(r.stanza, r.backup, r.age_hours, r.within_rpo) for r in got] == [("m", "2", 2, False)]
+
+
+def test_trees_of_any_depth_and_cycles(spark):
+    pairs = [(f"p{i + 1}", f"p{i}") for i in range(12)]
+    kind = "child string, parent string"
+    assert sorted(r.depth for r in partitions.tree(spark.createDataFrame(pairs, kind), "p0").collect()) == list(range(1, 13))
+    assert partitions.tree(spark.createDataFrame(pairs, kind), "other").count() == 0
+    with pytest.raises(ValueError):
+        partitions.tree(spark.createDataFrame([*pairs[:3], ("p1", "p3")], kind), "p0")
+
+
+def test_ranges_of_any_length(spark):
+    bounds = partitions.daily(spark, "d", "2026-07-01", 2).union(spark.sql("SELECT 'long', timestamp_ntz'2026-07-03 06:00:00', timestamp_ntz'2026-09-01 00:00:00'"))
+    rows = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2026-07-01 00:00:00'), (2, timestamp_ntz'2026-07-02 23:59:59.999999'), (3, timestamp_ntz'2026-07-03 05:59:59'), (4, timestamp_ntz'2026-08-31 23:59:59'), (5, timestamp_ntz'2026-09-01 00:00:00'), (6, NULL), (6, NULL) AS t(k, at)")
+    got = sorted((r.k, r.part) for r in partitions.route_ranges(rows, "at", bounds).collect())
+    assert got == [(1, "d_2026_07_01"), (2, "d_2026_07_02"), (3, "default"), (4, "long"), (5, "default"), (6, "default"), (6, "default")]
+
+
+def test_extras_roles_and_reports(spark, tmp_path):
+    objects = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c")], "tenant int, name string")
+    golden, drifted = objects.filter("tenant = 1"), objects.filter("tenant = 2")
+    assert [tuple(r) for r in drift.extra_objects(objects, golden, drifted, ["name"]).collect()] == [(2, "c")]
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    e = edges(spark, [(1, 2), (2, 1), (3, 1), (4, 5), (5, 6), (8, 9), (9, 10), (10, 8), (10, 2)])
+    cycles = locks.cycle_members(e)
+    assert {(r.pid, r.cycle) for r in cycles.collect()} == {(1, 1), (2, 1), (8, 8), (9, 8), (10, 8)}
+    assert {r.pid: r.role for r in locks.waits(e, cycles).collect()} == {
+        1: "deadlocked", 2: "deadlocked", 3: "behind a deadlock", 4: "queued", 5: "waits and blocks", 6: "root blocker", 8: "deadlocked", 9: "deadlocked", 10: "deadlocked",
+    }
+    found = lint.findings(stmts(spark, "\n  DROP INDEX i"))
+    assert reports.annotations(found).first().text == "::error file=f,line=2,col=3,title=non-concurrent-drop-index::the drop stops reads and writes of the table: DROP INDEX I"
+    assert reports.markdown(found).first().text.splitlines()[-1].startswith("| 2 | BLOCKER | non-concurrent-drop-index | ACCESS EXCLUSIVE | the drop")
+    scripts.write_scripts(spark.createDataFrame([("a", "x", "SELECT 1;\n\nSELECT 2;")], "file string, phase string, text string"), f"{tmp_path}/out", "phase")
+    written = list((tmp_path / "out" / "file=a" / "phase=x").glob("*.txt"))
+    assert [f.read_text() for f in written] == ["SELECT 1;\n\nSELECT 2;"]
+
+
+def test_payloads_and_names(spark):
+    log = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, '{"a": "no"}'), (3, None), (4, "broken")], "id int, payload string")
+    assert [tuple(r) for r in ledger.populated(log, "payload", "a int, b string").orderBy("id").collect()] == [(1, 1, "x"), (2, None, None), (3, None, None), (4, None, None)]
+    assert one(spark, numbers.clean_name(lit(' "A""b" ')), numbers.clean_name(lit("Ab"))) == ('A"b', "ab")
