@@ -35,6 +35,6 @@ def only_changed(scripts: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def write_scripts(rows: DataFrame, path: str, phase: str | None = None) -> None:
-    """Writes (file, text) as text files, a folder for each script and, within it, for each phase if a column is named."""
+    """Writes (file, text) as text files, each with a line end behind it, a folder for each script and, within it, for each phase if a column is named."""
     keys = ["file", *([phase] if phase else [])]
-    rows.select(*keys, "text").write.partitionBy(*keys).option("lineSep", "").text(path)
+    rows.select(*keys, "text").write.partitionBy(*keys).text(path)

@@ -388,7 +388,7 @@ def test_extras_roles_and_reports(spark, tmp_path):
     assert reports.markdown(found).first().text.splitlines()[-1].startswith("| 2 | BLOCKER | non-concurrent-drop-index | ACCESS EXCLUSIVE | the drop")
     scripts.write_scripts(spark.createDataFrame([("a", "x", "SELECT 1;\n\nSELECT 2;")], "file string, phase string, text string"), f"{tmp_path}/out", "phase")
     written = list((tmp_path / "out" / "file=a" / "phase=x").glob("*.txt"))
-    assert [f.read_text() for f in written] == ["SELECT 1;\n\nSELECT 2;"]
+    assert [f.read_text() for f in written] == ["SELECT 1;\n\nSELECT 2;\n"]
 
 
 def test_payloads_and_names(spark):
