@@ -53,3 +53,28 @@ reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN l
 low AS (SELECT a, min(b) AS m FROM reach GROUP BY 1), deg AS (SELECT a, count(*) AS k FROM links GROUP BY 1)
 SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, least(vec_id, coalesce(m, vec_id)) = vec_id AS kept
 FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id"""
+
+_LOWER = lambda x: f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: A CTE with the 256 steps of CRC-32, and the checksum of the bytes that ``h`` spells in hexadecimal, given that table's ``t``.
+_CRC_TABLE = """tab AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda e, z: CASE WHEN e & 1 = 1 THEN xor(e >> 1, 3988292384::UBIGINT) ELSE e >> 1 END) AS v FROM range(256) r(i)))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::UBIGINT)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"""
+
+#: Here the n-grams are strings.
+RESAMPLE = rf"""
+WITH {_CRC_TABLE},
+w AS MATERIALIZED (SELECT 0 AS kind, row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, -row_number() OVER (), NULL, regexp_extract_all({_LOWER("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+n AS MATERIALIZED (SELECT kind, r, g, count(*) AS n FROM (SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w) GROUP BY ALL),
+hashed AS (SELECT g, ({_CRC} % 10000)::BIGINT AS bucket FROM (SELECT DISTINCT g, hex(encode(g)) AS h FROM n), tab),
+f AS MATERIALIZED (SELECT kind, r, bucket, n FROM n JOIN hashed USING (g)),
+side AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0) AS s, coalesce(sum(n) FILTER (kind = 1), 0) AS t FROM f GROUP BY 1),
+whole AS (SELECT sum(s)::DOUBLE + 10000 AS s_all, sum(t)::DOUBLE + 10000 AS t_all FROM side),
+gain AS (SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * s_all / ((s::DOUBLE + 1) * t_all)))::BIGINT AS gain FROM side, whole),
+doc AS (SELECT r, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM f JOIN gain USING (bucket) WHERE kind = 0 GROUP BY 1),
+score AS (SELECT r, doc_id, len(w) >= 20 AS fit, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END ELSE 0 END AS weight,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS noise FROM w LEFT JOIN doc USING (r) WHERE kind = 0),
+placed AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank FROM score WHERE fit)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weight + noise)::BIGINT AS score, CASE WHEN rank <= 25 * (SELECT count(*) FROM placed) // 100 THEN rank END AS rank
+FROM score LEFT JOIN placed USING (r)"""

@@ -14,6 +14,7 @@ from schemaloom.llm.lm import op7_lm
 from schemaloom.llm.packing import op3_packing
 from schemaloom.llm.pii import op5_pii
 from schemaloom.llm.quality_rules import op6_quality_rules
+from schemaloom.llm.resample import op13_resample
 from schemaloom.llm.sp_codec import op10_sentencepiece
 from schemaloom.llm.toxicity import op2_toxicity
 from schemaloom.llm.url_rules import op1_url_rules
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_lattice": op9_lattice,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_resample": op13_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_rules": oracles.URL_RULES,
     "op4_jaccard_join": oracles.JACCARD_JOIN,
     "op9_lattice": oracles.LATTICE,
+    "op13_resample": oracles.RESAMPLE,
 }

@@ -6,7 +6,7 @@ batch into flat numpy arrays, so no Python loop touches single words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,3 +83,12 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, width: int, odd: np.ndarray
 def odd_numbers(n: int, seed: int) -> np.ndarray:
     """Fixed odd 64-bit multipliers."""
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def only(texts: pa.Array, keep: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """The texts of ``texts_of`` with A-Z lower-cased and each byte that ``keep`` says false of as a blank. ``keep`` sees all
+    bytes, lower-cased, and must keep or drop the bytes of a character together."""
+    _, offsets, data = texts.buffers()
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    low = raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8)
+    return pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(np.where(keep(low), low, np.uint8(32))))
