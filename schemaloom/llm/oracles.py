@@ -78,3 +78,19 @@ score AS (SELECT r, doc_id, len(w) >= 20 AS fit, coalesce(n, 0) AS n_features, C
 placed AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank FROM score WHERE fit)
 SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weight + noise)::BIGINT AS score, CASE WHEN rank <= 25 * (SELECT count(*) FROM placed) // 100 THEN rank END AS rank
 FROM score LEFT JOIN placed USING (r)"""
+
+#: Words meet by what is left of them without one character: at the same place if one is replaced, or as the other word.
+SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all({_LOWER("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, {_CRC} AS h FROM (SELECT run, n, hex(encode(doc_id || ':' || run)) AS h FROM runs), tab),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN run[:(h % len(run))::BIGINT] || run[(h % len(run))::BIGINT + 2:] ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE len(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+less AS MATERIALIZED (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT p.word, count(*) AS n_near, min(struct_pack(less := -w.n, near := encode(w.word))) AS m FROM pairs p JOIN words w ON p.near = w.word GROUP BY 1),
+told AS MATERIALIZED (SELECT word, CASE WHEN -m.less >= 5 * n THEN decode(m.near) END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.less >= 5 * n THEN -m.less END AS form_n FROM words LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS root FROM told UNION ALL SELECT steps.word, told.form FROM steps JOIN told ON told.word = steps.root WHERE told.form IS NOT NULL),
+ends AS (SELECT steps.word, root FROM steps JOIN told ON told.word = root WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN ends USING (word)"""

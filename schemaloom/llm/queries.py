@@ -16,6 +16,7 @@ from schemaloom.llm.pii import op5_pii
 from schemaloom.llm.quality_rules import op6_quality_rules
 from schemaloom.llm.resample import op13_resample
 from schemaloom.llm.sp_codec import op10_sentencepiece
+from schemaloom.llm.spelling import op11_spelling
 from schemaloom.llm.toxicity import op2_toxicity
 from schemaloom.llm.url_rules import op1_url_rules
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_lattice": op9_lattice,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling": op11_spelling,
     "op13_resample": op13_resample,
 }
 
@@ -37,5 +39,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_rules": oracles.URL_RULES,
     "op4_jaccard_join": oracles.JACCARD_JOIN,
     "op9_lattice": oracles.LATTICE,
+    "op11_spelling": oracles.SPELLING,
     "op13_resample": oracles.RESAMPLE,
 }
