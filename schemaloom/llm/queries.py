@@ -11,6 +11,7 @@ from schemaloom.llm.html_text import op8_html_text
 from schemaloom.llm.jaccard_join import op4_jaccard_join
 from schemaloom.llm.lattice import op9_lattice
 from schemaloom.llm.lm import op7_lm
+from schemaloom.llm.lz_fingerprint import op12_lz_fingerprint
 from schemaloom.llm.packing import op3_packing
 from schemaloom.llm.pii import op5_pii
 from schemaloom.llm.quality_rules import op6_quality_rules
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lattice": op9_lattice,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_spelling": op11_spelling,
+    "op12_lz_fingerprint": op12_lz_fingerprint,
     "op13_resample": op13_resample,
 }
 
