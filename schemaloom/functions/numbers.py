@@ -114,6 +114,12 @@ def clean_name(text: Column) -> Column:
     return F.when(text.rlike('^".*"$'), F.replace(F.regexp_replace(text, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.lower(text))
 
 
+def dotted_name(text: Column) -> Column:
+    """A name of one part or more, with or without blanks around the dots, each part as the server keeps it."""
+    parts = F.regexp_extract_all(text, F.lit(r'("(?:[^"]|"")*"|[^\s."]+)'), F.lit(1))
+    return F.array_join(F.transform(parts, clean_name), ".")
+
+
 def index_text(definition: Column) -> Column:
     """An index definition without what differs between schemas: the index's name and the table's schema, CONCURRENTLY, IF NOT
     EXISTS and ONLY, blanks and case outside of quotes."""

@@ -36,7 +36,7 @@ def _clauses(keep: str, drop: str = "(?!)") -> Column:
 
 _ADD = r"^ADD (?!CONSTRAINT|PRIMARY|UNIQUE|CHECK|FOREIGN|EXCLUDE)(?:COLUMN )?"
 # Default expressions that are evaluated row by row.
-VOLATILE = r"\b(NOW|CLOCK_TIMESTAMP|STATEMENT_TIMESTAMP|TIMEOFDAY|RANDOM|GEN_RANDOM_UUID|UUID_GENERATE_V[14]|NEXTVAL|TXID_CURRENT) \("
+VOLATILE = r"\b(NOW|CLOCK_TIMESTAMP|STATEMENT_TIMESTAMP|TRANSACTION_TIMESTAMP|TIMEOFDAY|RANDOM|GEN_RANDOM_UUID|UUID_GENERATE_V[14]|NEXTVAL|TXID_CURRENT) \("
 
 
 def stateless() -> list[Rule]:
@@ -71,7 +71,7 @@ def prepared(stmts: DataFrame) -> DataFrame:
             stmts = stmts.withColumn(name, value)
     alter = rf"^ALTER TABLE (?:IF EXISTS )?{_REL} "
     return stmts.withColumn("target", F.when(F.col("norm").rlike(alter), F.regexp_extract(F.col("norm"), alter, 1))).withColumn(
-        "clauses", F.when(F.col("target").isNotNull(), F.split(F.regexp_replace(F.col("norm"), alter, ""), r" , (?![^(]*\))")).otherwise(F.array().cast("array<string>"))
+        "clauses", F.when(F.col("target").isNotNull(), F.transform("items", lambda x: x["norm"])).otherwise(F.array().cast("array<string>"))
     )
 
 
@@ -160,8 +160,8 @@ def type_rewrites(p: DataFrame) -> DataFrame:
     """ALTER COLUMN TYPE: a warning if the script tells the old type and the change is only of metadata."""
     clause = p.select("file", "stmt", "line", "col", "target", F.explode("clauses").alias("c"))
     change = r"^ALTER (?:COLUMN )?(\S+) (?:SET DATA )?TYPE (.+?)(?: USING .*)?$"
-    create = r"^CREATE TABLE (?:IF NOT EXISTS )?(\S+(?: \. \S+)?) \( (.*) \)"
-    inner = p.filter(F.col("norm").rlike(create)).select("file", "stmt", F.regexp_extract(F.col("norm"), create, 1).alias("target"), F.explode(F.split(F.regexp_extract(F.col("norm"), create, 2), r" , (?![^(]*\))")).alias("c"))
+    create = r"^CREATE TABLE (?:IF NOT EXISTS )?(\S+(?: \. \S+)?) \("
+    inner = p.filter(F.col("norm").rlike(create)).select("file", "stmt", F.regexp_extract(F.col("norm"), create, 1).alias("target"), F.explode(F.transform("items", lambda x: x["norm"])).alias("c"))
     added = clause.filter(F.col("c").rlike(_ADD)).select("file", "stmt", "target", F.regexp_replace("c", _ADD, "").alias("c"))
     column = r"^(\S+) (.+?)(?: (?:NOT NULL|NULL|DEFAULT|PRIMARY|UNIQUE|REFERENCES|CHECK|COLLATE|GENERATED)\b.*)?$"
     known = inner.unionByName(added).select("file", "target", F.regexp_extract("c", column, 1).alias("name"), F.regexp_extract("c", column, 2).alias("old"), "stmt")
@@ -232,15 +232,10 @@ def findings(stmts: DataFrame, rules: set[str] | None = None) -> DataFrame:
     return out.withColumn("message", F.concat(said, F.lit(": "), F.col("snippet")))
 
 
-def _raw_clauses() -> Column:
-    """The clauses of an ALTER TABLE as they are written."""
-    return F.split(F.regexp_replace("raw", rf"(?i)^ALTER TABLE (?:IF EXISTS )?{_REL} ", ""), r" , (?![^(]*\))")
-
-
 def remedy_sql(found: DataFrame, stmts: DataFrame) -> DataFrame:
     """Findings with ``fix_sql``: statements that do the same without the hazard, where they follow from the statement; else null.
     New names end in a hash of the clause, so they are the same in every run."""
-    rows = found.join(prepared(stmts).select("file", "stmt", "raw", "target", "clauses", _raw_clauses().alias("written")), ["file", "stmt"], "left")
+    rows = found.join(prepared(stmts).select("file", "stmt", "raw", "target", "clauses", F.transform("items", lambda x: x["raw"]).alias("written")), ["file", "stmt"], "left")
     at = F.array_position("clauses", F.col("snippet"))
     clause = F.when((at > 0) & (F.size("clauses") == F.size("written")), F.element_at("written", F.when(at > 0, at.cast("int")).otherwise(1)))
     table = F.regexp_extract("raw", rf"(?i)^ALTER TABLE (?:IF EXISTS )?{_REL} ", 1)
@@ -313,103 +308,6 @@ def edits(found: DataFrame, stmts: DataFrame, scripts: DataFrame) -> DataFrame:
     return rows.select("file", (low + here).cast("int").alias("low"), (low + upto).cast("int").alias("high"), put.alias("text")).filter("low IS NOT NULL").distinct()
 
 
-# Schemas from scripts
-
-
-def ddl_columns(stmts: DataFrame) -> DataFrame:
-    """(file, table_name, column_name, data_type, is_not_null, default_expr) that a script leaves behind: the last event of a column
-    wins, and a later DROP TABLE takes its columns. Names are upper-cased."""
-    p = prepared(stmts)
-    create = r"^CREATE TABLE (?:IF NOT EXISTS )?(\S+(?: \. \S+)?) \( (.*) \)"
-    part = r" , (?![^(]*\))"
-    made = p.filter(F.col("norm").rlike(create)).select("file", "stmt", F.regexp_extract("norm", create, 1).alias("table_name"), F.posexplode(F.split(F.regexp_extract("norm", create, 2), part)).alias("pos", "c"))
-    made = made.filter(~F.col("c").rlike("^(CONSTRAINT|PRIMARY|UNIQUE|CHECK|FOREIGN|EXCLUDE|LIKE)\\b")).withColumn("op", F.lit("add"))
-    clause = p.select("file", "stmt", F.col("target").alias("table_name"), F.posexplode("clauses").alias("pos", "c"))
-    added = clause.filter(F.col("c").rlike(_ADD)).withColumn("c", F.regexp_replace(F.regexp_replace("c", _ADD, ""), "^IF NOT EXISTS ", "")).withColumn("op", F.lit("add"))
-    dropped = clause.filter(F.col("c").rlike(r"^DROP (COLUMN )?(?!CONSTRAINT|NOT|DEFAULT)")).withColumn("c", F.regexp_replace("c", r"^DROP (COLUMN )?(IF EXISTS )?", "")).withColumn("op", F.lit("drop"))
-    column = r"^(\S+)(?: (.+?))??(?: (?:NOT NULL|NULL|DEFAULT|PRIMARY|UNIQUE|REFERENCES|CHECK|COLLATE|GENERATED|CASCADE|RESTRICT)\b.*)?$"
-    events = made.unionByName(added).unionByName(dropped).select(
-        "file", "table_name", "stmt", "pos", "op", F.regexp_extract("c", column, 1).alias("column_name"), F.regexp_extract("c", column, 2).alias("data_type"),
-        F.col("c").rlike(r"\b(NOT NULL|PRIMARY KEY)\b").alias("is_not_null"), F.nullif(F.regexp_extract("c", r"\bDEFAULT (\S+)", 1), F.lit("")).alias("default_expr"),
-    )
-    last = events.groupBy("file", "table_name", "column_name").agg(F.max_by(F.struct("stmt", "op", "data_type", "is_not_null", "default_expr"), F.struct("stmt", "pos")).alias("e"))
-    gone = p.filter(F.col("norm").rlike("^DROP TABLE")).select("file", "stmt", F.regexp_extract("norm", r"^DROP TABLE (?:IF EXISTS )?(\S+(?: \. \S+)?)", 1).alias("table_name"))
-    gone = gone.groupBy("file", "table_name").agg(F.max("stmt").alias("gone"))
-    kept = last.filter("e.op = 'add'").join(gone, ["file", "table_name"], "left").filter("gone IS NULL OR gone < e.stmt")
-    return kept.select("file", "table_name", "column_name", "e.data_type", "e.is_not_null", "e.default_expr")
-
-
-def _name(pattern: str) -> Column:
-    """A name from the statement as it is written: quoted ones keep their case, others are lower-cased."""
-    found = F.regexp_extract("raw", pattern, 1)
-    return F.regexp_replace(F.when(F.contains(found, F.lit('"')), found).otherwise(F.lower(found)), r'["\s]', "")
-
-
-def _last(events: DataFrame, *keys: str) -> DataFrame:
-    """The last event of each object; those that end in a drop are gone."""
-    rest = [c for c in events.columns if c not in keys]
-    last = events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("stmt", "pos")).alias("e"))
-    return last.filter("e.op <> 'drop'").select(*keys, *(f"e.{c}" for c in rest if c not in ("op", "stmt", "pos")))
-
-
-def ddl_indexes(stmts: DataFrame) -> DataFrame:
-    """(file, index_name, table_name, is_unique, is_concurrent, key_columns, predicate) that a script leaves behind."""
-    create = r"(?i)^CREATE (?:UNIQUE )?INDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?(\S+) ON "
-    rel = r"(?i)^CREATE (?:UNIQUE )?INDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?\S+ ON (?:ONLY )?(\S+(?: \. \S+)?)"
-    keys = F.regexp_extract("raw", r"\( (.*?) \)(?: (?:INCLUDE|WHERE|WITH|TABLESPACE|NULLS)\b.*)?$", 1)
-    made = stmts.filter(F.col("raw").rlike(create)).select(
-        "file", _name(create).alias("index_name"), "stmt", F.lit(0).alias("pos"), F.lit("add").alias("op"), _name(rel).alias("table_name"),
-        F.col("norm").rlike("^CREATE UNIQUE").alias("is_unique"), F.col("norm").rlike(r"^CREATE (UNIQUE )?INDEX CONCURRENTLY\b").alias("is_concurrent"),
-        F.split(keys, r" , (?![^(]*\))").alias("key_columns"), F.nullif(F.regexp_extract("raw", r"(?i) WHERE (.*)$", 1), F.lit("")).alias("predicate"),
-    )
-    drop = r"(?i)^DROP INDEX (?:CONCURRENTLY )?(?:IF EXISTS )?(.*?)(?: (?:CASCADE|RESTRICT))?$"
-    names = F.posexplode(F.split(F.regexp_extract("raw", drop, 1), " , ")).alias("pos", "n")
-    gone = stmts.filter(F.col("raw").rlike(drop)).select("file", "stmt", names).select("file", F.regexp_replace(F.when(F.contains("n", F.lit('"')), F.col("n")).otherwise(F.lower("n")), r'["\s]', "").alias("index_name"), "stmt", "pos", F.lit("drop").alias("op"))
-    return _last(made.unionByName(gone, allowMissingColumns=True), "file", "index_name")
-
-
-def ddl_constraints(stmts: DataFrame) -> DataFrame:
-    """(file, table_name, constraint_name, kind, is_validated, definition) of named constraints that a script leaves behind: of
-    CREATE TABLE and of ADD CONSTRAINT; VALIDATE CONSTRAINT validates, DROP CONSTRAINT removes. Names are lower-cased unless quoted."""
-    create = r"(?i)^CREATE TABLE (?:IF NOT EXISTS )?(\S+(?: \. \S+)?) \( (.*) \)"
-    alter = rf"(?i)^ALTER TABLE (?:IF EXISTS )?{_REL} "
-    inner = stmts.filter(F.col("raw").rlike(create)).select("file", "stmt", _name(create).alias("table_name"), F.posexplode(F.split(F.regexp_extract("raw", create, 2), r" , (?![^(]*\))")).alias("pos", "c"))
-    inner = inner.filter(F.col("c").rlike("(?i)^CONSTRAINT ")).withColumn("c", F.concat(F.lit("ADD "), "c"))
-    clause = stmts.filter(F.col("raw").rlike(alter)).select("file", "stmt", _name(alter).alias("table_name"), F.posexplode(_raw_clauses()).alias("pos", "c"))
-    name = r"(?i)^(?:ADD|VALIDATE|DROP) CONSTRAINT (?:IF EXISTS )?(\S+)"
-    rows = inner.unionByName(clause).filter(F.col("c").rlike(name))
-    found, body = F.regexp_extract("c", name, 1), F.regexp_replace("c", r"(?i)^ADD CONSTRAINT \S+ ", "")
-    kind = F.when(body.rlike("(?i)^PRIMARY"), "p").when(body.rlike("(?i)^UNIQUE"), "u").when(body.rlike("(?i)^CHECK"), "c").when(body.rlike("(?i)^FOREIGN"), "f").when(body.rlike("(?i)^EXCLUDE"), "x")
-    events = rows.select(
-        "file", "table_name", F.regexp_replace(F.when(F.contains(found, F.lit('"')), found).otherwise(F.lower(found)), '"', "").alias("constraint_name"), "stmt", "pos",
-        F.lower(F.regexp_extract("c", r"(?i)^(ADD|VALIDATE|DROP)", 1)).alias("op"), kind.alias("kind"), (~body.rlike(r"(?i) NOT VALID$")).alias("is_validated"), F.regexp_replace(body, r"(?i) NOT VALID$", "").alias("definition"),
-    )
-    keys = ["file", "table_name", "constraint_name"]
-    at = F.struct("stmt", "pos")
-    state = events.groupBy(*keys).agg(
-        F.max(F.when(F.col("op") == "add", at)).alias("added"), F.max(F.when(F.col("op") == "drop", at)).alias("dropped"), F.max(F.when(F.col("op") == "validate", at)).alias("validated"),
-        F.max_by(F.when(F.col("op") == "add", F.struct("kind", "is_validated", "definition")), F.when(F.col("op") == "add", at)).alias("e"),
-    )
-    left = state.filter("added IS NOT NULL AND (dropped IS NULL OR dropped < added)")
-    return left.select(*keys, "e.kind", (F.col("e.is_validated") | F.coalesce(F.col("validated") > F.col("added"), F.lit(False))).alias("is_validated"), "e.definition")
-
-
-def ddl_enums(stmts: DataFrame) -> DataFrame:
-    """(file, enum_name, labels) that a script leaves behind: CREATE TYPE AS ENUM, then values added behind, DROP TYPE removes. Values
-    added BEFORE or AFTER another stand behind as well: the labels are a set for the differences."""
-    create = r"(?i)^CREATE TYPE (\S+(?: \. \S+)?) AS ENUM \( "
-    value = r"(?i)^ALTER TYPE (\S+(?: \. \S+)?) ADD VALUE "
-    drop = r"(?i)^DROP TYPE (?:IF EXISTS )?(\S+(?: \. \S+)?)"
-    label = F.transform(F.regexp_extract_all("raw", F.lit(r"'((?:[^']|'')*)'"), F.lit(1)), lambda x: F.replace(x, F.lit("''"), F.lit("'")))
-    made = stmts.filter(F.col("raw").rlike(create)).select("file", _name(create).alias("enum_name"), "stmt", label.alias("labels"))
-    more = stmts.filter(F.col("raw").rlike(value)).select("file", _name(value).alias("enum_name"), "stmt", F.slice(label, 1, 1).alias("more"))
-    gone = stmts.filter(F.col("raw").rlike(drop)).select("file", _name(drop).alias("enum_name"), F.col("stmt").alias("gone")).groupBy("file", "enum_name").agg(F.max("gone").alias("gone"))
-    last = made.groupBy("file", "enum_name").agg(F.max_by(F.struct("stmt", "labels"), "stmt").alias("e")).join(gone, ["file", "enum_name"], "left").filter("gone IS NULL OR gone < e.stmt")
-    added = more.join(last.select("file", "enum_name", F.col("e.stmt").alias("made")), ["file", "enum_name"]).filter("stmt > made").groupBy("file", "enum_name")
-    added = added.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("stmt", "more"))), lambda x: x["more"])).alias("more"))
-    return last.join(added, ["file", "enum_name"], "left").select("file", "enum_name", F.array_distinct(F.concat("e.labels", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"))
-
-
 # Findings: overrides, waivers, counts
 
 ALIASES = {"concurrent-index": "require-concurrent-index", "not-valid": "foreign-key-missing-not-valid", "batching": "unbatched-dml", "rename": "prisma-silent-rename-data-loss"}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from schemaloom.functions import masking, numbers, telemetry
-from schemaloom.operators import drift, indexes, ledger, lint, locks, statements
+from schemaloom.operators import drift, indexes, ledger, lint, locks, objects, statements
 from schemaloom.plans import feeds
 from schemaloom.plans.feeds import table
 
@@ -606,7 +606,7 @@ def patched_scripts(spark, sf_dir):
 @query(f"""WITH st AS ({feeds.STATEMENTS}), l AS (SELECT * FROM st WHERE kind IN (0, 1, 18, 19) QUALIFY row_number() OVER (PARTITION BY file, n ORDER BY stmt DESC) = 1)
 SELECT file, 'ix_' || n AS index_name, 't_' || t AS table_name, false AS is_unique, kind = 1 AS is_concurrent, 'c_' || c AS keys FROM l WHERE kind IN (0, 1)""")
 def ddl_indexes(spark, sf_dir):
-    found = lint.ddl_indexes(statements.statements(feeds.scripts(spark, sf_dir)))
+    found = objects.ddl_indexes(statements.statements(feeds.scripts(spark, sf_dir)))
     return found.select("file", "index_name", "table_name", "is_unique", "is_concurrent", F.array_join("key_columns", ",").alias("keys"))
 
 
@@ -614,7 +614,7 @@ def ddl_indexes(spark, sf_dir):
 SELECT file, 't_' || t AS table_name, 'f_' || n AS constraint_name, 'f' AS kind, l.kind = 4 OR EXISTS (SELECT 1 FROM st v WHERE v.file = l.file AND v.t = l.t AND v.n = l.n AND v.kind = 33 AND v.stmt > l.stmt) AS is_validated,
   'FOREIGN KEY ( c_' || c || ' ) REFERENCES t_0 ( id )' AS definition FROM l""")
 def ddl_constraints(spark, sf_dir):
-    return lint.ddl_constraints(statements.statements(feeds.scripts(spark, sf_dir)))
+    return objects.ddl_constraints(statements.statements(feeds.scripts(spark, sf_dir)))
 
 
 @query(f"""WITH st AS ({feeds.STATEMENTS}), m AS (SELECT file, t, max(stmt) AS made FROM st WHERE kind = 30 GROUP BY 1, 2),
@@ -622,7 +622,7 @@ k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM st d WHERE d.file = m.file
 v AS (SELECT file, t, list(DISTINCT 'v_' || n) AS more FROM st JOIN k USING (file, t) WHERE kind = 27 AND stmt > made GROUP BY 1, 2)
 SELECT file, 'e_' || t AS enum_name, array_to_string(list_sort(list_concat(['a', 'b'], coalesce(more, []))), ',') AS labels FROM k LEFT JOIN v USING (file, t)""")
 def ddl_enums(spark, sf_dir):
-    found = lint.ddl_enums(statements.statements(feeds.scripts(spark, sf_dir)))
+    found = objects.ddl_enums(statements.statements(feeds.scripts(spark, sf_dir)))
     return found.select("file", "enum_name", F.array_join(F.sort_array("labels"), ",").alias("labels"))
 
 
@@ -901,5 +901,5 @@ def remedies(spark, sf_dir):
 l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY file, t, col ORDER BY stmt DESC) = 1)
 SELECT file, count(*) AS columns, count(*) FILTER (WHERE nn) AS not_null FROM l WHERE adds GROUP BY 1""")
 def ddl_columns(spark, sf_dir):
-    c = lint.ddl_columns(statements.statements(feeds.scripts(spark, sf_dir)))
+    c = objects.ddl_columns(statements.statements(feeds.scripts(spark, sf_dir)))
     return c.groupBy("file").agg(F.count("*").alias("columns"), F.count_if("is_not_null").alias("not_null"))

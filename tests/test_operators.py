@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.functions import masking, numbers, telemetry
-from schemaloom.operators import drift, indexes, ledger, lint, locks, partitions, readiness, reports, statements
+from schemaloom.operators import drift, indexes, ledger, lint, locks, objects, partitions, readiness, reports, statements
 from schemaloom.sources import backups, catalog, config, logs, scripts
 from schemaloom.streaming import locks as streams
 
@@ -79,9 +79,9 @@ def test_remedies_keep_names_as_written(spark):
 def test_objects_that_scripts_leave(spark):
     s = stmts(spark, "CREATE UNIQUE INDEX \"Ix\" ON ONLY s.t USING btree (lower(a), b) WHERE a > 0; CREATE INDEX j ON t (a); DROP INDEX IF EXISTS J, k; CREATE TABLE T (a int, CONSTRAINT C CHECK (a > 0));"
               "ALTER TABLE t ADD CONSTRAINT d UNIQUE (a) NOT VALID, ADD CONSTRAINT e CHECK (b > 1); ALTER TABLE t DROP CONSTRAINT e; ALTER TABLE t VALIDATE CONSTRAINT d; CREATE TYPE m AS ENUM ('x', 'it''s'); ALTER TYPE m ADD VALUE 'z'")
-    assert [tuple(r)[1:] for r in lint.ddl_indexes(s).collect()] == [("Ix", "s.t", True, False, ["lower ( a )", "b"], "a > 0")]
-    assert {tuple(r)[1:] for r in lint.ddl_constraints(s).collect()} == {("t", "c", "c", True, "CHECK ( a > 0 )"), ("t", "d", "u", True, "UNIQUE ( a )")}
-    assert [tuple(r)[1:] for r in lint.ddl_enums(s).collect()] == [("m", ["x", "it's", "z"])]
+    assert [tuple(r)[1:] for r in objects.ddl_indexes(s).collect()] == [("Ix", "s.t", True, False, ["lower ( a )", "b"], "a > 0")]
+    assert {tuple(r)[1:] for r in objects.ddl_constraints(s).collect()} == {("t", "c", "c", True, "CHECK ( a > 0 )"), ("t", "d", "u", True, "UNIQUE ( a )")}
+    assert [tuple(r)[1:] for r in objects.ddl_enums(s).collect()] == [("m", ["x", "it's", "z"])]
 
 
 def test_tokens_cover_the_text(spark):
@@ -161,8 +161,8 @@ def test_scripts_from_folders(spark, tmp_path):
 
 def test_columns_that_scripts_leave(spark):
     text = "CREATE TABLE t (id bigint PRIMARY KEY, a numeric(10, 2) DEFAULT 0, CONSTRAINT c CHECK (a > 0)); ALTER TABLE t ADD COLUMN b text NOT NULL, DROP COLUMN a; CREATE TABLE u (x int); DROP TABLE u; ALTER TABLE t ADD IF NOT EXISTS a int"
-    got = {tuple(r)[1:] for r in lint.ddl_columns(stmts(spark, text)).collect()}
-    assert got == {("T", "ID", "BIGINT", True, None), ("T", "B", "TEXT", True, None), ("T", "A", "INT", False, None)}
+    got = {tuple(r)[1:] for r in objects.ddl_columns(stmts(spark, text)).collect()}
+    assert got == {("t", "id", "bigint", True, None), ("t", "b", "text", True, None), ("t", "a", "integer", False, None)}
 
 
 def test_rule_selection_and_twins(spark):
