@@ -39,11 +39,6 @@ def cost_advice(selected: Column, delta: Column) -> Column:
     return F.when(~selected, "REJECTED").when(delta >= 30, "STRONG").when(delta > 0, "MARGINAL").otherwise("REJECTED")
 
 
-def plan_uses(plan: Column, index: str) -> Column:
-    """Whether an EXPLAIN text in JSON names an index anywhere in its tree."""
-    return F.regexp_count(plan, F.lit('"Index Name" *: *"' + index + '"')) > 0
-
-
 def tuple_header(nullable_columns: Column) -> Column:
     """Bytes of a row header with its null bitmap, padded to eight."""
     bitmap = F.ceil(nullable_columns / 8.0)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from schemaloom.functions.session import Rounds
+
 # Lock levels by rank, whether they block reads and writes, and the levels they conflict with.
 LOCK_LEVELS = (
     ("NONE", 0, False, False, ()),
@@ -38,49 +40,187 @@ def root_blockers(edges: DataFrame) -> DataFrame:
     return blockers.join(edges.select(F.col("waiter").alias("pid")).distinct(), "pid", "left_anti")
 
 
-def _spread(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
-    """(pid, label): the smallest label that reaches each node over edges (source, target), checkpointed round by round."""
+def _spread(edges: DataFrame, labels: DataFrame, tables: Rounds, limit: int) -> DataFrame:
+    """(pid, label): the smallest label that reaches each node over edges (source, target). Each round also takes the label of the node
+    that a label names, where that is a label itself: what reaches the label reaches the node, so long ways take few rounds."""
     state = None
-    for _ in range(rounds):
+    labels = tables.table(labels)
+    for _ in range(limit):
         step = edges.join(labels.select(F.col("pid").alias("source"), "label"), "source").select(F.col("target").alias("pid"), "label")
-        labels = labels.union(step).groupBy("pid").agg(F.min("label").alias("label")).checkpoint()
-        now = tuple(labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first())
-        if now == state:
+        low = labels.union(step).groupBy("pid").agg(F.min("label").alias("label"))
+        jump = low.join(labels.select(F.col("pid").alias("label"), F.col("label").alias("further")), "label", "left")
+        now = tables.table(jump.select("pid", F.least("label", "further").alias("label")))
+        tables.drop(labels)
+        labels = now
+        then = tuple(labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first())
+        if then == state:
             return labels
-        state = now
-    raise RuntimeError(f"labels still move after {rounds} rounds")
+        state = then
+    raise RuntimeError(f"labels still move after {limit} rounds")
+
+
+def _contracted(edges: DataFrame, tables: Rounds, limit: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """What is left of edges (waiter, blocker) when ends and chains are taken out: (edges, rings, runs).
+
+    Nodes that nobody waits for, or that wait for nobody, go. Nodes with one edge in and one out are links of a chain: each takes the
+    node that it leads to, then that node's, and so on, doubling the way each round. A chain becomes one edge, and ``runs`` keeps the links as (pid, before,
+    behind); one that closes on itself is a ring (pid, cycle, place, size), told by never leading out.
+    """
+    now, rings, runs = tables.table(edges), [], []
+    count = now.count()
+    for _ in range(limit):
+        ends = now.join(now.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
+        rest = tables.table(ends.join(now.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker"))
+        tables.drop(now)
+        now = rest
+        out = now.groupBy(F.col("waiter").alias("pid")).agg(F.count("*").alias("n_out"), F.min("blocker").alias("next"))
+        into = now.groupBy(F.col("blocker").alias("pid")).agg(F.count("*").alias("n_in"), F.min("waiter").alias("before"))
+        links = tables.table(out.join(into, "pid").filter("n_out = 1 AND n_in = 1").select("pid", "next", "before"))
+        if n_links := links.count():
+            # way: where a link's chain leads, both ways; low: the smallest pid on it; open: it ends at a node that is no link
+            one = links.select(F.col("pid").alias("to"), F.lit(True).alias("linked"))
+            way = links.join(one.withColumnRenamed("to", "next"), "next", "left").select("pid", F.col("next").alias("behind"), (~F.coalesce("linked", F.lit(False))).alias("out_open"), "before")
+            way = way.join(one.withColumnRenamed("to", "before"), "before", "left").select("pid", "behind", "out_open", "before", (~F.coalesce("linked", F.lit(False))).alias("in_open"), F.least("pid", "behind").alias("low"))
+            way = tables.table(way)
+            for _ in range(n_links.bit_length()):
+                ahead = way.select(F.col("pid").alias("behind"), F.col("behind").alias("b2"), F.col("out_open").alias("o2"), F.col("low").alias("l2"))
+                back = way.select(F.col("pid").alias("before"), F.col("before").alias("a2"), F.col("in_open").alias("i2"))
+                far = way.join(ahead, "behind", "left").join(back, "before", "left").select(
+                    "pid", F.when(F.col("out_open"), F.col("behind")).otherwise(F.coalesce("b2", "behind")).alias("behind"), (F.col("out_open") | F.coalesce("o2", F.lit(False))).alias("out_open"),
+                    F.when(F.col("in_open"), F.col("before")).otherwise(F.coalesce("a2", "before")).alias("before"), (F.col("in_open") | F.coalesce("i2", F.lit(False))).alias("in_open"),
+                    F.when(F.col("out_open"), F.col("low")).otherwise(F.least("low", "l2")).alias("low"),
+                )
+                then = tables.table(far)
+                tables.drop(way)
+                way = then
+                if way.filter("NOT (in_open AND out_open)").isEmpty():
+                    break
+            rings.append(tables.table(way.filter("NOT out_open").select("pid", F.col("low").alias("cycle"))))
+            runs.append(tables.table(way.filter("out_open").select("pid", "before", "behind")))
+            tables.drop(way)
+            linked = links.select("pid")
+            kept = now.join(linked.withColumnRenamed("pid", "waiter"), "waiter", "left_anti").join(linked.withColumnRenamed("pid", "blocker"), "blocker", "left_anti").select("waiter", "blocker")
+            rest = tables.table(kept.union(runs[-1].select("before", "behind")).distinct())
+            tables.drop(now)
+            now = rest
+        tables.drop(links)
+        left = now.count()
+        if left == count and not n_links:
+            return now, rings, runs
+        count = left
+    raise RuntimeError(f"chains not taken out in {limit} rounds")
+
+
+def cycle_members(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
+    """(pid, cycle) on a waiting cycle; ``cycle`` is the smallest pid of those that wait for each other. A table in the shared folder.
+
+    Ends and chains are taken out first (``_contracted``), in rounds that grow with the logarithm of their length. Of the rest each node takes the smallest
+    pid that reaches it; a node that took its own pid is the root of a component, and what reaches it back over edges of its own colour belongs to
+    that. Those are taken out and the rest goes on. Last, the links of a chain join the component that both its ends are in. Every table has a row for a
+    node or an edge, never one for a pair that reaches each other. Self waits are cycles of one; repeated edges and nulls do no harm.
+    """
+    edges = edges.filter("waiter IS NOT NULL AND blocker IS NOT NULL").select("waiter", "blocker").distinct()
+    with Rounds(edges.sparkSession) as tables:
+        given = tables.table(edges)
+        found = tables.table(given.filter("waiter = blocker").select(F.col("waiter").alias("pid"), F.col("waiter").alias("cycle")))
+        now, rings, runs = _contracted(given.filter("waiter <> blocker"), tables, rounds)
+        for _ in range(rounds):
+            # a chain that came back to where it began is an edge of a node to itself
+            own_edge = now.filter("waiter = blocker").select(F.col("waiter").alias("pid"), F.col("waiter").alias("cycle"))
+            found = tables.table(found.union(own_edge).distinct())
+            now = tables.table(now.filter("waiter <> blocker"))
+            if now.isEmpty():
+                break
+            nodes = now.select(F.col("waiter").alias("pid")).union(now.select("blocker")).distinct()
+            colour = _spread(now.select(F.col("waiter").alias("source"), F.col("blocker").alias("target")), nodes.withColumn("label", F.col("pid")), tables, rounds)
+            tint = lambda name: colour.select(F.col("pid").alias(name), F.col("label").alias(f"{name}_label"))
+            own = tables.table(now.join(tint("waiter"), "waiter").join(tint("blocker"), "blocker").filter("waiter_label = blocker_label").select(F.col("blocker").alias("source"), F.col("waiter").alias("target")))
+            back = _spread(own, colour.filter("pid = label"), tables, rounds)
+            members = tables.table(back.select("pid", F.col("label").alias("cycle")))
+            several = members.groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1").select("cycle")
+            found = tables.table(found.union(members.join(several, "cycle", "left_semi").select("pid", "cycle")))
+            gone = members.select(F.col("pid").alias("waiter"))
+            now, more_rings, more_runs = _contracted(now.join(gone, "waiter", "left_anti").join(gone.withColumnRenamed("waiter", "blocker"), "blocker", "left_anti").select("waiter", "blocker"), tables, rounds)
+            rings, runs = rings + more_rings, runs + more_runs
+        else:
+            raise RuntimeError(f"cycles not found in {rounds} rounds")
+        for ring in rings:
+            found = found.union(ring.select("pid", "cycle"))
+        found = tables.table(found.groupBy("pid").agg(F.min("cycle").alias("cycle")))
+        for run in reversed(runs):
+            at = lambda name: found.select(F.col("pid").alias(name), F.col("cycle").alias(f"{name}_cycle"))
+            inside = run.join(at("before"), "before").join(at("behind"), "behind").filter("before_cycle = behind_cycle").select("pid", F.col("before_cycle").alias("cycle"))
+            found = tables.table(found.union(inside).groupBy("pid").agg(F.min("cycle").alias("cycle")))
+        lowest = found.groupBy("cycle").agg(F.min("pid").alias("low"))
+        return tables.keep(found.join(lowest, "cycle").select("pid", F.col("low").alias("cycle")))
 
 
-def cycle_members(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(pid, cycle) on a waiting cycle; ``cycle`` is the smallest pid of those that wait for each other.
+def cycles(edges: DataFrame, members: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
+    """(cycle, pids): of each group of sessions that wait for each other one shortest cycle through its smallest pid, beginning there. Among equally
+    short ones each pid is followed backwards to its smallest waiter. A table in the shared folder.
 
-    Nodes that nobody waits for, or that wait for nobody, are trimmed round by round. Then each node takes the smallest pid that reaches it;
-    a node that took its own pid is the root of a component, and what reaches it back over edges of its own colour belongs to
-    that. Those are taken out and the rest goes on. Every table has a row for a node or an edge, never one for a pair that reaches each other.
+    Breadth first from the smallest pid, along who waits for whom, within the group; each newly met session keeps the smallest of those it was
+    met from. A group stops when its smallest pid is met again, so rounds are as many as the longest of these cycles; the way is then followed back.
     """
-    now = edges.filter("waiter <> blocker").select("waiter", "blocker").distinct()
-    found = edges.filter("waiter = blocker").select(F.col("waiter").alias("pid"), F.col("waiter").alias("cycle")).distinct()
-    for _ in range(rounds):
-        size = -1
-        while True:
-            now = now.join(now.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
-            now = now.join(now.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker").checkpoint()
-            left = now.count()
-            if left == size:
+    with Rounds(edges.sparkSession) as tables:
+        members = tables.table((cycle_members(edges) if members is None else members).select("pid", "cycle"))
+        tint = lambda name: members.select(F.col("pid").alias(name), F.col("cycle").alias(f"{name}_cycle"))
+        inside = edges.select("waiter", "blocker").distinct().join(tint("waiter"), "waiter").join(tint("blocker"), "blocker").filter("waiter_cycle = blocker_cycle")
+        inside = tables.table(inside.select(F.col("waiter_cycle").alias("cycle"), "waiter", "blocker"))
+        edge = tables.table(members.select("cycle", F.col("cycle").alias("pid"), F.lit(0).alias("level"), F.lit(None).cast(members.schema["pid"].dataType).alias("met_from")).distinct())
+        seen, closed = [edge], []
+        for level in range(1, rounds):
+            met = tables.table(
+                edge.select("cycle", F.col("pid").alias("waiter")).join(inside, ["cycle", "waiter"]).groupBy("cycle", F.col("blocker").alias("pid")).agg(F.min("waiter").alias("met_from"))
+                .select("cycle", "pid", F.lit(level).alias("level"), "met_from")
+            )
+            done = tables.table(met.filter("pid = cycle"))
+            closed.append(done)
+            new = met.join(done.select("cycle"), "cycle", "left_anti")
+            for before in seen:
+                new = new.join(before.select("cycle", "pid"), ["cycle", "pid"], "left_anti")
+            edge = tables.table(new)
+            tables.drop(met)
+            if edge.isEmpty():
                 break
-            size = left
-        if not size:
-            return found.groupBy("pid").agg(F.min("cycle").alias("cycle"))
-        nodes = now.select(F.col("waiter").alias("pid")).distinct()
-        colour = _spread(now.select(F.col("waiter").alias("source"), F.col("blocker").alias("target")), nodes.withColumn("label", F.col("pid")), rounds)
-        tint = lambda name: colour.select(F.col("pid").alias(name), F.col("label").alias(f"{name}_label"))
-        own = now.join(tint("waiter"), "waiter").join(tint("blocker"), "blocker").filter("waiter_label = blocker_label")
-        back = _spread(own.select(F.col("blocker").alias("source"), F.col("waiter").alias("target")), colour.filter("pid = label"), rounds)
-        members = back.select("pid", F.col("label").alias("cycle"))
-        found = found.union(members.join(members.groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1").select("cycle"), "cycle", "left_semi").select("pid", "cycle"))
-        gone = members.select(F.col("pid").alias("waiter"))
-        now = now.join(gone, "waiter", "left_anti").join(gone.withColumnRenamed("waiter", "blocker"), "blocker", "left_anti").select("waiter", "blocker")
-    raise RuntimeError(f"cycles not found in {rounds} rounds")
+            seen.append(edge)
+            if len(seen) > 8:  # one table in place of many
+                whole = tables.table(_union(seen))
+                tables.drop(*(x for x in seen if x is not edge))
+                seen = [whole]
+        else:
+            raise RuntimeError(f"cycles longer than {rounds}")
+        steps = tables.table(_union(seen).select("cycle", F.col("pid").alias("at"), "met_from"))
+        paths = _union(closed).select("cycle", F.col("met_from").alias("at"), F.array(F.col("met_from")).alias("pids"))
+        finished = []
+        for _ in range(rounds):
+            paths = tables.table(paths)
+            finished.append(paths.filter("at = cycle").select("cycle", "pids"))
+            paths = paths.filter("at <> cycle").join(steps, ["cycle", "at"]).select("cycle", F.col("met_from").alias("at"), F.concat(F.array(F.col("met_from")), F.col("pids")).alias("pids"))
+            if paths.isEmpty():
+                break
+        return tables.keep(_union(finished))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def verdict(edges: DataFrame) -> DataFrame:
+    """(verdict, edges, cycles, root_blockers) of a whole wait-for graph, all but the first as counts: DEADLOCK_CYCLE if sessions wait in a circle,
+    LINEAR_LOCK_CHAIN if some only wait, CLEAN if none does."""
+    n = F.count("*").cast("bigint")
+    parts = (
+        edges.agg(n.alias("n")).withColumn("what", F.lit("edges"))
+        .unionByName(cycle_members(edges).agg(F.count_distinct("cycle").alias("n")).withColumn("what", F.lit("cycles")))
+        .unionByName(root_blockers(edges).agg(n.alias("n")).withColumn("what", F.lit("root_blockers")))
+    )
+    counts = parts.agg(*(F.sum(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("edges", "cycles", "root_blockers")))
+    said = F.when(F.col("cycles") > 0, "DEADLOCK_CYCLE").when(F.col("edges") > 0, "LINEAR_LOCK_CHAIN").otherwise("CLEAN")
+    return counts.select(said.alias("verdict"), "edges", "cycles", "root_blockers")
 
 
 def waits(edges: DataFrame, cycles: DataFrame) -> DataFrame:

@@ -89,6 +89,28 @@ TENANT_OBJECTS = """
 SELECT DISTINCT c_custkey % 97 AS tenant, 'accounts' AS table_name, c_mktsegment || '_' || (c_nationkey % 2) AS column_name,
        CASE WHEN c_nationkey % 2 = 0 THEN 'text' ELSE 'bigint' END AS data_type FROM customer"""
 
+_PLAN = (
+    r'[{"Plan":{"Node Type":"Limit","Plan Rows":1,"Total Cost":', "top", r',"Plans":[{"Node Type":"Hash Join","Total Cost":', "join",
+    r',"Plans":[{"Node Type":"Seq Scan","Relation Name":"lineitem","Plan Rows":', "rows", r',"Total Cost":', "scan", r',"Filter":"(note = \"Index Name\" : \"ix_0\")"},{"Node Type":"Index Scan","Relation Name":"part","Index Name":',
+    "index", r',"Total Cost":', "probe", r"}]}]}}]",
+)
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of a query per order, as EXPLAIN prints it: three levels, an index by the customer, costs by price."""
+    o = table(spark, sf_dir, "orders")
+    values = {
+        "top": F.col("o_orderkey") % 50 + 9000, "join": F.col("o_orderkey") % 50 + 8000.5, "rows": F.col("o_orderkey"), "scan": F.col("o_custkey") % 100 + 0.25,
+        "index": F.concat(F.lit('"ix_'), (F.col("o_custkey") % 40).cast("string"), F.lit('"')), "probe": F.col("o_orderkey") % 7 + 0.5,
+    }
+    return o.select(F.col("o_orderkey").alias("plan_id"), F.concat(*(values[x].cast("string") if x in values else F.lit(x) for x in _PLAN)).alias("plan"))
+
+
+_PLAN_SQL = {
+    "top": "o_orderkey % 50 + 9000", "join": "(o_orderkey % 50)::DOUBLE + 8000.5::DOUBLE", "rows": "o_orderkey", "scan": "(o_custkey % 100)::DOUBLE + 0.25::DOUBLE", "index": "'\"ix_' || o_custkey % 40 || '\"'", "probe": "(o_orderkey % 7)::DOUBLE + 0.5::DOUBLE",
+}
+PLANS = "SELECT o_orderkey AS plan_id, " + " || ".join(f"({_PLAN_SQL[x]})::VARCHAR" if x in _PLAN_SQL else f"'{x}'" for x in _PLAN) + " AS plan FROM orders"
+
 #: Statements of the generated scripts, by kind; {t}, {c} and {n} are filled in. Begin and commit are kinds too.
 TEMPLATES = (
     "CREATE INDEX ix_{n} ON t_{t} (c_{c})", "CREATE INDEX CONCURRENTLY ix_{n} ON t_{t} (c_{c})", "ALTER TABLE t_{t} ADD COLUMN c_{c} integer NOT NULL",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from schemaloom.functions import masking, numbers, telemetry
-from schemaloom.operators import drift, indexes, ledger, lint, locks, objects, statements
+from schemaloom.operators import drift, indexes, ledger, lint, locks, objects, plan_trees, statements
 from schemaloom.plans import feeds
 from schemaloom.plans.feeds import table
 
@@ -130,12 +130,29 @@ def hypothetical_index(spark, sf_dir):
         F.col("p_partkey").alias("plan_id"), plan(F.col("p_retailprice"), F.lit("none")).alias("before"),
         plan(F.col("p_retailprice") * F.col("p_size") / 25.0, F.when(F.col("p_size") % 6 == 0, "other").otherwise("ix_new")).alias("after"),
     )
-    cost = lambda c: F.get_json_object(c, "$[0].Plan['Total Cost']").cast("double")
-    used = telemetry.plan_uses(F.col("after"), "ix_new")
-    p = p.select("plan_id", telemetry.cost_delta(cost("before"), cost("after")).alias("delta"), used.alias("used"))
+    used = plan_trees.uses_index(F.col("after"), "ix_new")
+    p = p.select("plan_id", telemetry.cost_delta(plan_trees.total_cost(F.col("before")), plan_trees.total_cost(F.col("after"))).alias("delta"), used.alias("used"))
     return p.select("plan_id", "delta", telemetry.cost_advice(F.col("used"), F.col("delta")).alias("advice"))
 
 
+@query(f"""WITH RECURSIVE p AS ({feeds.PLANS}),
+n AS (SELECT plan_id, '0' AS path, NULL::VARCHAR AS parent, 0 AS level, json_extract(plan, '$[0].Plan') AS node FROM p
+  UNION ALL SELECT plan_id, path || '.' || (i - 1), path, level + 1, json_extract(node, '$.Plans[' || (i - 1) || ']') FROM (SELECT *, unnest(range(1, json_array_length(node, '$.Plans')::BIGINT + 1)) AS i FROM n WHERE json_exists(node, '$.Plans'))),
+c AS (SELECT plan_id, parent AS path, sum((node ->> '$."Total Cost"')::DOUBLE) AS below FROM n WHERE parent IS NOT NULL GROUP BY 1, 2)
+SELECT plan_id, path, parent, level, node ->> '$."Node Type"' AS node_type, node ->> '$."Relation Name"' AS relation, node ->> '$."Index Name"' AS index_name, (node ->> '$."Plan Rows"')::DOUBLE AS plan_rows,
+  (node ->> '$."Total Cost"')::DOUBLE AS total_cost, (node ->> '$."Total Cost"')::DOUBLE - coalesce(below, 0) AS own_cost FROM n LEFT JOIN c USING (plan_id, path)""")
+def plan_nodes(spark, sf_dir):
+    return plan_trees.nodes(feeds.plans(spark, sf_dir))
+
+
+@query(f"""WITH p AS ({feeds.PLANS}), f AS (SELECT plan_id, unnest(from_json(json_extract(plan, '$[0].Plan.Plans[0].Plans'), '["JSON"]')) AS node FROM p)
+SELECT node ->> '$."Index Name"' AS index_name, count(DISTINCT plan_id) AS plans, round(sum((node ->> '$."Total Cost"')::DOUBLE), 6) AS cost FROM f WHERE node ->> '$."Index Name"' IS NOT NULL GROUP BY 1""")
+def index_usage(spark, sf_dir):
+    """In how many plans each index is read, and what those reads cost; names in filters do not count."""
+    n = plan_trees.nodes(feeds.plans(spark, sf_dir)).filter("index_name IS NOT NULL")
+    return n.groupBy("index_name").agg(F.count_distinct("plan_id").alias("plans"), F.round(F.sum("total_cost"), 6).alias("cost"))
+
+
 # Replication, archiving, settings
 
 
@@ -245,9 +262,25 @@ c AS (SELECT a.waiter AS pid, min(a.blocker) AS cycle FROM r a JOIN r b ON a.wai
 
 @query(f"WITH {REACH} SELECT pid, cycle FROM c")
 def cycle_members(spark, sf_dir):
-    from schemaloom.functions.session import checkpointed
+    return locks.cycle_members(feeds.wait_edges(spark, sf_dir))
 
-    return locks.cycle_members(feeds.wait_edges(checkpointed(spark), sf_dir))
+
+@query(f"""WITH {REACH}, i AS (SELECT x.cycle, e.waiter, e.blocker FROM e JOIN c x ON x.pid = e.waiter JOIN c y ON y.pid = e.blocker AND x.cycle = y.cycle),
+v AS (SELECT cycle, count(*) AS n FROM c GROUP BY 1),
+u AS (SELECT cycle, cycle AS pid, 0 AS level FROM v UNION SELECT u.cycle, i.blocker, u.level + 1 FROM u JOIN i ON i.cycle = u.cycle AND i.waiter = u.pid JOIN v ON v.cycle = u.cycle WHERE u.level + 1 < v.n),
+b AS (SELECT cycle, pid, min(level) AS level FROM u GROUP BY 1, 2),
+n AS (SELECT i.cycle, min(level) + 1 AS size FROM b JOIN i ON i.cycle = b.cycle AND i.waiter = b.pid AND i.blocker = b.cycle GROUP BY 1),
+w AS (SELECT cycle, size, size AS place, cycle AS head, []::BIGINT[] AS pids FROM n UNION ALL
+  SELECT w.cycle, size, place - 1, min(b.pid), list_prepend(min(b.pid), any_value(pids)) FROM w JOIN i ON i.cycle = w.cycle AND i.blocker = w.head JOIN b ON b.cycle = w.cycle AND b.pid = i.waiter AND b.level = w.place - 1 WHERE place > 0 GROUP BY 1, 2, 3)
+SELECT cycle, array_to_string(pids, ' ') AS pids FROM w WHERE place = 0""")
+def wait_cycles(spark, sf_dir):
+    """One shortest cycle of each group of sessions that wait for each other."""
+    return locks.cycles(feeds.wait_edges(spark, sf_dir)).select("cycle", F.array_join(F.col("pids").cast("array<string>"), " ").alias("pids"))
+
+
+@query(f"WITH {REACH} SELECT 'DEADLOCK_CYCLE' AS verdict, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT cycle) FROM c) AS cycles, (SELECT count(DISTINCT blocker) FROM e WHERE blocker NOT IN (SELECT waiter FROM e)) AS root_blockers")
+def wait_verdict(spark, sf_dir):
+    return locks.verdict(feeds.wait_edges(spark, sf_dir))
 
 
 @query(f"""WITH {REACH}, p AS (SELECT waiter AS pid, 1 AS w, 0 AS b FROM e UNION ALL SELECT blocker, 0, 1 FROM e),
@@ -255,9 +288,7 @@ n AS (SELECT pid, CAST(sum(w) AS BIGINT) AS waits, CAST(sum(b) AS BIGINT) AS blo
 SELECT pid, waits, blocks, CASE WHEN c.cycle IS NOT NULL THEN 'deadlocked' WHEN pid IN (SELECT waiter FROM e WHERE blocker IN (SELECT pid FROM c)) THEN 'behind a deadlock'
   WHEN waits = 0 THEN 'root blocker' WHEN blocks = 0 THEN 'queued' ELSE 'waits and blocks' END AS role FROM n LEFT JOIN c USING (pid)""")
 def wait_roles(spark, sf_dir):
-    from schemaloom.functions.session import checkpointed
-
-    edges = feeds.wait_edges(checkpointed(spark), sf_dir)
+    edges = feeds.wait_edges(spark, sf_dir)
     return locks.waits(edges, locks.cycle_members(edges)).drop("cycle")
 
 
