@@ -7,15 +7,15 @@ number of vectors, so cells stay small, and the number of tables follows from th
 ``hot`` are hashed once more with one block more, and the tables that this needs, up to ``splits`` times.
 
 What shares a cell is compared by sketches of ``sketch_bits`` sign bits first, so cells carry some bytes for a vector and
-not the vector; a cell's task returns for each vector the smallest one it reaches by near sketches. A large cell is cut in
-blocks, and pairs of blocks are dealt over the tasks. The components of these links are the groups whose vectors are
-fetched, once for each pair of blocks: every pair of a group is verified by cosine in double precision, which gives the links, and components
-of verified links give the result.
+not the vector. A large cell is cut in blocks, and pairs of blocks are dealt over the tasks. Pairs are verified by cosine in double precision before any
+group is formed: first each vector of a cell with the smallest one of a near sketch, which joins copies of one text by few pairs; then, cell by cell, all vectors
+whose near sketches those links leave unexplained. The components of verified links are the groups; within a group all pairs are compared, in
+blocks, to count each vector's links.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing;
 equal vectors are one class and link with each other; vectors of different lengths never link; null and
 repeated ids count row by row; an empty table gives no rows; columns other than these two are not read. A group of n different
-vectors costs n^2 / block rows.
+vectors that links join costs n^2 / block rows, and so does a cell of n vectors with near sketches and no links.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.shared import Scratch, connected_components
@@ -217,40 +217,104 @@ def _in_units(units: DataFrame, schema: str, work: Callable[[dict], pa.RecordBat
     return units.mapInArrow(run, schema)
 
 
-def _cell_links(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
-    limit = p.sketch_limit
+def _near_pairs(c: dict, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each unit the rows of pairs with near sketches, one of them in its own cell."""
+    owner = np.array(c["owner"].to_pylist(), bool)
+    block, i, j, num = (c[k].to_numpy() for k in ("block", "i", "j", "num"))
+    sketch = np.frombuffer(b"".join(c["sketch"].to_pylist()), "<u8").reshape(len(num), -1)
+    for a, b in zip(c["bounds"], c["bounds"][1:]):
+        mine = a + np.flatnonzero(owner[a:b])
+        if b - a < 2 or not len(mine):
+            continue
+        differ = sum(np.bitwise_count(sketch[mine, k, None] ^ sketch[None, a:b, k]).astype(np.int16) for k in range(sketch.shape[1]))
+        x, y = np.nonzero(differ <= limit)
+        x, y = mine[x], y + a
+        ok = num[x] != num[y]
+        if i[a] != j[a]:
+            ok &= block[x] != block[y]
+        yield x[ok], y[ok]
+
+
+def _likely(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
+    """For each row of a unit the smallest one with a near sketch: (a, b)."""
+
+    def work(c: dict) -> pa.RecordBatch | None:
+        num = c["num"].to_numpy()
+        low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for x, y in _near_pairs(c, p.sketch_limit):
+            a, b = np.minimum(num[x], num[y]), np.maximum(num[x], num[y])
+            order = np.lexsort((a, b))
+            first = np.flatnonzero(np.diff(b[order], prepend=-1))
+            low.append(a[order][first])
+            high.append(b[order][first])
+        pairs = np.unique(np.stack([np.concatenate(high), np.concatenate(low)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]) if len(pairs) else None
+
+    return work
+
+
+def _unproved(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
+    """The rows of a unit, once each, that have a near sketch of another label."""
+
+    def work(c: dict) -> pa.RecordBatch | None:
+        num, label = c["num"].to_numpy(), c["label"].to_numpy()
+        rows = [np.empty(0, np.int64)]
+        for x, y in _near_pairs(c, p.sketch_limit):
+            other = label[x] != label[y]
+            found = np.unique(np.concatenate([x[other], y[other]]))
+            rows.append(found[np.unique(num[found], return_index=True)[1]])
+        at = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([c[k].take(at).combine_chunks() if isinstance(c[k], pa.ChunkedArray) else c[k].take(at) for k in ("key", "i", "j", "num")], ["key", "i", "j", "num"]) if len(at) else None
+
+    return work
+
+
+def _proved(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
+    """Links of a unit's vectors by cosine: (a, b), b the smallest one that a reaches in the unit."""
 
     def work(c: dict) -> pa.RecordBatch | None:
-        owner = np.array(c["owner"].to_pylist(), bool)
-        block, i, j, num = (c[k].to_numpy() for k in ("block", "i", "j", "num"))
-        sketch = np.frombuffer(b"".join(c["sketch"].to_pylist()), "<u8").reshape(len(num), -1)
-        ends_a, ends_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        num = c["num"].to_numpy()
+        reach = num.copy()
         for a, b in zip(c["bounds"], c["bounds"][1:]):
-            mine = a + np.flatnonzero(owner[a:b])
-            if b - a < 2 or not len(mine):
-                continue
-            differ = sum(np.bitwise_count(sketch[mine, k, None] ^ sketch[None, a:b, k]).astype(np.int16) for k in range(sketch.shape[1]))
-            x, y = np.nonzero(differ <= limit)
-            x, y = mine[x], y + a
-            ok = num[x] != num[y]
-            if i[a] != j[a]:
-                ok &= block[x] != block[y]
-            ends_a.append(num[x[ok]])
-            ends_b.append(num[y[ok]])
-        a, b = np.concatenate(ends_a), np.concatenate(ends_b)
-        if not len(a):
-            return None
-        names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
-        reach = _reach(np.arange(len(names)), code[: len(a)], code[len(a) :])
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[reach])], ["a", "b"])
+            for rows, v in units_of(c["vec"].slice(a, b - a).to_pylist()).values():
+                rows = np.array(rows) + a
+                x, y = np.nonzero(np.triu(v @ v.T >= p.threshold, 1))
+                order = np.argsort(num[rows])
+                rank = np.empty(len(rows), np.int64)
+                rank[order] = np.arange(len(rows))
+                reach[rows] = num[rows][order][_reach(rank, x, y)]
+        moved = reach != num
+        return pa.RecordBatch.from_arrays([pa.array(num[moved]), pa.array(reach[moved])], ["a", "b"]) if moved.any() else None
 
     return work
 
 
-def _verified(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
+def _cosines(pairs: DataFrame, classes: DataFrame, p: LatticeParams) -> DataFrame:
+    """The pairs (a, b) whose cosine reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ok = np.zeros(part.num_rows, bool)
+                left, right = part.column("v").to_pylist(), part.column("w").to_pylist()
+                same = [k for k in range(len(left)) if len(left[k]) == len(right[k])]
+                for size in {len(left[k]) for k in same}:
+                    rows = [k for k in same if len(left[k]) == size]
+                    v, w = (_directions(np.stack([np.frombuffer(x[k], "<f8") for k in rows])) for x in (left, right))
+                    ok[rows] = (v * w).sum(axis=1) >= p.threshold
+                yield part.select(["a", "b"]).filter(pa.array(ok))
+
+    vec = lambda n, v: classes.select(F.col("num").alias(n), F.col("vec").alias(v))
+    return pairs.join(vec("a", "v"), "a").join(vec("b", "w"), "b").select("a", "b", "v", "w").mapInArrow(run, "a long, b long")
+
+
+def _counted(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
+    """The links of each of a unit's vectors, copies of its partners included."""
+
     def work(c: dict) -> pa.RecordBatch | None:
         copies, block, i, j, num = (c[k].to_numpy() for k in ("copies", "block", "i", "j", "num"))
-        links, reach = np.zeros(len(copies), np.int64), num.copy()
+        links = np.zeros(len(copies), np.int64)
         for a, b in zip(c["bounds"], c["bounds"][1:]):
             for rows, v in units_of(c["vec"].slice(a, b - a).to_pylist()).values():
                 rows = np.array(rows) + a
@@ -259,12 +323,7 @@ def _verified(p: LatticeParams) -> Callable[[dict], pa.RecordBatch | None]:
                 if i[a] != j[a]:
                     link &= block[rows, None] != block[None, rows]
                 links[rows] = link @ copies[rows]
-                x, y = np.nonzero(np.triu(link))
-                order = np.argsort(num[rows])
-                rank = np.empty(len(rows), np.int64)
-                rank[order] = np.arange(len(rows))
-                reach[rows] = num[rows][order][_reach(rank, x, y)]
-        return pa.RecordBatch.from_arrays([pa.array(num), pa.array(links), pa.array(reach)], ["num", "links", "reach"])
+        return pa.RecordBatch.from_arrays([pa.array(num), pa.array(links)], ["num", "links"])
 
     return work
 
@@ -282,24 +341,58 @@ def _by_unit(units: DataFrame) -> DataFrame:
     return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _near_sketches(classes: DataFrame, n: int, scratch: Scratch, p: LatticeParams) -> DataFrame:
-    """Links (a, b) of vectors that share a cell, or probe one, and have near sketches."""
-    found, todo = None, classes.select("num", "vec")
+def _levels(classes: DataFrame, n: int, scratch: Scratch, p: LatticeParams) -> list[tuple[DataFrame, DataFrame, Column]]:
+    """(keys of the vectors, sizes of large cells, which of those are left to the next level), the vectors of left cells hashed again."""
+    out, todo = [], classes.select("num", "vec")
     for more in range(p.splits + 1):
         keys = scratch.table(_with_cells(todo, p.tables(n, more), p.blocks(n) + more, p), "cells")
-        entries = keys.select("num", "sketch", F.explode("own").alias("key"), F.lit(True).alias("owner")).union(keys.select("num", "sketch", F.explode("probes"), F.lit(False)))
         # only cells that must be cut are told apart: the others go to one unit each, whatever is in them
-        large = scratch.table(entries.groupBy("key").agg(F.count("*").alias("n"), F.count_if("owner").alias("own")).filter((F.col("own") > 0) & (F.col("n") > p.block)).select("key", "n"), "sizes")
-        split = F.col("n") > (p.hot if more < p.splits else 1 << 62)
-        marked = entries.join(large, "key", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / p.block).cast("int"))
-        units = _dealt(marked.filter(~F.coalesce(split, F.lit(False))), "owner", "sketch")
-        links = scratch.table(_in_units(_by_unit(units), "a long, b long", _cell_links(p)), "links")
-        found = links if found is None else found.union(links)
-        hot = scratch.table(marked.filter(split).select("num").distinct(), "hot")
+        large = scratch.table(_entries(keys).groupBy("key").agg(F.count("*").alias("n"), F.count_if("owner").alias("own")).filter((F.col("own") > 0) & (F.col("n") > p.block)).select("key", "n"), "sizes")
+        split = F.coalesce(F.col("n") > (p.hot if more < p.splits else 1 << 62), F.lit(False))
+        out.append((keys, large, split))
+        hot = scratch.table(_entries(keys).join(large.filter(split), "key").select("num").distinct(), "hot")
         if hot.isEmpty():
             break
         todo = todo.join(hot, "num", "left_semi")
-    return found
+    return out
+
+
+def _entries(keys: DataFrame, *extra: str) -> DataFrame:
+    own = keys.select("num", "sketch", *extra, F.explode("own").alias("key"), F.lit(True).alias("owner"))
+    return own.union(keys.select("num", "sketch", *extra, F.explode("probes"), F.lit(False)))
+
+
+def _units(level: tuple[DataFrame, DataFrame, Column], p: LatticeParams, labels: DataFrame | None = None) -> DataFrame:
+    """What shares a cell, sorted by unit; with the labels of the vectors where there are any."""
+    keys, large, split = level
+    extra = [] if labels is None else ["label"]
+    if labels is not None:
+        keys = keys.join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
+    marked = _entries(keys, *extra).join(large, "key", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / p.block).cast("int"))
+    return _by_unit(_dealt(marked.filter(~split), "owner", "sketch", *extra))
+
+
+def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.table(connected_components(links, scratch).select(F.col("node").alias("num"), F.col("root").alias("label")), "labels")
+
+
+def _linked(classes: DataFrame, scratch: Scratch, p: LatticeParams) -> DataFrame:
+    """num and label: the components of pairs that share a cell and whose cosine reaches the threshold."""
+    levels = _levels(classes, classes.count(), scratch, p)
+    pairs = None
+    for level in levels:
+        likely = _in_units(_units(level, p), "a long, b long", _likely(p))
+        pairs = likely if pairs is None else pairs.union(likely)
+    links = scratch.table(_cosines(pairs.distinct(), classes, p), "links")
+    labels = _components(links, scratch)
+    # near sketches that no link explains yet: the vectors of those rows are fetched for each unit, and all pairs there compared
+    more = None
+    for level in levels:
+        rows = _in_units(_units(level, p, labels), "key long, i int, j int, num long", _unproved(p)).join(classes.select("num", "vec"), "num").select("key", "i", "j", "num", "vec")
+        found = _in_units(_by_unit(rows), "a long, b long", _proved(p))
+        more = found if more is None else more.union(found)
+    more = scratch.table(more.distinct(), "links")
+    return labels if more.isEmpty() else _components(links.union(more), scratch)
 
 
 def near_vectors(embeddings: DataFrame, p: LatticeParams = LatticeParams()) -> DataFrame:
@@ -310,13 +403,11 @@ def near_vectors(embeddings: DataFrame, p: LatticeParams = LatticeParams()) -> D
             rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
             .withColumn("num", F.monotonically_increasing_id()), "classes"
         )
-        groups = connected_components(_near_sketches(classes, classes.count(), scratch, p), scratch)
-        roots = scratch.table(groups.select(F.col("node").alias("num"), F.col("root").alias("key")), "roots")
+        roots = _linked(classes, scratch, p).withColumnRenamed("label", "key")
         sizes = scratch.table(roots.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
         members = _dealt(roots.join(sizes, "key")).join(classes.select("num", "vec", "copies"), "num")
-        verified = scratch.table(_in_units(_by_unit(members), "num long, links long, reach long", _verified(p)), "verified")
-        links = verified.groupBy("num").agg(F.sum("links").alias("links"))
-        real = connected_components(verified.select(F.col("num").alias("a"), F.col("reach").alias("b")), scratch).withColumnRenamed("node", "num")
+        links = _in_units(_by_unit(members), "num long, links long", _counted(p)).groupBy("num").agg(F.sum("links").alias("links"))
+        real = roots.withColumnRenamed("key", "root")
         every = scratch.table(
             classes.select("digest", "num", "vec_id", "copies").join(links, "num", "left").join(real, "num", "left")
             .select("digest", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "num").alias("root")), "linked"

@@ -905,3 +905,36 @@ def test_pipeline_stages(spark, tmp_path, rows):
     assert any("<EMAIL>" in r.text for r in seen[3]) and len(seen[3]) == len(seen[2])
     check_packing(seen[4], [(r.doc_id, r.text) for r in seen[3]])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("cosine", [0.80, 0.85, 0.90])
+def test_vectors_that_are_only_alike_form_no_group(spark, cosine):
+    rng = np.random.default_rng(int(100 * cosine))
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    away = rng.normal(size=(400, 64))
+    away -= np.outer(away @ base, base)
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    v = np.sqrt(cosine) * base + np.sqrt(1 - cosine) * away
+    twin = v[7] + 0.05 * away[9]
+    data = [(i, x.tolist()) for i, x in enumerate([*v, twin])]
+    unit = np.stack([np.array(x) / np.linalg.norm(x) for _, x in data])
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert links[400] >= 1 and links.sum() <= 20
+    got = lattice.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist()))
+    assert next(r.component_id for r in got if r.vec_id == 400) == 7 and all(r.kept for r in got if not links[r.vec_id])
+
+
+def test_compared_pairs_of_alike_vectors_are_those_of_a_cell(spark):
+    """Without links nothing is compared beyond what shares a cell, and no group is formed."""
+    rng = np.random.default_rng(5)
+    base, p = rng.normal(size=64), lattice.LatticeParams()
+    v = lattice._directions(base / np.linalg.norm(base) * 0.92 + rng.normal(size=(400, 64)) * 0.049)
+    data = [(i, x.tolist()) for i, x in enumerate(v)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    with lattice.Scratch(spark) as scratch:
+        classes = lattice.prepared(frame).select("vec").withColumn("num", F.monotonically_increasing_id())
+        labels = lattice._linked(scratch.table(classes, "classes"), scratch, p)
+        near = int(((v @ v.T) >= 0.95).sum() - 400)
+        assert labels.count() <= 2 * near
