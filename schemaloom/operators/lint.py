@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from schemaloom.functions.session import checkpointed
 
@@ -310,18 +311,71 @@ def edits(found: DataFrame, stmts: DataFrame, scripts: DataFrame) -> DataFrame:
 
 # Findings: overrides, waivers, counts
 
-ALIASES = {"concurrent-index": "require-concurrent-index", "not-valid": "foreign-key-missing-not-valid", "batching": "unbatched-dml", "rename": "prisma-silent-rename-data-loss"}
+# Other names of rules, as settings and waivers may say them.
+ALIASES = {
+    "non-concurrent-index": ("require-concurrent-index",), "require-concurrent-index": ("non-concurrent-index",),
+    "unvalidated-foreign-key": ("foreign-key-missing-not-valid", "foreign-key-not-valid"), "foreign-key-missing-not-valid": ("unvalidated-foreign-key", "foreign-key-not-valid"),
+    "foreign-key-not-valid": ("unvalidated-foreign-key", "foreign-key-missing-not-valid"),
+    "add-column-not-null": ("add-column-not-null-without-default",), "add-column-not-null-without-default": ("add-column-not-null",),
+    "check-constraint-not-valid": ("check-constraint-missing-not-valid",), "check-constraint-missing-not-valid": ("check-constraint-not-valid",),
+    "concurrent-in-transaction": ("concurrent-index-in-transaction",), "concurrent-index-in-transaction": ("concurrent-in-transaction",),
+    "partition-scan-lock": ("attach-partition-missing-check",), "attach-partition-missing-check": ("partition-scan-lock",),
+}
+_LOCKS = ("lock-access-exclusive", "access-exclusive", "access exclusive")
+_SHORT = {"concurrent-index": "require-concurrent-index", "not-valid": "foreign-key-missing-not-valid", "batching": "unbatched-dml", "rename": "prisma-silent-rename-data-loss"}
+
+
+def _names_of(rule_id: Column, lock_level: Column) -> Column:
+    """All names by which a waiver can mean a finding: everything, its rule, the rule's other names, its lock level."""
+    other = F.create_map(*(x for name in sorted({a for names in ALIASES.values() for a in names}) for x in (F.lit(name), F.array(*(F.lit(k) for k, names in ALIASES.items() if name in names)))))
+    rule = F.lower(rule_id)
+    lock = F.when(lock_level == AX, F.array(*(F.lit(x) for x in _LOCKS))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("*"), F.lit("all"), rule, F.lower(lock_level)), F.coalesce(other[rule], F.array().cast("array<string>")), lock))
+
+
+def ignored(found: DataFrame, stmts: DataFrame) -> DataFrame:
+    """Findings without those that a comment of their statement ignores: ``schemaloom-ignore`` or ``schemaloom-disable`` alone means all rules, and
+    with names behind it those rules. The next-line waiver is another thing (``waived``)."""
+    c = F.lower("comment")
+    directive = c.contains("schemaloom-ignore") | (c.contains("schemaloom-disable") & ~c.contains("schemaloom-disable-next-line"))
+    said = stmts.select("file", "stmt", F.explode("comments").alias("comment")).filter(directive).select("file", "stmt", c.alias("comment"))
+    bare = F.trim(F.regexp_replace(F.regexp_extract("comment", r"schemaloom-(?:ignore|disable)([\s\S]*)$", 1), r"\*/\s*$", "")) == ""
+    said = said.groupBy("file", "stmt").agg(F.max(bare).alias("everything"), F.collect_list("comment").alias("directives"))
+    hit = F.col("everything") | F.exists("directives", lambda d: F.contains(d, F.lower("rule_id")))
+    return found.join(said, ["file", "stmt"], "left").filter(~F.coalesce(hit, F.lit(False))).select(*found.columns)
+
+
+def placed(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """Findings from elsewhere (file, line, col, ...) with ``stmt``, the first statement that contains the place; null if none does.
+    ``spans``: file, stmt, line, col, end_line, end_col (behind the last character). They may overlap.
+
+    Among spans in order only those that reach further than all before them can be the first to contain a place, and the first of these that ends
+    behind the place is it, if it has begun by then. So both go into one list by place, and a window looks ahead for the next end: one shuffle by
+    file, no pairs.
+    """
+    at = lambda line, col: F.struct(F.col(line).cast("long").alias("line"), F.col(col).cast("long").alias("col"))
+    names = found.columns
+    order = W.partitionBy("file").orderBy("begin", "end_at", "stmt").rowsBetween(W.unboundedPreceding, -1)
+    s = spans.select("file", "stmt", at("line", "col").alias("begin"), at("end_line", "end_col").alias("end_at"))
+    reach = s.withColumn("before", F.max("end_at").over(order)).filter("before IS NULL OR end_at > before")
+    ends = reach.select("file", F.col("end_at").alias("place"), F.lit(1).alias("is_end"), F.struct("stmt", "begin").alias("span"), *(F.lit(None).cast(found.schema[c].dataType).alias(f"f_{i}") for i, c in enumerate(names)))
+    rows = found.select("file", at("line", "col").alias("place"), F.lit(2).alias("is_end"), F.lit(None).cast(ends.schema["span"].dataType).alias("span"), *(F.col(c).alias(f"f_{i}") for i, c in enumerate(names)))
+    # an end sorts before a place at the same spot, which it does not contain
+    ahead = W.partitionBy("file").orderBy("place", "is_end").rowsBetween(W.currentRow, W.unboundedFollowing)
+    both = ends.union(rows).withColumn("span", F.first("span", ignorenulls=True).over(ahead)).filter("is_end = 2")
+    return both.select(*(F.col(f"f_{i}").alias(c) for i, c in enumerate(names)), F.when(F.col("span.begin") <= F.col("place"), F.col("span.stmt")).alias("stmt"))
 
 
 def override(found: DataFrame, settings: dict[str, str]) -> DataFrame:
-    """Settings by rule id, alias or lock level: off, false and 0 drop a finding, a severity replaces its own."""
+    """Settings by rule id, one of its other names or lock level, in this order: off, false and 0 drop a finding, a severity replaces its own."""
     if not settings:
         return found
-    lower = {k.lower(): v for k, v in settings.items()} | {ALIASES[k.lower()].lower(): v for k, v in settings.items() if k.lower() in ALIASES}
-    value = F.coalesce(
-        F.create_map(*(F.lit(x) for kv in lower.items() for x in kv))[F.lower("rule_id")],
-        F.when(F.col("lock_level") == AX, F.lit(lower.get(AX.lower()))),
-    )
+    lower = {k.lower(): v for k, v in settings.items()}
+    lower = {_SHORT[k]: v for k, v in lower.items() if k in _SHORT} | lower
+    other = {a: lower[k] for k, names in ALIASES.items() if k in lower for a in names}
+    lock = next((lower[k] for k in _LOCKS if k in lower), None)
+    by_name = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.lower("rule_id")] if values else F.lit(None).cast("string")
+    value = F.coalesce(by_name(lower), by_name(other), F.when(F.col("lock_level") == AX, F.lit(lock)))
     said = F.upper(value)
     return found.withColumn("set", said).filter("set IS NULL OR set NOT IN ('OFF', 'FALSE', '0')").withColumn(
         "severity", F.when(F.col("set").isin("BLOCKER", "WARNING", "ADVISORY"), F.col("set")).otherwise(F.col("severity"))
@@ -347,7 +401,7 @@ def waived(found: DataFrame, said: DataFrame, today: str) -> DataFrame:
     bad = F.when(F.length("reason") < 8, "invalid-waiver").when((F.col("expires") != "") & (F.lit(today) > F.col("expires")), "expired-waiver")
     said = said.withColumn("bad", bad)
     good = said.filter("bad IS NULL").select("file", "stmt", F.lower("waives").alias("waives")).groupBy("file", "stmt").agg(F.collect_set("waives").alias("waives"))
-    hit = F.arrays_overlap("waives", F.array(F.lit("*"), F.lit("all"), F.lower("rule_id"), F.lower("lock_level")))
+    hit = F.arrays_overlap("waives", _names_of(F.col("rule_id"), F.col("lock_level")))
     rows = found.join(good, ["file", "stmt"], "left").withColumn("suppressed", F.coalesce(hit, F.lit(False))).drop("waives")
     errors = said.filter("bad IS NOT NULL").select("file", "stmt", "line", "col", F.col("bad").alias("rule_id"), F.lit("BLOCKER").alias("severity"), F.lit("NONE").alias("lock_level"), F.col("waives").alias("snippet"), F.concat(F.lit("the waiver does not hold: "), "waives").alias("message"), F.lit(False).alias("suppressed"))
     return rows.unionByName(errors)

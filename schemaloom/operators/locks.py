@@ -52,7 +52,7 @@ def _spread(edges: DataFrame, labels: DataFrame, tables: Rounds, limit: int) ->
         now = tables.table(jump.select("pid", F.least("label", "further").alias("label")))
         tables.drop(labels)
         labels = now
-        then = tuple(labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first())
+        then = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("pid", "label").cast("decimal(38,0)"))).first())
         if then == state:
             return labels
         state = then

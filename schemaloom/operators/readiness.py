@@ -75,6 +75,42 @@ def phase_durations(log: DataFrame) -> DataFrame:
     return log.withColumn("seconds", F.unix_timestamp(F.lead("started").over(w)) - F.unix_timestamp("started"))
 
 
+# The phases of a cutover in order; a run ends in the last two, and FAILED may follow each of the others.
+CUTOVER = ("DRAIN", "FENCE_BLUE", "CAPTURE_FENCE", "WAIT_REPLICATION", "SYNC_SEQUENCES", "PROMOTE_GREEN", "COMPLETE", "FAILED")
+
+
+def cutover_steps() -> list[tuple[str, str, str]]:
+    """(from, to, kind) of the steps that a cutover may take; the start is the empty phase."""
+    way = ("", *CUTOVER[:-1])
+    return [(a, b, "legal") for a, b in zip(way, way[1:])] + [(a, "FAILED", "failed") for a in CUTOVER[:-2]] + [("FAILED", "DRAIN", "restarted")]
+
+
+def judged_steps(log: DataFrame, steps: list[tuple[str, str, str]], order: tuple[str, ...] = CUTOVER) -> DataFrame:
+    """The log (run_id, started, phase) with ``before``, the phase it came from, and ``step``: the kind that ``steps`` gives, else repeated (the same phase
+    again), rolled back (to an earlier one of ``order``), skipped (ahead by more than one) or illegal (another, or one out of an end). A window by run,
+    so a long log is not gathered in one row; ties of ``started`` are ordered by phase."""
+    w = W.partitionBy("run_id").orderBy("started", "phase")
+    rows = log.withColumn("before", F.coalesce(F.lag("phase").over(w), F.lit("")))
+    known = F.create_map(*(F.lit(x) for a, b, kind in steps for x in (f"{a}>{b}", kind)))
+    place = F.create_map(*(F.lit(x) for i, p in enumerate(("", *order)) for x in (p, i)))
+    here, there = place[F.col("before")], place[F.col("phase")]
+    ended = F.col("before").isin(*order[-2:]) if len(order) > 1 else F.lit(False)
+    other = F.when(F.col("before") == F.col("phase"), "repeated").when(ended | here.isNull() | there.isNull(), "illegal").when(there < here, "rolled back").otherwise("skipped")
+    return rows.withColumn("step", F.coalesce(known[F.concat_ws(">", "before", "phase")], other))
+
+
+def judged_runs(log: DataFrame, steps: list[tuple[str, str, str]], order: tuple[str, ...] = CUTOVER) -> DataFrame:
+    """(run_id, steps, legal, failed, restarted, repeated, rolled_back, skipped, illegal, last_phase, state): each run's steps by kind, and whether it is
+    complete, failed or open; ``clean`` if all its steps are legal."""
+    kinds = ("legal", "failed", "restarted", "repeated", "rolled back", "skipped", "illegal")
+    judged = judged_steps(log, steps, order)
+    per = judged.groupBy("run_id").agg(
+        F.count("*").alias("steps"), *(F.count_if(F.col("step") == k).alias(k.replace(" ", "_")) for k in kinds), F.max_by("phase", F.struct("started", "phase")).alias("last_phase"),
+    )
+    state = F.when(F.col("last_phase") == order[-2], "complete").when(F.col("last_phase") == order[-1], "failed").otherwise("open")
+    return per.withColumns({"state": state, "clean": F.col("legal") == F.col("steps")})
+
+
 def restore_checks(servers: DataFrame, indexes: DataFrame, keys: DataFrame) -> DataFrame:
     """(server, in_recovery, broken_indexes, unvalidated_keys, is_verified) of restored servers."""
     i = indexes.groupBy("server").agg(F.count_if(~F.col("is_valid")).alias("broken_indexes"))
