@@ -126,18 +126,51 @@ TEMPLATES = (
 )
 
 
-def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scripts(spark: SparkSession, sf_dir: str, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
     """A migration script per order, a statement per line, its kind from part and supplier."""
     lines = table(spark, sf_dir, "lineitem")
-    kind = (F.col("l_partkey") * 7 + F.col("l_suppkey") + F.col("l_linenumber")) % len(TEMPLATES)
-    text = F.element_at(F.array(*(F.lit(t.replace("''", "'")) for t in TEMPLATES)), (kind + 1).cast("int"))
+    kind = (F.col("l_partkey") * 7 + F.col("l_suppkey") + F.col("l_linenumber")) % len(templates)
+    text = F.element_at(F.array(*(F.lit(t.replace("''", "'")) for t in templates)), (kind + 1).cast("int"))
     for mark, value in (("{t}", F.col("l_suppkey") % 3), ("{c}", F.col("l_partkey") % 4), ("{n}", F.col("l_partkey"))):
         text = F.replace(text, F.lit(mark), value.cast("string"))
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.concat(F.lit("-- step\n"), text, F.lit(";\n")).alias("text"))
     return lines.groupBy(F.col("l_orderkey").alias("file")).agg(F.array_join(F.sort_array(F.collect_list(line))["text"], "").alias("text"))
 
 
+#: Statements about objects, with brackets in brackets, commas in strings and quoted names.
+OBJECT_TEMPLATES = (
+    "CREATE TABLE t_{t} (id bigint PRIMARY KEY, a numeric(10, 2) DEFAULT coalesce({n}, lower(''x , y'')) NOT NULL, \"B {c}\" text CHECK (\"B {c}\" IN (''p'', lower(''q''))), CHECK (a IN (1, (2))))",
+    "CREATE INDEX ix_{n} ON t_{t} (coalesce(a, lower(a)), id) WHERE a IN (1, (2))", "ALTER TABLE t_{t} ADD COLUMN c_{c} varchar(20) DEFAULT ''x , y'' NOT NULL, DROP COLUMN a",
+    "ALTER TABLE t_{t} ADD CONSTRAINT k_{c} CHECK (id > (0 + (1)))", "DROP TABLE IF EXISTS T_{t}", "ALTER TABLE t_{t} DROP COLUMN IF EXISTS c_{c}", "CREATE UNIQUE INDEX CONCURRENTLY ux_{n} ON ONLY t_{t} USING btree (c_{c})",
+    "ALTER TABLE t_{t} ALTER COLUMN a TYPE int8 USING round(a, (0)), ALTER id SET DEFAULT f(1, (2))", "DROP INDEX ix_{n}", "ALTER TABLE ONLY t_{t} DROP CONSTRAINT K_{c}", "ALTER TABLE t_{t} ADD UNIQUE (id, a)",
+    "ALTER TABLE t_{t} ADD c_{c} integer REFERENCES u (id) ON DELETE SET NULL", "ALTER TABLE t_{t} ATTACH PARTITION p_{n} FOR VALUES FROM (1) TO (f(2, 3))",
+)
+
+
+def statements_of(templates: tuple[str, ...]) -> str:
+    """The statements of scripts for DuckDB: file, stmt, kind, t, c, n."""
+    return STATEMENTS.replace(f"% {len(TEMPLATES)} AS kind", f"% {len(templates)} AS kind")
+
+
 #: The statements of the scripts for DuckDB: file, stmt, kind, t, c, n. Each has a comment line before it.
 STATEMENTS = f"""
 SELECT l_orderkey AS file, (l_partkey * 7 + l_suppkey + l_linenumber) % {len(TEMPLATES)} AS kind, l_suppkey % 3 AS t, l_partkey % 4 AS c, l_partkey AS n,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS stmt FROM lineitem"""
+
+
+def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A foreign key per supplier and per customer: supplier tables form trees, each fifth of them closes a cycle of three; customers refer to them by two columns."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    name = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    one = lambda child, a, parent, b: (child.alias("child"), F.array(F.lit(a)).alias("child_columns"), parent.alias("parent"), F.array(F.lit(b)).alias("parent_columns"))
+    trees = s.filter("k > 1").select(*one(name("s", F.col("k")), "up", name("s", F.shiftright("k", 1)), "id"))
+    back = s.filter("k % 5 = 0 AND k > 9").select(*one(name("s", F.shiftright("k", 2)), "back", name("s", F.col("k")), "id"))
+    two = c.select(name("c", F.col("k")).alias("child"), F.array(F.lit("nation"), F.lit("owner")).alias("child_columns"), name("s", F.col("n") + 1).alias("parent"), F.array(F.lit("nation"), F.lit("id")).alias("parent_columns"))
+    return trees.union(back).union(two)
+
+
+FOREIGN_KEYS = """
+SELECT 's' || s_suppkey AS child, ['up'] AS child_columns, 's' || (s_suppkey >> 1) AS parent, ['id'] AS parent_columns FROM supplier WHERE s_suppkey > 1
+UNION ALL SELECT 's' || (s_suppkey >> 2), ['back'], 's' || s_suppkey, ['id'] FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey > 9
+UNION ALL SELECT 'c' || c_custkey, ['nation', 'owner'], 's' || (c_nationkey + 1), ['nation', 'id'] FROM customer"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from schemaloom.functions import masking, numbers, telemetry
-from schemaloom.operators import drift, indexes, ledger, lint, locks, objects, plan_trees, statements
+from schemaloom.operators import drift, indexes, key_graph, ledger, lint, locks, objects, plan_trees, readiness, statements
 from schemaloom.plans import feeds
 from schemaloom.plans.feeds import table
 
@@ -916,6 +916,133 @@ def more_functions(spark, sf_dir):
     )
 
 
+# Objects of scripts, with all their attributes: what each kind of statement says, by hand
+
+#: (kind of statement, place, late, kind of object, op, name, base, columns, type, not null, sets default, default, definition, unique, predicate)
+OBJECT_EVENTS = [
+    (0, 0, 0, "table", "add", "t_{t}", None, None, None, None, False, None, None, None, None),
+    (0, 0, 0, "column", "add", "id", None, None, "bigint", True, True, None, None, None, None),
+    (0, 0, 0, "constraint", "add", None, "t_{t}_pkey", ["id"], None, None, False, None, "PRIMARY KEY ( id )", None, None),
+    (0, 1, 0, "column", "add", "a", None, None, "numeric(10,2)", True, True, "coalesce ( {n} , lower ( ''x , y'' ) )", None, None, None),
+    (0, 2, 0, "column", "add", "B {c}", None, None, "text", False, True, None, None, None, None),
+    (0, 2, 0, "constraint", "add", None, "t_{t}_B {c}_check", ["B {c}"], None, None, False, None, 'CHECK ( "B {c}" IN ( \'\'p\'\' , lower ( \'\'q\'\' ) ) )', None, None),
+    (0, 3, 0, "constraint", "add", None, "t_{t}_a_check", ["a"], None, None, False, None, "CHECK ( a IN ( 1 , ( 2 ) ) )", None, None),
+    (1, 0, 0, "index", "add", "ix_{n}", None, ["a", "id"], None, None, False, None, "coalesce ( a , lower ( a ) ) , id", False, "a IN ( 1 , ( 2 ) )"),
+    (2, 0, 0, "column", "add", "c_{c}", None, None, "character varying(20)", True, True, "''x , y''", None, None, None),
+    (2, 1, 0, "column", "drop", "a", None, None, None, None, False, None, None, None, None),
+    (3, 0, 0, "constraint", "add", "k_{c}", None, ["id"], None, None, False, None, "CHECK ( id > ( 0 + ( 1 ) ) )", None, None),
+    (4, 0, 0, "table", "drop", "t_{t}", None, None, None, None, False, None, None, None, None),
+    (5, 0, 0, "column", "drop", "c_{c}", None, None, None, None, False, None, None, None, None),
+    (6, 0, 0, "index", "add", "ux_{n}", None, ["c_{c}"], None, None, False, None, "c_{c}", True, None),
+    (7, 0, 0, "column", "type", "a", None, None, "bigint", None, False, None, None, None, None),
+    (7, 1, 0, "column", "set", "id", None, None, None, None, True, "f ( 1 , ( 2 ) )", None, None, None),
+    (8, 0, 0, "index", "drop", "ix_{n}", None, None, None, None, False, None, None, None, None),
+    (9, 0, 0, "constraint", "drop", "k_{c}", None, None, None, None, False, None, None, None, None),
+    (10, 0, 0, "constraint", "add", None, "t_{t}_id_a_key", ["id", "a"], None, None, False, None, "UNIQUE ( id , a )", None, None),
+    (11, 0, 0, "column", "add", "c_{c}", None, None, "integer", False, True, None, None, None, None),
+    (11, 0, 0, "constraint", "add", None, "t_{t}_c_{c}_fkey", ["c_{c}"], None, None, False, None, "FOREIGN KEY ( c_{c} ) REFERENCES u ( id ) ON DELETE SET NULL", None, None),
+    (12, 0, 0, "partition", "add", "p_{n}", None, None, None, None, False, None, "FOR VALUES FROM ( 1 ) TO ( f ( 2 , 3 ) )", None, None),
+]
+_value = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "[" + ", ".join(f"'{x}'" for x in v) + "]" if isinstance(v, list) else f"'{v}'"
+_AT = "(stmt * 1000 + late * 100 + pos)"
+
+
+@query(f"""WITH st AS ({feeds.statements_of(feeds.OBJECT_TEMPLATES)}),
+v AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(_value, e)) + ")" for e in OBJECT_EVENTS)}) v(kind, pos, late, obj, op, name, base, cols, dtype, nn, sets, dflt, def, uniq, pred)),
+ev AS (SELECT file, {_AT} AS moment, obj, op, 't_' || t AS tab, {filled('name')} AS name, {filled('base')} AS base, list_transform(cols, lambda x: {filled('x')}) AS cols, dtype, nn, sets, {filled('dflt')} AS dflt, {filled('def')} AS def, uniq, pred FROM st JOIN v USING (kind)),
+gone AS (SELECT file, tab, max(moment) AS moment FROM ev WHERE obj = 'table' AND op = 'drop' GROUP BY 1, 2),
+lost AS (SELECT file, tab, name AS col, max(moment) AS moment FROM ev WHERE obj = 'column' AND op = 'drop' GROUP BY 1, 2, 3),
+dead AS (SELECT DISTINCT e.file, e.tab, e.moment, e.obj, e.name, e.base FROM ev e JOIN lost l ON l.file = e.file AND l.tab = e.tab AND list_contains(e.cols, l.col) AND l.moment > e.moment WHERE e.obj IN ('index', 'constraint')),
+live AS (SELECT e.* FROM ev e LEFT JOIN gone g ON g.file = e.file AND g.tab = e.tab LEFT JOIN dead d ON d.file = e.file AND d.tab = e.tab AND d.moment = e.moment AND d.obj = e.obj AND d.name IS NOT DISTINCT FROM e.name AND d.base IS NOT DISTINCT FROM e.base
+  WHERE ((e.obj = 'index' AND e.op = 'drop') OR g.moment IS NULL OR e.moment >= g.moment) AND d.file IS NULL),
+named AS (SELECT * REPLACE (coalesce(name, base || CASE WHEN nth > 1 THEN (nth - 1)::VARCHAR ELSE '' END) AS name) FROM (SELECT *, row_number() OVER (PARTITION BY file, tab, base ORDER BY moment) AS nth FROM live)),
+state AS (SELECT file, obj, CASE WHEN obj IN ('column', 'constraint', 'partition') THEN tab END AS owner, name, max(moment) FILTER (op IN ('add', 'type')) AS added, max(moment) FILTER (op = 'drop') AS dropped, arg_max(tab, moment) FILTER (op = 'add') AS tab,
+  arg_max(dtype, moment) FILTER (dtype IS NOT NULL) AS data_type, arg_max(nn, moment) FILTER (nn IS NOT NULL) AS nn, arg_max(struct_pack(d := dflt), moment) FILTER (sets) AS dflt, arg_max(struct_pack(d := def, c := cols, u := uniq, p := pred), moment) FILTER (op = 'add') AS a FROM named GROUP BY 1, 2, 3, 4)
+SELECT file, obj AS kind, coalesce(owner, tab) AS table_name, name, data_type, CASE WHEN obj = 'column' THEN coalesce(nn, false) END AS is_not_null, dflt.d AS default_expr, a.d AS definition, array_to_string(a.c, ',') AS columns, a.u AS is_unique, a.p AS predicate
+FROM state WHERE added IS NOT NULL AND (dropped IS NULL OR dropped < added)""")
+def ddl_graph(spark, sf_dir):
+    """All objects that scripts leave, by value, statements applied in order."""
+    g = objects.graph(statements.statements(feeds.scripts(spark, sf_dir, feeds.OBJECT_TEMPLATES)))
+    return g.select("file", "kind", "table_name", "name", "data_type", "is_not_null", "default_expr", "definition", F.array_join("columns", ",").alias("columns"), "is_unique", "predicate")
+
+
+@query(f"""WITH st AS ({feeds.STATEMENTS}), x AS (SELECT *, length(regexp_replace({filled('[' + ', '.join(f"'{t}'" for t in feeds.TEMPLATES) + '][kind + 1]')}, ' /[*].*[*]/$', '')) AS size FROM st),
+p AS (SELECT file, 2 * stmt + 1 AS line, 3 AS col, NULL AS stmt, n FROM x UNION ALL SELECT file, 2 * stmt + 2, n % 60 + 1, CASE WHEN n % 60 < size THEN stmt END, n FROM x)
+SELECT file, line::INTEGER AS line, col::INTEGER AS col, n, stmt::BIGINT AS stmt FROM p""")
+def placed_findings(spark, sf_dir):
+    """Findings that only have a place: two for each statement, one in the comment before it, one in it or behind it. A comment behind the last
+    token is no part of a statement's place."""
+    stmts = statements.statements(feeds.scripts(spark, sf_dir))
+    lines = table(spark, sf_dir, "lineitem")
+    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    at = lines.select(F.col("l_orderkey").alias("file"), (2 * nth).cast("int").alias("line"), F.col("l_partkey").alias("n"))
+    found = at.select("file", (F.col("line") - 1).alias("line"), F.lit(3).alias("col"), "n").union(at.select("file", "line", (F.col("n") % 60 + 1).cast("int"), "n"))
+    return lint.placed(found, stmts)
+
+
+@query(f"""WITH {LINT}, d AS (SELECT file, stmt, (file + stmt) % 4 AS k FROM st)
+SELECT f.rule_id, count(*) AS n FROM f JOIN d USING (file, stmt) WHERE NOT (k = 0 OR (k = 1 AND f.rule_id IN ('drop-column-lock', 'unbatched-dml'))) GROUP BY 1""")
+def ignored_findings(spark, sf_dir):
+    """A quarter of the statements ignore all rules, a quarter two of them, a quarter have a waiver, which is no directive."""
+    k = (F.col("file") + F.col("stmt")) % 4
+    note = F.when(k == 0, "/* schemaloom-ignore */").when(k == 1, "-- Schemaloom-Disable drop-column-lock, unbatched-dml").when(k == 2, '-- schemaloom-disable-next-line * reason="agreed with operations"').otherwise("-- batchless")
+    stmts = statements.statements(feeds.scripts(spark, sf_dir))
+    found = lint.findings(stmts)
+    return lint.ignored(found, stmts.withColumn("comments", F.array(note))).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+PHASE = "(o_orderkey * 7 + o_custkey) % 8"
+
+
+@query(f"""WITH l AS (SELECT o_custkey AS run_id, o_orderdate AS started, o_orderkey, {PHASE} AS p FROM orders),
+s AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY run_id ORDER BY started, o_orderkey), -1) AS b FROM l),
+j AS (SELECT *, CASE WHEN b = 7 AND p = 0 THEN 'restarted' WHEN p = 7 AND b BETWEEN 0 AND 5 THEN 'failed' WHEN b < 6 AND p = b + 1 THEN 'legal' WHEN b = p THEN 'repeated' WHEN b >= 6 THEN 'illegal' WHEN p < b THEN 'rolled back' ELSE 'skipped' END AS step FROM s)
+SELECT run_id, count(*) AS steps, count(*) FILTER (step = 'legal') AS legal, count(*) FILTER (step = 'failed') AS failed, count(*) FILTER (step = 'restarted') AS restarted, count(*) FILTER (step = 'repeated') AS repeated,
+  count(*) FILTER (step = 'rolled back') AS rolled_back, count(*) FILTER (step = 'skipped') AS skipped, count(*) FILTER (step = 'illegal') AS illegal,
+  CASE arg_max(p, (started, o_orderkey)) WHEN 6 THEN 'complete' WHEN 7 THEN 'failed' ELSE 'open' END AS state FROM j GROUP BY 1""")
+def phase_paths(spark, sf_dir):
+    """Logs of cutovers, one run per customer, judged step by step."""
+    phase = F.element_at(F.array(*map(F.lit, readiness.CUTOVER)), (F.expr(PHASE) + 1).cast("int"))
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.struct("o_orderdate", "o_orderkey").alias("started"), phase.alias("phase"))
+    return readiness.judged_runs(log, readiness.cutover_steps()).drop("last_phase", "clean")
+
+
+_COPY = "l_orderkey * 8 + l_linenumber AS k, l_partkey, CASE WHEN l_partkey % 997 = 5 THEN l_extendedprice + 1 ELSE l_extendedprice END AS price FROM lineitem WHERE l_suppkey % 991 <> 7 OR l_partkey % 2 = 0"
+
+
+@query(f"""WITH a AS (SELECT l_orderkey * 8 + l_linenumber AS k, list_sort(list((l_partkey, l_extendedprice))) AS v FROM lineitem GROUP BY 1),
+b AS (SELECT k, list_sort(list((l_partkey, price))) AS v FROM (SELECT {_COPY} UNION ALL SELECT -o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey % 211 = 3) GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+def parity_tree(spark, sf_dir):
+    """All order lines against a copy with changed, missing and extra rows."""
+    lines = table(spark, sf_dir, "lineitem")
+    left = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "l_partkey", F.col("l_extendedprice").alias("price"))
+    changed = lines.filter("l_suppkey % 991 <> 7 OR l_partkey % 2 = 0").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "l_partkey", F.when(F.col("l_partkey") % 997 == 5, F.col("l_extendedprice") + 1).otherwise(F.col("l_extendedprice")).alias("price")
+    )
+    more = table(spark, sf_dir, "orders").filter("o_custkey % 211 = 3").select((-F.col("o_orderkey")).alias("k"), F.col("o_custkey").alias("l_partkey"), F.col("o_totalprice").alias("price"))
+    return ledger.parity_differences(left, changed.union(more), "k", ["l_partkey", "price"])
+
+
+@query(f"""WITH RECURSIVE fk AS ({feeds.FOREIGN_KEYS}), p AS (SELECT child, parent, unnest(list_zip(child_columns, parent_columns)) AS c FROM fk),
+t AS (SELECT child || '.' || c[1] AS a, parent || '.' || c[2] AS b, child, c[1] AS cc, parent, c[2] AS pc FROM p), e AS (SELECT a, b FROM t UNION SELECT b, a FROM t),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), n AS (SELECT DISTINCT child AS table_name, cc AS column_name FROM t UNION SELECT parent, pc FROM t)
+SELECT table_name, column_name, least(table_name || '.' || column_name, min(b)) AS mask_group FROM n JOIN r ON r.a = table_name || '.' || column_name GROUP BY table_name, column_name""")
+def mask_groups(spark, sf_dir):
+    """Columns that foreign keys tie together."""
+    return key_graph.alike(feeds.foreign_keys(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE fk AS ({feeds.FOREIGN_KEYS}), e AS (SELECT DISTINCT child, parent FROM fk), r AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON r.parent = e.child),
+o AS (SELECT child, parent FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.child = e.parent AND r.parent = e.child)), n AS (SELECT child AS t FROM e UNION SELECT parent FROM e),
+l AS (SELECT t, 0 AS layer FROM n UNION SELECT o.child, layer + 1 FROM l JOIN o ON o.parent = l.t)
+SELECT t AS table_name, max(layer)::INTEGER AS layer, (SELECT count(*) FROM e) - (SELECT count(*) FROM o) AS deferred FROM l GROUP BY 1""")
+def key_layers(spark, sf_dir):
+    """Tables by the order of their foreign keys, and how many of these must wait until the end."""
+    tables, deferred = key_graph.layers(feeds.foreign_keys(spark, sf_dir))
+    return tables.crossJoin(deferred.agg(F.count("*").alias("deferred")))  # one row
+
+
 @query(f"WITH {LINT}, r AS (SELECT file, max(kind = 12) AS c, max(kind = 21) AS t, max(kind IN (8, 34)) AS d, max(kind IN (26, 32)) AS y FROM st GROUP BY 1) SELECT file, (c::INT + t::INT + d::INT + y::INT)::BIGINT AS reasons FROM r")
 def high_risk_scripts(spark, sf_dir):
     return feeds.scripts(spark, sf_dir).select("file", F.size(statements.high_risk(F.col("text"))).cast("bigint").alias("reasons"))
