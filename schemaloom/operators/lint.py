@@ -260,6 +260,10 @@ def remedy_sql(found: DataFrame, stmts: DataFrame) -> DataFrame:
     where = F.regexp_extract(raw, r"(?i)\bWHERE (.*)$", 1)
     change = F.regexp_replace(raw, r"(?i) WHERE .*$", "")
     batch = text(change, " WHERE ctid = ANY (ARRAY(SELECT ctid FROM ", rows_of, F.when(where != "", text(" WHERE ", where)).otherwise(""), " LIMIT 5000));")
+    part = F.regexp_extract(raw, r"(?i) ATTACH PARTITION (\S+(?: \. \S+)?)", 1)
+    check = text("ALTER TABLE ", part, " ADD CONSTRAINT b_", F.substring(F.md5(raw), 1, 8), " CHECK (/* the bounds: */ ", F.regexp_extract(raw, r"(?i) (FOR VALUES .*|DEFAULT)$", 1), ") NOT VALID;\n")
+    rule = text("b_", F.substring(F.md5(raw), 1, 8), ";")
+    attached = text(check, "ALTER TABLE ", part, " VALIDATE CONSTRAINT ", rule, "\n", raw, ";\nALTER TABLE ", part, " DROP CONSTRAINT ", rule)
     made = {
         "require-concurrent-index": text(F.regexp_replace(raw, r"(?i)^CREATE (UNIQUE )?INDEX ", "CREATE $1INDEX CONCURRENTLY "), ";"),
         "non-concurrent-drop-index": text(F.regexp_replace(raw, r"(?i)^DROP INDEX ", "DROP INDEX CONCURRENTLY "), ";"),
@@ -272,7 +276,7 @@ def remedy_sql(found: DataFrame, stmts: DataFrame) -> DataFrame:
         "unique-constraint-using-index": by_index("UNIQUE"), "add-primary-key-missing-using-index": by_index("PRIMARY KEY"),
         "unindexed-foreign-key": text("CREATE INDEX CONCURRENTLY i_", mark, " ON ", table, " (", keys, ");"),
         "drop-column-lock": text("SET lock_timeout = '2s';\n", alter, clause, ";"),
-        "detach-partition-non-concurrent": text(alter, clause, " CONCURRENTLY;"),
+        "detach-partition-non-concurrent": text(alter, clause, " CONCURRENTLY;"), "attach-partition-missing-check": attached, "partition-scan-lock": attached,
         "volatile-default": text(alter, F.regexp_replace(clause, r"(?i) DEFAULT .*$", ""), ";\n", alter, "ALTER COLUMN ", name, " SET DEFAULT", F.regexp_extract(clause, r"(?i)\bDEFAULT( .*)$", 1), ";"),
     }
     fix = F.lit(None).cast("string")

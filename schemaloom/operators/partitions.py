@@ -28,16 +28,24 @@ def daily(spark: SparkSession, table: str, first: str, days: int) -> DataFrame:
 
 
 def route_ranges(rows: DataFrame, column: str, bounds: DataFrame) -> DataFrame:
-    """Adds ``part`` for half-open ranges of any length: the range that holds the row, else ``default``. Ranges are cut at the days
-    that they touch, so the join is on the day and its side grows with the ranges' days, not with the rows."""
-    day = F.explode(F.sequence(F.to_date("low"), F.to_date(F.col("high") - F.expr("INTERVAL 1 MICROSECOND")))).alias("__day")
-    cut = bounds.filter("low < high").select("part", F.col("low").alias("__low"), F.col("high").alias("__high"), day)
-    keyed = rows.drop("part").withColumn("__day", F.to_date(column)).withColumn("__row", F.monotonically_increasing_id())
-    inside = (F.col("__low") <= F.col(column)) & (F.col(column) < F.col("__high"))
-    hit = keyed.join(cut, "__day", "left").withColumn("part", F.when(inside, F.col("part")))
-    names = [c for c in rows.columns if c != "part"]
-    best = hit.groupBy("__row", *names).agg(F.min("part").alias("part"))  # a day may hold the ends of several ranges
-    return best.select(*names, F.coalesce("part", F.lit("default")).alias("part"))
+    """Adds ``part`` for half-open ranges of any length: the range that holds the row, the first by name where several do, else ``default``. A null bound is open to
+    that side; rows without a value go to ``default``.
+
+    Ranges are cut at the days that they touch, open ones at the first and last day of the rows, and a day's ranges become one list, so the join is by day and
+    finds one row: its side grows with the ranges' days, and the rows are shuffled by day at most. Other columns may be of any type.
+    """
+    ends = rows.agg(F.min(column).alias("__first"), F.max(column).alias("__last"))
+    open_low, open_high = F.col("low").isNull(), F.col("high").isNull()
+    sound = F.coalesce(F.col("low") < F.col("high"), open_low | open_high)
+    first = F.to_date(F.coalesce("low", F.least("__first", "high")))
+    last = F.to_date(F.when(open_high, F.greatest("__last", "low")).otherwise(F.col("high") - F.expr("INTERVAL 1 MICROSECOND")))
+    days = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))
+    cut = bounds.filter(sound).join(F.broadcast(ends)).select("part", "low", "high", F.explode(days).alias("__day"))  # one row beside each range
+    of_day = cut.groupBy("__day").agg(F.sort_array(F.collect_list(F.struct("part", "low", "high"))).alias("__ranges"))
+    holds = lambda r: (r["low"].isNull() | (r["low"] <= F.col(column))) & (r["high"].isNull() | (F.col(column) < r["high"]))
+    found = F.try_element_at(F.filter("__ranges", holds), F.lit(1))["part"]
+    hit = rows.drop("part").withColumn("__day", F.to_date(column)).join(of_day, "__day", "left")
+    return hit.withColumn("part", F.coalesce(found, F.lit("default"))).drop("__day", "__ranges")
 
 
 def expired(names: DataFrame, cutoff: str) -> DataFrame:

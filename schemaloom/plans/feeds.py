@@ -77,17 +77,20 @@ SELECT 'public' AS schema_name, p_type AS table_name, 'ix_' || p_partkey AS inde
 
 
 def tenant_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects of tenant schemas: a tenant per customer group, a column per market segment that it serves."""
+    """Objects of tenant schemas: a tenant per customer group, a column per market segment that it serves, and one that is left over in every tenth."""
     c = table(spark, sf_dir, "customer")
     return c.select(
         (F.col("c_custkey") % 97).alias("tenant"), F.lit("accounts").alias("table_name"), F.concat(F.col("c_mktsegment"), F.lit("_"), (F.col("c_nationkey") % 2).cast("string")).alias("column_name"),
         F.when(F.col("c_nationkey") % 2 == 0, "text").otherwise("bigint").alias("data_type"),
+    ).union(
+        c.filter("c_custkey % 97 % 10 = 3").select((F.col("c_custkey") % 97).alias("tenant"), F.lit("accounts"), F.concat(F.lit("legacy_"), (F.col("c_custkey") % 97 % 4).cast("string")), F.lit("text"))
     ).distinct()
 
 
 TENANT_OBJECTS = """
 SELECT DISTINCT c_custkey % 97 AS tenant, 'accounts' AS table_name, c_mktsegment || '_' || (c_nationkey % 2) AS column_name,
-       CASE WHEN c_nationkey % 2 = 0 THEN 'text' ELSE 'bigint' END AS data_type FROM customer"""
+       CASE WHEN c_nationkey % 2 = 0 THEN 'text' ELSE 'bigint' END AS data_type FROM customer
+UNION SELECT c_custkey % 97, 'accounts', 'legacy_' || (c_custkey % 97 % 4), 'text' FROM customer WHERE c_custkey % 97 % 10 = 3"""
 
 _PLAN = (
     r'[{"Plan":{"Node Type":"Limit","Plan Rows":1,"Total Cost":', "top", r',"Plans":[{"Node Type":"Hash Join","Total Cost":', "join",

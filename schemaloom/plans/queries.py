@@ -497,6 +497,17 @@ def partition_ranges(spark, sf_dir):
     return partitions.route_ranges(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", bounds).select("o_orderkey", "part")
 
 
+@query("""WITH b AS (SELECT * FROM (VALUES ('a_old', NULL, TIMESTAMP '1993-05-07 12:00:00'), ('b_part', TIMESTAMP '1993-01-01', TIMESTAMP '1994-01-01'), ('c_week', TIMESTAMP '1995-03-06', TIMESTAMP '1995-03-13'), ('d_new', TIMESTAMP '1997-06-30', NULL), ('e_none', TIMESTAMP '1996-01-02', TIMESTAMP '1996-01-01')) v(part, low, high))
+SELECT o_orderkey, coalesce(min(part), 'default') AS part FROM orders LEFT JOIN b ON (low IS NULL OR o_orderdate >= low) AND (high IS NULL OR o_orderdate < high) AND (low IS NULL OR high IS NULL OR low < high) GROUP BY 1""")
+def partition_open_ranges(spark, sf_dir):
+    """Ranges open to a side, ranges that overlap, and one that holds nothing."""
+    from schemaloom.operators import partitions
+
+    bounds = [("a_old", None, "1993-05-07 12:00:00"), ("b_part", "1993-01-01", "1994-01-01"), ("c_week", "1995-03-06", "1995-03-13"), ("d_new", "1997-06-30", None), ("e_none", "1996-01-02", "1996-01-01")]
+    bounds = spark.createDataFrame(bounds, "part string, low string, high string").select("part", F.col("low").cast("timestamp_ntz").alias("low"), F.col("high").cast("timestamp_ntz").alias("high"))
+    return partitions.route_ranges(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", bounds).select("o_orderkey", "part")
+
+
 @query("""WITH have AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders WHERE o_orderstatus = 'P')
 SELECT 'orders_' || strftime(m, '%Y_%m') AS part, m AS low, m + INTERVAL 1 MONTH AS high FROM (SELECT TIMESTAMP '1999-07-01' + INTERVAL (i) MONTH AS m FROM range(36) r(i)) WHERE m NOT IN (SELECT m FROM have)""")
 def partition_premake(spark, sf_dir):
@@ -873,16 +884,17 @@ def wait_graph(spark, sf_dir):
     return nodes.join(waits, "pid", "left").select("pid", F.coalesce("waits", F.lit(0)).alias("waits"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
-@query("""WITH g AS (SELECT tenant, count(*) AS n, count(*) FILTER (WHERE data_type = 'text') AS t FROM (SELECT DISTINCT c_custkey % 97 AS tenant, c_mktsegment || '_' || (c_nationkey % 2) AS name,
-  CASE WHEN c_nationkey % 2 = 0 THEN 'text' ELSE 'bigint' END AS data_type FROM customer) GROUP BY 1)
-SELECT tenant::VARCHAR AS tenant, t AS constraints, n - t AS columns FROM g""")
+@query(f"""WITH o AS ({feeds.TENANT_OBJECTS}), l AS (SELECT tenant, data_type = 'text' AS late, column_name AS name,
+  'ALTER TABLE "' || tenant || '"."accounts" ' || CASE WHEN data_type = 'text' THEN 'ADD CONSTRAINT ' || column_name || ' text NOT VALID;' || chr(10) || 'ALTER TABLE "' || tenant || '"."accounts" VALIDATE CONSTRAINT ' || column_name || ';'
+    ELSE 'ADD COLUMN IF NOT EXISTS ' || column_name || ' ' || data_type || ';' END AS line FROM o)
+SELECT tenant::VARCHAR AS tenant, count(*) FILTER (late) AS constraints, count(*) FILTER (NOT late) AS columns, string_agg(line, chr(10) ORDER BY late, name) AS script FROM l GROUP BY 1""")
 def reconciliation_scripts(spark, sf_dir):
     o = feeds.tenant_objects(spark, sf_dir)
     kind = F.when(F.col("data_type") == "text", "constraint").otherwise("column")
     rows = o.select("tenant", kind.alias("kind"), "table_name", F.col("column_name").alias("name"), F.col("data_type").alias("definition"))
     s = drift.reconciliation(rows)
     count = lambda word: (F.size(F.split("script", word)) - 1).cast("bigint")
-    return s.select("tenant", count("VALIDATE CONSTRAINT").alias("constraints"), count("ADD COLUMN").alias("columns"))
+    return s.select("tenant", count("VALIDATE CONSTRAINT").alias("constraints"), count("ADD COLUMN").alias("columns"), "script")
 
 
 @query("""SELECT o_orderkey, least(10000.0::DOUBLE, 100.0::DOUBLE * pow(2.0::DOUBLE, o_orderkey % 12)) AS ceiling, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey::VARCHAR ELSE '''' || o_orderstatus || '''''x''' END AS bound,

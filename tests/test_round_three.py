@@ -161,3 +161,53 @@ def test_key_graphs(spark):
     tables, deferred = key_graph.layers(keys)
     assert rows(deferred) == {("a", "b"), ("b", "c"), ("c", "a"), ("staff", "staff")}
     assert rows(tables) == {("users", 0), ("orders", 1), ("lines", 2), ("notes", 1), ("refunds", 3), ("a", 0), ("b", 0), ("c", 1), ("d", 1), ("staff", 0)}
+
+
+def test_types_of_tokens(spark):
+    text = "ALTER table \"T\" add C numeric(1.5) -- x\n DEFAULT 'a' || $$b$$ <> é_1::text; /* y */ [1]"
+    got = [(r.token, r.type) for r in statements.tokens(spark.createDataFrame([("f", text)], "file string, text string")).orderBy("pos").collect()]
+    K, I, P, O, N = "KEYWORD", "IDENTIFIER", "PUNCTUATION", "OPERATOR", "NUMBER"  # noqa: E741
+    assert got == [
+        ("ALTER", K), ("table", K), ('"T"', I), ("add", K), ("C", I), ("numeric", I), ("(", P), ("1.5", N), (")", P), ("-- x", "COMMENT"), ("DEFAULT", K), ("'a'", "STRING"), ("|", O), ("|", O),
+        ("$$b$$", "DOLLAR_STRING"), ("<>", O), ("é_1", I), ("::", O), ("text", I), (";", P), ("/* y */", "COMMENT"), ("[", P), ("1", N), ("]", P),
+    ]
+
+
+def test_ranges_open_to_a_side(spark):
+    bounds = spark.sql("SELECT 'old' AS part, CAST(NULL AS timestamp_ntz) AS low, timestamp_ntz'2020-01-01' AS high UNION ALL SELECT 'new', timestamp_ntz'2021-05-05 12:00:00', NULL UNION ALL SELECT 'all_of_2020', timestamp_ntz'2020-01-01', timestamp_ntz'2021-01-01'")
+    days = ["2019-06-01", "2019-12-31 23:59:59.999999", "2020-01-01", "2021-01-01", "2021-05-05 11:59:59", "2021-05-05 12:00:00", "2031-01-01", None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i int, d string").select("i", F.col("d").cast("timestamp_ntz").alias("d"), F.create_map(F.lit("k"), F.col("i")).alias("m"), F.lit("x").alias("part"))
+    from schemaloom.operators import partitions
+
+    got = partitions.route_ranges(df, "d", bounds)
+    assert {r.i: r.part for r in got.collect()} == dict(enumerate(["old", "old", "all_of_2020", "default", "default", "new", "new", "default"])) and set(got.columns) == {"i", "d", "m", "part"}
+    everything = spark.sql("SELECT 'p' AS part, CAST(NULL AS timestamp_ntz) AS low, CAST(NULL AS timestamp_ntz) AS high")
+    assert {r.part for r in partitions.route_ranges(df.filter("i < 7"), "d", everything).collect()} == {"p"}
+    assert partitions.route_ranges(df.limit(0), "d", bounds).count() == 0
+
+
+def test_migrations_are_those_of_the_first_layout(spark):
+    from schemaloom.sources import scripts
+
+    def found(files, named=False, root="/work/app"):
+        df = spark.createDataFrame([(f"file:{f}", "SELECT 1") for f in files], "file string, text string")
+        return [(r.n, r.name, r.project_type) for r in scripts.discovered(df, root, named).orderBy("n").collect()]
+
+    flat, tool = ["/work/app/migrations/b.sql", "/work/app/migrations/a.sql"], ["/work/app/drizzle/0001_x.sql"]
+    both = ["/work/app/migrations/2_z/migration.sql", "/work/app/migrations/1_y/migration.sql"]
+    first = ["/work/app/prisma/migrations/9_q/migration.sql", "/work/app/prisma/migrations/9_q/other.sql"]
+    assert found(flat) == [(1, "a.sql", "generic"), (2, "b.sql", "generic")]
+    assert found(flat + both) == [(1, "1_y", "prisma"), (2, "2_z", "prisma")]
+    assert found(flat + both + tool) == [(1, "0001_x.sql", "drizzle")]
+    assert found(flat + both + tool + first) == [(1, "9_q", "prisma")]
+    assert found(["/work/app/sql/deep/x.sql"]) == [] and found([]) == []
+    assert found(["/work/app/sql/deep/x.sql"], True) == [(1, "x.sql", "generic")]
+    assert found(["/work/app/x.sql", "/work/app/deep/y.sql"], True) == [(1, "x.sql", "drizzle")]
+    assert found(["/work/app/x.sql", "/work/app/k/migration.sql"], True) == [(1, "k", "prisma")]
+
+
+def test_remedy_of_attached_partitions(spark):
+    s = stmts(spark, "ALTER TABLE p ATTACH PARTITION s.q FOR VALUES FROM (1) TO (f(2))")
+    for r in lint.remedy_sql(lint.findings(s), s).collect():
+        lines = r.fix_sql.split("\n")
+        assert lines[0].startswith("ALTER TABLE s . q ADD CONSTRAINT b_") and lines[0].endswith("NOT VALID;") and "VALIDATE" in lines[1] and "ATTACH PARTITION s . q FOR VALUES FROM ( 1 ) TO ( f ( 2 ) );" in lines[2] and "DROP CONSTRAINT" in lines[3]
