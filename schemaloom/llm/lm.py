@@ -5,8 +5,9 @@ count they fall in classes of ``class_size`` words, and a token's probability is
 in its class, so each normaliser is exact and a product with some hundred rows. The log-bilinear model (context embeddings, a
 matrix for each of two positions, target embeddings and biases) is trained in numpy with noise-contrastive estimation, for
 classes and words alike: in each round every task walks over a share of all training tokens, and Spark averages
-the parameters by the tokens seen. Words outside the vocabulary are one word of the model, and share
-its probability by their smoothed counts.
+the parameters by the tokens seen, in two levels. The other words are dealt to ``tails`` groups by how they end; each group is a word of the model, learnt
+in context like any other, and its words share its probability by their smoothed counts, with one word that was never met. So every
+word of the corpus has a probability that depends on its context.
 
 Frequent words (a share of ``frequent`` of all tokens at least, so at most 1/``frequent`` words, each of at most
 ``word_bytes`` bytes) are broadcast; the counts of the others come by a join on the word.
@@ -30,19 +31,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.llm import crc
 from schemaloom.llm.shared import Scratch
 from schemaloom.llm.text import slices, split_words, texts_of
 
 END = "\n"  # no word holds white space
-OTHER_ID, END_ID = 0, 1
+END_ID = 0
 
 
 @dataclass(frozen=True)
 class LmParams:
-    """``vocabulary``: words of the model at most, each met ``min_count`` times. ``rounds`` share all training tokens among them; a
-    task of a round takes about ``shard_tokens``, and goes over them more than once if they are fewer than ``least_steps`` batches."""
+    """``vocabulary``: words with vectors of their own at most, the closing token among them, each met ``min_count`` times; ``tails``: groups of all others.
+    ``rounds`` share all training tokens among them; a task of a round takes about ``shard_tokens`` or, if tasks are fewer, its share, and goes over
+    them more than once if they are fewer than ``least_steps`` batches."""
 
     vocabulary: int = 12_544
+    tails: int = 448
     class_size: int = 112
     min_count: int = 5
     size: int = 32
@@ -89,11 +93,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def class_ids(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(classes of all tokens with the closing ones, offsets by text; word codes, their offsets, words)."""
+def tail_groups(words: pa.Array, tails: int) -> np.ndarray:
+    """A group for each word by its last two characters."""
+    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    return crc.of_strings(ends.dictionary)[0].astype(np.int64)[np.asarray(ends.indices, np.int64)] % tails if len(words) else np.empty(0, np.int64)
+
+
+def class_ids(texts: pa.Array, vocabulary: pa.Array, tails: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(numbers of all tokens with the closing ones, offsets by text; word codes, their offsets, words). A word's number follows from its place in the
+    vocabulary, that of a word outside from its group."""
     codes, offsets, words = split_words(pc.ascii_lower(texts))
-    at = pc.index_in(words, value_set=vocabulary.cast(words.type)).to_numpy(zero_copy_only=False)
-    of_word = np.where(np.isnan(at), OTHER_ID, at + 2).astype(np.int64) if at.dtype.kind == "f" else at + 2
+    at = pc.fill_null(pc.index_in(words, value_set=vocabulary.cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    of_word = np.where(at < 0, len(vocabulary) + 1 + tail_groups(words, tails), at + 1)
     ends = offsets[1:] + np.arange(1, len(offsets))  # where each closing token goes, plus one
     ids = np.full(len(codes) + len(texts), END_ID, np.int64)
     inner = np.ones(len(ids), bool)
@@ -226,7 +237,9 @@ def train(texts: DataFrame, vocabulary: pa.Array, unigram: np.ndarray, n_tokens:
         return weights
     spark = texts.sparkSession
     words = spark.sparkContext.broadcast(vocabulary.to_pylist())
-    shards = math.ceil(n_tokens / p.rounds / p.shard_tokens)
+    shards = min(math.ceil(n_tokens / p.rounds / p.shard_tokens), spark.sparkContext.defaultParallelism)
+    share = max(p.shard_tokens, n_tokens / p.rounds / shards)
+    teams = math.ceil(math.sqrt(shards))
     for r in range(p.rounds):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -235,10 +248,10 @@ def train(texts: DataFrame, vocabulary: pa.Array, unigram: np.ndarray, n_tokens:
             trainer = Trainer(shared.value, unigram, p, seed=1 + r * 1_000_003 + TaskContext.get().partitionId())
             seen, held = 0, []
             for batch in slices(batches, "text"):
-                ids, offsets, *_ = class_ids(texts_of(batch, "text"), known)
+                ids, offsets, *_ = class_ids(texts_of(batch, "text"), known, p.tails)
                 one, two = contexts(ids, offsets)
                 seen += len(ids)
-                rate = p.rate * (1 - 0.7 * (r + min(1.0, seen / p.shard_tokens)) / p.rounds)
+                rate = p.rate * (1 - 0.7 * (r + min(1.0, seen / share)) / p.rounds)
                 if held is not None:
                     held.append((ids, one, two))
                     if seen >= p.least_steps * p.batch:
@@ -250,21 +263,25 @@ def train(texts: DataFrame, vocabulary: pa.Array, unigram: np.ndarray, n_tokens:
                 for part in held:
                     trainer.walk(*part, p.rate * (1 - 0.7 * (r + (1 + again) * seen / (p.least_steps * p.batch)) / p.rounds))
             parts = np.array_split(flat(trainer.w).astype("<f4"), _PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([float(seen)] * _PARTS), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "tokens", "weights"])
+            team = pa.array([TaskContext.get().partitionId() % teams] * _PARTS, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), team, pa.array([float(seen)] * _PARTS), pa.array([x.tobytes() for x in parts], pa.binary())], names)
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, list] = {}
+            total: dict[tuple[int, int], list] = {}
             for batch in batches:
-                for part, tokens, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                    sums = total.setdefault(part, [0.0, 0.0])
+                for part, team, tokens, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                    sums = total.setdefault((part, team), [0.0, 0.0])
                     sums[0] += tokens
                     sums[1] = sums[1] + tokens * np.frombuffer(raw, "<f4").astype(np.float64)
-            for part, (tokens, sums) in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens]), pa.array([(sums / tokens).astype("<f4").tobytes()], pa.binary())], ["part", "tokens", "weights"])
+            for (part, team), (tokens, sums) in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([team], pa.int32()), pa.array([tokens]), pa.array([(sums / tokens).astype("<f4").tobytes()], pa.binary())], names)
 
         own = texts.filter(F.pmod(F.xxhash64("text"), F.lit(p.rounds)) == r).select("text").coalesce(shards)
-        schema = "part int, tokens double, weights binary"
-        found = own.mapInArrow(fit, schema).repartition(_PARTS, "part").mapInArrow(average, schema).collect()  # one set of weights, whatever the input
+        names, schema = ["part", "team", "tokens", "weights"], "part int, team int, tokens double, weights binary"
+        found = own.mapInArrow(fit, schema)
+        if teams > 1:  # each team's average first, so no task gets the weights of all shards
+            found = found.repartition(teams * _PARTS, "part", "team").mapInArrow(average, schema)
+        found = found.withColumn("team", F.lit(0)).repartition(_PARTS, "part").mapInArrow(average, schema).collect()  # one set of weights, whatever the input
         if found:
             weights = shaped(np.concatenate([np.frombuffer(x["weights"], "<f4") for x in sorted(found, key=lambda x: x["part"])]), weights)
     return weights
@@ -317,12 +334,16 @@ def _scored(documents: DataFrame, p: LmParams, scratch: Scratch) -> DataFrame:
     n_tokens, n_words = total["n"], total["v"]
     all_mass = n_tokens + 0.5 * (n_words + 1)
     small = F.octet_length("word") <= p.word_bytes
-    top = counts.filter(small & (F.col("word") != END) & (F.col("c") >= p.min_count)).orderBy(F.desc("c"), "word").limit(p.vocabulary - 2).collect()
+    top = counts.filter(small & (F.col("word") != END) & (F.col("c") >= p.min_count)).orderBy(F.desc("c"), "word").limit(p.vocabulary - 1)
+    top = scratch.table(top, "vocabulary")
+    rest = counts.filter(F.col("word") != END).join(top.select("word"), "word", "left_anti")
+    group = F.pmod(F.crc32(F.substring("word", -2, 2).cast("binary")), F.lit(p.tails))
+    sums = {x["g"]: x["m"] for x in rest.groupBy(group.alias("g")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect()}  # ``tails`` rows at most
+    top = top.orderBy(F.desc("c"), "word").collect()
     vocabulary = pa.array([x["word"] for x in top], pa.string())
     ends = counts.filter(F.col("word") == END).first()
-    mass = np.array([0.0, ends["c"] + 0.5 if ends else 0.5, *(x["c"] + 0.5 for x in top)])
-    other_mass = all_mass - mass.sum()  # of all words outside the vocabulary, unseen ones included
-    mass[OTHER_ID] = other_mass
+    tail_mass = np.array([sums.get(g, 0.0) + 0.5 for g in range(p.tails)])  # and a word that was never met
+    mass = np.array([ends["c"] + 0.5 if ends else 0.5, *(x["c"] + 0.5 for x in top), *tail_mass])
     weights = train(learned, vocabulary, mass / mass.sum(), n_tokens, p)
     frequent = counts.filter(small & (F.col("c") >= math.ceil(max(1, n_tokens * p.frequent)))).select("word", "c").toArrow()
     known = dict(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist())) | {x["word"]: x["c"] for x in top}  # the model's words are never joined
@@ -332,10 +353,10 @@ def _scored(documents: DataFrame, p: LmParams, scratch: Scratch) -> DataFrame:
         words_of_model, known, c, weights = shared.value
         words_of_model = pa.array(words_of_model, pa.string())
         log_c = np.append(np.log10(c + 0.5), 0.0)  # the last for words that are not frequent
-        log_end = math.log10(mass[END_ID])
+        log_end, log_tails = math.log10(mass[END_ID]), np.log10(tail_mass)
         for batch in slices(batches, "text"):
             texts = texts_of(batch, "text")
-            ids, offsets, codes, word_offsets, words = class_ids(texts, words_of_model)
+            ids, offsets, codes, word_offsets, words = class_ids(texts, words_of_model, p.tails)
             one, two = contexts(ids, offsets)
             logp = log_probabilities(weights, ids, one, two, p)
             at = pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), len(c)).to_numpy(zero_copy_only=False)
@@ -343,7 +364,8 @@ def _scored(documents: DataFrame, p: LmParams, scratch: Scratch) -> DataFrame:
             inner[offsets[1:] - 1] = False
             word_at = at[codes]
             frequent_part = log_c[word_at]
-            is_other = ids[inner] == OTHER_ID
+            tail = ids[inner] - len(words_of_model) - 1
+            in_group = np.where(tail >= 0, frequent_part - log_tails[np.maximum(tail, 0)], 0.0)
             rare = word_at == len(c)
 
             def by_text(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -359,16 +381,16 @@ def _scored(documents: DataFrame, p: LmParams, scratch: Scratch) -> DataFrame:
                 [
                     batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(np.diff(offsets)), pa.array(by_text(rare, word_offsets).astype(np.int64)),
                     pa.array(by_text(frequent_part, word_offsets) + log_end), pa.array(by_text(logp, offsets) / math.log(10)),
-                    pa.array(by_text(np.where(is_other, frequent_part, 0.0), word_offsets)), pa.array(by_text(is_other, word_offsets).astype(np.int64)),
+                    pa.array(by_text(in_group, word_offsets)),
                     pa.ListArray.from_arrays(pa.array(lists), rare_words), pa.ListArray.from_arrays(pa.array(lists), pa.array(n.astype(np.int64))),
                 ],
-                ["doc_id", "key", "n_tokens", "n_rare", "base_part", "class_part", "other_part", "n_other", "words", "times"],
+                ["doc_id", "key", "n_tokens", "n_rare", "base_part", "class_part", "tail_part", "words", "times"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     parts = scratch.table(
         documents.select("doc_id", "text").mapInArrow(
-            run, f"doc_id {kind}, key binary, n_tokens long, n_rare long, base_part double, class_part double, other_part double, n_other long, words array<string>, times array<long>"
+            run, f"doc_id {kind}, key binary, n_tokens long, n_rare long, base_part double, class_part double, tail_part double, words array<string>, times array<long>"
         ), "scored"
     )
     rare = parts.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
@@ -384,7 +406,7 @@ def _scored(documents: DataFrame, p: LmParams, scratch: Scratch) -> DataFrame:
         (F.col("n_tokens") - F.col("n_rare") - F.lit(0 if ends else 1) + F.col("known")).cast("long").alias("n_known"),
         F.lit(int(n_tokens)).cast("long").alias("train_tokens"),
         (F.col("base_part") + F.col("s") - F.col("n_tokens") * F.lit(math.log10(all_mass))).alias("base_score"),
-        (F.col("class_part") + F.col("other_part") + F.col("s") - F.col("n_other") * F.lit(math.log10(other_mass) if other_mass > 0 else 0.0)).alias("score"),
+        (F.col("class_part") + F.col("tail_part") + F.col("s")).alias("score"),
     )
 
 

@@ -664,7 +664,7 @@ def test_bands_keep_clean_text(lang):
 
 
 def test_unigram_scores_equal_brute_force(documents, rows, empty):
-    params = lm.LmParams(vocabulary=16, class_size=4, min_count=1, size=4, rounds=1, batch=512, least_steps=4, frequent=0.02)
+    params = lm.LmParams(vocabulary=16, tails=3, class_size=4, min_count=1, size=4, rounds=1, batch=512, least_steps=4, frequent=0.02)
     got = lm.score(documents, params).collect()
     assert len(got) == len(rows)
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -690,30 +690,30 @@ def plain_log_probability(w, word, one, two, p):
 
 
 def test_model_scores_equal_brute_force(documents, rows, monkeypatch):
-    p = lm.LmParams(vocabulary=30, class_size=7, min_count=1, size=5, frequent=0.02)
+    p = lm.LmParams(vocabulary=30, tails=5, class_size=7, min_count=1, size=5, frequent=0.02)
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     tokens = [[*words_of(low(r[1])), "\n"] for r in rows]
     c = collections.Counter()
     for r, t in zip(rows, tokens):
         if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1:
             c.update(t)
-    top = sorted((x for x in c if x != "\n" and len(x.encode()) <= p.word_bytes), key=lambda x: (-c[x], x))[:28]
-    number = {"\n": 1} | {x: i + 2 for i, x in enumerate(top)}
-    all_mass = sum(c.values()) + 0.5 * (len(c) + 1)
-    other = all_mass - sum(c[x] + 0.5 for x in number)
+    top = sorted((x for x in c if x != "\n" and len(x.encode()) <= p.word_bytes), key=lambda x: (-c[x], x))[:29]
+    number = {x: i for i, x in enumerate(["\n", *top])}
+    tail = lambda x: zlib.crc32(x[-2:].encode()) % 5
+    mass = [0.5 + sum(c[x] + 0.5 for x in c if x not in number and tail(x) == g) for g in range(5)]
     rng = np.random.default_rng(4)
-    weights = {k: rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in lm.start(np.full(30, 1 / 30), p).items()}
+    weights = {k: rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in lm.start(np.full(35, 1 / 35), p).items()}
     monkeypatch.setattr(lm, "train", lambda *_: weights)
     got = collections.Counter((r.doc_id, r.n_tokens, round(r.score, 2)) for r in lm.score(documents, p).collect())
     want = collections.Counter()
     seen = {}
     for r, t in zip(rows, tokens):
-        ids = [1, 1, *(number.get(x, 0) for x in t)]
+        ids = [0, 0, *(number.get(x, 30 + tail(x)) for x in t)]
         total = 0.0
         for x, two, one, word in zip(t, ids, ids[1:], ids[2:]):
             key = (word, one, two)
             seen[key] = seen.get(key) or plain_log_probability(weights, *key, p)
-            total += seen[key] / math.log(10) + (math.log10((c[x] + 0.5) / other) if not word else 0)
+            total += seen[key] / math.log(10) + (math.log10((c[x] + 0.5) / mass[word - 30]) if word >= 30 else 0)
         want[r[0], len(t), round(total, 2)] += 1
     near = sum(min(n, sum(m for k, m in got.items() if k[:2] == key[:2] and abs(k[2] - key[2]) <= 0.011 + 1e-6 * abs(key[2]))) for key, n in want.items())
     assert near == len(rows) == sum(got.values()), (sorted(got, key=str)[:8], sorted(want, key=str)[:8])
