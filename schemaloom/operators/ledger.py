@@ -39,13 +39,14 @@ def populated(log: DataFrame, payload: str, schema: str) -> DataFrame:
 def keyset_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """(batch, n, low, high): the batches that a copy in key order makes.
 
-    Rows are numbered within key ranges, and each range gets the count of those before it, so no task sees all rows.
+    Rows are numbered within key ranges, and each range gets the count of those before it, so no task sees all rows. A table in the shared folder.
     """
-    dealt = rows.select(F.col(key).alias("k")).repartitionByRange("k").withColumn("part", F.spark_partition_id()).checkpoint()
-    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row for each key range
-    numbered = dealt.join(F.broadcast(before), "part").withColumn("at", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("k")) - 1)
-    return numbered.groupBy(F.floor(F.col("at") / size).cast("bigint").alias("batch")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+    with Rounds(rows.sparkSession) as tables:
+        dealt = tables.table(rows.select(F.col(key).alias("k")).repartitionByRange("k").withColumn("part", F.spark_partition_id()))
+        counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+        before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row for each key range
+        numbered = dealt.join(F.broadcast(before), "part").withColumn("at", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("k")) - 1)
+        return tables.keep(numbered.groupBy(F.floor(F.col("at") / size).cast("bigint").alias("batch")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")))
 
 
 def dual_write(rows: DataFrame, old: str, new: str) -> DataFrame:

@@ -289,7 +289,10 @@ def edits(found: DataFrame, stmts: DataFrame, scripts: DataFrame) -> DataFrame:
     """(file, low, high, text): edits of the scripts' texts that take a hazard away in place. Concurrent forms only outside of
     transactions; NOT VALID only where the statement has one clause."""
     rows = found.join(prepared(stmts).select("file", "stmt", "low", "high", "in_tx", "is_orm", F.size("clauses").alias("n")), ["file", "stmt"])
-    rows = rows.join(scripts.select("file", F.regexp_replace("text", "^\ufeff", "").alias("whole"), F.length(F.regexp_extract("text", "^\ufeff", 0)).alias("mark")), "file")
+    # a script meets the list of its findings once; its text is not shuffled for each of them
+    listed = rows.groupBy("file").agg(F.collect_list(F.struct("rule_id", "low", "high", "in_tx", "is_orm", "n")).alias("f"))
+    texts = scripts.select("file", F.regexp_replace("text", "^\ufeff", "").alias("whole"), F.length(F.regexp_extract("text", "^\ufeff", 0)).alias("mark"))
+    rows = texts.join(listed, "file").select("file", "whole", "mark", F.explode("f").alias("f")).select("file", "whole", "mark", "f.*")
     own = F.col("whole").substr(F.col("low") + 1, F.col("high") - F.col("low"))
     free = ~F.col("in_tx") & ~F.col("is_orm")
     after = lambda pattern: F.length(F.regexp_extract(own, pattern, 0))

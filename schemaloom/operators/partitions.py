@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.functions.session import Rounds
+
 
 def monthly(spark: SparkSession, table: str, first: str, months: int) -> DataFrame:
     """(part, low, high) of ``months`` half-open monthly ranges."""
@@ -58,20 +60,14 @@ def expired(names: DataFrame, cutoff: str) -> DataFrame:
 def tree(edges: DataFrame, root: str) -> DataFrame:
     """(child, parent, depth) below ``root``, level by level to the last one: one join each. A child that is met twice stands on a
     cycle or has two parents, which is an error."""
-    level = edges.filter(F.col("parent") == root).select("child", "parent", F.lit(1).alias("depth"))
-    out, depth = level, 1
-    while not level.isEmpty():
-        depth += 1
-        level = edges.join(level.select(F.col("child").alias("parent")), "parent").select("child", "parent", F.lit(depth).alias("depth"))
-        level = checkpointed(level)
-        if not level.select("child").intersect(out.select("child").union(edges.sparkSession.createDataFrame([(root,)], "child string"))).isEmpty():
-            raise ValueError(f"a partition below {root} is its own ancestor or has two parents")
-        out = out.union(level)
-    return out
-
-
-def checkpointed(level: DataFrame) -> DataFrame:
-    from schemaloom.functions import session
-
-    session.checkpointed(level.sparkSession)
-    return level.checkpoint()
+    spark = edges.sparkSession
+    with Rounds(spark) as tables:
+        level = tables.table(edges.filter(F.col("parent") == root).select("child", "parent", F.lit(1).alias("depth")))
+        out, depth = level, 1
+        while not level.isEmpty():
+            depth += 1
+            level = tables.table(edges.join(level.select(F.col("child").alias("parent")), "parent").select("child", "parent", F.lit(depth).alias("depth")))
+            if not level.select("child").intersect(out.select("child").union(spark.createDataFrame([(root,)], "child string"))).isEmpty():
+                raise ValueError(f"a partition below {root} is its own ancestor or has two parents")
+            out = out.union(level)
+        return tables.keep(out)
