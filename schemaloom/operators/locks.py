@@ -69,8 +69,10 @@ def _contracted(edges: DataFrame, tables: Rounds, limit: int) -> tuple[DataFrame
     now, rings, runs = tables.table(edges), [], []
     count = now.count()
     for _ in range(limit):
-        ends = now.join(now.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
-        rest = tables.table(ends.join(now.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker"))
+        once = now.join(now.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
+        once = once.join(now.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker")
+        twice = once.join(once.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
+        rest = tables.table(twice.join(once.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker"))
         tables.drop(now)
         now = rest
         out = now.groupBy(F.col("waiter").alias("pid")).agg(F.count("*").alias("n_out"), F.min("blocker").alias("next"))
@@ -95,9 +97,8 @@ def _contracted(edges: DataFrame, tables: Rounds, limit: int) -> tuple[DataFrame
                 way = then
                 if way.filter("NOT (in_open AND out_open)").isEmpty():
                     break
-            rings.append(tables.table(way.filter("NOT out_open").select("pid", F.col("low").alias("cycle"))))
-            runs.append(tables.table(way.filter("out_open").select("pid", "before", "behind")))
-            tables.drop(way)
+            rings.append(way.filter("NOT out_open").select("pid", F.col("low").alias("cycle")))
+            runs.append(way.filter("out_open").select("pid", "before", "behind"))
             linked = links.select("pid")
             kept = now.join(linked.withColumnRenamed("pid", "waiter"), "waiter", "left_anti").join(linked.withColumnRenamed("pid", "blocker"), "blocker", "left_anti").select("waiter", "blocker")
             rest = tables.table(kept.union(runs[-1].select("before", "behind")).distinct())
