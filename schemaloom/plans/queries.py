@@ -1055,15 +1055,19 @@ def key_layers(spark, sf_dir):
     return tables.crossJoin(deferred.agg(F.count("*").alias("deferred")))  # one row
 
 
-@query(f"WITH {LINT}, r AS (SELECT file, max(kind = 12) AS c, max(kind = 21) AS t, max(kind IN (8, 34)) AS d, max(kind IN (26, 32)) AS y FROM st GROUP BY 1) SELECT file, (c::INT + t::INT + d::INT + y::INT)::BIGINT AS reasons FROM r")
+@query(f"WITH {LINT}, r AS (SELECT file, max(kind = 12) AS c, max(kind = 21) AS t, max(kind IN (8, 34)) AS d, max(kind IN (26, 32)) AS y FROM st GROUP BY 1) SELECT file, (c::INT + t::INT + d::INT + y::INT)::BIGINT AS reasons, concat_ws('; ', CASE WHEN c THEN 'drops a column' END, CASE WHEN t THEN 'truncates a table' END, CASE WHEN y THEN 'changes a column''s type' END, CASE WHEN d THEN 'deletes rows' END) AS which FROM r")
 def high_risk_scripts(spark, sf_dir):
-    return feeds.scripts(spark, sf_dir).select("file", F.size(statements.high_risk(F.col("text"))).cast("bigint").alias("reasons"))
+    found = statements.high_risk(F.col("text"))
+    return feeds.scripts(spark, sf_dir).select("file", F.size(found).cast("bigint").alias("reasons"), F.array_join(found, "; ").alias("which"))
 
 
-@query(f"WITH {LINT} SELECT rule_id, count(*) AS n, true AS has_remedy FROM f GROUP BY 1")
+REMEDY_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in lint.REMEDIES.items())
+
+
+@query(f"WITH {LINT} SELECT rule_id, count(*) AS n, true AS has_remedy, any_value(remedy) AS remedy FROM f JOIN (VALUES {REMEDY_ROWS}) v(rule_id, remedy) USING (rule_id) GROUP BY 1")
 def remedies(spark, sf_dir):
     found = lint.remedied(lint.findings(statements.statements(feeds.scripts(spark, sf_dir))))
-    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.min(F.col("remedy").isNotNull()).alias("has_remedy"))
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.min(F.col("remedy").isNotNull()).alias("has_remedy"), F.max("remedy").alias("remedy"))
 
 
 @query(f"""WITH st AS ({feeds.STATEMENTS}), e AS (SELECT file, stmt, CASE kind WHEN 25 THEN t || '_new' ELSE t::VARCHAR END AS t, CASE kind WHEN 25 THEN 'id' WHEN 17 THEN 'u' || c ELSE 'c' || c END AS col,
