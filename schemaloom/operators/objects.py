@@ -175,15 +175,17 @@ def graph(stmts: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("file", "table_name", "base").orderBy("at")) - 1
     rows = rows.withColumn("nth", nth).withColumn("name", F.coalesce("name", F.concat("base", F.when(F.col("nth") > 0, F.col("nth").cast("string")).otherwise(""))))
     owner = F.when(F.col("kind").isin("column", "constraint", "partition"), F.col("table_name"))
+    # what was said of an object before it was last dropped is void
+    same = Window.partitionBy("file", "kind", "owner", "name")
+    rows = rows.withColumn("owner", owner).withColumn("dropped", F.max(F.when(F.col("op") == "drop", F.col("at"))).over(same)).filter("dropped IS NULL OR at > dropped")
     last = lambda field, when: F.max_by(F.when(when, F.struct(field)), F.when(when, F.col("at")))[field].alias(field)
-    add, drop = F.col("op").isin("add", "type"), F.col("op") == "drop"
-    state = rows.groupBy("file", "kind", owner.alias("owner"), "name").agg(
-        F.max(F.when(add, F.col("at"))).alias("added"), F.max(F.when(drop, F.col("at"))).alias("dropped"),
+    state = rows.groupBy("file", "kind", "owner", "name").agg(
+        F.max(F.when(F.col("op").isin("add", "type"), F.col("at"))).alias("added"),
         *(last(k, F.col("op") == "add") for k in ("table_name", "con_kind", "definition", "columns", "is_unique", "is_concurrent", "predicate", "labels")),
         *(last(k, F.col(k).isNotNull()) for k in ("data_type", "is_not_null", "is_validated")), last("default_expr", F.coalesce("sets_default", F.lit(False))),
         F.sort_array(F.collect_list(F.when(F.col("op") == "value", F.struct("at", "labels")))).alias("more"),
     )
-    state = state.filter("added IS NOT NULL AND (dropped IS NULL OR dropped < added)")
+    state = state.filter("added IS NOT NULL")
     more = F.flatten(F.transform(F.filter("more", lambda x: x["at"] > F.col("added")), lambda x: x["labels"]))
     return state.select(
         "file", "kind", F.coalesce("owner", "table_name").alias("table_name"), "name", "data_type", F.when(F.col("kind") == "column", F.coalesce("is_not_null", F.lit(False))).alias("is_not_null"), "default_expr",

@@ -652,9 +652,14 @@ def ddl_indexes(spark, sf_dir):
     return found.select("file", "index_name", "table_name", "is_unique", "is_concurrent", F.array_join("key_columns", ",").alias("keys"))
 
 
-@query(f"""WITH st AS ({feeds.STATEMENTS}), l AS (SELECT * FROM st WHERE kind IN (4, 5) QUALIFY row_number() OVER (PARTITION BY file, t, n ORDER BY stmt DESC) = 1)
-SELECT file, 't_' || t AS table_name, 'f_' || n AS constraint_name, 'f' AS kind, l.kind = 4 OR EXISTS (SELECT 1 FROM st v WHERE v.file = l.file AND v.t = l.t AND v.n = l.n AND v.kind = 33 AND v.stmt > l.stmt) AS is_validated,
-  'FOREIGN KEY ( c_' || c || ' ) REFERENCES t_0 ( id )' AS definition FROM l""")
+@query(f"""WITH st AS ({feeds.STATEMENTS}),
+v AS (SELECT * FROM (VALUES (4, 'f', true, 'f_{{n}}', NULL, 'FOREIGN KEY ( c_{{c}} ) REFERENCES t_0 ( id )'), (5, 'f', false, 'f_{{n}}', NULL, 'FOREIGN KEY ( c_{{c}} ) REFERENCES t_0 ( id )'), (9, 'c', true, NULL, 't_{{t}}_c_{{c}}_check', 'CHECK ( c_{{c}} > 0 )'),
+  (10, 'u', true, NULL, 't_{{t}}_c_{{c}}_d_key', 'UNIQUE ( c_{{c}} , d )'), (13, 'p', true, NULL, 't_{{t}}_pkey', 'PRIMARY KEY ( c_{{c}} )'), (29, 'p', true, NULL, 'pk_{{n}}', 'PRIMARY KEY USING INDEX pk_{{n}}')) v(kind, letter, valid, name, base, def)),
+e AS (SELECT file, stmt, kind, t, n, letter, valid, {filled('name')} AS name, {filled('base')} AS base, {filled('def')} AS def FROM st JOIN v USING (kind)
+  WHERE kind = 29 OR NOT EXISTS (SELECT 1 FROM st d WHERE d.file = st.file AND d.t = st.t AND d.c = st.c AND d.kind = 12 AND d.stmt > st.stmt)),
+m AS (SELECT * REPLACE (coalesce(name, base || CASE WHEN nth > 1 THEN (nth - 1)::VARCHAR ELSE '' END) AS name) FROM (SELECT *, row_number() OVER (PARTITION BY file, t, base ORDER BY stmt) AS nth FROM e)),
+l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY file, t, name ORDER BY stmt DESC) = 1)
+SELECT file, 't_' || t AS table_name, name AS constraint_name, letter AS kind, valid OR EXISTS (SELECT 1 FROM st v WHERE v.file = l.file AND v.t = l.t AND v.n = l.n AND v.kind = 33 AND v.stmt > l.stmt) AS is_validated, def AS definition FROM l""")
 def ddl_constraints(spark, sf_dir):
     return objects.ddl_constraints(statements.statements(feeds.scripts(spark, sf_dir)))
 
@@ -968,10 +973,12 @@ dead AS (SELECT DISTINCT e.file, e.tab, e.moment, e.obj, e.name, e.base FROM ev
 live AS (SELECT e.* FROM ev e LEFT JOIN gone g ON g.file = e.file AND g.tab = e.tab LEFT JOIN dead d ON d.file = e.file AND d.tab = e.tab AND d.moment = e.moment AND d.obj = e.obj AND d.name IS NOT DISTINCT FROM e.name AND d.base IS NOT DISTINCT FROM e.base
   WHERE ((e.obj = 'index' AND e.op = 'drop') OR g.moment IS NULL OR e.moment >= g.moment) AND d.file IS NULL),
 named AS (SELECT * REPLACE (coalesce(name, base || CASE WHEN nth > 1 THEN (nth - 1)::VARCHAR ELSE '' END) AS name) FROM (SELECT *, row_number() OVER (PARTITION BY file, tab, base ORDER BY moment) AS nth FROM live)),
-state AS (SELECT file, obj, CASE WHEN obj IN ('column', 'constraint', 'partition') THEN tab END AS owner, name, max(moment) FILTER (op IN ('add', 'type')) AS added, max(moment) FILTER (op = 'drop') AS dropped, arg_max(tab, moment) FILTER (op = 'add') AS tab,
-  arg_max(dtype, moment) FILTER (dtype IS NOT NULL) AS data_type, arg_max(nn, moment) FILTER (nn IS NOT NULL) AS nn, arg_max(struct_pack(d := dflt), moment) FILTER (sets) AS dflt, arg_max(struct_pack(d := def, c := cols, u := uniq, p := pred), moment) FILTER (op = 'add') AS a FROM named GROUP BY 1, 2, 3, 4)
+owned AS (SELECT *, CASE WHEN obj IN ('column', 'constraint', 'partition') THEN tab END AS owner FROM named),
+after AS (SELECT * FROM (SELECT *, max(CASE WHEN op = 'drop' THEN moment END) OVER (PARTITION BY file, obj, owner, name) AS dropped FROM owned) WHERE dropped IS NULL OR moment > dropped),
+state AS (SELECT file, obj, owner, name, max(moment) FILTER (op IN ('add', 'type')) AS added, arg_max(tab, moment) FILTER (op = 'add') AS tab,
+  arg_max(dtype, moment) FILTER (dtype IS NOT NULL) AS data_type, arg_max(nn, moment) FILTER (nn IS NOT NULL) AS nn, arg_max(struct_pack(d := dflt), moment) FILTER (sets) AS dflt, arg_max(struct_pack(d := def, c := cols, u := uniq, p := pred), moment) FILTER (op = 'add') AS a FROM after GROUP BY 1, 2, 3, 4)
 SELECT file, obj AS kind, coalesce(owner, tab) AS table_name, name, data_type, CASE WHEN obj = 'column' THEN coalesce(nn, false) END AS is_not_null, dflt.d AS default_expr, a.d AS definition, array_to_string(a.c, ',') AS columns, a.u AS is_unique, a.p AS predicate
-FROM state WHERE added IS NOT NULL AND (dropped IS NULL OR dropped < added)""")
+FROM state WHERE added IS NOT NULL""")
 def ddl_graph(spark, sf_dir):
     """All objects that scripts leave, by value, statements applied in order."""
     g = objects.graph(statements.statements(feeds.scripts(spark, sf_dir, feeds.OBJECT_TEMPLATES)))
@@ -1071,9 +1078,10 @@ def remedies(spark, sf_dir):
 
 
 @query(f"""WITH st AS ({feeds.STATEMENTS}), e AS (SELECT file, stmt, CASE kind WHEN 25 THEN t || '_new' ELSE t::VARCHAR END AS t, CASE kind WHEN 25 THEN 'id' WHEN 17 THEN 'u' || c ELSE 'c' || c END AS col,
-  kind <> 12 AS adds, kind IN (2, 3) AS nn FROM st WHERE kind IN (2, 3, 12, 17, 25)),
-l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY file, t, col ORDER BY stmt DESC) = 1)
-SELECT file, count(*) AS columns, count(*) FILTER (WHERE nn) AS not_null FROM l WHERE adds GROUP BY 1""")
+  CASE WHEN kind = 12 THEN 'drop' WHEN kind IN (6, 13) THEN 'set' ELSE 'add' END AS op, CASE WHEN kind IN (2, 3, 6, 13) THEN true WHEN kind IN (17, 25) THEN false END AS nn FROM st WHERE kind IN (2, 3, 6, 12, 13, 17, 25, 26, 32)),
+l AS (SELECT *, max(CASE WHEN op = 'drop' THEN stmt END) OVER (PARTITION BY file, t, col) AS gone FROM e),
+s AS (SELECT file, t, col, coalesce(arg_max(nn, stmt) FILTER (nn IS NOT NULL), false) AS nn FROM l WHERE gone IS NULL OR stmt > gone GROUP BY 1, 2, 3 HAVING bool_or(op = 'add'))
+SELECT file, count(*) AS columns, count(*) FILTER (WHERE nn) AS not_null FROM s GROUP BY 1""")
 def ddl_columns(spark, sf_dir):
     c = objects.ddl_columns(statements.statements(feeds.scripts(spark, sf_dir)))
     return c.groupBy("file").agg(F.count("*").alias("columns"), F.count_if("is_not_null").alias("not_null"))
