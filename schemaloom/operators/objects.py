@@ -159,9 +159,10 @@ def _unquoted(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, "^'|'$", ""), F.lit("''"), F.lit("'"))
 
 
-def graph(stmts: DataFrame) -> DataFrame:
+def graph(stmts: DataFrame, cascades: bool = True) -> DataFrame:
     """One row for each object that a script leaves: file, kind, table_name, name and what of data_type, is_not_null, default_expr, con_kind,
-    is_validated, definition, columns, is_unique, is_concurrent, predicate and labels its kind has."""
+    is_validated, definition, columns, is_unique, is_concurrent, predicate and labels its kind has. Without ``cascades`` a dropped column leaves
+    its indexes and constraints as they are."""
     at = F.struct("stmt", "late", "pos").alias("at")
     rows = events(stmts).select("*", at)
     of_table = Window.partitionBy("file", "table_name")
@@ -169,7 +170,7 @@ def graph(stmts: DataFrame) -> DataFrame:
     lost = F.collect_list(F.when((F.col("kind") == "column") & (F.col("op") == "drop"), F.struct("at", "name"))).over(of_table)
     rows = rows.withColumns({"gone": gone, "lost": lost})
     left = F.col("table_name").isNull() | F.col("gone").isNull() | (F.col("at") >= F.col("gone"))
-    broken = F.col("kind").isin("index", "constraint") & F.exists("lost", lambda d: (d["at"] > F.col("at")) & F.array_contains("columns", d["name"]))
+    broken = F.lit(cascades) & F.col("kind").isin("index", "constraint") & F.exists("lost", lambda d: (d["at"] > F.col("at")) & F.array_contains("columns", d["name"]))
     rows = rows.filter(left & ~F.coalesce(broken, F.lit(False))).drop("gone", "lost")
     # unnamed constraints: the second one of a name gets 1 behind it, and so on
     nth = F.row_number().over(Window.partitionBy("file", "table_name", "base").orderBy("at")) - 1
@@ -203,9 +204,10 @@ def ddl_columns(stmts: DataFrame) -> DataFrame:
     return graph(stmts).filter("kind = 'column'").select("file", "table_name", F.col("name").alias("column_name"), "data_type", "is_not_null", "default_expr")
 
 
-def ddl_indexes(stmts: DataFrame) -> DataFrame:
-    """(file, index_name, table_name, is_unique, is_concurrent, key_columns, predicate)."""
-    return graph(stmts).filter("kind = 'index'").select("file", F.col("name").alias("index_name"), "table_name", "is_unique", "is_concurrent", F.col("labels").alias("key_columns"), "predicate")
+def ddl_indexes(stmts: DataFrame, cascades: bool = True) -> DataFrame:
+    """(file, index_name, table_name, is_unique, is_concurrent, key_columns, predicate), by what the statements on indexes say; with ``cascades``
+    without those that a dropped column takes as well."""
+    return graph(stmts, cascades).filter("kind = 'index'").select("file", F.col("name").alias("index_name"), "table_name", "is_unique", "is_concurrent", F.col("labels").alias("key_columns"), "predicate")
 
 
 def ddl_constraints(stmts: DataFrame) -> DataFrame:
