@@ -1,11 +1,11 @@
 """Lexical retrieval packing: documents become full training windows with their lexical neighbours.
 
 Documents are dealt to partitions by a lexical key, a minhash of their rarer words, and sorted by it and a second one, so that texts with many words in
-common, copies above all, lie side by side whatever rows they came from. Words in many documents make no key, and a key that many documents
-have is dealt by the second minhash too; a partition that is still too large is cut by adaptive execution. Each shard of ``block_bytes`` has its own BM25 inverted index; the document that opens a window is the query, and
+common, copies above all, lie side by side whatever rows they came from. Each text keeps a sketch, its words of smallest hashes; a word in the sketches of many
+documents makes no key, and a key that many documents have is dealt by the second minhash too. Both are counted over all documents. A partition that is still too large is cut by adaptive execution. Each shard of ``block_bytes`` has its own BM25 inverted index; the document that opens a window is the query, and
 its unused neighbours fill the window in order of their scores. A document that runs over the window's end is cut there and
 opens the next window, as its seed. So every window is full; the last tokens of a task go to windows whose lengths are powers
-of two, which need no padding. One shuffle, of the texts by their key; what is frequent is learnt from a bounded sample.
+of two, which need no padding. The texts are written once, with their sketches, and shuffled once, by their key.
 
 Edge cases: null and empty texts are the closing id alone; documents of any length are cut as often as
 needed; equal documents and repeated rows are packed each for itself; an empty table gives no rows; extra
@@ -28,16 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import Scratch
+from schemaloom.llm.shared import written
 from schemaloom.llm.text import hash_words, owners, slices, split_words, texts_of
 from schemaloom.llm.token_ids import UnitEncoder
 
 
 @dataclass(frozen=True)
 class PackParams:
-    """``tokenizer``: path of a tokenizers file whose tokens never cross white space; "" for the box's word BPE. ``sample_documents``,
-    of at most ``sample_chars`` each, tell which words are in more than ``frequent_share`` of the documents, and so are no key, and which
-    keys more than ``hot_share`` of them have. All documents are keyed, dealt and packed."""
+    """``tokenizer``: path of a tokenizers file whose tokens never cross white space; "" for the box's word BPE. Words in the sketches, of ``sketch`` words,
+    of more than ``frequent_share`` of all documents are no key; keys of more than ``hot_share`` of all documents are dealt by the second one as well."""
 
     tokenizer: str = ""
     window: int = 2048
@@ -45,8 +44,7 @@ class PackParams:
     k1: float = 1.2
     b: float = 0.75
     block_bytes: int = 4 << 20
-    sample_documents: int = 4096
-    sample_chars: int = 100_000
+    sketch: int = 8
     frequent_share: float = 0.03
     hot_share: float = 0.002
 
@@ -129,9 +127,11 @@ def halves(codes: np.ndarray, offsets: np.ndarray, words: pa.Array) -> tuple[np.
     encode. Only marks after a Latin letter or digit are cut off: there the tokenizer cuts as well."""
     words = pc.ascii_lower(words)
     stem = pc.utf8_rtrim(words, _CLOSING)
-    cut = pc.and_(pc.not_equal(stem, words), pc.match_substring_regex(stem, "[a-z0-9À-ÖØ-öø-ÿ]$"))
-    stem = pc.if_else(cut, stem, words)
-    at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+    at = np.flatnonzero(pc.not_equal(stem, words).to_numpy(zero_copy_only=False))
+    at = at[pc.match_substring_regex(stem.take(pa.array(at)), "[a-z0-9À-ÖØ-öø-ÿ]$").to_numpy(zero_copy_only=False)]
+    cut = np.zeros(len(words), bool)
+    cut[at] = True
+    stem = pc.if_else(pa.array(cut), stem, words)
     some = pa.array(at)
     tails = pa.array([w[len(s) :] for w, s in zip(words.take(some).to_pylist(), stem.take(some).to_pylist())], words.type).dictionary_encode()
     tail_of = np.zeros(len(words), np.int64)
@@ -226,72 +226,96 @@ def tail_windows(pieces: list, first_id: int, used: int) -> list:
     return out
 
 
-def _least(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The smallest hash of each text, the greatest number if it has none."""
-    padded = np.append(hashes, np.uint64(2**64 - 1))
-    out = np.minimum.reduceat(padded, np.minimum(offsets[:-1], len(hashes))) if len(offsets) > 1 else np.empty(0, np.uint64)
-    out[np.diff(offsets) == 0] = np.uint64(2**64 - 1)
-    return out
+_NEVER = np.uint64(2**64 - 1)
 
 
-def lexical_keys(texts: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two minhashes of each text's rarer words, those whose hashes are not in ``frequent``; of all words where none is rarer. Texts that
-    share a share s of them agree in each with chance s."""
+def sketches(texts: pa.Array, size: int) -> np.ndarray:
+    """The ``size`` smallest hashes of each text's words, in order, a row for each text; the greatest number where it has fewer words."""
     codes, offsets, words = split_words(texts)
-    h = hash_words(words)
-    never = np.uint64(2**64 - 1)
-    rare = np.where(np.isin(h, frequent), never, h)
-    first = _least(rare[codes], offsets) if len(words) else np.full(len(texts), never)
-    none = first == never
-    if none.any() and len(words):
-        first[none] = _least(h[codes], offsets)[none]
-    mixed = np.where(rare == never, never, (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15))
-    return first, _least(mixed[codes], offsets) if len(words) else first.copy()
+    out = np.full((len(texts), size), _NEVER)
+    if not len(codes):
+        return out
+    hashes, n_words = hash_words(words), np.int64(len(words))
+    order = np.argsort(hashes)
+    rank = np.empty(n_words, np.int64)
+    rank[order] = np.arange(n_words)
+    rank, doc = rank[codes], owners(offsets)
+
+    def distinct(some: np.ndarray) -> np.ndarray:
+        key = np.sort(doc[some] * n_words + rank[some])
+        return key[np.diff(key, prepend=-1) != 0]
+
+    # a text of n words most likely has enough of them in this share of the hashes; where it has not, all are looked at
+    key = distinct(rank * np.diff(offsets)[doc] < 4 * size * n_words)
+    short = np.bincount(key // n_words, minlength=len(texts)) < size
+    key = np.sort(np.concatenate([key[~short[key // n_words]], distinct(short[doc])]))
+    of, rank = np.divmod(key, n_words)
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    held = place < size
+    out[of[held], place[held]] = hashes[order][rank[held]]
+    return out
+
+
+def keys_of(sketch: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two minhashes of each sketch's rarer words, those whose hashes are not in ``frequent``; of all where none is rarer. Texts that share a share s of
+    their words agree in each with a chance of about s."""
+    rare = np.where(np.isin(sketch, frequent), _NEVER, sketch)
+    first = rare.min(axis=1)
+    first = np.where(first == _NEVER, sketch[:, 0], first)
+    mixed = np.where(rare == _NEVER, _NEVER, (rare ^ rare >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15))
+    return first, mixed.min(axis=1)
+
 
+def lexical_keys(texts: pa.Array, frequent: np.ndarray, size: int = PackParams.sketch) -> tuple[np.ndarray, np.ndarray]:
+    return keys_of(sketches(texts, size), frequent)
 
-def frequent_words(sample: DataFrame, p: PackParams) -> tuple[np.ndarray, int]:
-    """Hashes of the words in more than ``frequent_share`` of the sample's documents, and how many documents it has."""
+
+def sketched(documents: DataFrame, p: PackParams) -> DataFrame:
+    """doc_id, text, copy (a hash of the text) and sketch."""
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            codes, offsets, words = split_words(texts_of(batch, "text"))
-            h = hash_words(words)
-            pair = np.unique(owners(offsets) * np.int64(max(1, len(words))) + codes)
-            n = np.bincount(pair % max(1, len(words)), minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+            found = sketches(texts_of(batch, "text"), p.sketch).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, p.sketch), pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "sketch"])
 
-    size = sample.count()
-    counts = sample.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") > max(4, p.frequent_share * size)).select("word").collect()  # a text's distinct words / frequent_share at most
-    return np.array(sorted(r.word for r in rows), np.int64).view(np.uint64), size
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", sketch array<long>")
+
+
+def frequent_words(documents: DataFrame, p: PackParams) -> tuple[np.ndarray, int]:
+    """Hashes of the words in the sketches of more than ``frequent_share`` of all documents, and how many documents there are."""
+    rows = documents if "sketch" in documents.columns else sketched(documents, p)
+    size = rows.count()
+    counts = rows.select(F.explode("sketch").alias("word")).filter("word <> -1").groupBy("word").agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") > max(4, p.frequent_share * size)).select("word").collect()  # sketch / frequent_share at most
+    return np.array(sorted(r.word for r in found), np.int64).view(np.uint64), size
 
 
 def side_by_side(documents: DataFrame, p: PackParams) -> DataFrame:
     """doc_id and text, lexical neighbours next to each other in the partitions, copies first. Which words are frequent and which keys are
-    hot is learnt from a bounded sample; a hot key is dealt by its second minhash as well. Spark cuts a partition that is still too large, and
-    joins small ones."""
-    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("copy"))
-    every = max(1, documents.count() // p.sample_documents)
-    picked = (F.pmod(F.xxhash64("doc_id", "copy"), F.lit(every)) == 0) & (F.coalesce(F.length("text"), F.lit(0)) <= p.sample_chars)
+    hot is counted over all documents; a hot key is dealt by its second minhash as well. Spark cuts a partition that is still too large, and
+    joins small ones. The texts with their sketches are a table in the shared folder, which stays for the reader of the result."""
 
-    def keys_of(frequent: np.ndarray, hot: np.ndarray):
+    def keyed(rows: DataFrame, frequent: np.ndarray, hot: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
-                first, second = lexical_keys(texts_of(batch, "text"), frequent)
+            for batch in batches:
+                sketch = np.asarray(batch.column("sketch").flatten()).view(np.uint64).reshape(-1, p.sketch)
+                first, second = keys_of(sketch, frequent)
                 dealt = np.where(np.isin(first, hot), first ^ second * np.uint64(0x9E3779B97F4A7C15), first)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k.view(np.int64)) for k in (first, second, dealt))], [*batch.schema.names, "key", "key2", "dealt"])
-
-        return run
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", key long, key2 long, dealt long"
-    with Scratch(documents.sparkSession) as scratch:
-        sample = scratch.table(rows.filter(picked), "packing-sample")
-        frequent, size = frequent_words(sample, p)
-        keyed = sample.mapInArrow(keys_of(frequent, np.empty(0, np.uint64)), schema).groupBy("key").agg(F.count("*").alias("n"))
-        hot = keyed.filter(F.col("n") > max(8, p.hot_share * size)).select("key").collect()  # 1 / hot_share keys at most
-    hot = np.array(sorted(r.key for r in hot), np.int64).view(np.uint64)
-    keyed = rows.mapInArrow(keys_of(frequent, hot), schema)
-    return keyed.hint("rebalance", "dealt").sortWithinPartitions("key", "key2", "copy").select("doc_id", "text")
+                rest = [c for c in batch.schema.names if c != "sketch"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(k.view(np.int64)) for k in (first, second, dealt))], [*rest, "key", "key2", "dealt"])
+
+        fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "sketch"]
+        return rows.mapInArrow(run, ", ".join([*fields, "key long, key2 long, dealt long"]))
+
+    rows, _ = written(sketched(documents, p), "packing-sketches")
+    frequent, size = frequent_words(rows, p)
+    none = np.empty(0, np.uint64)
+    counts = keyed(rows.select("sketch"), frequent, none).groupBy("key").agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") > max(8, p.hot_share * size)).select("key").collect()  # 1 / hot_share keys at most
+    out = keyed(rows, frequent, np.array(sorted(r.key for r in hot), np.int64).view(np.uint64) if hot else none)
+    return out.hint("rebalance", "dealt").sortWithinPartitions("key", "key2", "copy").select("doc_id", "text")
 
 
 def pack(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:

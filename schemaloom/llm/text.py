@@ -6,6 +6,7 @@ batch into flat numpy arrays, so no Python loop touches single words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,16 @@ import pyarrow.compute as pc
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+def _trim() -> None:
+    """Gives free memory of the C heap back, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each piece holds about ``budget`` bytes of text, one row at least."""
+    """Cuts batches so that each piece holds about ``budget`` bytes of text, one row at least. Workers are used again by later tasks: what a task
+    freed goes back to the system at its end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -27,6 +36,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2 << 20
         edges = np.flatnonzero(np.diff(chunk, prepend=-1))
         for a, b in zip(edges, [*edges[1:], batch.num_rows]):
             yield batch.slice(a, b - a)
+    del batches
+    pa.default_memory_pool().release_unused()
+    _trim()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
