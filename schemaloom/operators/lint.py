@@ -260,26 +260,81 @@ def remedied(found: DataFrame) -> DataFrame:
     return found.withColumn("remedy", F.coalesce(F.col("remedy"), remedy) if "remedy" in found.columns else remedy)
 
 
+#: What the statements hold that a rule on one statement can speak of, for ``statements.statements``.
+_CONCERNS = {
+    "require-concurrent-index": "^CREATE (UNIQUE )?INDEX ", "non-concurrent-drop-index": "^DROP INDEX ", "reindex-missing-concurrently": "^REINDEX", "unbatched-dml": "^(UPDATE|DELETE FROM)",
+    "maintenance-command-detected": "^(VACUUM|CLUSTER|TRUNCATE)", "session-advisory-lock": "PG_(TRY_)?ADVISORY_LOCK", "check-constraint-missing-not-valid": "^ALTER TABLE .*CHECK",
+    "foreign-key-missing-not-valid": "^ALTER TABLE .*FOREIGN KEY", "unindexed-foreign-key": "^ALTER TABLE .*FOREIGN KEY", "drop-column-lock": "^ALTER TABLE .*DROP COLUMN",
+    "detach-partition-non-concurrent": "^ALTER TABLE .*DETACH PARTITION", "unique-constraint-using-index": "^ALTER TABLE .*UNIQUE", "add-primary-key-missing-using-index": "^ALTER TABLE .*PRIMARY KEY",
+}
+_TWIN, _FIRST = "check-constraint-not-valid", "check-constraint-missing-not-valid"
+
+
+def _asked(rules: set[str]) -> set[str]:
+    return (rules - {_TWIN}) | ({_FIRST} if _TWIN in rules else set())
+
+
+def concerns(rules: set[str]) -> str | None:
+    """What a statement must match for any of these rules to speak; none if a rule asks for the state of the script."""
+    asked = _asked(rules)
+    return "|".join(sorted({_CONCERNS[r] for r in asked})) if asked and asked <= _CONCERNS.keys() else None
+
+
+def _alone(rules: set[str] | None) -> bool:
+    """Whether these rules look at one statement each."""
+    return rules is not None and _asked(rules) <= {r.rule_id for r in stateless()}
+
+
+def _renamed(out: DataFrame, rules: set[str]) -> DataFrame:
+    if _TWIN in rules and _FIRST not in rules:
+        out = out.withColumn("rule_id", F.when(F.col("rule_id") == _FIRST, _TWIN).otherwise(F.col("rule_id")))
+    return out
+
+
+def _told(stmts: DataFrame, rules: set[str], *more: Column) -> DataFrame:
+    """The findings of rules on one statement each, beside columns of the prepared statement: nothing is shuffled."""
+    facts = [fact for rule, fact in one_statement() if rule in _asked(rules)]
+    facts = F.concat(*facts) if facts else _if(F.lit(False), _fact("", F.lit(""), True))
+    rows = prepared(stmts).select("file", "stmt", "line", "col", *more, F.explode(facts).alias("f"))
+    kept = rows.columns[4:-1]
+    return _worded(_renamed(rows.select("file", "stmt", "line", "col", "f.rule_id", "f.severity", "f.lock_level", "f.snippet", *kept), rules))
+
+
+def _worded(out: DataFrame) -> DataFrame:
+    said = F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))[F.col("rule_id")]
+    return out.withColumn("message", F.concat(said, F.lit(": "), F.col("snippet")))
+
+
 def findings(stmts: DataFrame, rules: set[str] | None = None) -> DataFrame:
     """The findings of all rules, or of some. ``check-constraint-not-valid`` is a twin of ``check-constraint-missing-not-valid``
-    and speaks only where that one is left out. Statements say facts in one pass; those of a script that are about one thing meet in one shuffle."""
-    asked = None if rules is None else rules | ({"check-constraint-missing-not-valid"} if "check-constraint-not-valid" in rules else set())
+    and speaks only where that one is left out. Statements say facts in one pass; those of a script that are about one thing meet in one shuffle, of
+    which rules on one statement each have no need."""
+    if _alone(rules):
+        return _told(stmts, rules)
+    asked = None if rules is None else _asked(rules)
     said = [fact for part in (one_statement, transactions, drop_add_pairs, lock_accumulation, attach_without_check, key_over_nullable, enum_recreated, type_rewrites) for rule, fact in part() if asked is None or rule in asked]
     said = F.concat(*said) if said else _if(F.lit(False), _fact("", F.lit(""), True))
     out = _judged(prepared(stmts).select("file", "stmt", "line", "col", F.explode(said).alias("f")).select("file", "stmt", "line", "col", "f.*"))
-    if rules is not None:
-        first, twin = "check-constraint-missing-not-valid", "check-constraint-not-valid"
-        if twin in rules and first not in rules:
-            out = out.withColumn("rule_id", F.when(F.col("rule_id") == first, twin).otherwise(F.col("rule_id")))
-        out = out.filter(F.col("rule_id").isin(*rules))
-    said = F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))[F.col("rule_id")]
-    return out.withColumn("message", F.concat(said, F.lit(": "), F.col("snippet")))
+    return _worded(out if rules is None else _renamed(out, rules).filter(F.col("rule_id").isin(*rules)))
+
+
+def fixes(stmts: DataFrame, rules: set[str]) -> DataFrame:
+    """The findings of some rules with ``fix_sql`` as ``remedy_sql`` gives it. For rules on one statement each the statement goes along with its finding, so
+    scripts are cut once and nothing is joined."""
+    if not _alone(rules):
+        return remedy_sql(findings(stmts, rules), stmts)
+    rows = _told(stmts, rules, F.col("raw"), F.col("target"), F.col("clauses"), F.transform("items", lambda x: x["raw"]).alias("written"))
+    return _fixed(rows, [c for c in rows.columns if c not in ("raw", "target", "clauses", "written")])
 
 
 def remedy_sql(found: DataFrame, stmts: DataFrame) -> DataFrame:
     """Findings with ``fix_sql``: statements that do the same without the hazard, where they follow from the statement; else null.
     New names end in a hash of the clause, so they are the same in every run."""
     rows = found.join(prepared(stmts).select("file", "stmt", "raw", "target", "clauses", F.transform("items", lambda x: x["raw"]).alias("written")), ["file", "stmt"], "left")
+    return _fixed(rows, found.columns)
+
+
+def _fixed(rows: DataFrame, columns: list[str]) -> DataFrame:
     at = F.array_position("clauses", F.col("snippet"))
     clause = F.when((at > 0) & (F.size("clauses") == F.size("written")), F.element_at("written", F.when(at > 0, at.cast("int")).otherwise(1)))
     table = F.regexp_extract("raw", rf"(?i)^ALTER TABLE (?:IF EXISTS )?{_REL} ", 1)
@@ -325,7 +380,7 @@ def remedy_sql(found: DataFrame, stmts: DataFrame) -> DataFrame:
     fix = F.lit(None).cast("string")
     for rule_id, sql in made.items():
         fix = F.when(F.col("rule_id") == rule_id, sql).otherwise(fix)
-    return rows.select(*found.columns, fix.alias("fix_sql"))
+    return rows.select(*columns, fix.alias("fix_sql"))
 
 
 def edits(found: DataFrame, stmts: DataFrame, scripts: DataFrame) -> DataFrame:
