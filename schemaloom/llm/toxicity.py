@@ -79,12 +79,17 @@ def _seen(texts: list[str]) -> Iterator[np.ndarray]:
 
 def _fit_shard(texts: list[str], labels: np.ndarray, p: FtrlParams) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint32((1 << 24) - 1)
-    count = np.zeros(1 << 24, np.uint32)
+    count = np.zeros(1 << 24, np.uint8 if p.min_documents < 256 else np.uint32)
+    most = np.iinfo(count.dtype).max  # counts stay there
     for x in _seen(texts):
-        count[x & low] += 1
+        at = x & low
+        count[at] += count[at] < most
     rows = [x[count[x & low] >= p.min_documents] for x in _seen(texts)]
-    index = np.unique(np.concatenate([*rows, np.empty(0, np.uint32)]))
-    rows = [np.searchsorted(index, x) for x in rows]
+    del count
+    # a few rows at a time, so that no second copy of all is held
+    index = np.unique(np.concatenate([*(np.unique(np.concatenate(rows[i : i + 1024])) for i in range(0, len(rows), 1024)), np.empty(0, np.uint32)]))
+    for i, x in enumerate(rows):
+        rows[i] = np.searchsorted(index, x).astype(np.int32)
     bias = len(index)
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
