@@ -126,6 +126,7 @@ def contexts(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 Weights = dict[str, np.ndarray]
+_ROWS = 1024  # whose scores over all classes stay in a core's cache
 
 
 def start(unigram: np.ndarray, p: LmParams) -> Weights:
@@ -178,10 +179,9 @@ class Trainer:
         s += log_noise - bias
         np.exp(s, out=s)  # may be infinite, which is a chance of 0
         s += 1
-        np.reciprocal(s, out=s)
         rows = np.arange(len(own))
-        true = s[rows, own] - 1
-        s *= noise
+        true = 1 / s[rows, own] - 1
+        np.divide(noise, s, out=s)
         s[rows, own] += true
         return s
 
@@ -194,9 +194,13 @@ class Trainer:
         hidden = ra @ w["first"] + rb @ w["second"]
         moved, moved_bias = np.zeros_like(w["target"]), np.zeros_like(w["bias"])
         with np.errstate(over="ignore"):
-            g = self._told_apart(hidden, w["class"], w["class_bias"], self.class_noise, self.log_class_noise, group)
-            g_hidden = g @ w["class"]
-            of_class, of_class_bias = g.T @ hidden, g.sum(axis=0)
+            g_hidden, of_class, of_class_bias = np.empty_like(hidden), np.zeros_like(w["class"]), np.zeros_like(w["class_bias"])
+            for a in range(0, len(ids), _ROWS):
+                at = slice(a, a + _ROWS)
+                g = self._told_apart(hidden[at], w["class"], w["class_bias"], self.class_noise, self.log_class_noise, group[at])
+                g_hidden[at] = g @ w["class"]
+                of_class += g.T @ hidden[at]
+                of_class_bias += g.sum(axis=0)
             for c, a, b in zip(group[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids)]):
                 at = slice(c * p.class_size, min((c + 1) * p.class_size, v))
                 g = self._told_apart(hidden[a:b], w["target"][at], w["bias"][at], self.word_noise[at], self.log_word_noise[at], ids[a:b] - at.start)
@@ -287,7 +291,7 @@ def train(texts: DataFrame, vocabulary: pa.Array, unigram: np.ndarray, n_tokens:
     return weights
 
 
-def log_probabilities(weights: Weights, ids: np.ndarray, one: np.ndarray, two: np.ndarray, p: LmParams, most: int = 4096) -> np.ndarray:
+def log_probabilities(weights: Weights, ids: np.ndarray, one: np.ndarray, two: np.ndarray, p: LmParams, most: int = _ROWS) -> np.ndarray:
     """Natural log probability of each token in its context, normalised over all classes and the words of its class."""
     w = weights
     a, b = w["context"] @ w["first"], w["context"] @ w["second"]
@@ -304,7 +308,7 @@ def log_probabilities(weights: Weights, ids: np.ndarray, one: np.ndarray, two: n
         if top:
             s -= np.float32(top)
         np.exp(s, out=s)
-        return said - top - np.log(s.sum(axis=1, dtype=np.float64))
+        return said - top - np.log(s @ np.ones(s.shape[1], np.float32), dtype=np.float64)
 
     for i in range(0, len(ids), most):
         j = min(i + most, len(ids))
