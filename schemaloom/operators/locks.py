@@ -40,20 +40,38 @@ def root_blockers(edges: DataFrame) -> DataFrame:
     return blockers.join(edges.select(F.col("waiter").alias("pid")).distinct(), "pid", "left_anti")
 
 
+_HOPS = 6  # edges that are followed before a table is written
+_TASK_ROWS = 50_000  # rounds over small tables take a task for so many rows, not all that the session sets
+
+
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The frame by ``keys`` in partitions of about _TASK_ROWS; as it is where that would be as many as the session's or more."""
+    n = rows // _TASK_ROWS + 1
+    return df.repartition(n, *keys) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _spread(edges: DataFrame, labels: DataFrame, tables: Rounds, limit: int) -> DataFrame:
-    """(pid, label): the smallest label that reaches each node over edges (source, target). Each round also takes the label of the node
-    that a label names, where that is a label itself: what reaches the label reaches the node, so long ways take few rounds."""
+    """(pid, label): the smallest label that reaches each node over edges (source, target). Each round follows several edges, where an edge of a node
+    to itself keeps its label, and then takes the label of the node that a label names, where that is a label itself: what reaches the label reaches
+    the node, so long ways take few rounds."""
     state = None
     labels = tables.table(labels)
+    kept = labels.select("pid").union(edges.select("source")).union(edges.select("target"))
+    kept = _dealt(kept, 2 * edges.count() + labels.count(), "pid").distinct()
+    ways = tables.table(edges.select("source", "target").union(kept.select("pid", F.col("pid").alias("target"))))
+    size = ways.count()
     for _ in range(limit):
-        step = edges.join(labels.select(F.col("pid").alias("source"), "label"), "source").select(F.col("target").alias("pid"), "label")
-        low = labels.union(step).groupBy("pid").agg(F.min("label").alias("label"))
+        low = labels
+        for _ in range(_HOPS):
+            step = ways.join(low.select(F.col("pid").alias("source"), "label"), "source").select(F.col("target").alias("pid"), "label")
+            low = _dealt(step, size, "pid").groupBy("pid").agg(F.min("label").alias("label"))
         jump = low.join(labels.select(F.col("pid").alias("label"), F.col("label").alias("further")), "label", "left")
         now = tables.table(jump.select("pid", F.least("label", "further").alias("label")))
         tables.drop(labels)
         labels = now
         then = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("pid", "label").cast("decimal(38,0)"))).first())
         if then == state:
+            tables.drop(ways)
             return labels
         state = then
     raise RuntimeError(f"labels still move after {limit} rounds")
@@ -69,15 +87,15 @@ def _contracted(edges: DataFrame, tables: Rounds, limit: int) -> tuple[DataFrame
     now, rings, runs = tables.table(edges), [], []
     count = now.count()
     for _ in range(limit):
-        once = now.join(now.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
-        once = once.join(now.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker")
-        twice = once.join(once.select(F.col("waiter").alias("blocker")).distinct(), "blocker", "left_semi")
-        rest = tables.table(twice.join(once.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "blocker"))
+        once = now.join(now.select(F.col("waiter").alias("blocker")), "blocker", "left_semi")
+        once = once.join(now.select(F.col("blocker").alias("waiter")), "waiter", "left_semi").select("waiter", "blocker")
+        twice = once.join(once.select(F.col("waiter").alias("blocker")), "blocker", "left_semi")
+        rest = tables.table(twice.join(once.select(F.col("blocker").alias("waiter")), "waiter", "left_semi").select("waiter", "blocker"))
         tables.drop(now)
         now = rest
-        out = now.groupBy(F.col("waiter").alias("pid")).agg(F.count("*").alias("n_out"), F.min("blocker").alias("next"))
-        into = now.groupBy(F.col("blocker").alias("pid")).agg(F.count("*").alias("n_in"), F.min("waiter").alias("before"))
-        links = tables.table(out.join(into, "pid").filter("n_out = 1 AND n_in = 1").select("pid", "next", "before"))
+        sides = now.select(F.col("waiter").alias("pid"), F.col("blocker").alias("next"), F.lit(None).alias("before")).union(now.select("blocker", F.lit(None), "waiter"))
+        nodes = _dealt(sides, 2 * count, "pid").groupBy("pid").agg(F.count("next").alias("n_out"), F.min("next").alias("next"), F.count("before").alias("n_in"), F.min("before").alias("before"))
+        links = tables.table(nodes.filter("n_out = 1 AND n_in = 1").select("pid", "next", "before"))
         if n_links := links.count():
             # way: where a link's chain leads, both ways; low: the smallest pid on it; open: it ends at a node that is no link
             one = links.select(F.col("pid").alias("to"), F.lit(True).alias("linked"))
@@ -101,7 +119,7 @@ def _contracted(edges: DataFrame, tables: Rounds, limit: int) -> tuple[DataFrame
             runs.append(way.filter("out_open").select("pid", "before", "behind"))
             linked = links.select("pid")
             kept = now.join(linked.withColumnRenamed("pid", "waiter"), "waiter", "left_anti").join(linked.withColumnRenamed("pid", "blocker"), "blocker", "left_anti").select("waiter", "blocker")
-            rest = tables.table(kept.union(runs[-1].select("before", "behind")).distinct())
+            rest = tables.table(_dealt(kept.union(runs[-1].select("before", "behind")), count, "waiter", "blocker").distinct())
             tables.drop(now)
             now = rest
         tables.drop(links)
@@ -112,6 +130,12 @@ def _contracted(edges: DataFrame, tables: Rounds, limit: int) -> tuple[DataFrame
     raise RuntimeError(f"chains not taken out in {limit} rounds")
 
 
+def _circling(edges: DataFrame) -> DataFrame:
+    """The distinct edges whose waiter is waited for as well, as on every cycle; most sessions only wait."""
+    edges = edges.filter("waiter IS NOT NULL AND blocker IS NOT NULL").select("waiter", "blocker")
+    return edges.join(edges.select(F.col("blocker").alias("waiter")).distinct(), "waiter", "left_semi").distinct()
+
+
 def cycle_members(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
     """(pid, cycle) on a waiting cycle; ``cycle`` is the smallest pid of those that wait for each other. A table in the shared folder.
 
@@ -120,87 +144,91 @@ def cycle_members(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
     that. Those are taken out and the rest goes on. Last, the links of a chain join the component that both its ends are in. Every table has a row for a
     node or an edge, never one for a pair that reaches each other. Self waits are cycles of one; repeated edges and nulls do no harm.
     """
-    edges = edges.filter("waiter IS NOT NULL AND blocker IS NOT NULL").select("waiter", "blocker").distinct()
     with Rounds(edges.sparkSession) as tables:
-        given = tables.table(edges)
-        found = tables.table(given.filter("waiter = blocker").select(F.col("waiter").alias("pid"), F.col("waiter").alias("cycle")))
-        now, rings, runs = _contracted(given.filter("waiter <> blocker"), tables, rounds)
-        for _ in range(rounds):
-            # a chain that came back to where it began is an edge of a node to itself
-            own_edge = now.filter("waiter = blocker").select(F.col("waiter").alias("pid"), F.col("waiter").alias("cycle"))
-            found = tables.table(found.union(own_edge).distinct())
-            now = tables.table(now.filter("waiter <> blocker"))
-            if now.isEmpty():
-                break
-            nodes = now.select(F.col("waiter").alias("pid")).union(now.select("blocker")).distinct()
-            colour = _spread(now.select(F.col("waiter").alias("source"), F.col("blocker").alias("target")), nodes.withColumn("label", F.col("pid")), tables, rounds)
-            tint = lambda name: colour.select(F.col("pid").alias(name), F.col("label").alias(f"{name}_label"))
-            own = tables.table(now.join(tint("waiter"), "waiter").join(tint("blocker"), "blocker").filter("waiter_label = blocker_label").select(F.col("blocker").alias("source"), F.col("waiter").alias("target")))
-            back = _spread(own, colour.filter("pid = label"), tables, rounds)
-            members = tables.table(back.select("pid", F.col("label").alias("cycle")))
-            several = members.groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1").select("cycle")
-            found = tables.table(found.union(members.join(several, "cycle", "left_semi").select("pid", "cycle")))
-            gone = members.select(F.col("pid").alias("waiter"))
-            now, more_rings, more_runs = _contracted(now.join(gone, "waiter", "left_anti").join(gone.withColumnRenamed("waiter", "blocker"), "blocker", "left_anti").select("waiter", "blocker"), tables, rounds)
-            rings, runs = rings + more_rings, runs + more_runs
-        else:
-            raise RuntimeError(f"cycles not found in {rounds} rounds")
-        for ring in rings:
-            found = found.union(ring.select("pid", "cycle"))
-        found = tables.table(found.groupBy("pid").agg(F.min("cycle").alias("cycle")))
-        for run in reversed(runs):
-            at = lambda name: found.select(F.col("pid").alias(name), F.col("cycle").alias(f"{name}_cycle"))
-            inside = run.join(at("before"), "before").join(at("behind"), "behind").filter("before_cycle = behind_cycle").select("pid", F.col("before_cycle").alias("cycle"))
-            found = tables.table(found.union(inside).groupBy("pid").agg(F.min("cycle").alias("cycle")))
-        lowest = found.groupBy("cycle").agg(F.min("pid").alias("low"))
-        return tables.keep(found.join(lowest, "cycle").select("pid", F.col("low").alias("cycle")))
+        return tables.keep(_members(tables.table(_circling(edges)), tables, rounds))
+
+
+def _members(given: DataFrame, tables: Rounds, rounds: int) -> DataFrame:
+    """``cycle_members`` of distinct edges in a table, not written yet."""
+    size = given.count()
+    parts = [given.filter("waiter = blocker").select(F.col("waiter").alias("pid"), F.col("waiter").alias("cycle"))]
+    now, rings, runs = _contracted(given.filter("waiter <> blocker"), tables, rounds)
+    for _ in range(rounds):
+        # a chain that came back to where it began is an edge of a node to itself
+        parts.append(now.filter("waiter = blocker").select(F.col("waiter").alias("pid"), F.col("waiter").alias("cycle")))
+        now = now.filter("waiter <> blocker")
+        if not (left := now.count()):
+            break
+        nodes = _dealt(now.select(F.col("waiter").alias("pid")).union(now.select("blocker")), 2 * left, "pid").distinct()
+        colour = _spread(now.select(F.col("waiter").alias("source"), F.col("blocker").alias("target")), nodes.withColumn("label", F.col("pid")), tables, rounds)
+        tint = lambda name: colour.select(F.col("pid").alias(name), F.col("label").alias(f"{name}_label"))
+        own = tables.table(now.join(tint("waiter"), "waiter").join(tint("blocker"), "blocker").filter("waiter_label = blocker_label").select(F.col("blocker").alias("source"), F.col("waiter").alias("target")))
+        members = _spread(own, colour.filter("pid = label"), tables, rounds).select("pid", F.col("label").alias("cycle"))
+        several = _dealt(members, left, "cycle").groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1").select("cycle")
+        parts.append(members.join(several, "cycle", "left_semi").select("pid", "cycle"))
+        gone = members.select(F.col("pid").alias("waiter"))
+        now, more_rings, more_runs = _contracted(now.join(gone, "waiter", "left_anti").join(gone.withColumnRenamed("waiter", "blocker"), "blocker", "left_anti").select("waiter", "blocker"), tables, rounds)
+        rings, runs = rings + more_rings, runs + more_runs
+    else:
+        raise RuntimeError(f"cycles not found in {rounds} rounds")
+    parts += [ring.select("pid", "cycle") for ring in rings]
+    found = tables.table(_dealt(_union(parts), size, "pid").groupBy("pid").agg(F.min("cycle").alias("cycle")))
+    for run in reversed(runs):
+        at = lambda name: found.select(F.col("pid").alias(name), F.col("cycle").alias(f"{name}_cycle"))
+        inside = run.join(at("before"), "before").join(at("behind"), "behind").filter("before_cycle = behind_cycle").select("pid", F.col("before_cycle").alias("cycle"))
+        found = tables.table(_dealt(found.union(inside), size, "pid").groupBy("pid").agg(F.min("cycle").alias("cycle")))
+    lowest = _dealt(found, size, "cycle").groupBy("cycle").agg(F.min("pid").alias("low"))
+    return found.join(lowest, "cycle").select("pid", F.col("low").alias("cycle"))
 
 
 def cycles(edges: DataFrame, members: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
     """(cycle, pids): of each group of sessions that wait for each other one shortest cycle through its smallest pid, beginning there. Among equally
     short ones each pid is followed backwards to its smallest waiter. A table in the shared folder.
 
-    Breadth first from the smallest pid, along who waits for whom, within the group; each newly met session keeps the smallest of those it was
-    met from. A group stops when its smallest pid is met again, so rounds are as many as the longest of these cycles; the way is then followed back.
+    Breadth first from the smallest pid, along who waits for whom, within the group, some levels before a table is written; each newly met session keeps
+    the smallest of those it was met from, and an edge to itself keeps what is known of it. A group stops when its smallest pid is met again. The way is then
+    followed back by doubled steps, in rounds that grow with the logarithm of its length.
     """
     with Rounds(edges.sparkSession) as tables:
-        members = tables.table((cycle_members(edges) if members is None else members).select("pid", "cycle"))
+        given = tables.table(_circling(edges))
+        members = tables.table((_members(given, tables, 1_000) if members is None else members).select("pid", "cycle"))
         tint = lambda name: members.select(F.col("pid").alias(name), F.col("cycle").alias(f"{name}_cycle"))
-        inside = edges.select("waiter", "blocker").distinct().join(tint("waiter"), "waiter").join(tint("blocker"), "blocker").filter("waiter_cycle = blocker_cycle")
-        inside = tables.table(inside.select(F.col("waiter_cycle").alias("cycle"), "waiter", "blocker"))
-        edge = tables.table(members.select("cycle", F.col("cycle").alias("pid"), F.lit(0).alias("level"), F.lit(None).cast(members.schema["pid"].dataType).alias("met_from")).distinct())
-        seen, closed = [edge], []
-        for level in range(1, rounds):
-            met = tables.table(
-                edge.select("cycle", F.col("pid").alias("waiter")).join(inside, ["cycle", "waiter"]).groupBy("cycle", F.col("blocker").alias("pid")).agg(F.min("waiter").alias("met_from"))
-                .select("cycle", "pid", F.lit(level).alias("level"), "met_from")
-            )
-            done = tables.table(met.filter("pid = cycle"))
-            closed.append(done)
-            new = met.join(done.select("cycle"), "cycle", "left_anti")
-            for before in seen:
-                new = new.join(before.select("cycle", "pid"), ["cycle", "pid"], "left_anti")
-            edge = tables.table(new)
-            tables.drop(met)
-            if edge.isEmpty():
-                break
-            seen.append(edge)
-            if len(seen) > 8:  # one table in place of many
-                whole = tables.table(_union(seen))
-                tables.drop(*(x for x in seen if x is not edge))
-                seen = [whole]
-        else:
-            raise RuntimeError(f"cycles longer than {rounds}")
-        steps = tables.table(_union(seen).select("cycle", F.col("pid").alias("at"), "met_from"))
-        paths = _union(closed).select("cycle", F.col("met_from").alias("at"), F.array(F.col("met_from")).alias("pids"))
-        finished = []
+        inside = given.join(tint("waiter"), "waiter").join(tint("blocker"), "blocker").filter("waiter_cycle = blocker_cycle").select(F.col("waiter_cycle").alias("cycle"), "waiter", "blocker", F.lit(1).alias("hop"))
+        ways = tables.table(inside.union(members.select("cycle", "pid", "pid", F.lit(0))))
+        size, pid = ways.count(), members.schema["pid"].dataType
+        seen = tables.table(members.filter("pid = cycle").select("cycle", "pid", F.lit(0).alias("level"), F.lit(None).cast(pid).alias("met_from")))
+        ends, steps = [], []
         for _ in range(rounds):
-            paths = tables.table(paths)
-            finished.append(paths.filter("at = cycle").select("cycle", "pids"))
-            paths = paths.filter("at <> cycle").join(steps, ["cycle", "at"]).select("cycle", F.col("met_from").alias("at"), F.concat(F.array(F.col("met_from")), F.col("pids")).alias("pids"))
-            if paths.isEmpty():
+            far = seen
+            for _ in range(_HOPS):
+                met = ways.join(far.withColumnRenamed("pid", "waiter"), ["cycle", "waiter"])
+                last = F.struct((F.col("level") + F.col("hop")).alias("level"), F.when(F.col("hop") == 1, F.col("waiter")).otherwise(F.col("met_from")).alias("met_from"))
+                far = _dealt(met.select("cycle", F.col("blocker").alias("pid"), last.alias("last")), size, "cycle", "pid").groupBy("cycle", "pid").agg(F.min("last").alias("last")).select("cycle", "pid", "last.level", "last.met_from")
+            far = tables.table(far)
+            tables.drop(seen)
+            back = ways.filter("hop = 1 AND blocker = cycle").select("cycle", F.col("waiter").alias("pid"))
+            end = tables.table(_dealt(far.join(back, ["cycle", "pid"]), size, "cycle").groupBy("cycle").agg(F.min(F.struct("level", "pid")).alias("end")).select("cycle", "end.level", "end.pid"))
+            ends.append(end)
+            steps.append(far.join(end.select("cycle"), "cycle", "left_semi"))
+            seen = far.join(end.select("cycle"), "cycle", "left_anti")
+            if seen.isEmpty():
                 break
-        return tables.keep(_union(finished))
+            seen = tables.table(seen)
+        else:
+            raise RuntimeError(f"cycles longer than {rounds} rounds of {_HOPS}")
+        ends = tables.table(_union(ends))
+        # where 1, 2, 4 ... steps back lead, as far as the longest of the cycles asks
+        longest = ends.agg(F.max("level")).first()[0] or 0
+        jumps = [tables.table(_union(steps).filter("level > 0").select("cycle", "pid", F.col("met_from").alias("to")))] if longest else []
+        while 2 ** len(jumps) <= longest:
+            jump = jumps[-1]
+            jumps.append(tables.table(jump.join(jump.select("cycle", F.col("pid").alias("to"), F.col("to").alias("further")), ["cycle", "to"]).select("cycle", "pid", F.col("further").alias("to"))))
+        path = ends
+        for k in reversed(range(len(jumps))):
+            both = F.array(F.struct("level", "pid"), F.struct((F.col("level") - 2**k).alias("level"), F.col("to").alias("pid")))
+            path = path.join(jumps[k], ["cycle", "pid"], "left").select("cycle", F.explode(both).alias("x")).select("cycle", "x.level", "x.pid").filter("pid IS NOT NULL")
+        pids = F.transform(F.array_sort(F.collect_list(F.struct("level", "pid"))), lambda x: x["pid"])
+        return tables.keep(_dealt(path, size, "cycle").groupBy("cycle").agg(pids.alias("pids")))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
