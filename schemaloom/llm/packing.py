@@ -132,8 +132,12 @@ def halves(codes: np.ndarray, offsets: np.ndarray, words: pa.Array) -> tuple[np.
     cut = np.zeros(len(words), bool)
     cut[at] = True
     stem = pc.if_else(pa.array(cut), stem, words)
-    some = pa.array(at)
-    tails = pa.array([w[len(s) :] for w, s in zip(words.take(some).to_pylist(), stem.take(some).to_pylist())], words.type).dictionary_encode()
+    marks = (pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(stem).to_numpy(zero_copy_only=False))[at]  # a byte each
+    order = np.argsort(marks, kind="stable")
+    at, marks = at[order], marks[order]
+    edges = np.flatnonzero(np.diff(marks, prepend=0)).tolist()
+    parts = [pc.utf8_slice_codeunits(words.take(pa.array(at[a:b])), -int(marks[a])) for a, b in zip(edges, [*edges[1:], len(at)])]
+    tails = pa.concat_arrays([pa.array([], words.type), *parts]).dictionary_encode()
     tail_of = np.zeros(len(words), np.int64)
     tail_of[at] = np.asarray(tails.indices, np.int64) + 1
     stems = stem.dictionary_encode()
@@ -189,6 +193,17 @@ class Packer:
         return out
 
 
+def by_score(score: np.ndarray, first: int = 32) -> Iterator[int]:
+    """The documents with a score, best first, equal ones by their number. A window takes few, so about ``first`` are sorted, and the others only when asked for."""
+    near = np.flatnonzero(score)
+    top = np.ones(len(near), bool)
+    if len(near) > first:
+        found = score[near]
+        top = found >= np.partition(found, -first)[-first]
+    for some in (near[top], near[~top]):
+        yield from some[np.argsort(-score[some], kind="stable")].tolist()
+
+
 def pack_block(index: Bm25Block, lengths: np.ndarray, packer: Packer) -> None:
     unused = np.ones(index.n, bool)
     first = 0
@@ -202,10 +217,8 @@ def pack_block(index: Bm25Block, lengths: np.ndarray, packer: Packer) -> None:
                 unused[seed] = False
                 packer.place(seed, int(lengths[seed]))
             score = index.scores(seed) * unused
-            near = np.flatnonzero(score)
-            near = near[np.argsort(-score[near], kind="stable")]
             seed = -1
-            for x in near.tolist():
+            for x in by_score(score):
                 unused[x] = False
                 if packer.place(x, int(lengths[x])):
                     seed = x  # it opens the next window

@@ -10,40 +10,56 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class UnitEncoder:
     """Keeps the ids of at most about ``limit`` units; ``encode`` gives little-endian 32-bit ids for a list of units.
 
-    Units are kept in a young and an old generation; those met again move to the young one, and when that is half
-    of the limit it becomes the old one, so frequent units stay.
+    The ids of all kept units lie in one array, and Arrow looks all units of a call up at once; only new ones become Python strings. Beyond the
+    limit the half that was met last stays, so frequent units stay.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
-        self.encode, self.limit, self.known, self.old = encode, limit, {}, {}
+        self.encode, self.limit, self.calls = encode, limit, 0
+        self.units, self.flat = pa.array([], pa.large_string()), np.empty(0, "<u4")
+        self.start = self.size = self.met = np.empty(0, np.int64)  # of each kept unit: its place in ``flat``, how many ids, the last call that had it
+
+    def _forget(self) -> None:
+        half = len(self.met) - self.limit // 2
+        keep = np.flatnonzero(self.met >= np.partition(self.met, half)[half])
+        n = self.size[keep]
+        ends = np.cumsum(n)
+        self.flat = self.flat[np.repeat(self.start[keep] - (ends - n), n) + np.arange(n.sum())]
+        self.units, self.start, self.size, self.met = self.units.take(pa.array(keep)), ends - n, n, self.met[keep]
+
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """Where each unit is kept, once those that are new are encoded."""
+        self.calls += 1
+        if len(self.units) > self.limit:
+            self._forget()
+        at = pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            coded = units.take(pa.array(missing)).dictionary_encode()
+            at[missing] = len(self.units) + np.asarray(coded.indices, np.int64)
+            blobs = self.encode(coded.dictionary.to_pylist())
+            n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            self.units = pa.concat_arrays([self.units, coded.dictionary])
+            self.start, self.size = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n]), np.concatenate([self.size, n])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(blobs), "<u4")])
+            self.met = np.concatenate([self.met, np.zeros(len(n), np.int64)])
+        self.met[at] = self.calls
+        return at
 
     def ids(self, codes: np.ndarray, offsets: np.ndarray, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text) for texts given as unit codes."""
-        names = units.to_pylist()
-        if len(self.known) > self.limit // 2:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = []
-        for x in names:
-            if x not in known:
-                if x in old:
-                    known[x] = old[x]
-                else:
-                    new.append(x)
-        known.update(zip(new, self.encode(new) if new else ()))
-        blobs = [known[x] for x in names]
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        flat = np.frombuffer(b"".join(blobs), "<u4")
         if not len(codes):
             return np.empty(0, "<u4"), np.zeros(len(offsets), np.int64)
-        n = size[codes]
+        unit = self._places(units.cast(pa.large_string()))
+        n = self.size[unit][codes]
         ends = np.concatenate([[0], np.cumsum(n)])
-        kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
-        at = np.repeat(((np.cumsum(size) - size)[codes] - ends[:-1]).astype(kind), n)
+        kind = np.int32 if max(ends[-1], len(self.flat)) < 1 << 31 else np.int64
+        at = np.repeat((self.start[unit][codes] - ends[:-1]).astype(kind), n)
         at += np.arange(ends[-1], dtype=kind)
-        return flat[at], ends[offsets]
+        return self.flat[at], ends[offsets]

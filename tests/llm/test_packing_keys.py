@@ -149,3 +149,31 @@ def test_words_of_letters_get_the_same_ids_from_the_model_alone():
     assert not any(packing._LETTERS.fullmatch(w) for w in ("É", "a1", "it's", "a÷b", "×", "", "é", "ſ", "a b"))
     blobs = packing.encoder("").encode([*words, "It's", "x<|y", "é1", ""])
     assert [len(b) % 4 for b in blobs] == [0] * len(blobs) and blobs[: len(words)] == [direct(w) for w in words]
+
+
+def test_units_are_looked_up_without_python_strings():
+    """Known units cost no Python string each, units stay the same when old ones are forgotten, and closing marks of any length are cut off."""
+    from schemaloom.llm import token_ids
+
+    asked = []
+    plain = packing.encoder("").encode
+    units = token_ids.UnitEncoder(lambda names: asked.extend(names) or plain(names), limit=6)
+    whole = token_ids.UnitEncoder(plain)
+    for t in (["the cat sat on a mat", "", "the dog! é.?"], ["the cat sat"], ["x y z!!!! w, v u"], ["the dog ??? a.b.", " "], [""], ["the cat sat on a mat"]):
+        given = packing.halves(*text.split_words(pa.array(t, pa.large_string())))
+        (ids, ends), (ids2, ends2) = units.ids(*given), whole.ids(*given)
+        assert ids.tolist() == ids2.tolist() and ends.tolist() == ends2.tolist()
+        tokens = [np.frombuffer(b"".join(plain([w for w in x.split()])), "<u4").tolist() for x in t]
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == tokens
+    assert len(units.met) < 20 and len(set(asked)) < len(asked)  # some were forgotten and asked for again
+    before = len(asked)
+    units.ids(*given)
+    assert len(asked) == before
+
+
+def test_best_scores_come_in_order_of_a_full_sort():
+    rng = np.random.default_rng(3)
+    for n, high in ((0, 5), (20, 3), (500, 4), (500, 10**6)):
+        score = rng.integers(0, high, n).astype(float)
+        near = np.flatnonzero(score)
+        assert list(packing.by_score(score)) == near[np.argsort(-score[near], kind="stable")].tolist()
