@@ -143,13 +143,26 @@ def start(unigram: np.ndarray, p: LmParams) -> Weights:
     }
 
 
-def _row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ones of indexes below n and, for each, the sum of its rows."""
-    found = np.flatnonzero(np.bincount(at, minlength=n))
-    place = np.zeros(n, np.int64)
-    place[found] = np.arange(len(found))
-    to, columns = place[at], np.ascontiguousarray(rows.T)
-    return found, np.stack([np.bincount(to, c, len(found)) for c in columns], axis=1).astype(np.float32)
+def _sorted(ids: np.ndarray, n: int) -> np.ndarray:
+    """The order of numbers below n; numbers of two bytes are sorted by radix."""
+    return np.argsort(ids.astype(np.min_scalar_type(n)), kind="stable")
+
+
+def _row_sums(at: np.ndarray, rows: np.ndarray, n: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of indexes below n and, for each, the sum of its rows; they are sorted in ``room``."""
+    order = _sorted(at, n)
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    room = room[: len(at)]
+    np.take(rows, order, axis=0, out=room, mode="clip")  # by the other modes a copy more
+    return at[first], np.add.reduceat(room, first, axis=0)
+
+
+def _beside(table: np.ndarray, column: np.ndarray | float) -> np.ndarray:
+    """A table with one more column."""
+    out = np.empty((len(table), table.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = table, column
+    return out
 
 
 class Trainer:
@@ -166,59 +179,86 @@ class Trainer:
         self.class_noise = (p.class_noise * np.maximum(share, 1e-12)).astype(np.float32)
         self.word_noise = (p.word_noise * np.maximum(unigram / share[group], 1e-12)).astype(np.float32)
         self.log_class_noise, self.log_word_noise = np.log(self.class_noise), np.log(self.word_noise)
-
-    def _move(self, name: str, at: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
-        grown = self.grown[name][at] + g * g
-        self.grown[name][at] = grown
-        self.w[name][at] -= np.float32(rate) * g / np.sqrt(grown)
+        # memory of a batch, used again by the next one, since fresh pages cost about as much as what is written to them
+        zeros = lambda *shape: np.zeros(shape, np.float32)
+        self._class_scores, self._word_scores, self._hidden = zeros(_ROWS, len(share)), zeros(_ROWS, p.class_size), np.ones((_ROWS, p.size + 1), np.float32)
+        self._mixed = {k: zeros(len(unigram), p.size) for k in ("first", "second")}
+        self._g_hidden, self._room, self._of_words = zeros(p.batch, p.size), zeros(p.batch, p.size), zeros(len(unigram), p.size + 1)
+
+    def _move(self, name: str, g: np.ndarray, rate: float) -> None:
+        w, grown, g = self.w[name].reshape(-1), self.grown[name].reshape(-1), g.reshape(-1)
+        for a in range(0, len(g), 32 * _ROWS):  # pieces that stay in a core's cache
+            at = slice(a, a + 32 * _ROWS)
+            x = g[at] * g[at]
+            grown[at] += x
+            np.sqrt(grown[at], out=x)
+            np.divide(g[at], x, out=x)
+            x *= np.float32(rate)
+            w[at] -= x
 
     @staticmethod
-    def _told_apart(hidden: np.ndarray, table: np.ndarray, bias: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The gradient by each score: noise times the chance to be taken for data, less what the true one lacks of it."""
-        s = hidden @ (-table).T
-        s += log_noise - bias
+    def _told_apart(s: np.ndarray, own: np.ndarray, noise: np.ndarray) -> None:
+        """From the logarithm of noise to score, in place: the chance to be taken for data, less what the true one lacks of it. Times the noise it is the
+        gradient by the score; ``noise`` is that of the true ones."""
         np.exp(s, out=s)  # may be infinite, which is a chance of 0
         s += 1
-        rows = np.arange(len(own))
-        true = 1 / s[rows, own] - 1
-        np.divide(noise, s, out=s)
-        s[rows, own] += true
-        return s
+        np.reciprocal(s, out=s)
+        s, at = s.reshape(-1), np.arange(len(own)) * s.shape[1] + own
+        true = s[at]
+        s[at] = true + (true - 1) / noise
 
     def step(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, rate: float) -> None:
-        """One batch; its tokens are sorted by id, so those of a class lie together."""
-        w, p, v = self.w, self.p, len(self.word_noise)
+        """One batch; its tokens are sorted by id, so those of a class lie together. Biases are a further column of the tables and of the gradients by
+        them, the noise a factor of whole tables, so a block of scores is passed over for the chances alone."""
+        w, p, v, d = self.w, self.p, len(self.word_noise), self.p.size
         group = ids // p.class_size
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        ra, rb = w["context"][one], w["context"][two]
-        hidden = ra @ w["first"] + rb @ w["second"]
-        moved, moved_bias = np.zeros_like(w["target"]), np.zeros_like(w["bias"])
+        place = ids - group * p.class_size
+        for name, mixed in self._mixed.items():
+            np.matmul(w["context"], w[name], out=mixed)
+        classes, words = _beside(-w["class"], self.log_class_noise - w["class_bias"]), _beside(-w["target"], self.log_word_noise - w["bias"])
+        noisy_classes, noisy_words = self.class_noise[:, None] * w["class"], self.word_noise[:, None] * w["target"]
+        of_classes, of_words, g_hidden = np.zeros_like(classes), self._of_words, self._g_hidden[: len(ids)]
+        of_words.fill(0)
+        edges = np.flatnonzero(np.diff(group, prepend=-1))
         with np.errstate(over="ignore"):
-            g_hidden, of_class, of_class_bias = np.empty_like(hidden), np.zeros_like(w["class"]), np.zeros_like(w["class_bias"])
             for a in range(0, len(ids), _ROWS):
-                at = slice(a, a + _ROWS)
-                g = self._told_apart(hidden[at], w["class"], w["class_bias"], self.class_noise, self.log_class_noise, group[at])
-                g_hidden[at] = g @ w["class"]
-                of_class += g.T @ hidden[at]
-                of_class_bias += g.sum(axis=0)
-            for c, a, b in zip(group[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids)]):
-                at = slice(c * p.class_size, min((c + 1) * p.class_size, v))
-                g = self._told_apart(hidden[a:b], w["target"][at], w["bias"][at], self.word_noise[at], self.log_word_noise[at], ids[a:b] - at.start)
-                g_hidden[a:b] += g @ w["target"][at]
-                moved[at], moved_bias[at] = g.T @ hidden[a:b], g.sum(axis=0)
-        back = np.concatenate([g_hidden @ w["first"].T, g_hidden @ w["second"].T])
-        every = slice(None)
-        for name, g, pace in (("class", of_class, 1), ("class_bias", of_class_bias, 1), ("target", moved, 1), ("bias", moved_bias, 1), ("first", ra.T @ g_hidden, 0.2), ("second", rb.T @ g_hidden, 0.2)):
-            self._move(name, every, g, rate * pace)
-        at, rows = _row_sums(np.concatenate([one, two]), back, v)
-        self._move("context", at, rows, rate)
+                b = min(a + _ROWS, len(ids))
+                h, g, s = self._hidden[: b - a], g_hidden[a:b], self._class_scores[: b - a]
+                np.add(self._mixed["first"].take(one[a:b], axis=0), self._mixed["second"].take(two[a:b], axis=0), out=h[:, :d])
+                np.matmul(h, classes.T, out=s)
+                self._told_apart(s, group[a:b], self.class_noise[group[a:b]])
+                np.matmul(s, noisy_classes, out=g)
+                of_classes += s.T @ h
+                s = self._word_scores[: b - a]
+                starts = [a, *edges[np.searchsorted(edges, a, "right") : np.searchsorted(edges, b)].tolist()]
+                parts = [(slice(i - a, j - a), slice(c * p.class_size, min((c + 1) * p.class_size, v))) for c, i, j in zip(group[starts].tolist(), starts, [*starts[1:], b])]
+                for at, own in parts:
+                    np.matmul(h[at], words[own].T, out=s[at, : own.stop - own.start])
+                self._told_apart(s, place[a:b], self.word_noise[ids[a:b]])
+                for at, own in parts:
+                    chances = s[at, : own.stop - own.start]
+                    g[at] += chances @ noisy_words[own]
+                    of_words[own] += chances.T @ h[at]
+        of_classes *= self.class_noise[:, None]
+        of_words *= self.word_noise[:, None]
+        of_context, of_mix = self._mixed["first"], []  # which is used no more
+        of_context.fill(0)
+        for name, back in (("first", one), ("second", two)):
+            at, sums = _row_sums(back, g_hidden, v, self._room)
+            of_context[at] += sums @ w[name].T
+            of_mix.append(w["context"][at].T @ sums)
+        for name, g, pace in (
+            ("class", of_classes[:, :d], 1), ("class_bias", of_classes[:, d], 1), ("target", of_words[:, :d], 1), ("bias", of_words[:, d], 1),
+            ("first", of_mix[0], 0.2), ("second", of_mix[1], 0.2), ("context", of_context, 1),
+        ):
+            self._move(name, g, rate * pace)
 
     def walk(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, rate: float) -> None:
         """All tokens once, in a random order."""
         order = self.rng.permutation(len(ids))
         for i in range(0, len(ids), self.p.batch):
             at = order[i : i + self.p.batch]
-            at = at[np.argsort(ids[at], kind="stable")]
+            at = at[_sorted(ids[at], len(self.word_noise))]
             self.step(ids[at], one[at], two[at], rate)
 
 
@@ -291,37 +331,81 @@ def train(texts: DataFrame, vocabulary: pa.Array, unigram: np.ndarray, n_tokens:
     return weights
 
 
-def log_probabilities(weights: Weights, ids: np.ndarray, one: np.ndarray, two: np.ndarray, p: LmParams, most: int = _ROWS) -> np.ndarray:
-    """Natural log probability of each token in its context, normalised over all classes and the words of its class."""
-    w = weights
-    a, b = w["context"] @ w["first"], w["context"] @ w["second"]
-    order = np.argsort(ids // p.class_size, kind="stable")  # so that the tokens of a class lie together
-    ids, hidden = ids[order], a[one[order]] + b[two[order]]
-    group = ids // p.class_size
-    found = np.empty(len(ids))
-
-    def normalised(low: int, high: int, table: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
-        s = hidden[low:high] @ table.T
+_WIDE = 40.0
+_HELD = 8
+
+
+class Scorer:
+    """Log probabilities of a model whose weights no longer change. A score is a sum of what either context word gives, so its exponential is a
+    product: that of each of them to all classes is computed once, and likewise to the words of up to ``_HELD`` classes that a slice meets more often than the model has
+    words. Rows of scores further apart than ``_WIDE``, whose products might leave the range, and other classes are computed by token."""
+
+    def __init__(self, weights: Weights, p: LmParams):
+        self.w, self.p = weights, p
+        self.first, self.second = weights["context"] @ weights["first"], weights["context"] @ weights["second"]
+        self.held: dict[int, tuple[np.ndarray, ...]] = {}
+        self.classes = self._products(weights["class"], weights["class_bias"])
+
+    def _products(self, table: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(exponentials by the first context word, by the second one with the biases, which rows of either are too wide)."""
+        found = []
+        for side, more in ((self.first, np.zeros_like(bias)), (self.second, bias)):
+            s = side @ table.T
+            s += more
+            s -= s.max(axis=1, keepdims=True)
+            found.append((np.exp(s), s.min(axis=1) < -_WIDE))
+        return found[0][0], found[1][0], found[0][1], found[1][1]
+
+    @staticmethod
+    def _by_products(products: tuple[np.ndarray, ...], one: np.ndarray, two: np.ndarray, own: np.ndarray) -> np.ndarray:
+        s = products[0].take(one, axis=0)
+        s *= products[1].take(two, axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):  # those of wide rows are computed again
+            return np.log(s[np.arange(len(own)), own] / (s @ np.ones(s.shape[1], np.float32)), dtype=np.float64)
+
+    def _by_token(self, table: np.ndarray, bias: np.ndarray, one: np.ndarray, two: np.ndarray, own: np.ndarray) -> np.ndarray:
+        s = (self.first.take(one, axis=0) + self.second.take(two, axis=0)) @ table.T
         s += bias
-        said = s[np.arange(high - low), own]
-        top = max(0.0, float(s.max()) - 80)  # so that no exponential leaves the range; without effect on usual scores
-        if top:
-            s -= np.float32(top)
+        s -= s.max(axis=1, keepdims=True)  # so that no exponential leaves the range and none is lost by another row's scores
+        said = s[np.arange(len(own)), own]
         np.exp(s, out=s)
-        return said - top - np.log(s @ np.ones(s.shape[1], np.float32), dtype=np.float64)
-
-    for i in range(0, len(ids), most):
-        j = min(i + most, len(ids))
-        found[i:j] = normalised(i, j, w["class"], w["class_bias"], group[i:j])
-    edges = np.searchsorted(group, np.arange(len(w["class"]) + 1))
-    for g, (low, high) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
-        at = slice(g * p.class_size, (g + 1) * p.class_size)
-        for i in range(low, high, most):
-            j = min(i + most, high)
-            found[i:j] += normalised(i, j, w["target"][at], w["bias"][at], ids[i:j] - g * p.class_size)
-    out = np.empty(len(ids))
-    out[order] = found
-    return out
+        return said - np.log(s @ np.ones(s.shape[1], np.float32), dtype=np.float64)
+
+    def _normalised(self, table: np.ndarray, bias: np.ndarray, products: tuple[np.ndarray, ...] | None, one: np.ndarray, two: np.ndarray, own: np.ndarray) -> np.ndarray:
+        if products is None:
+            return self._by_token(table, bias, one, two, own)
+        found = self._by_products(products, one, two, own)
+        wide = np.flatnonzero(products[2][one] | products[3][two])
+        if len(wide):
+            found[wide] = self._by_token(table, bias, one[wide], two[wide], own[wide])
+        return found
+
+    def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, most: int = _ROWS) -> np.ndarray:
+        w, p = self.w, self.p
+        group = ids // p.class_size
+        order = _sorted(group, len(w["class"]))  # so that the tokens of a class lie together
+        ids, one, two, group = ids[order], one[order], two[order], group[order]
+        found = np.empty(len(ids))
+        for i in range(0, len(ids), most):
+            at = slice(i, i + most)
+            found[at] = self._normalised(w["class"], w["class_bias"], self.classes, one[at], two[at], group[at])
+        edges = np.searchsorted(group, np.arange(len(w["class"]) + 1))
+        for g, (low, high) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+            words = slice(g * p.class_size, (g + 1) * p.class_size)
+            table, bias = w["target"][words], w["bias"][words]
+            if high - low > len(w["bias"]) and g not in self.held and len(self.held) < _HELD:
+                self.held[g] = self._products(table, bias)
+            for i in range(low, high, most):
+                at = slice(i, min(i + most, high))
+                found[at] += self._normalised(table, bias, self.held.get(g), one[at], two[at], ids[at] - g * p.class_size)
+        out = np.empty(len(ids))
+        out[order] = found
+        return out
+
+
+def log_probabilities(weights: Weights, ids: np.ndarray, one: np.ndarray, two: np.ndarray, p: LmParams, most: int = _ROWS) -> np.ndarray:
+    """Natural log probability of each token in its context, normalised over all classes and the words of its class."""
+    return Scorer(weights, p).log_probabilities(ids, one, two, most)
 
 
 def score(documents: DataFrame, params: LmParams = LmParams()) -> DataFrame:
@@ -358,11 +442,12 @@ def _scored(documents: DataFrame, p: LmParams, scratch: Scratch) -> DataFrame:
         words_of_model = pa.array(words_of_model, pa.string())
         log_c = np.append(np.log10(c + 0.5), 0.0)  # the last for words that are not frequent
         log_end, log_tails = math.log10(mass[END_ID]), np.log10(tail_mass)
+        scorer = Scorer(weights, p)
         for batch in slices(batches, "text"):
             texts = texts_of(batch, "text")
             ids, offsets, codes, word_offsets, words = class_ids(texts, words_of_model, p.tails)
             one, two = contexts(ids, offsets)
-            logp = log_probabilities(weights, ids, one, two, p)
+            logp = scorer.log_probabilities(ids, one, two)
             at = pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), len(c)).to_numpy(zero_copy_only=False)
             inner = np.ones(len(ids), bool)
             inner[offsets[1:] - 1] = False
